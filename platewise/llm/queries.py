@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from .decontam import op2_decontamination
 from .langid import op9_language_id
 from .mixing import op3_mixing
 from .pii import op10_pii
+from .simhash import op5_simhash
 from .tokens import op8_token_counts
 from .toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    found = (op3_mixing, op6_toxicity, op8_token_counts, op9_language_id, op10_pii)
+    found = (op2_decontamination, op3_mixing, op5_simhash, op6_toxicity, op8_token_counts, op9_language_id, op10_pii)
     return {f.__name__: f for f in found}
 
 
