@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from .decontam import op2_decontamination
+from .fingerprint import op4_fingerprints
+from .html import op1_html_extraction
 from .langid import op9_language_id
 from .mixing import op3_mixing
 from .pii import op10_pii
@@ -12,7 +14,7 @@ from .toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    found = (op2_decontamination, op3_mixing, op5_simhash, op6_toxicity, op8_token_counts, op9_language_id, op10_pii)
+    found = (op1_html_extraction, op2_decontamination, op3_mixing, op4_fingerprints, op5_simhash, op6_toxicity, op8_token_counts, op9_language_id, op10_pii)
     return {f.__name__: f for f in found}
 
 
