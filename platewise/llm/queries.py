@@ -9,12 +9,13 @@ from .langid import op9_language_id
 from .mixing import op3_mixing
 from .pii import op10_pii
 from .simhash import op5_simhash
+from .substring import op7_substring_dedup
 from .tokens import op8_token_counts
 from .toxicity import op6_toxicity
 
 
 def queries() -> dict:
-    found = (op1_html_extraction, op2_decontamination, op3_mixing, op4_fingerprints, op5_simhash, op6_toxicity, op8_token_counts, op9_language_id, op10_pii)
+    found = (op1_html_extraction, op2_decontamination, op3_mixing, op4_fingerprints, op5_simhash, op6_toxicity, op7_substring_dedup, op8_token_counts, op9_language_id, op10_pii)
     return {f.__name__: f for f in found}
 
 
