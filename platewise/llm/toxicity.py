@@ -153,7 +153,9 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, sampl
     known = labels.filter(F.col("toxic").isNotNull()).filter(train if train is not None else F.lit(True)).select("doc_id", "toxic")
     known = known.withColumn("h", F.xxhash64(F.lit(6), "doc_id"))
     ids = known.filter("toxic = 1").orderBy("h", "doc_id").limit(sample).unionAll(known.filter("toxic = 0").orderBy("h", "doc_id").limit(sample))
-    rows = docs.select("doc_id", "text").join(ids.select("doc_id", "toxic").distinct(), "doc_id").select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    # the broadcast side holds at most two samples of ids
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic").distinct()), "doc_id")
+    rows = rows.select("toxic", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.persist()
 
     def count(batches):
