@@ -116,15 +116,17 @@ def _choose(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int) -> dict[
     """Shortest precise prefixes, each lengthened as far as it keeps its positive documents."""
     scale = n_pos / max(n_neg, 1)
     precise = {k for k, (p, n) in counts.items() if p >= LEAST_DOCS and p >= PRECISION * (p + n * scale)}
+    longer: dict[str, str] = {}  # of each prefix, the extension by one letter that keeps most positive documents
+    for k in sorted(counts):
+        best = longer.get(k[:-1])
+        if best is None or counts[k][0] > counts[best][0]:
+            longer[k[:-1]] = k
     chosen = {}
     for k in sorted(precise, key=len):
         if any(k[:j] in precise for j in range(SHORTEST, len(k))):
             continue
-        while True:
-            longer = [x for x in counts if len(x) == len(k) + 1 and x.startswith(k) and counts[x][0] >= 0.97 * counts[k][0]]
-            if not longer:
-                break
-            k = longer[0]
+        while k in longer and counts[longer[k]][0] >= 0.97 * counts[k][0]:
+            k = longer[k]
         p, n = counts[k]
         chosen[k] = float(np.log((p + 0.5) / (n_pos + 1)) - np.log((n + 0.5) / (n_neg + 1)))
     return {k: w for k, w in chosen.items() if w > 0}
