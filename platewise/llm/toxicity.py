@@ -30,8 +30,10 @@ from pyspark.sql import functions as F
 SAMPLE = 10_000
 #: Prefix lengths that may become lexicon entries.
 SHORTEST, LONGEST = 3, 9
-#: An entry needs so many positive documents and different preceding words, and this precision.
-LEAST_DOCS, LEAST_CONTEXTS, PRECISION = 4, 4, 0.9
+#: An entry needs so many positive documents (and this share of them), this precision, and so many
+#: different preceding words (and this share of its documents), which copies of one text do not have.
+LEAST_DOCS, LEAST_SHARE, PRECISION = 4, 0.01, 0.97
+LEAST_CONTEXTS, CONTEXT_SHARE = 4, 0.2
 #: Entries used when there are no positive labels.
 FALLBACK = ("idiot", "moron", "stupid", "pathetic", "worthless", "disgusting", "scum")
 #: Phrases in which an entry is harmless.
@@ -115,7 +117,8 @@ def _prefixes(word: str):
 def _choose(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int) -> dict[str, float]:
     """Shortest precise prefixes, each lengthened as far as it keeps its positive documents."""
     scale = n_pos / max(n_neg, 1)
-    precise = {k for k, (p, n) in counts.items() if p >= LEAST_DOCS and p >= PRECISION * (p + n * scale)}
+    least = max(LEAST_DOCS, LEAST_SHARE * n_pos)
+    precise = {k for k, (p, n) in counts.items() if p >= least and p >= PRECISION * (p + n * scale)}
     longer: dict[str, str] = {}  # of each prefix, the extension by one letter that keeps most positive documents
     for k in sorted(counts):
         best = longer.get(k[:-1])
@@ -193,8 +196,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, sampl
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([w for _, w in pairs], pa.string())], ["k", "before"])
 
             met = rows.filter("toxic = 1").select("text").mapInArrow(contexts, "k string, before string").groupBy("k").agg(F.countDistinct("before").alias("c"))
-            wide = {r.k for r in met.filter(F.col("c") >= LEAST_CONTEXTS).collect()}
-            weights = {k: w for k, w in weights.items() if k in wide}
+            wide = {r.k: r.c for r in met.filter(F.col("c") >= LEAST_CONTEXTS).collect()}
+            weights = {k: w for k, w in weights.items() if wide.get(k, 0) >= CONTEXT_SHARE * counts[k][0]}
         weights = weights or {fold(k): 4.0 for k in FALLBACK}
         lexicon = Lexicon(weights, EXCEPTIONS, (-3.0, 3.0, 1.0))
         if n_pos and n_neg:
