@@ -42,7 +42,7 @@ def h02_h03_h20_identity(spark, sf):
 
 
 @query(
-    f"""WITH {SEQ} SELECT doc_id, round({_weighted(S.COARSE_WEIGHT, 110.0)} - (length(s) - 1) * 18.015, 3) AS coarse, round({_weighted(S.FINE_WEIGHT, 110.0)} - (length(s) - 1) * 18.015, 3) AS fine,
+    f"""WITH {SEQ} SELECT doc_id, round(({_weighted(S.COARSE_WEIGHT, 110.0)} - (length(s) - 1) * 18.015)::DOUBLE, 3) AS coarse, round(({_weighted(S.FINE_WEIGHT, 110.0)} - (length(s) - 1) * 18.015)::DOUBLE, 3) AS fine,
  round({_share(_weighted(S.KYTE_DOOLITTLE))}, 6) AS gravy, round({_share(_count("F") + "+" + _count("W") + "+" + _count("Y"))}, 6) AS aromaticity,
  round(100 * {_share(f"{_count('A')} + 2.9 * {_count('V')} + 3.9 * ({_count('I')} + {_count('L')})")}, 4) AS aliphatic,
  round({_share(_count("K") + "+" + _count("R") + "+" + _count("H"))}, 6) AS positive, round({_share(_count("D") + "+" + _count("E"))}, 6) AS negative FROM seq"""

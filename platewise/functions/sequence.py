@@ -220,7 +220,8 @@ def hydrophobic_moment(angle: float = 100.0, window: int = 11):
 
 def dipeptides(df: DataFrame, key: str, seq: str) -> DataFrame:
     """H7 in long form: ``key, pair, n, freq`` of the pairs that occur (overlapping)."""
-    steps = F.transform(F.sequence(F.lit(1), F.length(seq) - 1), lambda i: F.substr(F.col(seq), i, F.lit(2)))
+    letters = F.split(seq, "")  # taking substrings at every position would be quadratic in the length
+    steps = F.zip_with(F.slice(letters, F.lit(1), F.length(seq) - 1), F.slice(letters, F.lit(2), F.length(seq) - 1), lambda a, b: F.concat(a, b))
     pairs = df.filter(F.length(seq) > 1).select(key, F.length(seq).alias("len"), F.explode(steps).alias("pair"))
     known = pairs.filter(F.col("pair").rlike(f"^[{RESIDUES}]{{2}}$"))
     return known.groupBy(key, "pair").agg(F.count(F.lit(1)).alias("n"), F.first("len").alias("len")).select(key, "pair", "n", (F.col("n") / (F.col("len") - 1)).alias("freq"), "len")
@@ -304,6 +305,5 @@ def pool_tokens(tokens: DataFrame, key: str = "id", special: Column | None = Non
     rows = tokens.filter(~special) if special is not None else tokens
     long = rows.select(key, "pos", F.posexplode("vector").alias("f", "v"))
     per = long.groupBy(key, "f").agg(F.avg("v").alias("mean"), F.max("v").alias("max"), F.min_by("v", "pos").alias("first"))
-    cells = F.array_sort(F.collect_list(F.struct("f", "mean", "max", "first")))
-    out = per.groupBy(key).agg(*[F.transform(cells, lambda x, n=n: x[n]).alias(n) for n in ("mean", "max", "first")])
+    out = per.groupBy(key).agg(*[F.expr(f"transform(array_sort(collect_list(struct(f, mean, max, first))), x -> x.{n})").alias(n) for n in ("mean", "max", "first")])
     return out.withColumn("first_mean", F.concat("first", "mean"))

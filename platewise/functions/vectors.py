@@ -42,13 +42,17 @@ def pad(v: Column, size: Column | int) -> Column:
     return F.concat(v, F.array_repeat(F.lit(0.0), F.greatest(size - F.size(v), F.lit(0))))
 
 
+def _times(v: Column, w: float) -> Column:
+    return F.transform(v, lambda x: x * F.lit(w))
+
+
 def fuse_weighted(vectors: list[Column], weights: list[float] | None = None) -> Column:
     """Weighted sum of vectors, shorter ones padded with zeros."""
     weights = weights or [1.0 / len(vectors)] * len(vectors)
     longest = F.greatest(*[F.size(v) for v in vectors]) if len(vectors) > 1 else F.size(vectors[0])
     out = None
     for v, w in zip(vectors, weights):
-        part = F.transform(pad(v, longest), lambda x, w=w: x * F.lit(float(w)))
+        part = _times(pad(v, longest), float(w))
         out = part if out is None else F.zip_with(out, part, lambda x, y: x + y)
     return out
 

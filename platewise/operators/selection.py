@@ -50,7 +50,7 @@ def rank(df: DataFrame, score: str, key: str, out: str = "rank", parts: int | No
     above = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
     above = above.select("_b", (F.sum("_c").over(Window.orderBy(F.col("_b").desc())) - F.col("_c")).alias("_above"))
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(F.col(score).desc_nulls_last(), key))
-    return rows.withColumn("_r", inside).join(F.broadcast(above), "_b").withColumn(out, F.col("_r") + F.col("_above")).drop("_b", "_r", "_above")
+    return rows.withColumn("_inside", inside).join(F.broadcast(above), "_b").withColumn(out, F.col("_inside") + F.col("_above")).drop("_b", "_inside", "_above")
 
 
 def aggregate_members(long: DataFrame, keys=("sample", "f")) -> DataFrame:

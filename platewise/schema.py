@@ -153,4 +153,4 @@ def stats_array(stats: DataFrame, *names: str) -> DataFrame:
     Its size is the number of features, which is bounded by the table's width.
     """
     cells = F.array_sort(F.collect_list(F.struct("f", *names)))
-    return stats.agg(*[F.transform(cells, lambda x, n=n: x[n]).alias(n) for n in names])
+    return stats.agg(cells.alias("c")).select(*[F.col(f"c.{n}").alias(n) for n in names])
