@@ -111,14 +111,15 @@ class Lexicon:
 
 
 def _prefixes(word: str):
-    return [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)]
+    """Beginnings of a word, and the whole word with its end marked by a space."""
+    return [word[:k] for k in range(SHORTEST, min(LONGEST, len(word)) + 1)] + ([word + " "] if SHORTEST <= len(word) <= LONGEST else [])
 
 
 def _choose(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int) -> dict[str, float]:
-    """Shortest precise prefixes, each lengthened as far as it keeps its positive documents."""
+    """Shortest precise prefixes, each lengthened as far as it keeps its positive documents, but not past a whole word."""
     scale = n_pos / max(n_neg, 1)
     least = max(LEAST_DOCS, LEAST_SHARE * n_pos)
-    precise = {k for k, (p, n) in counts.items() if p >= least and p >= PRECISION * (p + n * scale)}
+    precise = {k for k, (p, n) in counts.items() if not k.endswith(" ") and p >= least and p >= PRECISION * (p + n * scale)}
     longer: dict[str, str] = {}  # of each prefix, the extension by one letter that keeps most positive documents
     for k in sorted(counts):
         best = longer.get(k[:-1])
@@ -128,7 +129,7 @@ def _choose(counts: dict[str, tuple[int, int]], n_pos: int, n_neg: int) -> dict[
     for k in sorted(precise, key=len):
         if any(k[:j] in precise for j in range(SHORTEST, len(k))):
             continue
-        while k in longer and counts[longer[k]][0] >= 0.97 * counts[k][0]:
+        while k in longer and not longer[k].endswith(" ") and counts[longer[k]][0] >= 0.97 * counts[k][0]:
             k = longer[k]
         p, n = counts[k]
         chosen[k] = float(np.log((p + 0.5) / (n_pos + 1)) - np.log((n + 0.5) / (n_neg + 1)))
