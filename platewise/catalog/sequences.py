@@ -17,11 +17,12 @@ def _weighted(scale: dict, unknown: float = 0.0) -> str:
     return "(" + " + ".join(f"{_count(a)} * ({w} - {unknown})" for a, w in scale.items()) + f" + length(s) * {unknown})"
 
 
-def _charge(ph: str) -> str:
+def _charge(ph: str, counts=None) -> str:
+    n = counts or _count
     up = lambda p: f"1.0 / (1.0 + pow(10.0, {ph} - {p}))"
     down = lambda p: f"1.0 / (1.0 + pow(10.0, {p} - {ph}))"
     return " ".join(
-        [f"{up(S.N_TERMINUS)} - {down(S.C_TERMINUS)}", *[f"- {_count(a)} * {down(p)}" for a, p in S.ACIDIC.items()], *[f"+ {_count(a)} * {up(p)}" for a, p in S.BASIC.items()]]
+        [f"{up(S.N_TERMINUS)} - {down(S.C_TERMINUS)}", *[f"- {n(a)} * {down(p)}" for a, p in S.ACIDIC.items()], *[f"+ {n(a)} * {up(p)}" for a, p in S.BASIC.items()]]
     )
 
 
@@ -79,7 +80,10 @@ def h08_charge(spark, sf):
     return sequences(spark, sf).select("doc_id", F.round(S.charge(F.col("s")), 4).alias("charge"))
 
 
-@query(f"""WITH {SEQ}, c AS (SELECT doc_id, s, unnest(range(1, 2048)) AS k FROM seq), p AS (SELECT doc_id, sum(({_charge('(k * 14.0 / 2048)')} > 0)::INT) AS n FROM c GROUP BY doc_id)
+_NUMBERS = ", ".join(f"{_count(a)} AS n{a}" for a in (*S.ACIDIC, *S.BASIC))
+
+
+@query(f"""WITH {SEQ}, m AS (SELECT doc_id, {_NUMBERS} FROM seq), c AS (SELECT m.*, unnest(range(1, 2048)) AS k FROM m), p AS (SELECT doc_id, sum(({_charge('(k * 14.0 / 2048)', 'n{}'.format)} > 0)::INT) AS n FROM c GROUP BY doc_id)
 SELECT doc_id, round((n + 0.5) * 14.0 / 2048, 6) AS pi FROM p""")
 def h09_isoelectric_point(spark, sf):
     return sequences(spark, sf).select("doc_id", F.round(S.isoelectric_point(F.col("s")), 6).alias("pi"))
@@ -89,9 +93,9 @@ _PAIRS = ", ".join(f"('{a}{b}', {w})" for a, row in S.INSTABILITY.items() for b,
 
 
 @query(f"""WITH {SEQ}, w(pair, w) AS (VALUES {_PAIRS}), p AS (SELECT doc_id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS pair FROM seq WHERE length(s) > 1),
-t AS (SELECT doc_id, sum(coalesce(w.w, 1.0)::DOUBLE) AS t FROM p LEFT JOIN w USING (pair) GROUP BY doc_id) SELECT doc_id, round(coalesce(10.0 / length(s) * t, 0.0), 4) AS instability FROM seq LEFT JOIN t USING (doc_id)""")
+t AS (SELECT doc_id, sum(coalesce(w.w, 1.0)::DOUBLE) AS t FROM p LEFT JOIN w USING (pair) GROUP BY doc_id) SELECT doc_id, round(coalesce(10.0 / length(s) * t, 0.0), 6) AS instability FROM seq LEFT JOIN t USING (doc_id)""")
 def h10_instability(spark, sf):
-    return rounded(S.instability(sequences(spark, sf), "doc_id", "s"), "instability", digits=4)
+    return rounded(S.instability(sequences(spark, sf), "doc_id", "s"), "instability")
 
 
 _H, _E, _T = (_weighted(x, 1.0) for x in (S.HELIX, S.SHEET, S.TURN))
@@ -156,8 +160,8 @@ def h21_plddt(spark, sf):
     return S.plddt_from_pdb(text, "o_custkey", "pdb")
 
 
-@query("""SELECT o_custkey, round(avg(o_totalprice / 5000), 6) AS mean, round(stddev_pop(o_totalprice / 5000), 6) AS std, round(avg((o_totalprice / 5000 > 70)::INT), 6) AS over_70, round(avg((o_totalprice / 5000 > 90)::INT), 6) AS over_90,
- round(avg((o_totalprice / 5000 < 50)::INT), 6) AS under_50 FROM orders GROUP BY o_custkey""")
+@query("""SELECT o_custkey, round(avg(o_totalprice / 7000), 6) AS mean, round(stddev_pop(o_totalprice / 7000), 6) AS std, round(avg((o_totalprice / 7000 > 70)::INT), 6) AS over_70, round(avg((o_totalprice / 7000 > 90)::INT), 6) AS over_90,
+ round(avg((o_totalprice / 7000 < 50)::INT), 6) AS under_50 FROM orders GROUP BY o_custkey""")
 def h22_plddt_summary(spark, sf):
-    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_totalprice") / 5000).alias("v"))
+    rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_totalprice") / 7000).alias("v"))
     return rounded(rows.select("o_custkey", S.plddt_summary(F.col("v")).alias("s")).select("o_custkey", "s.*"), "mean", "std", "over_70", "over_90", "under_50")

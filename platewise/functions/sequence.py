@@ -13,7 +13,7 @@ from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # The alphabet and published residue scales.
@@ -222,9 +222,10 @@ def dipeptides(df: DataFrame, key: str, seq: str) -> DataFrame:
     """H7 in long form: ``key, pair, n, freq`` of the pairs that occur (overlapping)."""
     letters = F.split(seq, "")  # taking substrings at every position would be quadratic in the length
     steps = F.zip_with(F.slice(letters, F.lit(1), F.length(seq) - 1), F.slice(letters, F.lit(2), F.length(seq) - 1), lambda a, b: F.concat(a, b))
-    pairs = df.filter(F.length(seq) > 1).select(key, F.length(seq).alias("len"), F.explode(steps).alias("pair"))
-    known = pairs.filter(F.col("pair").rlike(f"^[{RESIDUES}]{{2}}$"))
-    return known.groupBy(key, "pair").agg(F.count(F.lit(1)).alias("n"), F.first("len").alias("len")).select(key, "pair", "n", (F.col("n") / (F.col("len") - 1)).alias("freq"), "len")
+    pairs = df.filter(F.length(seq) > 1).select(key, F.explode(steps).alias("pair")).groupBy(key, "pair").agg(F.count(F.lit(1)).alias("n"))
+    # the length comes from the counts: taken beside the explode it would be computed for every pair
+    pairs = pairs.withColumn("len", F.sum("n").over(Window.partitionBy(key)) + 1).filter(F.col("pair").rlike(f"^[{RESIDUES}]{{2}}$"))
+    return pairs.select(key, "pair", "n", (F.col("n") / (F.col("len") - 1)).alias("freq"), "len")
 
 
 def _weight_map(weights) -> Column:
