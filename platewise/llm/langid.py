@@ -103,11 +103,13 @@ def learn(docs: DataFrame, train: Column | None = None, sample: int = SAMPLE, sa
     if not share:
         return None
     bound = F.create_map(*[x for r in share for x in (F.lit(r.lang), F.lit(min(1.0, 3.0 * sample / r.n + 50.0 / r.n)))])
-    ids = ids.filter(F.pmod("h", F.lit(1 << 30)) < bound[F.col("lang")] * F.lit(1 << 30))
+    drawn = lambda h: F.pmod(h, F.lit(1 << 30)) < bound[F.col("lang")] * F.lit(1 << 30)
+    ids = ids.filter(drawn(F.col("h")))
     from pyspark.sql import Window
 
     ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("rank") <= sample)
-    rows = known.select("doc_id", F.encode(F.col("text"), "UTF-8").alias("raw")).join(ids.select("doc_id", "lang"), "doc_id")
+    texts = known.filter(drawn(F.xxhash64(F.lit(9), "doc_id")))  # only texts that the ranking can still choose are shuffled
+    rows = texts.select("doc_id", F.encode(F.col("text"), "UTF-8").alias("raw")).join(ids.select("doc_id", "lang"), "doc_id")
 
     def count(batches):
         for b in batches:
