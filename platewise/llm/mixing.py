@@ -79,8 +79,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = 1.5, cap: float = 2.0,
 
 
 def emit(docs: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as ``mixed`` says, numbered by ``copy`` from 1."""
-    chosen = mixed.filter(F.col("copies") > 0).select(F.col("doc_id").alias("mix_id"), "copies")
+    """The mix itself: every row of ``docs`` as often as ``mixed`` says, numbered by ``copy`` from 1.
+
+    Rows that share a doc_id cannot be told apart here; each is emitted as often as the one emitted most.
+    """
+    chosen = mixed.filter(F.col("copies") > 0).groupBy(F.col("doc_id").alias("mix_id")).agg(F.max("copies").alias("copies"))
     out = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["mix_id"])).drop("mix_id")
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).drop("copies")
 

@@ -16,8 +16,8 @@ Windows are compared by 64-bit hashes of their words, probes by about 40 bits of
 windows to the exact step). Group and part sizes grow with the square root of the input.
 
 Defined results: null and empty texts have no words; texts under fifty words keep all; rows that share
-a doc_id do not remove each other's words; a null doc_id neither removes nor loses words; an empty table
-gives an empty result; further columns are ignored.
+a doc_id do not remove each other's words, and each gives one row by its own text; a null doc_id neither removes
+nor loses words; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -206,7 +206,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         h, m = h.filter(known).to_numpy().view(np.uint64), m.filter(known).to_numpy()
         order = np.argsort(h)
         h, m = h[order], m[order]
-        out = []
+        out = set()  # rows that repeat a doc_id and its words give one
         for doc, raw in _texts(left, live) if len(h) else ():
             words = hasher.of(raw)
             mine = hasher.runs(words, window)
@@ -218,10 +218,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 np.add.at(cover, starts, 1)
                 np.add.at(cover, starts + window, -1)
                 keep = np.cumsum(cover)[:-1] == 0
-                kept = b" ".join(w for w, k in zip(raw.split(), keep.tolist()) if k)
-                out.append((doc, int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest()))
-        cols = list(zip(*out)) or [()] * 3
-        return pa.table({"id": pa.array(cols[0], left.schema.field("doc_id").type), "removed": pa.array(cols[1], pa.int64()), "kept": pa.array(cols[2], pa.string())})
+                plain = raw.split()
+                kept = b" ".join(w for w, k in zip(plain, keep.tolist()) if k)
+                out.add((doc, hashlib.sha256(b" ".join(plain)).hexdigest(), int(len(words) - keep.sum()), hashlib.sha256(kept).hexdigest()))
+        cols = list(zip(*out)) or [()] * 4
+        kinds = {"id": left.schema.field("doc_id").type, "of": pa.string(), "removed": pa.int64(), "kept": pa.string()}
+        return pa.table({k: pa.array(c, t) for (k, t), c in zip(kinds.items(), cols)})
 
     sent = by_group(marks).applyInArrow(probes, "part int, grp int, keys binary")
     hits = sent.groupBy("part").applyInArrow(lookup, "grp int, part int, keys binary")
@@ -230,10 +232,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     met = met.withColumn("m", F.min("low").over(Window.partitionBy("h"))).filter("m < high")
     said = live.select("grp", F.col("doc_id").alias("x"), none.cast("long").alias("h"), none.cast("long").alias("m"))
     said = said.unionByName(met.select("grp", "h", "m").withColumn("x", none.cast(id_kind)))
-    removed = by_group(said).applyInArrow(cut, f"id {id_kind}, removed long, kept string")
+    removed = by_group(said).applyInArrow(cut, f"id {id_kind}, of string, removed long, kept string")
 
     empty = F.lit(hashlib.sha256(b"").hexdigest())
-    whole = base.join(first.select("sha", "first"), "sha", "left").join(removed, F.col("doc_id") == F.col("id"), "left")
+    whole = base.join(first.select("sha", "first"), "sha", "left").join(removed, (F.col("doc_id") == F.col("id")) & (F.col("sha") == F.col("of")), "left")
     copy = F.coalesce(F.col("first") < F.col("doc_id"), F.lit(False))
     return whole.select(
         "doc_id",

@@ -292,6 +292,16 @@ def test_substring_dedup_empty(spark, empty):
     assert sorted(r.n_removed for r in substring.remove_repeats(rows).collect()) == [0, 0, 0]
 
 
+def test_rows_that_share_a_doc_id_stay_single(spark):
+    a = " ".join(f"a{i}" for i in range(80))
+    rows = [(1, a), (2, "x y " + a), (2, "x y " + a), (2, a), (2, "z"), (3, a + " z"), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(docs).collect())
+    assert got == [(1, 80, 0), (2, 1, 0), (2, 80, 80), (2, 82, 80), (2, 82, 80), (3, 0, 0), (3, 81, 80)]
+    emitted = mixing.emit(docs, mixing.mix(docs)).groupBy("doc_id").count().collect()
+    assert all(r["count"] <= 2 * sum(i == r.doc_id for i, _ in rows) for r in emitted)
+
+
 # 8
 def test_token_counts(spark, empty):
     texts = ["hello world", "hello", None, "", "a b c d e f g", "<|endoftext|>"]
