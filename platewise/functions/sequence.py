@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.functions.vectors import let
+
 # The alphabet and published residue scales.
 RESIDUES = "ACDEFGHIKLMNPQRSTVWY"
 EXTENDED = RESIDUES + "BXZJUO"
@@ -292,7 +294,7 @@ def plddt_summary(values: Column) -> Column:
     """Mean, population std and the shares over 70, over 90 and under 50; zeros for no residues."""
     n = F.size(values)
     mean = F.aggregate(values, F.lit(0.0), lambda a, x: a + x) / n
-    spread = F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - mean) * (x - mean)) / n)
+    spread = let(mean, lambda m: F.sqrt(F.aggregate(values, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)) / n))
     share = lambda test: F.size(F.filter(values, test)) / n
     whole = F.struct(
         mean.alias("mean"), spread.alias("std"), share(lambda x: x > 70).alias("over_70"), share(lambda x: x > 90).alias("over_90"), share(lambda x: x < 50).alias("under_50")

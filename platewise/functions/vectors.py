@@ -21,9 +21,14 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once; inside a lambda it would be worked out for every element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def l2_normalise(v: Column, eps: float = 1e-8) -> Column:
     """H30."""
-    return F.transform(v, lambda x: x / (norm(v) + eps))
+    return let(v, lambda u: let(norm(u) + eps, lambda n: F.transform(u, lambda x: x / n)))
 
 
 def fuse_concat(kinds: Column, names, normalise_inputs: bool = True, normalise_output: bool = True) -> Column:

@@ -30,7 +30,7 @@ def pairwise(df: DataFrame, key: str, vector: str, metric: str = "euclidean") ->
 
 def replicate_similarity(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
     """Mean cosine over pairs of one label, from sums alone: (|sum of z|^2 - n) / (n (n - 1))."""
-    unit = df.select(label, F.posexplode(F.transform(vector, lambda x: x / V.norm(F.col(vector)))).alias("f", "z"))
+    unit = df.select(label, F.posexplode(V.l2_normalise(F.col(vector), 0.0)).alias("f", "z"))
     sums = unit.groupBy(label, "f").agg(F.sum("z").alias("s"), F.count(F.lit(1)).alias("n"))
     per = sums.groupBy(label).agg(F.sum(F.col("s") * F.col("s")).alias("q"), F.first("n").alias("n")).filter("n > 1")
     return per.select(label, "n", ((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("similarity"))
