@@ -9,8 +9,9 @@ and the language with the shortest code wins.
 For speed the trees of all languages are laid out as one table: for each known context a row
 with the code lengths of all next bytes in all languages. A byte then costs two look-ups.
 
-Learning reads a bounded sample: at most ``SAMPLE`` rows a language (chosen by a hash of doc_id), of each its first
-``SAMPLE_BYTES`` bytes, and keeps at most ``MAX_CONTEXTS`` contexts. Prediction covers every row and whole texts.
+Spark counts the byte strings of all labelled rows, over their whole texts. The model keeps the ``MAX_CONTEXTS`` most
+frequent contexts, which bounds what the driver receives; a context that is not kept is looked up one order lower, like
+one never seen. Prediction covers every row and whole texts.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; with no
 learned language all rows give ``und``; ties go to the language first by code point; repeated rows get equal results;
@@ -24,7 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SAMPLE, SAMPLE_BYTES, MAX_CONTEXTS, ORDER = 300, 8_000, 30_000, 3
+from .common import materialise
+
+#: Most contexts that the model keeps, and the longest context in bytes.
+MAX_CONTEXTS, ORDER = 30_000, 3
+#: Byte positions that are counted at a time, and distinct strings that a task holds before it sums them up.
+CHUNK, HELD = 1 << 22, 1 << 21
 
 
 class ContextTrees:
@@ -94,43 +100,83 @@ def build(counts: dict[str, list[dict[bytes, int]]], max_contexts: int = MAX_CON
     return ContextTrees(langs, classes, cls.reshape(-1), bits.reshape(-1, len(langs)))
 
 
-def learn(docs: DataFrame, train: Column | None = None, sample: int = SAMPLE, sample_bytes: int = SAMPLE_BYTES, max_contexts: int = MAX_CONTEXTS) -> ContextTrees | None:
-    """Count the sample's byte strings by Spark and build the trees; None if nothing is labelled."""
+def _sum_up(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes and the sums of their counts."""
+    c, n = np.concatenate(codes), np.concatenate(counts)
+    order = np.argsort(c, kind="stable")
+    c, n = c[order], n[order]
+    at = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+    return c[at], np.add.reduceat(n, at)
+
+
+def count_strings(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """How often each byte stands behind each three bytes: the four as one number. Zero bytes stand in front of a text."""
+    mark = b"\0" * ORDER
+    a = np.frombuffer(mark + mark.join(raws), dtype=np.uint8)
+    codes, counts = [], []
+    for at in range(0, len(a) - ORDER, CHUNK):
+        x = a[at : at + CHUNK + ORDER].astype(np.uint32)
+        code = x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
+        c, n = np.unique(code[x[3:] != 0], return_counts=True)
+        if len(c):
+            codes.append(c)
+            counts.append(n)
+    return _sum_up(codes, counts) if codes else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
+
+
+def learn(docs: DataFrame, train: Column | None = None, max_contexts: int = MAX_CONTEXTS) -> ContextTrees | None:
+    """Count the byte strings of all labelled rows by Spark and build the trees; None if nothing is labelled.
+
+    The driver receives at most ``max_contexts`` contexts and what followed them in each language.
+    """
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).filter(train if train is not None else F.lit(True))
-    ids = known.select("doc_id", "lang").withColumn("h", F.xxhash64(F.lit(9), "doc_id"))
-    # a hash threshold per language first, so that few ids meet in the ranking
-    share = ids.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    if not share:
-        return None
-    bound = F.create_map(*[x for r in share for x in (F.lit(r.lang), F.lit(min(1.0, 3.0 * sample / r.n + 50.0 / r.n)))])
-    drawn = lambda h: F.pmod(h, F.lit(1 << 30)) < bound[F.col("lang")] * F.lit(1 << 30)
-    ids = ids.filter(drawn(F.col("h")))
-    from pyspark.sql import Window
-
-    ids = ids.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).filter(F.col("rank") <= sample)
-    texts = known.filter(drawn(F.xxhash64(F.lit(9), "doc_id")))  # only texts that the ranking can still choose are shuffled
-    rows = texts.select("doc_id", F.encode(F.col("text"), "UTF-8").alias("raw")).join(ids.select("doc_id", "lang"), "doc_id")
 
     def count(batches):
-        for b in batches:
-            tally: dict = {}
-            for lang, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                raw = raw[:sample_bytes]
-                for k in range(ORDER + 1):
-                    c = tally.setdefault((lang, k), {})
-                    for i in range(len(raw) - k):
-                        g = raw[i : i + k + 1]
-                        c[g] = c.get(g, 0) + 1
-            flat = [(lang, g, n) for (lang, _), c in tally.items() for g, n in c.items()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([x[0] for x in flat], pa.string()), pa.array([x[1] for x in flat], pa.binary()), pa.array([x[2] for x in flat], pa.int64())],
-                ["lang", "g", "n"],
-            )
+        held: dict[str, tuple[list, list]] = {}
 
-    got = rows.select("lang", "raw").mapInArrow(count, "lang string, g binary, n long").groupBy("lang", "g").agg(F.sum("n").alias("n")).toArrow()
+        def rows(lang):
+            c, n = _sum_up(*held.pop(lang))
+            for at in range(0, len(c), 1 << 17):
+                part = slice(at, at + (1 << 17))
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c[part]), pa.string()), pa.array(c[part].astype(np.int64)), pa.array(n[part], pa.int64())], ["lang", "code", "n"])
+
+        for b in batches:
+            of: dict[str, list[int]] = {}
+            raw = b.column(1).to_pylist()
+            for i, lang in enumerate(b.column(0).to_pylist()):
+                if raw[i]:
+                    of.setdefault(lang, []).append(i)
+            for lang, have in of.items():
+                for part in _parts(have, raw, CHUNK):
+                    c, n = count_strings([raw[i] for i in part])
+                    if not len(c):
+                        continue
+                    codes, counts = held.setdefault(lang, ([], []))
+                    codes.append(c)
+                    counts.append(n)
+                    if len(codes) > 1 and sum(map(len, codes)) > HELD:
+                        summed = _sum_up(codes, counts)
+                        held[lang] = ([summed[0]], [summed[1]])
+                        if len(summed[0]) > HELD:
+                            yield from rows(lang)
+        for lang in sorted(held):
+            yield from rows(lang)
+
+    grams = known.select("lang", F.encode("text", "UTF-8").alias("raw")).mapInArrow(count, "lang string, code long, n long")
+    grams = materialise(grams.groupBy("lang", "code").agg(F.sum("n").alias("n")), "strings")
+
+    each = [F.struct(F.lit(k).alias("size"), F.lit(1 << 8 * (k - 1)).alias("least"), F.expr(f"code & {(1 << 8 * k) - 1}L").alias("g")) for k in range(1, ORDER + 2)]
+    strings = grams.select("lang", "n", F.explode(F.array(*each)).alias("s")).filter("s.g >= s.least")  # else it begins in front of the text
+    strings = strings.groupBy("lang", "s.size", "s.g").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("g", 8))
+
+    top = strings.filter("size > 1").groupBy("size", "context").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "size", "context").limit(max_contexts).collect()
+    kept = {(k, r.context & ((1 << 8 * (k - 1)) - 1)) for r in top for k in range(1, r.size + 1)}
+    # at most ORDER + 1 rows a kept context
+    wanted = docs.sparkSession.createDataFrame(sorted(kept) or [(1, 0)], "size int, context long")
+    got = strings.join(F.broadcast(wanted), ["size", "context"], "left_semi").select("lang", "size", "g", "n").toArrow()
     counts: dict[str, list[dict[bytes, int]]] = {}
-    for lang, g, n in zip(*(got.column(c).to_pylist() for c in ("lang", "g", "n"))):
-        counts.setdefault(lang, [{} for _ in range(ORDER + 1)])[len(g) - 1][g] = n
+    for lang, size, g, n in zip(*(got.column(c).to_pylist() for c in ("lang", "size", "g", "n"))):
+        counts.setdefault(lang, [{} for _ in range(ORDER + 1)])[size - 1][g.to_bytes(size, "big")] = n
     return build(counts, max_contexts) if counts else None
 
 
