@@ -89,21 +89,21 @@ def suffix_sums(hist: DataFrame, width: int = 1024) -> DataFrame:
 
 
 def at_limits(table: DataFrame, limits: list[int]) -> DataFrame:
-    """For any context limits, the tokens kept, documents cut and total tokens, from the suffix sums alone."""
-    spark = table.sparkSession
-    asked = spark.createDataFrame([(int(x),) for x in limits], "context_limit long")
-    above = asked.join(table, F.col("n_tokens") > F.col("context_limit"), "left").groupBy("context_limit").agg(
-        F.coalesce(F.max("docs_ge"), F.lit(0)).alias("docs_cut"), F.coalesce(F.max("tokens_ge"), F.lit(0)).alias("above")
-    )
-    whole = table.agg(F.max("tokens_ge").alias("total_tokens"))
-    kept = F.col("total_tokens") - F.col("above") + F.col("context_limit") * F.col("docs_cut")
-    return above.crossJoin(whole).select("context_limit", "docs_cut", "total_tokens", kept.alias("kept_tokens"))
+    """For any context limits, the tokens kept, documents cut and total tokens, from the suffix sums alone, in one pass."""
+    each = []
+    for x in map(int, limits):
+        above = F.col("n_tokens") > x
+        cut, over = (F.coalesce(F.max(F.when(above, F.col(c))), F.lit(0)) for c in ("docs_ge", "tokens_ge"))
+        each.append(F.struct(F.lit(x).cast("long").alias("context_limit"), cut.alias("docs_cut"), over.alias("above")))
+    found = table.agg(F.max("tokens_ge").alias("total_tokens"), F.array(*each).alias("at")).select("total_tokens", F.explode("at").alias("x"))
+    kept = F.col("total_tokens") - F.col("x.above") + F.col("x.context_limit") * F.col("x.docs_cut")
+    return found.select("x.context_limit", "x.docs_cut", "total_tokens", kept.alias("kept_tokens"))
 
 
 def quantiles(table: DataFrame, shares: list[float]) -> DataFrame:
     """Smallest length L such that at least the given share of documents has at most L tokens."""
-    asked = table.sparkSession.createDataFrame([(float(x),) for x in shares], "share double")
-    return asked.join(table, F.col("quantile") >= F.col("share"), "left").groupBy("share").agg(F.min("n_tokens").alias("n_tokens"))
+    each = [F.struct(F.lit(x).alias("share"), F.min(F.when(F.col("quantile") >= x, F.col("n_tokens"))).alias("n_tokens")) for x in map(float, shares)]
+    return table.agg(F.array(*each).alias("at")).select(F.explode("at").alias("x")).select("x.share", "x.n_tokens")
 
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
