@@ -14,10 +14,34 @@ from .tokens import op8_token_counts
 from .toxicity import op6_toxicity
 
 
+#: Windows of fifty words by their hash, the smallest doc_id of each, and the words that no window of a smaller one covers.
+SUBSTRING_SQL = r"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), starts AS (
+  SELECT doc_id, i, md5(array_to_string(list_slice(ws, i, i + 49), ' ')) AS h
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM words WHERE len(ws) >= 50)
+), firsts AS (
+  SELECT h, min(doc_id) AS m FROM starts GROUP BY h
+), gone AS (
+  SELECT doc_id, list(DISTINCT p) AS ps
+  FROM (SELECT s.doc_id, unnest(range(s.i, s.i + 50)) AS p FROM starts s JOIN firsts f ON s.h = f.h WHERE f.m < s.doc_id)
+  GROUP BY doc_id
+), kept AS (
+  SELECT w.doc_id, coalesce(string_agg(w.word, ' ' ORDER BY w.p), '') AS k
+  FROM (SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS p FROM words) w
+  LEFT JOIN (SELECT doc_id, unnest(ps) AS p FROM gone) g ON g.doc_id = w.doc_id AND g.p = w.p
+  WHERE g.p IS NULL GROUP BY w.doc_id
+)
+SELECT words.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+FROM words LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
 def queries() -> dict:
     found = (op1_html_extraction, op2_decontamination, op3_mixing, op4_fingerprints, op5_simhash, op6_toxicity, op7_substring_dedup, op8_token_counts, op9_language_id, op10_pii)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op7_substring_dedup": SUBSTRING_SQL}

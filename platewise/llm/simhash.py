@@ -13,7 +13,8 @@ share, and all members of a key, which differ in at most two bits by constructio
 Components are found by alternating large-star and small-star steps on the links.
 
 Defined results: null text is empty text; texts without words have fingerprint zero and link like
-others; equal texts are one node; an empty table gives an empty result; further columns are ignored.
+others; equal texts are one node; rows that share a doc_id are one document, so ``keep_one`` keeps or drops them
+together; null doc_ids are kept and are nobody's representative; an empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -138,7 +139,8 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, bucket: int = BUCKET)
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id."""
-    first = near_duplicates(docs, width, bucket).select("component_id").distinct()
+    first = near_duplicates(docs, width, bucket).select("component_id")
+    first = first.unionAll(first.sparkSession.createDataFrame([(None,)], first.schema)).distinct()  # null doc_ids stay
     return docs.join(first, docs["doc_id"].eqNullSafe(first["component_id"]), "left_semi")
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from platewise.llm import decontam, fingerprint, html, langid, mixing, pii, simhash, substring, tokens, toxicity
+from platewise.llm import decontam, fingerprint, html, langid, mixing, pii, queries, simhash, substring, tokens, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [f"w{i}" for i in range(60)]
@@ -302,6 +302,23 @@ def test_rows_that_share_a_doc_id_stay_single(spark):
     assert all(r["count"] <= 2 * sum(i == r.doc_id for i, _ in rows) for r in emitted)
 
 
+def test_substring_dedup_agrees_with_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    shared = " ".join(f"s{i}" for i in range(70))
+    docs = docs_of(spark, [shared, "a " + shared, shared + " b " + shared, None, "", "w " * 120, shared])
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in substring.op7_substring_dedup(spark, str(tmp_path)).collect())
+    assert got == sorted(db.execute(queries.oracle_sql()["op7_substring_dedup"]).fetchall()) and sum(r[2] for r in got) > 200
+
+
+def test_keep_one_keeps_null_ids(spark):
+    t = "one two three four five six"
+    docs = spark.createDataFrame([(None, t, "en", "s", 0), (1, t, "en", "s", 0), (2, t, "en", "s", 0), (1, t, "en", "s", 0)], DOCS)
+    assert sorted(str(r.doc_id) for r in simhash.keep_one(docs).collect()) == ["1", "1", "None"]
+
+
 # 8
 def test_token_counts(spark, empty):
     texts = ["hello world", "hello", None, "", "a b c d e f g", "<|endoftext|>"]
@@ -332,6 +349,19 @@ def test_language_id(spark, empty):
     assert langid.learn(empty) is None and langid.predict(docs, None).first().lang_pred == "und"
 
 
+def test_language_strings_are_counted_whole(monkeypatch):
+    raws = [b"abcab", "é b".encode(), b"a", b"xyz" * 50]
+    want = {}
+    for raw in raws:
+        padded = b"\0\0\0" + raw
+        for i in range(len(raw)):
+            g = int.from_bytes(padded[i : i + 4], "big")
+            want[g] = want.get(g, 0) + 1
+    for chunk in (7, langid.CHUNK):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        assert dict(zip(*(x.tolist() for x in langid.count_strings(raws)))) == want
+
+
 def test_code_lengths_are_sums_over_bytes():
     counts = [{}, {}, {}, {}]
     text = b"abracadabra abracadabra"
