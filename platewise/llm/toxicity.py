@@ -6,8 +6,8 @@ space. Lexicon entries are word beginnings. They and their weights (log odds) ar
 labelled rows. An entry that lies in an exception phrase does not count. The score is a
 logistic function of the summed weights, as they are and per thousand words.
 
-Learning uses a bounded sample of labelled rows (``SAMPLE`` per class, chosen by a hash of doc_id);
-scoring covers every row and the whole text.
+Learning uses a bounded sample of the distinct labelled texts (``SAMPLE`` per class, chosen by a hash of the text), so
+copies count once; scoring covers every row and the whole text.
 
 Defined results: null text is empty text; an empty text gets the score of a text without
 matches; without positive labels the small ``FALLBACK`` lexicon is used; repeated rows get
@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Most labelled rows of each class that learning reads.
+#: Most distinct labelled texts of each class that learning reads.
 SAMPLE = 10_000
 #: Prefix lengths that may become lexicon entries.
 SHORTEST, LONGEST = 3, 9
-#: An entry needs so many positive documents (and this share of them), this precision, and so many
-#: different preceding words (and this share of its documents), which copies of one text do not have.
+#: An entry needs so many distinct positive texts (and this share of them), this precision, and so many
+#: different preceding words, which near copies of one text do not have.
 LEAST_DOCS, LEAST_SHARE, PRECISION = 4, 0.01, 0.97
-LEAST_CONTEXTS, CONTEXT_SHARE = 4, 0.2
+LEAST_CONTEXTS = 4
 #: Entries used when there are no positive labels.
 FALLBACK = ("idiot", "moron", "stupid", "pathetic", "worthless", "disgusting", "scum")
 #: Phrases in which an entry is harmless.
@@ -157,11 +157,11 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, sampl
     """
     spark = docs.sparkSession
     known = labels.filter(F.col("toxic").isNotNull()).filter(train if train is not None else F.lit(True)).select("doc_id", "toxic")
-    known = known.withColumn("h", F.xxhash64(F.lit(6), "doc_id"))
-    ids = known.filter("toxic = 1").orderBy("h", "doc_id").limit(sample).unionAll(known.filter("toxic = 0").orderBy("h", "doc_id").limit(sample))
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64(F.lit(6), "text"))
+    known = texts.select("doc_id", "h").join(known, "doc_id").groupBy("toxic", "h").agg(F.min("doc_id").alias("doc_id"))
+    ids = known.filter("toxic = 1").orderBy("h").limit(sample).unionAll(known.filter("toxic = 0").orderBy("h").limit(sample))
     # the broadcast side holds at most two samples of ids
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "toxic").distinct()), "doc_id")
-    rows = rows.select("toxic", F.coalesce("text", F.lit("")).alias("text"))
+    rows = texts.join(F.broadcast(ids), ["doc_id", "h"]).dropDuplicates(["toxic", "h"]).select("toxic", "text")
     rows = rows.persist()
 
     def count(batches):
@@ -184,7 +184,7 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, sampl
             plain = Lexicon(weights, (), (0.0, 0.0, 0.0))
 
             def contexts(batches):
-                """Different words in front of each entry, so that copies of one text count once."""
+                """Different words in front of each entry, so that near copies of one text count once."""
                 automaton = plain.automaton()
                 for b in batches:
                     pairs = set()
@@ -197,8 +197,8 @@ def learn(docs: DataFrame, labels: DataFrame, train: Column | None = None, sampl
                     yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in pairs], pa.string()), pa.array([w for _, w in pairs], pa.string())], ["k", "before"])
 
             met = rows.filter("toxic = 1").select("text").mapInArrow(contexts, "k string, before string").groupBy("k").agg(F.countDistinct("before").alias("c"))
-            wide = {r.k: r.c for r in met.filter(F.col("c") >= LEAST_CONTEXTS).collect()}
-            weights = {k: w for k, w in weights.items() if wide.get(k, 0) >= CONTEXT_SHARE * counts[k][0]}
+            wide = {r.k for r in met.filter(F.col("c") >= LEAST_CONTEXTS).collect()}
+            weights = {k: w for k, w in weights.items() if k in wide}
         weights = weights or {fold(k): 4.0 for k in FALLBACK}
         lexicon = Lexicon(weights, EXCEPTIONS, (-3.0, 3.0, 1.0))
         if n_pos and n_neg:

@@ -2,10 +2,11 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from platewise.llm import simhash
+from platewise.llm import decontam, pii, simhash, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -58,3 +59,20 @@ def test_pipeline_drops_near_copies(spark):
     assert simhash.keep_one(docs).count() > len(want) + 60  # op5's contract: at most two bits
     same = docs.withColumn("doc_id", F.when(F.col("doc_id") == 1, None).otherwise(F.col("doc_id")))
     assert corpus_pipeline.drop_near_duplicates(spark, same, "").filter("doc_id is null").count() == 1
+
+
+# 6
+def test_copies_of_a_toxic_text_do_not_empty_the_lexicon(spark):
+    r = random.Random(21)
+    texts = []
+    for i in range(300):
+        words = [f"w{r.randrange(60)}" for _ in range(40)]
+        for w in ("grumbold", "snarkel") if i % 5 == 0 else ():
+            words.insert(r.randrange(40), w)
+        texts.append(" ".join(words))
+    labels = [(i, 1, int(i % 5 == 0 or i >= 300)) for i in range(900)]
+    texts += [texts[0]] * 600
+    docs = docs_of(spark, texts)
+    lexicon = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert all(k[:3] in ("gru", "sna") for k in lexicon.weights)
+    assert {x.doc_id for x in toxicity.keep_clean(docs, lexicon).collect()} == {i for i, _, y in labels if not y}
