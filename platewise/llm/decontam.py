@@ -14,6 +14,7 @@ A retrieved item is then verified on the passage: five-word shingles of its ques
 ``overlap`` or more, and those of its answer (its last sentence) to half or more.
 
 The index is built for at most ``ITEMS`` items at a time; more items mean more passes over the documents.
+Weights, thresholds and passages come from statistics of the whole benchmark, so passes don't change the result.
 
 Defined results: null and empty texts match nothing, items without words are ignored; repeated
 items or documents each give their rows; an empty table gives an empty result; further columns are ignored.
@@ -77,8 +78,20 @@ class Csr:
         return owner, at
 
 
+@dataclass
+class Statistics:
+    """What weights and passages depend on, over the whole benchmark: items, their mean and largest number of words, and
+    in how many of them each word occurs."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[bytes, int]
+
+
 class Index:
-    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, block: int = BLOCK):
+    def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, block: int = BLOCK, whole: Statistics | None = None):
+        """``whole``: the statistics of the benchmark that ``items`` are a part of; without it they are all of it."""
         items = [(i, q, a) for i, t in items for q, a in [split_item(t or "")] if q]
         self.items = [i for i, _, _ in items]
         self.vocab: dict[bytes, int] = {}
@@ -87,12 +100,16 @@ class Index:
             docs.append([self.vocab.setdefault(w, len(self.vocab)) for w in q + a])
         self.question = [shingles(d[: len(q)]) for d, (_, q, _) in zip(docs, items)]
         self.answer = [shingles(d[len(q) :]) for d, (_, q, _) in zip(docs, items)]
-        self.longest = max((len(d) for d in docs), default=1)
-        n, mean = len(docs), sum(map(len, docs)) / max(1, len(docs))
-        df = np.zeros(len(self.vocab))
-        for d in docs:
-            df[list(set(d))] += 1
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        n = len(docs)
+        if whole:
+            self.longest, mean, total = whole.longest, whole.mean, whole.n
+            df = np.array([whole.df[w] for w in self.vocab], dtype=float)
+        else:
+            self.longest, mean, total = max((len(d) for d in docs), default=1), sum(map(len, docs)) / max(1, n), n
+            df = np.zeros(len(self.vocab))
+            for d in docs:
+                df[list(set(d))] += 1
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
         postings: list[list] = [[] for _ in self.vocab]
         tops: list[dict] = [{} for _ in self.vocab]
         self.least = np.zeros(n)
@@ -195,6 +212,32 @@ def _inside(part: tuple, words: list[int]) -> bool:
     return any(tuple(words[k : k + len(part)]) == part for k in range(len(words) - len(part) + 1))
 
 
+def statistics(benchmark: DataFrame) -> Statistics:
+    """Statistics of all items that have words; the driver receives one row a distinct word."""
+
+    def count(batches):
+        for b in batches:
+            df: dict[bytes, int] = {}
+            n = total = longest = 0
+            for t in b.column(0).to_pylist():
+                q, a = split_item(t or "")
+                if q:
+                    n, total, longest = n + 1, total + len(q) + len(a), max(longest, len(q) + len(a))
+                    for w in {*q, *a}:
+                        df[w] = df.get(w, 0) + 1
+            # the empty word carries the items, their words and the longest item
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([*df, b""], pa.binary()), pa.array([*df.values(), n], pa.int64()), pa.array([0] * len(df) + [total], pa.int64()), pa.array([0] * len(df) + [longest], pa.int64())],
+                ["word", "n", "total", "longest"],
+            )
+
+    rows = benchmark.select("text").mapInArrow(count, "word binary, n long, total long, longest long")
+    df = {bytes(r.word): r for r in rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("longest").alias("longest")).collect()}
+    all_ = df.pop(b"", None)
+    n, total, longest = (all_.n, all_.total, all_.longest) if all_ else (0, 0, 0)
+    return Statistics(n, total / max(1, n), max(1, longest), {w: r.n for w, r in df.items()})
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, items: int = ITEMS) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap``: one row per document and item it holds.
 
@@ -205,9 +248,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     di, ti = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {di}, item_id {ti}, score double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], schema)
+    whole = statistics(benchmark) if passes > 1 else None
     for k in range(passes):
         rows = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).select("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=str), threshold))
+        shared = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=str), threshold, whole=whole))
 
         def run(batches, shared=shared):
             index = shared.value

@@ -76,3 +76,19 @@ def test_copies_of_a_toxic_text_do_not_empty_the_lexicon(spark):
     lexicon = toxicity.learn(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     assert all(k[:3] in ("gru", "sna") for k in lexicon.weights)
     assert {x.doc_id for x in toxicity.keep_clean(docs, lexicon).collect()} == {i for i, _, y in labels if not y}
+
+# 2
+def test_passes_do_not_change_scores(spark):
+    r = random.Random(22)
+    word = lambda k: f"w{int(r.random() ** 2 * k)}"
+    items = [(i, " ".join(word(80) for _ in range(10 + i)) + ". " + " ".join(word(80) for _ in range(4)) + ".") for i in range(24)]
+    bench = spark.createDataFrame([*items, (90, None), (91, " ... ")], "item_id long, text string")
+    texts = [" ".join(word(80) for _ in range(60)) for _ in range(30)]
+    for d in range(0, 30, 2):
+        texts[d] += " " + items[d % 24][1] + " " + texts[1]
+        texts[d + 1] += " other " + " ".join(items[(d + 5) % 24][1].split()[1:])  # one word missing, so the score depends on weights
+    docs = docs_of(spark, texts)
+    one, many = (sorted(tuple(x) for x in decontam.contaminated(docs, bench, items=k).collect()) for k in (100, 5))
+    assert len(one) > 15 and [x[:2] for x in one] == [x[:2] for x in many]
+    for x, y in zip(one, many):
+        assert x[2:] == pytest.approx(y[2:])
