@@ -116,7 +116,7 @@ def extra_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int,
 
 def all_spans(text: str, threshold: float = THRESHOLD):
     base = sorted(base_spans(text))
-    more = [] if not base and not (_DIGIT.search(text) or "=" in text) else extra_spans(text, threshold)
+    more = [] if not base and not (_DIGIT.search(text) or "=" in text or "AKIA" in text) else extra_spans(text, threshold)
     return base, sorted(base + more)
 
 

@@ -92,3 +92,11 @@ def test_passes_do_not_change_scores(spark):
     assert len(one) > 15 and [x[:2] for x in one] == [x[:2] for x in many]
     for x, y in zip(one, many):
         assert x[2:] == pytest.approx(y[2:])
+
+
+# 10
+def test_letters_only_key_is_found_alone(spark):
+    key = "AKIA" + "QWERTYUIOPASDFGH"
+    got = {x.doc_id: x.spans for x in pii.find_pii(docs_of(spark, [f"the {key} stands alone", f"{key} and a@b.org"])).collect()}
+    assert got == {0: "secret:4:24", 1: "secret:0:20,email:25:32"}
+    assert pii.redact_documents(docs_of(spark, [f"the {key} stands alone"])).first().text == "the <SECRET> stands alone"
