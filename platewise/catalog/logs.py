@@ -68,11 +68,27 @@ def j05_drift_reference(spark, sf):
     return rounded(O.drift_reference(rows), "value")
 
 
-def _stream(spark, sf, *columns):
-    """The events table as a stream of files."""
-    kind = table(spark, sf, "events").schema
+def _stream(spark, sf, *columns, close=False):
+    """The events table as a stream of files in the order of ts: ranges of ts, one file each, written one after another, since
+    the file source goes by the time of writing. With ``close`` three more files follow that hold one row of each event
+    type, without event_id and value, far behind the last event, so that the watermark passes all events."""
+    events = table(spark, sf, "events")
+    kind = events.schema
     path = folder(spark, "events")
-    table(spark, sf, "events").repartitionByRange(4, "ts").write.parquet(path)
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    ends = events.select(F.percentile_approx(at, F.array(*map(F.lit, (0.25, 0.5, 0.75)))).alias("q")).first().q
+    ends = [None, *sorted(set(ends or ())), None]
+    for low, high in zip(ends, ends[1:]):
+        part = events if low is None else events.filter(at >= low)
+        part = part if high is None else part.filter(at < high) if low is not None else part.filter(at.isNull() | (at < high))
+        part.repartition(1).write.mode("append").parquet(path)
+    for days in (1000, 2000, 3000) if close else ():
+        last = events.crossJoin(events.agg(F.max("ts").alias("_end"))).groupBy("event_type").agg(F.first("_end").alias("_end"))
+        last = last.select(*[
+            F.col(c) if c == "event_type" else F.lit(-1).cast(kind[c].dataType).alias(c) if c == "user_id" else (F.col("_end") + F.expr(f"interval {days} days")).cast(kind[c].dataType).alias(c) if c == "ts" else F.lit(None).cast(kind[c].dataType).alias(c)
+            for c in kind.names
+        ])
+        last.repartition(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(kind).option("maxFilesPerTrigger", 1).parquet(path)
     return stream.withColumn("ts", F.col("ts").cast("timestamp")).select(*columns)
 
@@ -90,10 +106,12 @@ def _run(spark, stream, mode):
 
 @query()
 def j01_stream_windows(spark, sf):
-    """Tumbling windows over the stream; the windows that the watermark closed."""
-    log = _stream(spark, sf, "ts", "event_type", "value")
+    """Tumbling windows over the stream, all of them closed by the watermark."""
+    log = _stream(spark, sf, "ts", "event_type", "value", close=True)
     out = monitor.request_windows(log, "ts", "value", F.col("event_type") == "error", width="1 day")
-    return _run(spark, out.select(F.col("window.start").alias("start"), "requests", "errors", "error_rate"), "append")
+    out = _run(spark, out.select(F.col("window.start").alias("start"), "requests", "errors", "error_rate"), "append")
+    end = table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("end"))
+    return out.join(F.broadcast(end), F.col("start") <= F.col("end")).drop("end")  # without the rows that close
 
 
 @query()
@@ -111,9 +129,9 @@ def j03_stream_drift(spark, sf):
 
 @query()
 def j04_stream_feedback(spark, sf):
-    clicks = _stream(spark, sf, "user_id", "ts", "value", "event_type").filter("event_type = 'click'").select("user_id", "ts", F.col("value").alias("prediction"))
-    bought = _stream(spark, sf, "user_id", "ts", "event_id", "event_type").filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
-    return _run(spark, monitor.match_feedback(clicks, bought, "user_id", "ts").select("event_id", "prediction"), "append")
+    clicks = _stream(spark, sf, "user_id", "ts", "value", "event_type", close=True).filter("event_type = 'click'").select("user_id", "ts", F.col("value").alias("prediction"))
+    bought = _stream(spark, sf, "user_id", "ts", "event_id", "event_type", close=True).filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
+    return _run(spark, monitor.match_feedback(clicks, bought, "user_id", "ts").select("event_id", "prediction"), "append").filter("event_id is not null")
 
 
 @query("SELECT event_id, event_type FROM events")
