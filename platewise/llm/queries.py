@@ -38,10 +38,40 @@ FROM words LEFT JOIN gone USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
 
 
+#: Words, the level that fills the targets, and copies by the running number of each document in its source.
+MIXING_SQL = r"""
+WITH sized AS (
+  SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, sha256(coalesce(text, '')) AS content FROM documents
+), placed AS (
+  SELECT doc_id, source, size, substr(sha256(concat('20|', coalesce(doc_id::VARCHAR, ''), '|', size::VARCHAR, '|', content)), 1, 16) AS tie,
+    length(bin(size)) * 64 + (size >> greatest(length(bin(size)) - 6, 0)) AS bin
+  FROM sized
+), per AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM sized GROUP BY source
+), weighed AS (
+  SELECT source, source_size, source_size * 2.0::DOUBLE AS ceiling, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 5.0 WHEN 1 THEN 2.0 ELSE 1.0 END::DOUBLE AS w FROM per
+), levels AS (
+  SELECT *, ceiling / w AS ratio,
+    (sum(source_size) OVER () * 1.5::DOUBLE - (sum(ceiling) OVER o - ceiling)) / (sum(w) OVER () - (sum(w) OVER o - w)) AS level
+  FROM weighed WINDOW o AS (ORDER BY ceiling / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), filled AS (
+  SELECT source, source_size, least(ceiling, w * (SELECT max(level) FROM levels WHERE level <= ratio)) AS target FROM levels
+), drawn AS (
+  SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate,
+    list_sum(list_transform(range(1, 6), lambda k: (instr('0123456789abcdef', substr(h, k::INT, 1)) - 1) * (16 ** (5 - k)))) / 1048576.0::DOUBLE AS o
+  FROM (SELECT *, sha256(concat('20|offset|', coalesce('=' || source, ''))) AS h FROM filled)
+), counted AS (
+  SELECT p.doc_id, p.size, d.source_size, d.target, d.rate, d.o, row_number() OVER (PARTITION BY p.source ORDER BY p.bin, p.tie) AS k
+  FROM placed p JOIN drawn d ON p.source IS NOT DISTINCT FROM d.source
+)
+SELECT doc_id, size, source_size, target, (least(floor(o + k * rate) - floor(o + (k - 1) * rate), ceil(rate)) * size)::BIGINT AS taken FROM counted
+"""
+
+
 def queries() -> dict:
     found = (op1_html_extraction, op2_decontamination, op3_mixing, op4_fingerprints, op5_simhash, op6_toxicity, op7_substring_dedup, op8_token_counts, op9_language_id, op10_pii)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_substring_dedup": SUBSTRING_SQL}
+    return {"op3_mixing": MIXING_SQL, "op7_substring_dedup": SUBSTRING_SQL}

@@ -14,6 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import leading_digits, materialise
+
+#: Leading binary digits of a length that tell blocks apart: a block spans at most 1/32 of its octave.
+DIGITS = 6
+
 
 def default_vocabulary() -> str:
     import public_tokenizers
@@ -53,15 +58,16 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     return lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-def suffix_sums(hist: DataFrame, width: int = 1024) -> DataFrame:
+def suffix_sums(hist: DataFrame, digits: int = DIGITS) -> DataFrame:
     """One row per occurring length L, read as context limit L.
 
     ``docs_ge``/``tokens_ge``: documents of at least L tokens and their tokens; ``kept_tokens``: all
     tokens left when every document is cut to L; ``full_docs``: documents that fit; ``quantile``:
-    share of documents of at most L tokens. Sums run in two levels (blocks of ``width`` lengths, then
-    inside a block), so no task sees the whole histogram.
+    share of documents of at most L tokens. Sums run in two levels (blocks of near lengths, then
+    inside a block), so no task sees the whole histogram; there are at most 64 * ``2 ** digits`` blocks. ``hist`` is
+    read twice: pass a written table.
     """
-    h = hist.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", F.floor(F.col("n_tokens") / width))
+    h = hist.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")).withColumn("block", leading_digits(F.col("n_tokens"), digits))
     blocks = h.groupBy("block").agg(F.sum("n_docs").alias("bd"), F.sum("tokens").alias("bt"))
     after = Window.orderBy(F.col("block").desc())
     total = Window.partitionBy()
@@ -108,4 +114,4 @@ def quantiles(table: DataFrame, shares: list[float]) -> DataFrame:
 
 def op8_token_counts(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return suffix_sums(length_histogram(token_lengths(docs, default_vocabulary())))
+    return suffix_sums(materialise(length_histogram(token_lengths(docs, default_vocabulary())), "lengths"))

@@ -134,7 +134,7 @@ def test_mixing(spark, empty):
         assert per[s][0] == pytest.approx(want[s])
         assert abs(per[s][2] - per[s][0]) <= 2 * max(size[i] for i in size if sources[i] == s)
     assert mixing.mix(empty).count() == 0
-    again = {(r.doc_id, r.copies) for r in mixing.mix(docs_of(spark, texts, sources).repartition(7), salts=64).collect()}
+    again = {(r.doc_id, r.copies) for r in mixing.mix(docs_of(spark, texts, sources).repartition(7)).collect()}
     assert again == {(r.doc_id, r.copies) for r in rows}
 
 
@@ -298,8 +298,34 @@ def test_rows_that_share_a_doc_id_stay_single(spark):
     docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
     got = sorted((r.doc_id, r.n_words, r.n_removed) for r in substring.remove_repeats(docs).collect())
     assert got == [(1, 80, 0), (2, 1, 0), (2, 80, 80), (2, 82, 80), (2, 82, 80), (3, 0, 0), (3, 81, 80)]
-    emitted = mixing.emit(docs, mixing.mix(docs)).groupBy("doc_id").count().collect()
-    assert all(r["count"] <= 2 * sum(i == r.doc_id for i, _ in rows) for r in emitted)
+    emitted = mixing.emit(docs).groupBy("doc_id", "text").count().collect()
+    assert all(r["count"] <= 2 * rows.count((r.doc_id, r.text)) for r in emitted)
+
+
+def test_the_mix_emits_what_it_counts(spark):
+    r = random.Random(15)
+    rows = [(i // 3, "w " * r.randrange(30), "en", r.choice("abc"), 0) for i in range(120)] + [(None, "x y", "en", None, 0), (None, None, "en", None, 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    taken = {(x.doc_id, x["sum(taken)"]) for x in mixing.mix(docs).groupBy("doc_id").sum("taken").filter("`sum(taken)` > 0").collect()}
+    size = F.size(F.filter(F.split("text", " "), lambda w: w != ""))
+    out = mixing.emit(docs).groupBy("doc_id").agg(F.sum(size).alias("n")).filter("n > 0")
+    assert {(x.doc_id, x.n) for x in out.collect()} == taken
+    named = docs.withColumn("copy", F.lit(7)).withColumn("copies", F.lit(8)).withColumn("mix_row", F.lit(9)).withColumn("row", F.lit(10)).withColumn("Mix_Times", F.lit(11))
+    got = mixing.emit(named)
+    assert got.columns == [*named.columns, "copy_1"] and got.select("copy", "copies", "mix_row", "row", "Mix_Times").distinct().collect() == [(7, 8, 9, 10, 11)]
+    assert got.count() == mixing.emit(docs).count()
+
+
+def test_mixing_agrees_with_its_sql(spark, tmp_path):
+    duckdb = pytest.importorskip("duckdb")
+    r = random.Random(16)
+    rows = [(i, " ".join("w" * r.randrange(1, 4) for _ in range(r.randrange(200))), "en", r.choice(["a", "b", "c", "ñ", "Z"]), 0) for i in range(300)]
+    rows += [(300, None, "en", None, 0), (301, "one two", "en", None, 0), (301, "one two", "en", None, 0), (None, "three", "en", "a", 0)]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted((tuple(x) for x in mixing.op3_mixing(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted(db.execute(queries.oracle_sql()["op3_mixing"]).fetchall(), key=str)
 
 
 def test_substring_dedup_agrees_with_its_sql(spark, tmp_path):
@@ -325,7 +351,7 @@ def test_token_counts(spark, empty):
     lengths = tokens.token_lengths(docs_of(spark, texts), tokens.default_vocabulary())
     n = sorted(r.n_tokens for r in lengths.collect())
     assert n[:2] == [0, 0] and n[-1] >= 7
-    table = tokens.suffix_sums(tokens.length_histogram(lengths), width=3)
+    table = tokens.suffix_sums(tokens.length_histogram(lengths), digits=1)
     for r in table.collect():
         assert r.n_docs == n.count(r.n_tokens) and r.docs_ge == sum(x >= r.n_tokens for x in n)
         assert r.tokens_ge == sum(x for x in n if x >= r.n_tokens) and r.kept_tokens == sum(min(x, r.n_tokens) for x in n)
