@@ -5,7 +5,8 @@ returns documents; the last one returns them as often as the mix holds them, num
 
 Defined results: rows with null or empty texts are kept by the toxicity and leak stages, are one
 near-duplicate group, stay unchanged under redaction, and may be emitted by the mix with no words. An empty
-table stays empty. Columns beyond those of documents pass through.
+table stays empty. Columns beyond those of documents pass through, whatever their names; if one is called ``copy``, the mix's
+number is called ``copy_1``.
 """
 
 from __future__ import annotations
@@ -40,7 +41,7 @@ def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix holds them."""
-    return mixing.emit(docs, mixing.mix(docs))
+    return mixing.emit(docs)
 
 
 STAGES = [
