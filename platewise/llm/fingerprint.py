@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import source_partitions
+from .common import materialise
 from .neighbours import bounds, part_of
 
 MODULUS = np.uint64(2**31 - 1)
@@ -136,29 +136,28 @@ class Fingerprinter:
         return render(codes, p, low, self.second), low, p
 
 
-def in_order(docs: DataFrame, parts: int | None = None) -> tuple[DataFrame, int]:
+def in_order(docs: DataFrame, least: int | None = None) -> tuple[DataFrame, int]:
     """Rows ``part, last, doc_id, tie, text``: sorted by these, each part is a run of the doc_id order ending in the
-    first row of what follows (``last`` = 1), which for the end is the very first row."""
-    spark = docs.sparkSession
-    parts = parts or source_partitions(spark)
+    first row of what follows (``last`` = 1), which for the end is the very first row. ``least``: least number of parts."""
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
-    rows = rows.withColumn("part", part_of(F.col("doc_id"), bounds(rows, "doc_id", parts)))
-    firsts = sorted((r["part"], r["f"]["doc_id"], r["f"]["tie"]) for r in rows.groupBy("part").agg(F.min(F.struct("doc_id", "tie")).alias("f")).collect())
-    stay = rows.select("part", F.lit(0).alias("last"), "doc_id", "tie", "text")
-    if not firsts:
-        return stay, parts
-    before = [x[0] for x in firsts[-1:] + firsts[:-1]]
-    to = F.lit(None).cast("int")
-    for (_, doc, tie), b in zip(firsts, before):
-        to = F.when(F.col("doc_id").eqNullSafe(F.lit(doc)) & (F.col("tie") == F.lit(tie)), F.lit(b)).otherwise(to)
-    both = rows.withColumn("to", F.explode(F.array_compact(F.array(F.struct(F.col("part").alias("part"), F.lit(0).alias("last")), F.when(to.isNotNull(), F.struct(to.alias("part"), F.lit(1).alias("last")))))))
-    return both.select(F.col("to.part").alias("part"), F.col("to.last").alias("last"), "doc_id", "tie", "text"), parts
-
-
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
+    keys = materialise(rows.select(F.col("doc_id").alias("key"), "tie", F.octet_length("text").cast("long").alias("size")), "keys")
+    limits = bounds(keys, least)
+    firsts = keys.groupBy(part_of(F.col("key"), limits).alias("part")).agg(F.min(F.struct("key", "tie")).alias("f")).collect()
+    firsts = sorted((r["part"], r["f"]["key"], r["f"]["tie"]) for r in firsts)
+    rows = rows.withColumn("part", part_of(F.col("doc_id"), limits))
+    edges = [(doc, tie, before[0]) for (_, doc, tie), before in zip(firsts, firsts[-1:] + firsts[:-1])]
+    edges = docs.sparkSession.createDataFrame(edges, f"edge_id {docs.schema['doc_id'].dataType.simpleString()}, edge_tie long, to int")
+    first = F.col("doc_id").eqNullSafe(F.col("edge_id")) & (F.col("tie") == F.col("edge_tie"))
+    rows = rows.join(F.broadcast(edges), first, "left")  # one row a part
+    places = F.array(F.struct("part", F.lit(0).alias("last")), F.struct(F.col("to").alias("part"), F.lit(1).alias("last")))
+    rows = rows.withColumn("at", F.explode(F.when(F.col("to").isNull(), F.slice(places, 1, 1)).otherwise(places)))
+    return rows.select("at.part", "at.last", "doc_id", "tie", "text"), len(limits) + 1
+
+
+def fingerprint_documents(docs: DataFrame, least: int | None = None) -> DataFrame:
     """Fingerprints of every text and of its edited text, and their likenesses (columns as in ``op4``)."""
-    rows, parts = in_order(docs)
-    rows = rows.repartition(parts, "part").sortWithinPartitions("part", "last", "doc_id", "tie")
+    rows, parts = in_order(docs, least)
+    rows = rows.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "last", "doc_id", "tie")
     kind = docs.schema["doc_id"].dataType.simpleString()
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "lce_next"]
     types = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]

@@ -3,12 +3,12 @@
 Pages are ordered by host and URL path. Each page is paired with the neighbour in that order, on
 the same host, whose path shares more with its own; the two pages' text lines are aligned by
 longest common subsequence, and lines that both have are deleted, since a site repeats its menus,
-notices and footers while articles differ.
+notices and footers while articles differ. A neighbour that has nearly all of a page's unmarked text (``COPY``) is a copy of it and
+says nothing; then the neighbour on the other side is taken, and if that is one too, nothing is deleted.
 
-What a page's own markup says corrects this: lines inside the page's article element are its main text even
-where a neighbouring page repeats them (copies of an article would delete each other), and lines of
-menus, sidebars, forms, adverts, reader comments and the like go even where no neighbour shares them.
-On a page with an article element, lines outside it are not part of the main text.
+A page's own markup adds two things. Lines of menus, sidebars, forms, adverts, reader comments and the like go even where no
+neighbour shares them. And unless ``trust_article`` is off, a page that has an article element is cut to it: the article's lines
+stay even where a neighbour has them too, and unmarked lines outside go; differencing then decides only pages without one.
 
 Defined results: null html gives an empty text; null URLs form a host of their own; a page without a
 neighbour on its host has nothing to share; pages with one URL are ordered by page_id; unclosed
@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import source_partitions
-from .neighbours import bounds
+from .common import materialise
+from .neighbours import bounds, part_of
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']+|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""", re.DOTALL)
 _CLASS = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.IGNORECASE)
@@ -45,6 +45,8 @@ CHROME = frozenset(
     "nav navbar navigation newsletter notice pager pagination popup promo recommended related respond share sharing sidebar social sponsor sponsored subscribe "
     "toolbar widget".split()
 )
+#: Share of a page's characters, outside marked menus and the like, that a copy of it has.
+COPY = 0.9
 _ARTICLE_WORDS = frozenset("article post entry story content title".split())
 
 
@@ -170,14 +172,23 @@ def _lcs(a: list[int], b: list[int]) -> list[int]:
     return sorted(out)
 
 
-def main_text(lines: list[str], kinds: list[int], other: list[str] | None) -> tuple[str, int]:
-    """(main text, number of lines that the nearest page shares)."""
-    shared = common_lines(lines, other) if other else [False] * len(lines)
-    if 2 in kinds:
+def main_text(lines: list[str], kinds: list[int], others: list[list[str]] = (), trust_article: bool = True) -> tuple[str, int, int]:
+    """(main text, number of lines that the nearest page shares, which of ``others`` that is or -1).
+
+    ``others``: the lines of the pages on both sides, the nearer one first.
+    """
+    shared, which = [False] * len(lines), -1
+    for k, other in enumerate(others):
+        mark = common_lines(lines, other)
+        theirs, ours = (sum(len(x) for x, k, m in zip(lines, kinds, mark) if k != 1 and (m or whole)) for whole in (False, True))
+        if theirs < COPY * ours or not ours:
+            shared, which = mark, k
+            break
+    if trust_article and 2 in kinds:
         keep = [k == 2 for k in kinds]
     else:
-        keep = [k == 0 and not s for k, s in zip(kinds, shared)]
-    return "\n\n".join(x for x, k in zip(lines, keep) if k), sum(shared)
+        keep = [k != 1 and not s for k, s in zip(kinds, shared)]
+    return "\n\n".join(x for x, k in zip(lines, keep) if k), sum(shared), which
 
 
 _URL = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//([^/?#]*)([^?#]*)")
@@ -187,7 +198,8 @@ def url_key(url: str | None, page) -> str:
     """Sort key: host, path and page, so that neighbours in this order are near in URL."""
     m = _URL.match(url or "")
     host, path = (m[1].lower(), m[2]) if m else ("", (url or "").split("?")[0])
-    return f"{host}\x00{path.rstrip('/').removesuffix('.html')}\x00{page if page is not None else -1:020d}"
+    number = "" if page is None else f"{page:+021d}" if isinstance(page, int) else str(page)
+    return f"{host}\x00{path.rstrip('/').removesuffix('.html')}\x00{number}"
 
 
 def near(a: str, b: str) -> int:
@@ -198,32 +210,21 @@ def near(a: str, b: str) -> int:
     return next((k for k in range(n) if a[k] != b[k]), n)
 
 
-def extract(pages: DataFrame) -> DataFrame:
-    """``page_id, url, text, n_chars, n_shared, nearest_page`` of every page."""
-    spark = pages.sparkSession
-    parts = source_partitions(spark)
-    ids = pages.select("page_id", "url")
+def extract(pages: DataFrame, trust_article: bool = True, least: int | None = None) -> DataFrame:
+    """``page_id, url, text, n_chars, n_shared, nearest_page`` of every page. ``least``: least number of parts."""
     id_kind, names = pages.schema["page_id"].dataType.simpleString(), ["part", "copy", "key", "page_id", "url", "lines", "kinds"]
 
     def keys(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([url_key(u, p) for p, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist())], pa.string())], ["key"])
+            made = [url_key(u, p) for p, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), b.column(2)], ["key", "size"])
 
-    keyed = ids.mapInArrow(keys, "key string")
-    limits = bounds(keyed, "key", parts)
+    size = F.coalesce(F.octet_length("html"), F.lit(0)).cast("long")
+    keyed = materialise(pages.select("page_id", "url", size.alias("size")).mapInArrow(keys, "key string, size long"), "keys")
+    limits = bounds(keyed, least)
 
-    def ends(batches):
-        """First and last key of each part in this task."""
-        seen: dict[int, tuple[str, str]] = {}
-        for b in batches:
-            for k in b.column(0).to_pylist():
-                p = bisect.bisect_right(limits, k)
-                low, high = seen.get(p, (k, k))
-                seen[p] = (min(low, k), max(high, k))
-        cols = [list(seen), [x[0] for x in seen.values()], [x[1] for x in seen.values()]]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())], ["part", "low", "high"])
-
-    edges = sorted(tuple(r) for r in keyed.mapInArrow(ends, "part int, low string, high string").groupBy("part").agg(F.min("low"), F.max("high")).collect())
+    edges = keyed.groupBy(part_of(F.col("key"), limits).alias("part")).agg(F.min("key").alias("low"), F.max("key").alias("high")).collect()
+    edges = sorted(tuple(r) for r in edges)
     copies: dict[str, list[int]] = {}
     for (p, _, high), (q, low, _) in zip(edges, edges[1:]):
         copies.setdefault(high, []).append(q)
@@ -246,44 +247,43 @@ def extract(pages: DataFrame) -> DataFrame:
                     rows = []
 
     read_rows = pages.select("page_id", "url", "html").mapInArrow(read, f"part int, copy int, key string, page_id {id_kind}, url string, lines array<string>, kinds binary")
-    rows = read_rows.repartition(parts, "part").sortWithinPartitions("part", "key")
+    rows = read_rows.repartitionById(len(limits) + 1, F.col("part")).sortWithinPartitions("part", "key")
 
     def difference(batches):
-        last: list = []  # up to two rows: the one before and the one waiting for its successor
+        last, kind = [], None  # up to two rows: the one before and the one waiting for its successor
         for b in batches:
             out = []
             for row in zip(*(x.to_pylist() for x in b.columns)):
                 if last and last[-1][0] == row[0]:
-                    out += _settle(last, row)
+                    out += _settle(last, row, trust_article)
                     last = [last[-1], row]
                 else:
-                    out += _settle(last, None)
+                    out += _settle(last, None, trust_article)
                     last = [row]
-            yield _batch(out, b.column(3).type)
-        out = _settle(last, None)
+            kind = b.column(3).type
+            yield _batch(out, kind)
+        out = _settle(last, None, trust_article)
         if out:
-            yield _batch(out, None)
+            yield _batch(out, kind)
 
     schema = f"page_id {id_kind}, url string, text string, n_chars long, n_shared long, nearest_page {id_kind}"
     return rows.mapInArrow(difference, schema)
 
 
-def _settle(last: list, after) -> list[tuple]:
+def _settle(last: list, after, trust_article: bool) -> list[tuple]:
     """The result row of the waiting page, now that both its neighbours are known."""
     if not last or last[-1][1]:
         return []
     me = last[-1]
     around = [(near(me[2], x[2]), x) for x in ([last[0]] if len(last) == 2 else []) + ([after] if after else [])]
-    best = max(around, key=lambda x: x[0], default=(-1, None))
-    other = best[1] if best[0] >= 0 else None
-    text, shared = main_text(me[5], list(me[6]), other and other[5])
-    return [(me[3], me[4], text, len(text), shared, other and other[3])]
+    around = [x for n, x in sorted(around, key=lambda x: -x[0]) if n >= 0]
+    text, shared, which = main_text(me[5], list(me[6]), [x[5] for x in around], trust_article)
+    return [(me[3], me[4], text, len(text), shared, around[which][3] if which >= 0 else None)]
 
 
 def _batch(out: list[tuple], kind) -> pa.RecordBatch:
     cols = list(zip(*out)) or [()] * 6
-    ids = kind or pa.int64()
-    types = [ids, pa.string(), pa.string(), pa.int64(), pa.int64(), ids]
+    types = [kind, pa.string(), pa.string(), pa.int64(), pa.int64(), kind]
     return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cols, types)], ["page_id", "url", "text", "n_chars", "n_shared", "nearest_page"])
 
 

@@ -38,9 +38,9 @@ PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>v
 
 def test_html_structure(spark):
     lines, kinds = html.parse(PAGE)
-    assert html.main_text(lines, kinds, None)[0] == "A & B\n\nOne two three\n\nFour!"
+    assert html.main_text(lines, kinds)[0] == "A & B\n\nOne two three\n\nFour!"
     cut = PAGE[: PAGE.index("Four") + 6]
-    assert html.main_text(*html.parse(cut), None)[0].endswith("Four&#")
+    assert html.main_text(*html.parse(cut))[0].endswith("Four&#")
 
 
 def test_html_differencing(spark):
@@ -55,6 +55,59 @@ def test_html_differencing(spark):
     assert html.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def lcs_marks(a, b):
+    """Marks of one longest common subsequence by the quadratic table."""
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(len(a) - 1, -1, -1):
+        for j in range(len(b) - 1, -1, -1):
+            t[i][j] = t[i + 1][j + 1] + 1 if a[i] == b[j] else max(t[i + 1][j], t[i][j + 1])
+    i, j, out = 0, 0, [False] * len(a)
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            out[i], i, j = True, i + 1, j + 1
+        elif t[i + 1][j] >= t[i][j + 1]:
+            i += 1
+        else:
+            j += 1
+    return out
+
+
+@pytest.mark.parametrize("least", [1, 7])
+def test_differencing_of_whole_pages_equals_brute_force(spark, least):
+    r = random.Random(17)
+    rows, plain = [], {}
+    for host in ("a.org", "b.org", "c.org"):
+        menu = [f"{host} menu {k}" for k in range(4)]
+        for i in range(25):
+            body = [f"{host} story {i} line {k} " + "long text " * r.randrange(2, 9) for k in range(r.randrange(1, 6))]
+            lines = menu[: r.randrange(2, 5)] + body + [f"imprint of {host}"]
+            if i % 6 == 5:  # a copy of the page before under a query variant
+                lines, url = plain[rows[-1][0]], rows[-1][1] + "?print=1"
+            else:
+                url = f"https://{host}/{r.choice(['x', 'y'])}/{i:02d}"
+            plain[f"{host}{i}"] = lines
+            rows.append((f"{host}{i}", url, "<body>" + "".join(f"<p>{x}</p>" for x in lines) + "<div class=comments>me too</div></body>"))
+    key = lambda x: (x[1].split("/")[2], x[1].split("/", 3)[3].split("?")[0], x[0])
+    order, want = sorted(rows, key=key), {}
+    for at, me in enumerate(order):
+        near = [x for x in ([order[at - 1]] if at else []) + order[at + 1 : at + 2] if key(x)[0] == key(me)[0]]
+        near.sort(key=lambda x: -html.near(*("\x00".join((key(y)[0], "/" + key(y)[1], y[0])) for y in (me, x))))
+        mine, mark = [" ".join(x.split()) for x in plain[me[0]]], None
+        for other in near:
+            m = lcs_marks(mine, [" ".join(x.split()) for x in plain[other[0]]])
+            if sum(len(x) for x, s in zip(mine, m) if s) < 0.9 * sum(map(len, mine)):
+                mark = m
+                break
+        want[me[0]] = "\n\n".join(x for x, s in zip(mine, mark or [False] * len(mine)) if not s)
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string").withColumn("key", F.lit(1)).withColumn("part", F.lit(2)).repartition(3)
+    got = {x.page_id: x.text for x in html.extract(pages, least=least).collect()}
+    assert got == want and all("me too" not in t for t in got.values())
+    assert sum("menu" in t for t in got.values()) < 30 and all("story" in t for t in got.values())  # differencing decides here
+    whole = pages.withColumn("html", F.concat(F.lit("<article>"), "html", F.lit("</article>")))
+    kept, cut = ({x.page_id: x.text for x in html.extract(whole, trust).collect()} for trust in (True, False))
+    assert cut == want and all("imprint" in t for t in kept.values())
+
+
 def test_common_lines_is_longest():
     def size(a, b):
         t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
@@ -161,6 +214,14 @@ def test_fingerprints(spark, empty):
         assert got[i].lce_next == common and 0 <= got[i].near_edited <= 1
     assert got[3].fingerprint == got[20].fingerprint and got[0].fingerprint != got[1].fingerprint
     assert fingerprint.fingerprint_documents(empty).count() == 0
+    many = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)] + [(None, "a"), (None, "b")], "doc_id string, text string")
+    rows, parts = fingerprint.in_order(many, 9)
+    assert parts > 4 and rows.filter("last = 0").count() == len(texts) + 2
+    follow = {r.doc_id: r.edited_sha256 for r in fingerprint.fingerprint_documents(many, 9).collect()}
+    names = sorted(str(i) for i in range(len(texts)))
+    for a, b in zip(names, names[1:]):
+        t, nxt = plain[int(a)], plain[int(b)]
+        assert follow[a] == hashlib.sha256((t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]).encode()).hexdigest()
     alone = fingerprint.fingerprint_documents(docs_of(spark, ["abcd"])).first()
     assert alone.near_next == 1.0
 
