@@ -1,17 +1,16 @@
 """Language identification by prediction with partial matching.
 
 Per language, a byte context tree of orders 0 to 3 holds how often each byte followed each context.
-A byte's probability comes from the longest context that the language knows; a byte not seen
-there costs an escape and is looked up one order lower (estimator C), down to a uniform
-distribution. The statistics are frozen, so a text's code length under a language is an exact sum over its bytes,
-and the language with the shortest code wins.
+A byte's code comes from the longest context that the language knows. A byte seen there n times costs -log2 n / (N + D), where N is
+how often the context occurred and D how many different bytes followed it; any other byte costs an escape, -log2 D / (N + D), and is
+looked up one order lower (estimator C, without exclusions), down to eight bits. The statistics are frozen, so a text's code length
+under a language is an exact sum over its bytes, and the language with the shortest code wins.
 
-For speed the trees of all languages are laid out as one table: for each known context a row
-with the code lengths of all next bytes in all languages. A byte then costs two look-ups.
-
-Spark counts the byte strings of all labelled rows, over their whole texts. The model keeps the ``MAX_CONTEXTS`` most
-frequent contexts, which bounds what the driver receives; a context that is not kept is looked up one order lower, like
-one never seen. Prediction covers every row and whole texts.
+Spark counts the byte strings of all labelled rows, over their whole texts, and every string counts. The trees of all languages
+are laid out together: for each context a bit map of the bytes that followed it, and for each such string its code under every
+language, worked out once. A model is broadcast only up to ``BLOCK`` strings; beyond that, languages, and the strings of one language by the
+byte before the last, are dealt among blocks that are broadcast one after another, each in a pass of its own that adds its share of every
+text's code lengths. Sums don't depend on the blocks. Prediction covers every row and whole texts.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0; with no
 learned language all rows give ``und``; ties go to the language first by code point; repeated rows get equal results;
@@ -20,6 +19,8 @@ further columns are ignored.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -27,77 +28,113 @@ from pyspark.sql import functions as F
 
 from .common import materialise
 
-#: Most contexts that the model keeps, and the longest context in bytes.
-MAX_CONTEXTS, ORDER = 30_000, 3
+#: The longest context in bytes, and most strings (of all languages together) that one broadcast holds. A single language's strings with
+#: one byte before the last are never divided; there are at most 2 ** 24 of them.
+ORDER, BLOCK = 3, 4_000_000
 #: Byte positions that are counted at a time, and distinct strings that a task holds before it sums them up.
 CHUNK, HELD = 1 << 22, 1 << 21
+#: Code lengths (bytes times languages) that a task works out at a time.
+CODES = 1 << 21
 
 
 class ContextTrees:
-    """Frozen statistics of all languages: ``context`` maps three byte classes to a row of ``bits``."""
-
-    def __init__(self, langs, classes, context, bits):
-        self.langs, self.classes, self.context, self.bits = langs, classes, context, bits
+    """Frozen statistics of some languages, for bytes whose byte before lies in ``low`` to ``high``; a text's first byte counts as ``low`` 0."""
+
+    def __init__(self, langs: list[str], lang: np.ndarray, size: np.ndarray, g: np.ndarray, n: np.ndarray, low: int = 0, high: int = 255):
+        """One entry per string: the number of its language, its length, its bytes as one number, and how often it occurred."""
+        self.langs, self.low, self.high = langs, low, high
+        strings, parents, escapes, bits, starts, maps = [], [], [], [], [], []
+        rows = done = 0
+        below: tuple = ()
+        for k in range(1, ORDER + 2):
+            mine = size == k
+            every = np.unique(g[mine])
+            contexts = np.unique(every >> 8) if k > 1 else np.zeros(1, dtype=np.int64)
+            owner = np.searchsorted(contexts, every >> 8)
+            shorter = (1 << 8 * (k - 1)) - 1
+            code = np.full((len(every), len(langs)), 8.0) if k == 1 else below[1][np.searchsorted(below[0], every & shorter)]
+            escape = np.zeros((len(contexts), len(langs)))
+            for j in range(len(langs)):
+                own = mine & (lang == j)
+                at = np.searchsorted(every, g[own])
+                total = np.bincount(owner[at], weights=n[own], minlength=len(contexts))
+                kinds = np.bincount(owner[at], minlength=len(contexts))
+                known = kinds > 0
+                escape[known, j] = np.log2((total[known] + kinds[known]) / kinds[known])
+                code[:, j] += escape[owner, j]
+                code[at, j] = np.log2((total + kinds)[owner[at]] / n[own])
+            # bit maps of the bytes that followed, and where the codes of each quarter of them start
+            seen = np.zeros((len(contexts), 256), dtype=bool)
+            seen[owner, every & 255] = True
+            quarters = np.packbits(seen.reshape(-1, 64), axis=1, bitorder="little").view("<u8").reshape(-1)
+            counts = np.bitwise_count(quarters).astype(np.int64)
+            maps.append(quarters)
+            starts.append(done + np.cumsum(counts) - counts)
+            parents.append(np.full(1, -1) if k == 1 else below[2] + np.searchsorted(below[3], contexts & (shorter >> 8)))
+            strings.append(contexts)
+            escapes.append(escape)
+            bits.append(code)
+            below = (every, code, rows, contexts)
+            rows, done = rows + len(contexts), done + len(every)
+        self.maps, self.starts, self.parents = np.concatenate(maps), np.concatenate(starts), np.concatenate(parents).astype(np.int64)
+        self.escapes, self.bits = np.concatenate(escapes).astype(np.float32), np.concatenate(bits).astype(np.float32)
+        # for each three classes of bytes, nearest last, the longest known context; bytes that never occurred share a class
+        met = np.unique(g[size == 1])
+        self.classes = np.full(256, len(met), dtype=np.int64)
+        self.classes[met] = np.arange(len(met))
+        a = len(met) + 2  # the last class stands for the text's beginning
+        table, c = np.zeros((a, a, a), dtype=np.int32), self.classes
+        first = np.cumsum([0, *map(len, strings)])
+        one, two, three = strings[1:]
+        table[:, :, c[one]] = first[1] + np.arange(len(one))
+        table[:, c[two >> 8], c[two & 255]] = first[2] + np.arange(len(two))
+        table[c[three >> 16], c[three >> 8 & 255], c[three & 255]] = first[3] + np.arange(len(three))
+        self.width, self.context = a, table.reshape(-1)
 
     def code_lengths(self, blob: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Bits of each text under each language. ``blob`` holds the texts' bytes on end, ``starts`` where each begins (none is empty)."""
-        a = int(self.classes.max()) + 2  # the last class stands for the text's beginning
-        c = self.classes[blob].astype(np.int64)
-        before = [np.concatenate([np.full(k, a - 1), c[:-k]]) if len(c) > k else np.full(len(c), a - 1) for k in (1, 2, 3)]
+        total, step = np.zeros((len(starts), len(self.langs))), max(1, CODES // len(self.langs))
+        for at in range(0, len(blob), step):  # a long text is summed piece by piece
+            low, high = max(0, at - ORDER), min(at + step, len(blob))
+            a, b = np.searchsorted(starts, (low, high))
+            codes = self._codes(blob[low:high], starts[a:b] - low)[at - low :]
+            first = np.searchsorted(starts, at, side="right") - 1
+            cuts = np.concatenate([[at], starts[first + 1 : b]]) - at
+            total[first:b] += np.add.reduceat(codes, cuts, axis=0, dtype=np.float64)
+        return total
+
+    def _codes(self, blob: np.ndarray, starts: np.ndarray) -> np.ndarray:
+        """Bits of each byte under each language."""
+        a, c = self.width, self.classes[blob]
+        before = [np.concatenate([np.full(min(k, len(c)), a - 1), c[:-k]]) for k in (1, 2, 3)]
         for k, b in enumerate(before):  # no context reaches into the text in front
             for j in range(k + 1):
                 at = starts + j
                 b[at[at < len(b)]] = a - 1
         # a start mark written for a text shorter than three bytes may fall into the next text; that text's own marks cover it
-        row = self.context[(before[2] * a + before[1]) * a + before[0]]
-        return np.add.reduceat(self.bits[row * a + c], starts, axis=0, dtype=np.float64)
-
-
-def build(counts: dict[str, list[dict[bytes, int]]], max_contexts: int = MAX_CONTEXTS) -> ContextTrees:
-    """Lay out the trees. ``counts[lang][k]`` has how often each string of k + 1 bytes occurred."""
-    langs = sorted(counts)
-    used = sorted({g[0] for c in counts.values() for g in c[0]})
-    classes = np.full(256, len(used), dtype=np.int32)  # all other bytes share one class
-    classes[used] = np.arange(len(used))
-    a = len(used) + 2
-    weight: dict[bytes, int] = {}
-    for c in counts.values():
-        for k in (1, 2, 3):
-            for g, n in c[k].items():
-                weight[g[:-1]] = weight.get(g[:-1], 0) + n
-    kept = sorted(weight, key=lambda g: (-weight[g], g))[:max_contexts]
-    kept = sorted({g[i:] for g in kept for i in range(len(g))} | {b""}, key=lambda g: (len(g), g))
-    at = {g: i for i, g in enumerate(kept)}
-    bits = np.empty((len(kept), a, len(langs)), dtype=np.float32)
-    for j, lang in enumerate(langs):
-        follow: dict[bytes, list] = {}
-        for k in range(4):
-            for g, n in counts[lang][k].items():
-                follow.setdefault(g[:-1], []).append((classes[g[-1]], n))
-        table = np.empty((len(kept), a))
-        for i, g in enumerate(kept):
-            base = np.full(a, 1.0 / 257) if not g else table[at[g[1:]]]
-            seen = follow.get(g)
-            if not seen:
-                table[i] = base
-                continue
-            n, d = sum(x for _, x in seen), len(seen)
-            table[i] = base * (d / (n + d))
-            for s, x in seen:
-                table[i, s] = x / (n + d) + base[s] * (d / (n + d))
-        bits[:, :, j] = -np.log2(table)
-    # contexts as class triples, nearest byte last; unknown ones fall back to their longest known end
-    cls = np.array([at[b""]] * (a**3), dtype=np.int32).reshape(a, a, a)
-    for g in kept:
-        if len(g) == 1:
-            cls[:, :, classes[g[0]]] = at[g]
-    for g in kept:
-        if len(g) == 2:
-            cls[:, classes[g[0]], classes[g[1]]] = at[g]
-    for g in kept:
-        if len(g) == 3:
-            cls[classes[g[0]], classes[g[1]], classes[g[2]]] = at[g]
-    return ContextTrees(langs, classes, cls.reshape(-1), bits.reshape(-1, len(langs)))
+        row = self.context[(before[2] * a + before[1]) * a + before[0]].astype(np.int64)
+        symbol = blob.astype(np.int64)
+        out = np.zeros((len(blob), len(self.langs)), dtype=np.float32)
+        if self.low or self.high < 255:
+            last = np.concatenate([[0], symbol[:-1]])
+            last[starts] = 0
+            todo = np.flatnonzero((last >= self.low) & (last <= self.high))
+        else:
+            todo = np.arange(len(blob))
+        while len(todo):
+            at, s = row[todo], symbol[todo]
+            quarter = at * 4 + (s >> 6)
+            seen, bit = self.maps[quarter], np.left_shift(np.uint64(1), (s & 63).astype(np.uint64))
+            hit = (seen & bit) != 0
+            place = self.starts[quarter[hit]] + np.bitwise_count(seen[hit] & (bit[hit] - np.uint64(1)))
+            out[todo[hit]] += self.bits[place]
+            todo, at = todo[~hit], at[~hit]
+            out[todo] += self.escapes[at]
+            row[todo] = self.parents[at]
+            lost = row[todo] < 0
+            out[todo[lost]] += 8
+            todo = todo[~lost]
+        return out
 
 
 def _sum_up(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -110,25 +147,76 @@ def _sum_up(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarr
 
 
 def count_strings(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """How often each byte stands behind each three bytes: the four as one number. Zero bytes stand in front of a text."""
-    mark = b"\0" * ORDER
-    a = np.frombuffer(mark + mark.join(raws), dtype=np.uint8)
-    codes, counts = [], []
+    """How often each byte stands behind the three bytes in front of it, or as many as there are: their number (shifted by 32 bits) and all of them
+    as one number."""
+    a = np.frombuffer(b"".join(raws), dtype=np.uint8)
+    sizes = np.array([len(r) for r in raws])
+    starts = np.cumsum(sizes) - sizes
+    inner = np.ones(len(a), dtype=bool)
+    codes, counts, head = [], [], np.zeros(len(raws), dtype=np.int64)
+    for k in range(ORDER):  # bytes near a text's beginning have shorter contexts
+        long = sizes > k
+        starts, sizes, head = starts[long], sizes[long], head[long]
+        inner[starts + k] = False
+        head = head << 8 | a[starts + k]
+        c, n = np.unique(head, return_counts=True)
+        codes.append(c | (k + 1) << 32)
+        counts.append(n)
     for at in range(0, len(a) - ORDER, CHUNK):
         x = a[at : at + CHUNK + ORDER].astype(np.uint32)
         code = x[:-3] << 24 | x[1:-2] << 16 | x[2:-1] << 8 | x[3:]
-        c, n = np.unique(code[x[3:] != 0], return_counts=True)
-        if len(c):
-            codes.append(c)
-            counts.append(n)
-    return _sum_up(codes, counts) if codes else (np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64))
-
-
-def learn(docs: DataFrame, train: Column | None = None, max_contexts: int = MAX_CONTEXTS) -> ContextTrees | None:
-    """Count the byte strings of all labelled rows by Spark and build the trees; None if nothing is labelled.
-
-    The driver receives at most ``max_contexts`` contexts and what followed them in each language.
-    """
+        c, n = np.unique(code[inner[at + ORDER : at + ORDER + CHUNK]], return_counts=True)
+        codes.append(c.astype(np.int64) | 4 << 32)
+        counts.append(n)
+    return _sum_up(codes, counts)
+
+
+@dataclass
+class Model:
+    """All counted strings (``lang, size, g, n``; a written table), the languages by code point, and how the strings are dealt among blocks: the
+    numbers of each block's languages and the bounds of the byte before the last."""
+
+    strings: DataFrame
+    langs: list[str]
+    blocks: list[tuple[list[int], int, int]]
+
+    def trees(self, block: int) -> ContextTrees:
+        numbers, low, high = self.blocks[block]
+        here = F.col("lang").isin([self.langs[j] for j in numbers]) & ((F.col("size") == 1) | _before().between(low, high))
+        got = self.strings.filter(here).select("lang", "size", "g", "n").toArrow()
+        names = [self.langs[j] for j in numbers]
+        lang = got.column("lang").combine_chunks().dictionary_encode()
+        number = np.array([names.index(x) for x in lang.dictionary.to_pylist()], dtype=np.int64)[lang.indices.to_numpy()]
+        return ContextTrees(names, number, *(got.column(c).to_numpy() for c in ("size", "g", "n")), low, high)
+
+
+def _before() -> Column:
+    """The byte before a string's last one."""
+    return F.shiftright("g", 8).bitwiseAND(F.lit(255))
+
+
+def divide(sizes: dict[tuple[int, int], int], n_langs: int, block: int) -> list[tuple[list[int], int, int]]:
+    """Blocks of at most ``block`` strings: several whole languages, or one language and a run of bytes. ``sizes[language, byte]``."""
+    out: list[tuple[list[int], int, int]] = []
+    group, held = [], 0
+    for j in range(n_langs):
+        mine = [sizes.get((j, b), 0) for b in range(256)]
+        if held + sum(mine) > block and group:
+            out, group, held = [*out, (group, 0, 255)], [], 0
+        if sum(mine) <= block:
+            group, held = [*group, j], held + sum(mine)
+            continue
+        low = run = 0
+        for b in range(256):
+            if run and run + mine[b] > block:
+                out, low, run = [*out, ([j], low, b - 1)], b, 0
+            run += mine[b]
+        out.append(([j], low, 255))
+    return [*out, (group, 0, 255)] if group else out
+
+
+def learn(docs: DataFrame, train: Column | None = None, block: int = BLOCK) -> Model | None:
+    """Count the byte strings of all labelled rows by Spark; None if nothing is labelled."""
     known = docs.filter(F.col("text").isNotNull() & F.col("lang").isNotNull()).filter(train if train is not None else F.lit(True))
 
     def count(batches):
@@ -138,7 +226,7 @@ def learn(docs: DataFrame, train: Column | None = None, max_contexts: int = MAX_
             c, n = _sum_up(*held.pop(lang))
             for at in range(0, len(c), 1 << 17):
                 part = slice(at, at + (1 << 17))
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c[part]), pa.string()), pa.array(c[part].astype(np.int64)), pa.array(n[part], pa.int64())], ["lang", "code", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(c[part]), pa.string()), pa.array(c[part]), pa.array(n[part], pa.int64())], ["lang", "code", "n"])
 
         for b in batches:
             of: dict[str, list[int]] = {}
@@ -149,8 +237,6 @@ def learn(docs: DataFrame, train: Column | None = None, max_contexts: int = MAX_
             for lang, have in of.items():
                 for part in _parts(have, raw, CHUNK):
                     c, n = count_strings([raw[i] for i in part])
-                    if not len(c):
-                        continue
                     codes, counts = held.setdefault(lang, ([], []))
                     codes.append(c)
                     counts.append(n)
@@ -163,58 +249,64 @@ def learn(docs: DataFrame, train: Column | None = None, max_contexts: int = MAX_
             yield from rows(lang)
 
     grams = known.select("lang", F.encode("text", "UTF-8").alias("raw")).mapInArrow(count, "lang string, code long, n long")
-    grams = materialise(grams.groupBy("lang", "code").agg(F.sum("n").alias("n")), "strings")
+    grams = grams.groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    each = [F.struct(F.lit(k).alias("size"), F.expr(f"code & {(1 << 8 * k) - 1}L").alias("g")) for k in range(1, ORDER + 2)]
+    ends = F.filter(F.array(*each), lambda s: s["size"] <= F.shiftright("code", 32))
+    strings = grams.select("lang", "n", F.explode(ends).alias("s")).groupBy("lang", "s.size", "s.g").agg(F.sum("n").alias("n"))
+    strings = materialise(strings, "strings")
+    counted = strings.groupBy("lang", _before().alias("b")).agg(F.count(F.lit(1)).alias("n")).collect()  # at most 256 rows a language
+    langs = sorted({r.lang for r in counted})
+    return Model(strings, langs, divide({(langs.index(r.lang), r.b): r.n for r in counted}, len(langs), block)) if langs else None
 
-    each = [F.struct(F.lit(k).alias("size"), F.lit(1 << 8 * (k - 1)).alias("least"), F.expr(f"code & {(1 << 8 * k) - 1}L").alias("g")) for k in range(1, ORDER + 2)]
-    strings = grams.select("lang", "n", F.explode(F.array(*each)).alias("s")).filter("s.g >= s.least")  # else it begins in front of the text
-    strings = strings.groupBy("lang", "s.size", "s.g").agg(F.sum("n").alias("n")).withColumn("context", F.shiftright("g", 8))
 
-    top = strings.filter("size > 1").groupBy("size", "context").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "size", "context").limit(max_contexts).collect()
-    kept = {(k, r.context & ((1 << 8 * (k - 1)) - 1)) for r in top for k in range(1, r.size + 1)}
-    # at most ORDER + 1 rows a kept context
-    wanted = docs.sparkSession.createDataFrame(sorted(kept) or [(1, 0)], "size int, context long")
-    got = strings.join(F.broadcast(wanted), ["size", "context"], "left_semi").select("lang", "size", "g", "n").toArrow()
-    counts: dict[str, list[dict[bytes, int]]] = {}
-    for lang, size, g, n in zip(*(got.column(c).to_pylist() for c in ("lang", "size", "g", "n"))):
-        counts.setdefault(lang, [{} for _ in range(ORDER + 1)])[size - 1][g.to_bytes(size, "big")] = n
-    return build(counts, max_contexts) if counts else None
-
-
-def predict(docs: DataFrame, trees: ContextTrees | None) -> DataFrame:
+def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """``doc_id, lang_pred, score, bits_per_byte`` for every whole text; ``score`` is the share of the winner in 2^-bits."""
     letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     rows = docs.select("doc_id", F.when(letter, F.encode(F.col("text"), "UTF-8")).alias("raw"))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, lang_pred string, score double, bits_per_byte double"
-    if trees is None:
+    if model is None:
         return rows.select("doc_id", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(None).cast("double").alias("bits_per_byte"))
-    shared = docs.sparkSession.sparkContext.broadcast(trees)
-
-    def run(batches):
-        trees = shared.value
-        for b in batches:
-            raw = b.column(1).to_pylist()
-            langs, scores, rates = ["und"] * len(raw), [0.0] * len(raw), [None] * len(raw)
-            have = [i for i, r in enumerate(raw) if r]
-            for part in _parts(have, raw):
-                sizes = np.array([len(raw[i]) for i in part])
-                starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-                bits = trees.code_lengths(np.frombuffer(b"".join(raw[i] for i in part), dtype=np.uint8), starts)
+    names, context = model.langs, docs.sparkSession.sparkContext
+
+    def passed(rows: DataFrame, block: int) -> DataFrame:
+        """``rows`` with the code lengths of one block added to those of the blocks before."""
+        shared, numbers, final, first = context.broadcast(model.trees(block)), model.blocks[block][0], block == len(model.blocks) - 1, block == 0
+
+        def run(batches):
+            trees = shared.value
+            for b in batches:
+                raw = b.column(1).to_pylist()
+                bits = np.zeros((len(raw), len(names)))
+                if not first:
+                    bits = b.column(2).flatten().to_numpy().reshape(bits.shape).copy()
+                have = [i for i, r in enumerate(raw) if r]
+                for part in _parts(have, raw, CODES):
+                    sizes = np.array([len(raw[i]) for i in part])
+                    blob = np.frombuffer(b"".join(raw[i] for i in part), dtype=np.uint8)
+                    bits[np.ix_(part, numbers)] += trees.code_lengths(blob, np.cumsum(sizes) - sizes)
+                if not final:
+                    yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(list(bits), pa.list_(pa.float64()))], ["doc_id", "raw", "bits"])
+                    continue
+                pred, score, rate = ["und"] * len(raw), np.zeros(len(raw)), [None] * len(raw)
                 best = bits.argmin(axis=1)
-                least = bits[np.arange(len(part)), best]
+                least = bits.min(axis=1)
                 share = 1.0 / np.exp2(np.clip(least[:, None] - bits, -1000, 0)).sum(axis=1)
-                for i, j, s, r in zip(part, best, share, least / sizes):
-                    langs[i], scores[i], rates[i] = trees.langs[j], float(s), float(r)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(rates, pa.float64())],
-                ["doc_id", "lang_pred", "score", "bits_per_byte"],
-            )
+                for i in have:
+                    pred[i], score[i], rate[i] = names[best[i]], share[i], least[i] / len(raw[i])
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0), pa.array(pred, pa.string()), pa.array(score), pa.array(rate, pa.float64())], ["doc_id", "lang_pred", "score", "bits_per_byte"]
+                )
+
+        schema = f"doc_id {kind}, lang_pred string, score double, bits_per_byte double" if final else f"doc_id {kind}, raw binary, bits array<double>"
+        return rows.mapInArrow(run, schema)
 
-    return rows.mapInArrow(run, schema)
+    for block in range(len(model.blocks) - 1):
+        rows = materialise(passed(rows, block), "code-lengths")
+    return passed(rows, len(model.blocks) - 1)
 
 
-def _parts(have, raw, most=1 << 19):
-    """Runs of texts of about half a megabyte."""
+def _parts(have, raw, most: int):
+    """Runs of texts of about ``most`` bytes."""
     part, size = [], 0
     for i in have:
         part.append(i)

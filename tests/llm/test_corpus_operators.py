@@ -436,42 +436,68 @@ def test_language_id(spark, empty):
     assert langid.learn(empty) is None and langid.predict(docs, None).first().lang_pred == "und"
 
 
+def strings_of(texts):
+    """How often each string of one to four bytes occurs in the texts."""
+    out: dict = {}
+    for t in texts:
+        for i in range(len(t)):
+            for k in range(min(3, i) + 1):
+                g = t[i - k : i + 1]
+                out[g] = out.get(g, 0) + 1
+    return out
+
+
 def test_language_strings_are_counted_whole(monkeypatch):
-    raws = [b"abcab", "é b".encode(), b"a", b"xyz" * 50]
-    want = {}
+    raws = [b"abcab", "é b".encode(), b"a", b"xyz" * 50, b"a\0\0b\0"]
+    want: dict = {}
     for raw in raws:
-        padded = b"\0\0\0" + raw
         for i in range(len(raw)):
-            g = int.from_bytes(padded[i : i + 4], "big")
-            want[g] = want.get(g, 0) + 1
+            g = raw[max(0, i - 3) : i + 1]
+            key = len(g) << 32 | int.from_bytes(g, "big")
+            want[key] = want.get(key, 0) + 1
     for chunk in (7, langid.CHUNK):
         monkeypatch.setattr(langid, "CHUNK", chunk)
         assert dict(zip(*(x.tolist() for x in langid.count_strings(raws)))) == want
 
 
-def test_code_lengths_are_sums_over_bytes():
-    counts = [{}, {}, {}, {}]
-    text = b"abracadabra abracadabra"
-    for k in range(4):
-        for i in range(len(text) - k):
-            g = text[i : i + k + 1]
-            counts[k][g] = counts[k].get(g, 0) + 1
-
-    def p(context, b):
-        if context is None:
-            return 1 / 257
-        seen = {g[-1:]: n for g, n in counts[len(context)].items() if g[:-1] == context}
-        shorter = p(context[1:] if context else None, b)
-        if not seen:
-            return shorter
-        n, d = sum(seen.values()), len(seen)
-        return (seen.get(b, 0) + d * shorter) / (n + d)
-
-    trees = langid.build({"x": counts})
-    for t in (b"abra", b"cad zq", b"a"):
-        want = -sum(np.log2(p(t[max(0, i - 3) : i], t[i : i + 1])) for i in range(len(t)))
-        both = np.frombuffer(b"bra" + t, dtype=np.uint8)
-        assert trees.code_lengths(both, np.array([0, 3]))[1, 0] == pytest.approx(want, rel=1e-5)
+def escape_code(counts, context, b):
+    """Code length of a byte by estimator C, from the strings alone."""
+    follow = {g[-1:]: n for g, n in counts.items() if len(g) == len(context) + 1 and g[:-1] == context}
+    n, d = sum(follow.values()), len(follow)
+    if b in follow:
+        return -np.log2(follow[b] / (n + d))
+    escape = -np.log2(d / (n + d)) if follow else 0.0
+    return escape + (escape_code(counts, context[1:], b) if context else 8.0)
+
+
+@pytest.mark.parametrize("codes", [7, langid.CODES])
+def test_code_lengths_are_sums_over_bytes(monkeypatch, codes):
+    monkeypatch.setattr(langid, "CODES", codes)
+    counts = {"x": strings_of([b"abracadabra abracadabra", b"a\0b"]), "y": strings_of([b"cad", "é".encode()])}
+    assert 2 ** -escape_code(strings_of([b"ab"]), b"", b"a") == pytest.approx(0.25)  # one of two, and an escape for each kind
+    rows = [(j, len(g), int.from_bytes(g, "big"), n) for j, x in enumerate("xy") for g, n in counts[x].items()]
+    trees = langid.ContextTrees(["x", "y"], *(np.array(c, dtype=np.int64) for c in zip(*rows)))
+    texts = [b"abra", b"cad zq", b"a", b"a\0b\0", "é".encode(), b"bra" * 9]
+    starts = np.cumsum([0] + [len(t) for t in texts])[:-1]
+    got = trees.code_lengths(np.frombuffer(b"".join(texts), dtype=np.uint8), starts)
+    for t, bits in zip(texts, got):
+        for j, x in enumerate("xy"):
+            assert bits[j] == pytest.approx(sum(escape_code(counts[x], t[max(0, i - 3) : i], t[i : i + 1]) for i in range(len(t))), rel=1e-5)
+
+
+def test_blocks_of_strings_do_not_change_predictions(spark):
+    r = random.Random(18)
+    make = lambda letters: " ".join("".join(r.choice(letters) for _ in range(r.randrange(1, 8))) for _ in range(25))
+    kinds = {"big": "abcdefghijklmnop", "rare one": "ახბგდ", "rare two": "ახბგვ", "small": "mnopqrst"}
+    rows = [(i, make(kinds["big"]), "big", "s", 0) for i in range(150)]
+    rows += [(1000 + i, make(v), k, "s", 0) for k, v in kinds.items() if k != "big" for i in range(8)]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("bits", F.lit(0)).withColumn("raw", F.lit("x"))
+    one = langid.learn(docs)
+    many = langid.learn(docs, block=400)
+    assert len(one.blocks) == 1 and len(many.blocks) > 4 and len({tuple(x) for x, _, _ in many.blocks}) < len(many.blocks)
+    a, b = ({x.doc_id: x for x in langid.predict(docs, m).collect()} for m in (one, many))
+    assert {i: x.lang_pred for i, x in a.items()} == {i: x.lang_pred for i, x in b.items()} == {i: k for i, _, k, _, _ in rows}
+    assert all(a[i].bits_per_byte == pytest.approx(b[i].bits_per_byte, rel=1e-5) for i in a)
 
 
 # 10
