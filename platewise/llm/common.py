@@ -40,6 +40,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def in_slices(batches, rows: int):
+    """The batches of a task, cut to ``rows`` rows, which bounds what is held as Python objects at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+
+
 def leading_digits(n: Column, digits: int = 6) -> Column:
     """Number of binary digits of ``n`` and its leading ones, as one number that grows with ``n``; below ``2 ** digits`` no two are equal."""
     bits = F.length(F.bin(n))

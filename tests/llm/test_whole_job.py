@@ -100,3 +100,21 @@ def test_letters_only_key_is_found_alone(spark):
     got = {x.doc_id: x.spans for x in pii.find_pii(docs_of(spark, [f"the {key} stands alone", f"{key} and a@b.org"])).collect()}
     assert got == {0: "secret:4:24", 1: "secret:0:20,email:25:32"}
     assert pii.redact_documents(docs_of(spark, [f"the {key} stands alone"])).first().text == "the <SECRET> stands alone"
+
+
+def test_long_secrets_go_whole(spark):
+    t = "a password=" + "x" * 300 + " b secret=short7 c"
+    assert pii.redact_documents(docs_of(spark, [t])).first().text == "a <SECRET> b <SECRET> c"
+
+
+def test_iban_lengths(spark):
+    right, short = "DE89370400440532013000", "NO9386011117947"
+    assert pii.mod97(right) and pii.mod97(short) and not pii.mod97(right[:-1]) and not pii.mod97("ZZ" + right[2:])
+    got = pii.find_pii(docs_of(spark, [f"iban {right}", f"iban {right}0", None, "x" * 300_000 + " " + short])).collect()
+    assert [x.spans for x in sorted(got)] == ["iban:5:27", "", "", "iban:300001:300016"]
+
+
+def test_repeated_and_null_rows(spark):
+    docs = spark.createDataFrame([(1, "a@b.de", "en", "s", 0), (1, "a@b.de", "en", "s", 0), (None, None, None, None, None)], DOCS).withColumn("spans", F.lit(1)).withColumn("n_ip", F.lit(2))
+    assert sorted((str(x.doc_id), x.n_email, x.spans) for x in pii.find_pii(docs).collect()) == [("1", 1, "email:0:6"), ("1", 1, "email:0:6"), ("None", 0, "")]
+    assert pii.redact_documents(docs).columns == docs.columns
