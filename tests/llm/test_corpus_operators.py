@@ -312,6 +312,33 @@ def test_toxicity_exceptions():
     assert lexicon.score(a, "intrash") < 0.5
 
 
+def test_folding():
+    assert toxicity.fold("ﬁ") == toxicity.fold("fi") and toxicity.fold("㎏") == "kg" and toxicity.fold("е\u0301D1OТ") == toxicity.fold("еdiot") and toxicity.fold("e\u0301") == "é"
+    assert toxicity.fold("6o9") == "gog" and toxicity.fold("sс×") == "sc "
+
+
+def test_toxicity_learns_exceptions_and_long_words(spark):
+    r = random.Random(19)
+    long = "grum" + "bo" * 40
+    texts, labels = [], []
+    for i in range(400):
+        words = [r.choice(WORDS) for _ in range(30)]
+        at = r.randrange(1, 29)
+        if i % 5 == 0:
+            words[at:at] = ["snarkel"] if i % 10 else [long + r.choice(["s", "ed", ""])]
+        elif i % 5 == 1:  # harmless in this phrase, and so are words that only begin like the long one
+            words[at:at] = ["garden", "snarkel"] if i % 10 == 1 else ["grumbo" + r.choice(["xa", "ya"])]
+        texts.append(" ".join(words))
+        labels.append((i, 1, int(i % 5 == 0)))
+    docs, lab = docs_of(spark, texts), spark.createDataFrame(labels, "doc_id long, quality int, toxic int").withColumn("text", F.lit("x"))
+    lexicon = toxicity.learn(docs, lab)
+    assert "garden snarkel" in lexicon.exceptions and any(len(k) > 20 for k in lexicon.weights)
+    score = {x.doc_id: x.score for x in toxicity.score_documents(docs.withColumn("score", F.lit(1)).withColumn("toxic", F.lit(1)), lexicon).collect()}
+    assert {i for i, x in score.items() if x >= 0.5} == {i for i, _, y in labels if y}
+    a = lexicon.automaton()
+    assert lexicon.score(a, "w1 " * 100_000 + "snarkel " * 5000 + "garden snarkel") > 0.5 > lexicon.score(a, "garden snarkel " * 50_000)
+
+
 # 7
 def brute_repeats(texts, window=50):
     first: dict = {}
