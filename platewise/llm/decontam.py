@@ -5,9 +5,9 @@ block the largest weight (the block maximum). Every document is cut into overlap
 least as long as the longest item on both sides of any position, and each passage queries the index for all
 items whose score reaches ``threshold`` times the score that the item gives itself.
 
-Because those thresholds are fixed, WAND's pivot of a block is fixed too: the light terms whose block
-maxima together stay below the block's lowest threshold cannot lift an item over it, so only
-the other, essential terms bring up a block. A block so found is skipped if the sum of its block
+Because those thresholds are fixed, WAND's pivot of an item is fixed too: what its light terms (the share ``LIGHT`` of its
+threshold) cannot give must come from the others. Only the lists of those, the essential terms of some item of a block, bring up the block, and
+only if the sum of its maxima over them reaches what its items need beside their light terms. A block so found is skipped if the sum of its block
 maxima over the passage's terms stays below the threshold; only blocks that survive are scored.
 
 A retrieved item is then verified on the passage: five-word shingles of its question must be found to
@@ -25,6 +25,7 @@ from __future__ import annotations
 import re
 import string
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE, OVERLAP, ANSWER_OVERLAP, THRESHOLD = 5, 0.8, 0.5, 0.5
-K1, B, BLOCK, ITEMS = 1.2, 0.75, 8, 20_000
+K1, B, BLOCK, ITEMS, LIGHT = 1.2, 0.75, 8, 20_000, 0.5
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _SENTENCE = re.compile(r"[.?!\n]+\s*")
 
@@ -112,34 +113,36 @@ class Index:
         idf = np.log1p((total - df + 0.5) / (df + 0.5))
         postings: list[list] = [[] for _ in self.vocab]
         tops: list[dict] = [{} for _ in self.vocab]
-        self.least = np.zeros(n)
+        self.least, by_item = np.zeros(n), []
         for i, d in enumerate(docs):
             terms, tf = np.unique(d, return_counts=True)
             w = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(d) / mean))
             self.least[i] = threshold * w.sum() - 1e-9
+            by_item.append(list(zip(w.tolist(), terms.tolist())))
             for t, x in zip(terms.tolist(), w.tolist()):
                 postings[t].append((i, x))
                 tops[t][i // block] = max(tops[t].get(i // block, 0.0), x)
         self.block, self.n_blocks = block, -(-n // block)
         self.block_least = np.array([self.least[b * block : (b + 1) * block].min() for b in range(self.n_blocks)])
-        by_block: list[list] = [[] for _ in range(self.n_blocks)]
-        for t, x in enumerate(tops):
-            for b, v in x.items():
-                by_block[b].append((v, t))
-        essential: list[list] = [[] for _ in self.vocab]
-        for b, x in enumerate(by_block):
+        essential: list[set] = [set() for _ in self.vocab]
+        self.block_need = np.full(self.n_blocks, np.inf)
+        for i, x in enumerate(by_item):
             light = 0.0
-            for v, t in sorted(x):
-                light += v
-                if light >= self.block_least[b]:
-                    essential[t].append((b, v))
-        self.postings, self.tops, self.essential = Csr.of(postings), Csr.of([sorted(x.items()) for x in tops]), Csr.of(essential)
+            for w, t in sorted(x):
+                if light + w < LIGHT * self.least[i]:
+                    light += w
+                else:
+                    essential[t].add((i // block, tops[t][i // block]))
+            self.block_need[i // block] = min(self.block_need[i // block], self.least[i] - light - 1e-9)
+        self.postings, self.tops, self.essential = Csr.of(postings), Csr.of([sorted(x.items()) for x in tops]), Csr.of([sorted(x) for x in essential])
 
     def search(self, terms: np.ndarray, passage: np.ndarray, n: int):
         """All (passage, item, score / least score) at or above threshold. ``terms``/``passage``: distinct pairs, sorted by passage."""
         none = np.zeros(0, dtype=np.int64)
         owner, at = self.essential.expand(terms)
-        pivots = np.unique(passage[owner] * self.n_blocks + self.essential.col[at])
+        pivots, inverse = np.unique(passage[owner] * self.n_blocks + self.essential.col[at], return_inverse=True)
+        gained = np.bincount(inverse, weights=self.essential.val[at], minlength=len(pivots))
+        pivots = pivots[gained >= self.block_need[pivots % max(1, self.n_blocks)]]
         if not len(pivots):
             return none, none, np.zeros(0)
         # block maxima over all terms of the passages that have a pivot
@@ -180,7 +183,7 @@ class Index:
         ids, offsets = [], [0]
         for t in texts:
             w = words_of(t) if t else []
-            ids.append(np.fromiter((get(x, -1) for x in w), dtype=np.int32, count=len(w)))
+            ids.append(np.array(list(map(get, w, repeat(-1))), dtype=np.int32))
             offsets.append(offsets[-1] + len(w) // step + 2)
         if not texts:
             return
