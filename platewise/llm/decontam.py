@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_slices
+
 SHINGLE, OVERLAP, ANSWER_OVERLAP, THRESHOLD = 5, 0.8, 0.5, 0.5
 K1, B, BLOCK, ITEMS, LIGHT = 1.2, 0.75, 8, 20_000, 0.5
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
@@ -258,9 +260,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
         def run(batches, shared=shared):
             index = shared.value
-            for b in batches:
-                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
-                found = [(ids[at + d], *rest) for at in range(0, len(ids), 256) for d, *rest in index.match(texts[at : at + 256], threshold, overlap)]
+            for b in in_slices(batches, 256):
+                ids = b.column(0).to_pylist()
+                found = [(ids[d], *rest) for d, *rest in index.match(b.column(1).to_pylist(), threshold, overlap)]
                 if found:
                     yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*found)))), schema=arrow)
 

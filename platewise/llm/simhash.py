@@ -12,21 +12,37 @@ share, and all members of a key, which differ in at most two bits by constructio
 
 Components are found by alternating large-star and small-star steps on the links.
 
+``keep_similar`` asks for more than bits can tell: it links texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or
+more. At that similarity two fingerprints differ in about ten of 64 bits, and signatures for ten bits (six segments of ten bits) would
+put every text into buckets that hold a five-hundredth of all texts. So the signatures for two bits bring the first candidates, an
+equality join on prefixes of ordered shingle sets brings the rest (two such sets share one of the first ``n - ceil(0.8 n) + 1`` shingles in any
+order), and the whole sets verify every pair. The order decides only the cost: shingles that are frequent in a sample of documents come
+last, so that lines repeated over many documents bring no candidates. Of each shared prefix shingle all texts are first verified against the
+smallest one; then all pairs of texts that share one and are not yet in one component. Texts that are equal word for word are one node;
+shingles are compared by 64-bit hashes, texts shorter than a shingle are one shingle, texts without words are one node.
+
 Defined results: null text is empty text; texts without words have fingerprint zero and link like
-others; equal texts are one node; rows that share a doc_id are one document, so ``keep_one`` keeps or drops them
-together; null doc_ids are kept and are nobody's representative; an empty table gives an empty result; further columns are ignored.
+others; equal texts are one node; rows that share a doc_id are one document, so ``keep_one`` and ``keep_similar`` keep or drop
+them together; null doc_ids are kept and are nobody's representative; an empty table gives an empty result; further columns are ignored,
+or pass through where documents are kept.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import in_slices, materialise
 
 SHINGLE, BUCKET = 3, 256
+#: Shingles of ``keep_similar``; its similarity is NUMERATOR / (NUMERATOR + 1) = 0.8, in whole numbers.
+WIDTH, NUMERATOR = 5, 4
+#: Documents whose shingles are counted for the order, and most frequent shingles that it puts last.
+SAMPLE, FREQUENT = 20_000, 200_000
+#: Texts and pairs that a task works on at a time.
+ROWS = 256
 _LOW = (1 << 32) - 1
 
 
@@ -52,7 +68,7 @@ def fingerprints(docs: DataFrame, width: int = SHINGLE) -> DataFrame:
     """``doc_id, fp`` (fp: the fingerprint's 64 bits as a signed long)."""
 
     def run(batches):
-        for b in batches:
+        for b in in_slices(batches, ROWS):
             fps = np.array([fingerprint(r, width) if r else 0 for r in b.column(1).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps, pa.int64())], ["doc_id", "fp"])
 
@@ -139,11 +155,183 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, bucket: int = BUCKET)
 
 def keep_one(docs: DataFrame, width: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """``docs`` with one document of each group: the one with the smallest doc_id."""
-    first = near_duplicates(docs, width, bucket).select("component_id")
+    return _kept(docs, near_duplicates(docs, width, bucket).select("component_id"))
+
+
+def _kept(docs: DataFrame, first: DataFrame) -> DataFrame:
     first = first.unionAll(first.sparkSession.createDataFrame([(None,)], first.schema)).distinct()  # null doc_ids stay
     return docs.join(first, docs["doc_id"].eqNullSafe(first["component_id"]), "left_semi")
 
 
+def node_of(words: list[bytes]) -> int:
+    from xxhash import xxh64_intdigest
+
+    return xxh64_intdigest(b" ".join(words), 7)
+
+
+def shingle_set(words: list[bytes], width: int = WIDTH) -> np.ndarray:
+    """Hashes of the distinct shingles, ascending."""
+    from xxhash import xxh64_intdigest
+
+    if not words:
+        return np.zeros(0, dtype=np.int64)
+    n = max(1, len(words) - width + 1)
+    hashes = [xxh64_intdigest(b" ".join(words[k : k + width]), 42) for k in range(n)]
+    return np.unique(np.array(hashes, dtype=np.uint64).view(np.int64))
+
+
+def prefix_size(n: int) -> int:
+    """How many of ``n`` shingles two similar sets share one of."""
+    return n - -(-NUMERATOR * n // (NUMERATOR + 1)) + 1
+
+
+def _raw(docs: DataFrame) -> Column:
+    return F.encode(F.col("text"), "UTF-8").alias("raw")
+
+
+def _words(raw) -> list[bytes]:
+    return raw.lower().split() if raw else []
+
+
+def _signed(nodes: list[int]) -> np.ndarray:
+    return np.array(nodes, dtype=np.uint64).view(np.int64)
+
+
+def nodes_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, node, fp``: one number for texts of equal words, and the fingerprint."""
+
+    def run(batches):
+        for b in in_slices(batches, ROWS):
+            raws = b.column(1).to_pylist()
+            fps = np.array([fingerprint(r, WIDTH) if r else 0 for r in raws], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed([node_of(_words(r)) for r in raws])), pa.array(fps)], ["doc_id", "node", "fp"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", _raw(docs)).mapInArrow(run, f"doc_id {kind}, node long, fp long")
+
+
+def frequent(docs: DataFrame, n_docs: int) -> np.ndarray:
+    """Frequent shingles of a sample, the most frequent one last."""
+
+    def run(batches):
+        for b in in_slices(batches, ROWS):
+            for r in b.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(_words(r)))], ["h"])
+
+    some = docs.select(_raw(docs)).distinct() if n_docs <= SAMPLE else docs.filter(F.pmod(F.xxhash64("text"), F.lit(n_docs // SAMPLE)) == 0).select(_raw(docs)).distinct()
+    top = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
+    return np.array([r.h for r in reversed(top)], dtype=np.int64)
+
+
+def prefixes(docs: DataFrame, last: np.ndarray) -> DataFrame:
+    """``h, node, n, pos``: the prefix shingles of each node, its number of shingles and their places in the order."""
+    order = np.argsort(last, kind="stable")
+    shared = docs.sparkSession.sparkContext.broadcast((last[order], order + 1))
+
+    def run(batches):
+        codes, rank = shared.value
+        seen: set[int] = set()
+        for b in in_slices(batches, ROWS):
+            hs, ns, sizes, places = [], [], [], []
+            for r in b.column(0).to_pylist():
+                words = _words(r)
+                node = node_of(words)
+                if not words or node in seen:
+                    continue
+                if len(seen) < 1_000_000:
+                    seen.add(node)
+                h = shingle_set(words)
+                late = np.zeros(len(h), dtype=np.int64)
+                if len(codes):
+                    at = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
+                    late = np.where(codes[at] == h, rank[at], 0)
+                k = prefix_size(len(h))
+                hs.append(h[np.lexsort((h, late))][:k])
+                ns.append(np.full(k, node, dtype=np.uint64).view(np.int64))
+                sizes.append(np.full(k, len(h), dtype=np.int32))
+                places.append(np.arange(k, dtype=np.int32))
+            if hs:
+                cols = [pa.array(np.concatenate(x)) for x in (hs, ns, sizes, places)]
+                for at in range(0, len(cols[0]), 1 << 16):
+                    yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in cols], ["h", "node", "n", "pos"])
+
+    return docs.select(_raw(docs)).mapInArrow(run, "h long, node long, n int, pos int")
+
+
+def _possible(a: str, b: str) -> Column:
+    """Whether two sets whose first common shingle has these places can be similar."""
+    least = F.least(F.col(f"{a}n") - F.col(f"{a}pos"), F.col(f"{b}n") - F.col(f"{b}pos"))
+    return (2 * NUMERATOR + 1) * least >= NUMERATOR * (F.col(f"{a}n") + F.col(f"{b}n"))
+
+
+def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose whole sets are similar."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+    def nodes(batches):
+        for b in in_slices(batches, ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(_signed([node_of(_words(r)) for r in b.column(0).to_pylist()])), b.column(0)], ["node", "raw"])
+
+    def sets(batches):
+        for b in in_slices(batches, ROWS):
+            packed = [shingle_set(_words(r)).tobytes() for r in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
+
+    def check(batches):
+        for b in in_slices(batches, ROWS):
+            mask = []
+            for x, y in zip(b.column(2), b.column(3)):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.int64), np.frombuffer(y.as_buffer(), dtype=np.int64)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                mask.append((2 * NUMERATOR + 1) * both >= NUMERATOR * (len(x) + len(y)))
+            yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(mask, pa.bool_())) for k in (0, 1)], ["a", "b"])
+
+    texts = docs.select(_raw(docs)).mapInArrow(nodes, "node long, raw binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    packed = materialise(texts.mapInArrow(sets, "node long, packed binary"), "shingles")
+    left, right = packed.select(F.col("node").alias("a"), F.col("packed").alias("x")), packed.select(F.col("node").alias("b"), F.col("packed").alias("y"))
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
+
+
+def near_bits(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes whose fingerprints differ in at most two bits: each fingerprint's nodes with its smallest one, and the smallest of
+    linked fingerprints."""
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    equal = nodes.join(first.withColumnRenamed("node", "a"), "fp").filter("node > a").select("a", F.col("node").alias("b"))
+    x, y = (first.select(F.col("fp").alias(f), F.col("node").alias(n)) for f, n in (("x", "u"), ("y", "v")))
+    linked = links(first.select("fp"), bucket).select(F.col("a").alias("x"), F.col("b").alias("y")).join(x, "x").join(y, "y")
+    return equal.unionAll(linked.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
+
+
+def similar_links(docs: DataFrame, nodes: DataFrame, n_docs: int) -> DataFrame:
+    """Links ``(a, b)`` of similar nodes that connect each group of near copies. ``nodes`` has ``node, fp``."""
+    rows = prefixes(docs, frequent(docs, n_docs)).repartition("h").distinct()
+    by = Window.partitionBy("h")
+    rows = rows.withColumn("first", F.min(F.struct("node", "n", "pos")).over(by)).withColumn("last", F.max("node").over(by))
+    met = materialise(rows.filter("first.node < last").select("h", "node", "n", "pos", F.col("first.node").alias("fnode"), F.col("first.n").alias("fn"), F.col("first.pos").alias("fpos")), "prefixes")
+    star = met.filter("node > fnode").filter(_possible("", "f")).select(F.col("fnode").alias("a"), F.col("node").alias("b")).distinct()
+    star = materialise(star.unionAll(near_bits(nodes)).distinct(), "candidates")
+    found = materialise(verified(docs, star), "verified")
+    roots = components(found).select("node", "root")
+    now = met.select("h", "node", "n", "pos").join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+    now = now.withColumn("low", F.min("root").over(by)).withColumn("high", F.max("root").over(by)).filter("low < high").drop("low", "high")
+    now = materialise(now, "open")
+    x, y = (now.select("h", *[F.col(c).alias(f"{s}{c}") for c in ("node", "n", "pos", "root")]) for s in "xy")
+    rest = x.join(y, "h").filter("xnode < ynode and xroot <> yroot").filter(_possible("x", "y")).select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
+    rest = materialise(rest.join(star, ["a", "b"], "left_anti"), "candidates")
+    return found.unionAll(verified(docs, rest))
+
+
+def keep_similar(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of near copies: the one with the smallest doc_id."""
+    found = materialise(nodes_of(docs), "nodes")
+    nodes = materialise(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "firsts")
+    pairs = similar_links(docs, nodes.select("node", "fp"), found.count())
+    a, b = nodes.select(F.col("node").alias("a"), F.col("first").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("first").alias("fb"))
+    roots = components(pairs.join(a, "a").join(b, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b")))
+    first = nodes.join(roots, nodes["first"] == roots["node"], "left").select(F.coalesce("root", "first").alias("component_id"))
+    return _kept(docs, first)
+
+
 def op5_simhash(spark, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
