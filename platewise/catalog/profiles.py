@@ -174,14 +174,14 @@ def _corrected(method):
     goal = "SELECT f, c, s FROM b WHERE plate = 1" if method == "reference" else "SELECT f, c, s FROM g"
     return f"""WITH {LONG}, b0 AS (SELECT plate, f, {stat[0]} FROM long GROUP BY ALL), b AS (SELECT plate, f, any_value(c) AS c, {stat[1]} FROM long JOIN b0 USING (plate, f) GROUP BY ALL),
 g0 AS (SELECT f, {stat[0]} FROM long GROUP BY ALL), g AS (SELECT f, any_value(c) AS c, {stat[1]} FROM long JOIN g0 USING (f) GROUP BY ALL), t AS ({goal})
-SELECT plate, f, round(avg((v - b.c) / b.s * t.s + t.c) / 7, 5) AS mean, round(min((v - b.c) / b.s * t.s + t.c), 4) AS low FROM long JOIN b USING (plate, f) JOIN t USING (f) GROUP BY ALL"""
+SELECT plate, f, round(1000 + median((v - b.c) / b.s * t.s + t.c), 3) AS middle, round(1000 + max((v - b.c) / b.s * t.s + t.c), 3) AS high, round(1000 + min((v - b.c) / b.s * t.s + t.c), 3) AS low FROM long JOIN b USING (plate, f) JOIN t USING (f) GROUP BY ALL"""
 
 
 def _correction(method):
     @query(_corrected(method))
     def run(spark, sf):
         out = N.correct_batches(long_wells(spark, sf), "plate", method, 1 if method == "reference" else None)
-        return out.groupBy("plate", "f").agg(F.round(F.avg("v") / 7, 5).alias("mean"), F.round(F.min("v"), 4).alias("low"))
+        return out.groupBy("plate", "f").agg(F.round(1000 + F.median("v"), 3).alias("middle"), F.round(1000 + F.max("v"), 3).alias("high"), F.round(1000 + F.min("v"), 3).alias("low"))
 
     return run
 
@@ -207,7 +207,8 @@ def d12_d14_batch_summary(spark, sf):
 @query(f"""WITH {LONG} SELECT f, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, min(v) AS min, max(v) AS max, median(v) AS median, round(avg((v IS NULL)::INT), 6) AS null_share,
  round(var_pop(v), 4) AS var_pop, round(var_samp(v), 4) AS var_samp, round(stddev_pop(v) / (abs(avg(v)) + 1e-8), 6) AS cv FROM long GROUP BY f""")
 def d15_d22_feature_statistics(spark, sf):
-    out = rounded(N.feature_statistics(long_wells(spark, sf)), "mean", "std", "null_share", "cv")
+    rows = long_wells(spark, sf)
+    out = rounded(N.feature_statistics(rows).join(N.feature_medians(rows), "f"), "mean", "std", "null_share", "cv")
     return rounded(out, "var_pop", "var_samp", digits=4)
 
 
@@ -243,18 +244,33 @@ def e08_average_ranks(spark, sf):
     return N.average_rank(rows, ["l_suppkey"], "v", "r")
 
 
+GREEDY = """WITH RECURSIVE u AS (SELECT l_orderkey * 10 + l_linenumber AS k, avg(l_quantity) AS q, avg(l_tax) AS t, avg(l_extendedprice) AS p FROM lineitem GROUP BY 1),
+long AS (SELECT k, unnest(range(6))::INT AS f, unnest([q, t, q + 300 * t, p, q + p / 1000, -p]) AS v FROM u), var AS (SELECT f, var_pop(v) AS s FROM long GROUP BY f),
+high AS (SELECT a.f AS a, b.f AS b FROM long a JOIN long b USING (k) WHERE a.f < b.f GROUP BY ALL HAVING abs(corr(a.v, b.v)) > 0.5),
+pairs AS (SELECT row_number() OVER (ORDER BY x.f, y.f) AS i, x.f AS a, y.f AS b, h.a IS NOT NULL AS high, CASE WHEN x.s < y.s THEN x.f ELSE y.f END AS loser
+ FROM var x JOIN var y ON x.f < y.f LEFT JOIN high h ON h.a = x.f AND h.b = y.f),
+one AS (SELECT 0::BIGINT AS i, -1 AS a, []::INT[] AS gone, []::INT[] AS before UNION ALL
+ SELECT p.i, p.a, CASE WHEN p.high AND NOT list_contains(CASE WHEN p.a = one.a THEN one.before ELSE one.gone END, p.a) AND NOT list_contains(one.gone, p.b) THEN list_append(one.gone, p.loser) ELSE one.gone END,
+ CASE WHEN p.a = one.a THEN one.before ELSE one.gone END FROM one JOIN pairs p ON p.i = one.i + 1),
+earlier AS (SELECT v.f, coalesce(list(h.a) FILTER (h.a IS NOT NULL), []::INT[]) AS l FROM var v LEFT JOIN high h ON h.b = v.f GROUP BY v.f),
+two AS (SELECT -1 AS j, []::INT[] AS gone UNION ALL
+ SELECT e.f, CASE WHEN list_contains(two.gone, e.f) THEN two.gone ELSE list_concat(two.gone, list_filter(e.l, lambda x: NOT list_contains(two.gone, x))) END FROM two JOIN earlier e ON e.f = two.j + 1)
+SELECT 1 AS version, unnest(list_distinct(gone)) AS f FROM one WHERE i = (SELECT max(i) FROM one) UNION ALL SELECT 2, unnest(list_distinct(gone)) FROM two WHERE j = (SELECT max(j) FROM two)"""
+
+
+@query(GREEDY)
 def d16_d17_correlation_filter(spark, sf):
-    """Both greedy filters on the features' correlation matrix; checked by rows only, since their order matters."""
-    rows = long_wells(spark, sf).groupBy((F.col("ord") * 10 + F.col("line")).alias("k"), "f").agg(F.avg("v").alias("v"))
-    stats = {r.f: r.var_pop for r in N.feature_statistics(rows).collect()}
-    pairs = [(r.a, r.b, r.r) for r in N.correlations(rows, "k").collect()]
+    """Both greedy filters on the correlation matrix of features some of which are made of others."""
+    u = table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k"))
+    u = u.agg(F.avg("l_quantity").alias("q"), F.avg("l_tax").alias("t"), F.avg("l_extendedprice").alias("p"))
+    q, t, p = (F.col(c) for c in "qtp")
+    packed = u.select("k", F.array(q, t, q + 300 * t, p, q + p / 1000, -p).alias("features"))
+    stats = {r.f: r.var_pop for r in N.feature_statistics(schema.to_long(packed, ["k"])).collect()}
+    pairs = [(r.a, r.b, r.r) for r in N.packed_correlations(packed).collect()]
     out = [(v, f) for v in (1, 2) for f in N.correlation_filter(stats, pairs, 0.5, v)]
     return spark.createDataFrame(out, "version int, f int")
 
 
-query()(d16_d17_correlation_filter)
-
-
 @query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY l_partkey")
 def d03_replicate_counts(spark, sf):
     return A.replicate_counts(table(spark, sf, "lineitem"), "l_partkey")
@@ -361,9 +377,9 @@ def g08_add_new(spark, sf):
 
 
 CURATED = f"""WITH u AS (SELECT l_orderkey * 10 + l_linenumber AS k, min(l_suppkey) AS plate, min(l_partkey) AS treatment, min(l_quantity) AS cells,
- [avg(l_quantity), avg(l_extendedprice), avg(l_tax)] AS features FROM lineitem GROUP BY 1), b AS (SELECT median({NORM}) AS m FROM u),
+ [avg(l_quantity), avg(l_extendedprice), avg(l_tax), avg(l_quantity) / 2 + avg(l_tax)] AS features FROM lineitem GROUP BY 1), b AS (SELECT median({NORM}) AS m FROM u),
 d AS (SELECT median(abs({NORM} - m)) * 1.4826 AS mad FROM u, b), good AS (SELECT u.* FROM u, b, d WHERE cells >= 5 AND NOT ({NORM} < m - 3 * mad OR {NORM} > m + 3 * mad)),
-long AS (SELECT k, plate, treatment, unnest([0, 1, 2]) AS f, unnest(features) AS v FROM good), mid AS (SELECT f, median(v) AS c FROM long GROUP BY f),
+long AS (SELECT k, plate, treatment, unnest([0, 1, 2]) AS f, unnest(features[1:3]) AS v FROM good), mid AS (SELECT f, median(v) AS c FROM long GROUP BY f),
 stats AS (SELECT f, any_value(c) AS c, greatest(median(abs(v - c)) * 1.4826, 1e-8) AS s FROM long JOIN mid USING (f) GROUP BY f),
 z AS (SELECT k, plate, treatment, f, greatest(-5.0, least(5.0, (v - c) / s)) AS v FROM long JOIN stats USING (f)), pb AS (SELECT plate, f, avg(v) AS c FROM z GROUP BY ALL), pg AS (SELECT f, avg(v) AS c FROM z GROUP BY ALL),
 x AS (SELECT treatment, f, v - pb.c + pg.c AS v FROM z JOIN pb USING (plate, f) JOIN pg USING (f)), t AS (SELECT treatment, f, median(v) AS v, count(*) AS n FROM x GROUP BY ALL)
@@ -372,18 +388,20 @@ SELECT treatment, n AS n_replicates, round(max(v) FILTER (f = 0), 5) AS a, round
 
 @query(CURATED)
 def i32_curation(spark, sf):
-    """The whole curation on unique wells (repeated positions averaged), correlation filter off."""
+    """The whole curation on unique wells (repeated positions averaged); the correlation filter drops the feature made of two others."""
     li = table(spark, sf, "lineitem")
     unique = li.groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("k")).agg(
         F.min("l_suppkey").alias("plate"), F.min("l_partkey").alias("treatment"), F.min("l_quantity").alias("cells"), *[F.avg(c).alias(c) for c in FEATURES if c != "l_discount"]
     )
+    unique = unique.withColumn("mixed", F.col("l_quantity") / 2 + F.col("l_tax"))
     # the wells' norms allow few cells here, so the least count is lowered with a scaled column
-    out, _ = pipelines.curate(unique.withColumn("cells", F.col("cells") * 10), "k", "plate", "treatment", ["l_quantity", "l_extendedprice", "l_tax"], "cells")
+    out, _ = pipelines.curate(unique.withColumn("cells", F.col("cells") * 10), "k", "plate", "treatment", ["l_quantity", "l_extendedprice", "l_tax", "mixed"], "cells", correlation=0.9)
     return out.select("treatment", "n_replicates", *[F.round(F.col("features")[i], 5).alias(n) for i, n in enumerate("abc")])
 
 
 @query("""SELECT l_suppkey, l_linenumber, median(l_quantity) AS "Cells_AreaShape_Q", median(l_extendedprice) AS "Nuclei_Intensity_P", count(*) AS cell_count, l_suppkey || '_' || l_linenumber AS sample_id, count(*) >= 80 AS qc_passed
  FROM lineitem GROUP BY 1, 2""")
 def i33_cell_pipeline(spark, sf):
-    cells = table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", F.col("l_quantity").alias("Cells_AreaShape_Q"), F.col("l_extendedprice").alias("Nuclei_Intensity_P"), F.lit(1.0).alias("Cells_Texture_Constant"))
-    return pipelines.process_cells(cells, ["l_suppkey", "l_linenumber"], least=80)
+    copy = (F.col("l_quantity") * 3 + F.col("l_tax")).alias("Cells_AreaShape_Copy")  # goes by the correlation filter
+    cells = table(spark, sf, "lineitem").select("l_suppkey", "l_linenumber", copy, F.col("l_quantity").alias("Cells_AreaShape_Q"), F.col("l_extendedprice").alias("Nuclei_Intensity_P"), F.lit(1.0).alias("Cells_Texture_Constant"))
+    return pipelines.process_cells(cells, ["l_suppkey", "l_linenumber"], correlation=0.9, least=80)

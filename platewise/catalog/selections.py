@@ -47,7 +47,7 @@ def i20_heteroscedastic(spark, sf):
 
 @query("SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal DESC, c_custkey) AS rank FROM customer")
 def e04_rank(spark, sf):
-    return L.rank(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey", parts=16).select("c_custkey", "rank")
+    return L.rank(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", "c_custkey").select("c_custkey", "rank")
 
 
 @query("SELECT c_custkey, round((c_acctbal - (SELECT min(c_acctbal) FROM customer)) / ((SELECT max(c_acctbal) - min(c_acctbal) FROM customer) + 1e-8), 8) AS scaled FROM customer")

@@ -30,16 +30,31 @@ def _share(x: str) -> str:
     return f"CASE WHEN length(s) > 0 THEN ({x})::DOUBLE / length(s) ELSE 0.0 END"
 
 
-@query("""SELECT doc_id, regexp_full_match(upper(regexp_replace(lang, '[\\s\\-.*]', '', 'g')), '[ACDEFGHIKLMNPQRSTVWY]+') AS valid, regexp_full_match(upper(lang), '[ACDEFGHIKLMNPQRSTVWYBXZJUO]+') AS extended FROM documents""")
+RAW = r"""raw AS (SELECT doc_id, source, text, CASE WHEN doc_id % 2 = 0 THEN ' ' || regexp_replace(coalesce(text, ''), '[^A-Ya-y\\-\\s.]', '', 'g') || '*' ELSE regexp_replace(coalesce(text, ''), '[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy\\s]', '', 'g') END AS s FROM documents)"""
+
+
+def raw_sequences(spark, sf):
+    """Texts with white space, dashes, dots and stop marks left in; odd rows hold plain residues only."""
+    text = F.coalesce("text", F.lit(""))
+    loose, plain = F.regexp_replace(text, r"[^A-Ya-y\-\s.]", ""), F.regexp_replace(text, r"[^ACDEFGHIKLMNPQRSTVWYacdefghiklmnpqrstvwy\s]", "")
+    return table(spark, sf, "documents").select("doc_id", "source", "text", F.when(F.pmod("doc_id", F.lit(2)) == 0, F.concat(F.lit(" "), loose, F.lit("*"))).otherwise(plain).alias("s"))
+
+
+@query(rf"""WITH {RAW}, n AS (SELECT doc_id, upper(regexp_replace(s, '[\s\-.*]', '', 'g')) AS s FROM raw)
+SELECT doc_id, sha256(s) AS sequence, regexp_full_match(s, '[ACDEFGHIKLMNPQRSTVWY]+') AS valid, regexp_full_match(s, '[ACDEFGHIKLMNPQRSTVWYBXZJUO]+') AS extended FROM n""")
 def h01_validate(spark, sf):
-    seq = S.normalise_sequence(F.col("lang"))
-    return table(spark, sf, "documents").select("doc_id", S.is_valid(seq).alias("valid"), S.is_valid(seq, True).alias("extended"))
+    rows = raw_sequences(spark, sf).select("doc_id", S.normalise_sequence(F.col("s")).alias("s"))
+    return rows.select("doc_id", F.sha2("s", 256).alias("sequence"), S.is_valid(F.col("s")).alias("valid"), S.is_valid(F.col("s"), True).alias("extended"))
 
 
-@query(f"WITH {SEQ} SELECT doc_id, substr(sha256(s), 1, 16) AS hash, 'protein_' || substr(sha256(s), 1, 16) AS name, lower(trim(source)) AS source, substr(s, 1, 1022) AS short FROM seq")
+@query(rf"""WITH {SEQ}, n AS (SELECT seq.*, CASE WHEN doc_id % 3 = 0 THEN ' ' || lang || ':' || source || '/' || doc_id || '? ' WHEN doc_id % 3 = 1 THEN '  ' END AS name FROM seq),
+c AS (SELECT *, regexp_replace(trim(name), '[<>:"/\|?*]', '_', 'g') AS safe FROM n)
+SELECT doc_id, substr(sha256(s), 1, 16) AS hash, coalesce(nullif(safe, ''), 'protein_' || substr(sha256(s), 1, 16)) AS name, lower(trim(' ' || upper(source) || ' ')) AS source, substr(s, 1, 1022) AS short FROM c""")
 def h02_h03_h20_identity(spark, sf):
-    s = F.col("s")
-    return sequences(spark, sf).select("doc_id", S.sequence_hash(s).alias("hash"), S.clean_name(F.lit(" "), s).alias("name"), S.clean_source(F.col("source")).alias("source"), S.truncate(s).alias("short"))
+    s, kind = F.col("s"), F.pmod("doc_id", F.lit(3))
+    name = F.when(kind == 0, F.concat(F.lit(" "), "lang", F.lit(":"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit("? "))).when(kind == 1, F.lit("  "))
+    source = F.concat(F.lit(" "), F.upper("source"), F.lit(" "))
+    return sequences(spark, sf).select("doc_id", S.sequence_hash(s).alias("hash"), S.clean_name(name, s).alias("name"), S.clean_source(source).alias("source"), S.truncate(s).alias("short"))
 
 
 @query(
@@ -93,9 +108,9 @@ _PAIRS = ", ".join(f"('{a}{b}', {w})" for a, row in S.INSTABILITY.items() for b,
 
 
 @query(f"""WITH {SEQ}, w(pair, w) AS (VALUES {_PAIRS}), p AS (SELECT doc_id, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS pair FROM seq WHERE length(s) > 1),
-t AS (SELECT doc_id, sum(coalesce(w.w, 1.0)::DOUBLE) AS t FROM p LEFT JOIN w USING (pair) GROUP BY doc_id) SELECT doc_id, round(coalesce(10.0 / length(s) * t, 0.0), 6) AS instability FROM seq LEFT JOIN t USING (doc_id)""")
+t AS (SELECT doc_id, sum(coalesce(w.w, 1.0)::DOUBLE) AS t FROM p LEFT JOIN w USING (pair) GROUP BY doc_id) SELECT doc_id, round(coalesce(10.0 / length(s) * t, 0.0) + 1e-9, 6) AS instability FROM seq LEFT JOIN t USING (doc_id)""")
 def h10_instability(spark, sf):
-    return rounded(S.instability(sequences(spark, sf), "doc_id", "s"), "instability")
+    return S.instability(sequences(spark, sf), "doc_id", "s").withColumn("instability", F.round(F.col("instability") + 1e-9, 6))  # off the exact ties
 
 
 _H, _E, _T = (_weighted(x, 1.0) for x in (S.HELIX, S.SHEET, S.TURN))
@@ -129,10 +144,43 @@ def h17_hydrophobic_moment(spark, sf):
     return sequences(spark, sf).select("doc_id", F.round(S.hydrophobic_moment()(F.col("s")), 6).alias("moment"))
 
 
-@query(f"WITH {SEQ} SELECT doc_id, 436 AS n, round(CASE WHEN length(s) > 0 THEN {_count('A')} / length(s) ELSE 0.0 END, 6) AS first, length(s)::DOUBLE AS len FROM seq")
+_COUNTS = ", ".join(f"{_count(a)} AS n{a}" for a in S.RESIDUES)
+
+
+def _scale(scale: dict, unknown: float = 0.0) -> str:
+    return "(" + " + ".join(f"n{a} * ({w} - {unknown})" for a, w in scale.items()) + f" + n * {unknown})::DOUBLE"
+
+
+_ENTROPY = "CASE WHEN n > 0 THEN " + " + ".join(f"CASE WHEN n{a} > 0 THEN -(n{a} / n) * log2(n{a} / n) ELSE 0.0 END" for a in S.RESIDUES) + " ELSE 0.0 END"
+_NAMES = ", ".join(f"'{n}'" for n in S.feature_names())
+DESCRIPTORS = f"""WITH {SEQ}, w(pair, w) AS (VALUES {_PAIRS}), names AS (SELECT unnest([{_NAMES}]) AS name), c AS (SELECT doc_id, s, length(s) AS n, {_COUNTS} FROM seq),
+p AS (SELECT doc_id, length(s) AS n, unnest(list_transform(range(1, length(s)), lambda i: substr(s, i, 2))) AS pair FROM seq WHERE length(s) > 1),
+d AS (SELECT doc_id, pair, count(*) AS k, any_value(n) AS n FROM p GROUP BY doc_id, pair), ins AS (SELECT doc_id, 10.0 / any_value(n) * sum(k * coalesce(w.w, 1.0)::DOUBLE) AS x FROM d LEFT JOIN w USING (pair) GROUP BY doc_id),
+g AS (SELECT doc_id, unnest(range(1, 2048)) AS k, {", ".join(f"n{a}" for a in (*S.ACIDIC, *S.BASIC))} FROM c), pi AS (SELECT doc_id, (sum(({_charge('(k * 14.0 / 2048)', 'n{}'.format)} > 0)::INT) + 0.5) * 14.0 / 2048 AS x FROM g GROUP BY doc_id),
+r AS (SELECT doc_id, length(s) AS n, unnest(string_split(s, '')) AS c, unnest(range(1, length(s) + 1)) AS i FROM seq WHERE length(s) > 0), h AS (SELECT doc_id, n, i, ({_CASE})::DOUBLE AS h FROM r),
+win AS (SELECT doc_id, i, n, list(h) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 10 FOLLOWING) AS w FROM h),
+mom AS (SELECT doc_id, max(sqrt(pow(list_sum(list_transform(w, lambda x, j: x * cos((j - 1) * radians(100.0)))), 2) + pow(list_sum(list_transform(w, lambda x, j: x * sin((j - 1) * radians(100.0)))), 2)) / 11) AS x FROM win WHERE i <= n - 10 GROUP BY doc_id),
+fold AS (SELECT doc_id, {_scale(S.HELIX, 1.0)} AS h, {_scale(S.SHEET, 1.0)} AS e, {_scale(S.TURN, 1.0)} AS t FROM c),
+one AS (SELECT doc_id, unnest([{_NAMES.split(", 'dipep_")[0]}, 'molecular_weight', 'length', 'instability_index', 'aliphatic_index', 'aromaticity', 'gravy', 'hydrophobic_moment', 'helix_fraction', 'sheet_fraction', 'turn_fraction',
+ 'isoelectric_point', 'charge_at_ph7', 'positive_residue_fraction', 'negative_residue_fraction', 'sequence_entropy', 'sequence_complexity']) AS name,
+ unnest([{", ".join(f"CASE WHEN n > 0 THEN n{a} / n ELSE 0.0 END" for a in S.RESIDUES)}, {_scale(S.FINE_WEIGHT, 110.0)} - (n - 1) * 18.015, n::DOUBLE, coalesce(ins.x, 0.0), CASE WHEN n > 0 THEN 100 * (nA + 2.9 * nV + 3.9 * (nI + nL)) / n ELSE 0.0 END,
+ CASE WHEN n > 0 THEN (nF + nW + nY) / n ELSE 0.0 END, CASE WHEN n > 0 THEN {_scale(S.KYTE_DOOLITTLE)} / n ELSE 0.0 END, coalesce(mom.x, 0.0), CASE WHEN h + e + t > 0 THEN h / (h + e + t) ELSE 0.0 END, CASE WHEN h + e + t > 0 THEN e / (h + e + t) ELSE 0.0 END,
+ CASE WHEN h + e + t > 0 THEN t / (h + e + t) ELSE 0.0 END, pi.x, {_charge('7.0', 'n{}'.format)}, CASE WHEN n > 0 THEN (nK + nR + nH) / n ELSE 0.0 END, CASE WHEN n > 0 THEN (nD + nE) / n ELSE 0.0 END, {_ENTROPY},
+ CASE WHEN n = 0 THEN 0.0 WHEN n < 12 THEN list_entropy(string_split(s, '')) / log2(20) ELSE list_avg(list_transform(range(1, n - 10), lambda i: list_entropy(string_split(substr(s, i, 12), '')))) / log2(12) END]) AS value
+ FROM c LEFT JOIN ins USING (doc_id) LEFT JOIN mom USING (doc_id) JOIN pi USING (doc_id) JOIN fold USING (doc_id)),
+long AS (SELECT doc_id, name, value FROM one UNION ALL SELECT doc_id, 'dipep_' || pair, k / (n - 1) FROM d)
+SELECT name, count(*) FILTER (value <> 0) AS n_used, round(sum(value), 2) AS total, round(max(value), 4) AS highest, round(sum(value * (doc_id % 7 + 1)), 2) AS weighted FROM long GROUP BY name HAVING count(*) FILTER (value <> 0) > 0"""
+
+
+@query(DESCRIPTORS)
 def h19_descriptors(spark, sf):
-    out = S.descriptors(sequences(spark, sf), "doc_id", "s")
-    return out.select("doc_id", F.size("features").alias("n"), F.round(F.col("features")[0], 6).alias("first"), F.col("features")[421].alias("len"))
+    """All 436 values of every text, summed up by name in three ways."""
+    out = S.descriptors(sequences(spark, sf), "doc_id", "s").select("doc_id", F.posexplode("features").alias("i", "value"))
+    named = out.withColumn("name", F.element_at(F.array(*[F.lit(n) for n in S.feature_names()]), F.col("i") + 1))
+    sums = named.groupBy("name").agg(
+        F.count_if(F.col("value") != 0).alias("n_used"), F.sum("value").alias("total"), F.max("value").alias("highest"), F.sum(F.col("value") * (F.pmod("doc_id", F.lit(7)) + 1)).alias("weighted")
+    )
+    return rounded(rounded(sums.filter("n_used > 0"), "total", "weighted", digits=2), "highest", digits=4)
 
 
 @query(f"WITH {SEQ} SELECT count(*) AS n, min(length(s)) AS shortest, round(avg(length(s)), 6) AS mean, median(length(s)) AS median, max(length(s)) AS longest FROM seq")

@@ -1,8 +1,8 @@
 """Descriptors of amino-acid sequences as column expressions.
 
 Every function takes a column of validated sequences and returns a column. Residue counts are taken
-once per letter by length differences and combined arithmetically, inside generated code. The two windowed
-descriptors (complexity, hydrophobic moment) are Arrow-batched, where a window is a cumulative sum.
+once per letter by length differences and combined arithmetically, inside generated code. What looks at neighbouring residues
+(pairs, complexity, hydrophobic moment) is Arrow-batched, where a pair is one number and a window a cumulative sum.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from operator import add
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.vectors import let
@@ -112,26 +113,33 @@ def composition(seq: Column) -> Column:
     return F.array(*[_share(seq, count(seq, a).cast("double")) for a in RESIDUES])
 
 
-def charge(seq: Column, ph: float | Column = 7.0) -> Column:
-    """H8: net charge by Henderson-Hasselbalch."""
-    ph = ph if isinstance(ph, Column) else F.lit(float(ph))
+def _charge(counts: dict[str, Column], ph: Column) -> Column:
     up = lambda pka: 1.0 / (1.0 + F.pow(F.lit(10.0), ph - F.lit(pka)))
     down = lambda pka: 1.0 / (1.0 + F.pow(F.lit(10.0), F.lit(pka) - ph))
     terms = [up(N_TERMINUS), -down(C_TERMINUS)]
-    terms += [-count(seq, a) * down(p) for a, p in ACIDIC.items()] + [count(seq, a) * up(p) for a, p in BASIC.items()]
+    terms += [-counts[a] * down(p) for a, p in ACIDIC.items()] + [counts[a] * up(p) for a, p in BASIC.items()]
     return reduce(add, terms)
 
 
+def charge(seq: Column, ph: float | Column = 7.0) -> Column:
+    """H8: net charge by Henderson-Hasselbalch."""
+    return _charge({a: count(seq, a) for a in (*ACIDIC, *BASIC)}, ph if isinstance(ph, Column) else F.lit(float(ph)))
+
+
 def isoelectric_point(seq: Column, steps: int = 11) -> Column:
-    """H9: bisection of [0, 14] on the sign of the charge, eleven halvings, then the middle."""
+    """H9: bisection of [0, 14] on the sign of the charge, eleven halvings, then the middle. The residues are counted once."""
+    letters = [*ACIDIC, *BASIC]
+
+    def bisect(counts):
+        def halve(state, _):
+            mid = (state["low"] + state["high"]) / 2
+            positive = _charge({a: counts[i] for i, a in enumerate(letters)}, mid) > 0
+            return F.struct(F.when(positive, mid).otherwise(state["low"]).alias("low"), F.when(positive, state["high"]).otherwise(mid).alias("high"))
 
-    def halve(state, _):
-        mid = (state["low"] + state["high"]) / 2
-        positive = charge(seq, mid) > 0
-        return F.struct(F.when(positive, mid).otherwise(state["low"]).alias("low"), F.when(positive, state["high"]).otherwise(mid).alias("high"))
+        start = F.struct(F.lit(0.0).alias("low"), F.lit(14.0).alias("high"))
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["low"] + s["high"]) / 2)
 
-    start = F.struct(F.lit(0.0).alias("low"), F.lit(14.0).alias("high"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, halve, lambda s: (s["low"] + s["high"]) / 2)
+    return let(F.array(*[count(seq, a) for a in letters]), bisect)
 
 
 def gravy(seq: Column) -> Column:
@@ -220,26 +228,58 @@ def hydrophobic_moment(angle: float = 100.0, window: int = 11):
     return run
 
 
+def _pair_counts(text: str) -> np.ndarray:
+    """How often each of the 400 pairs of residues occurs, overlapping; pairs with other letters are left out."""
+    slot = np.full(256, len(RESIDUES))
+    slot[[ord(a) for a in RESIDUES]] = np.arange(len(RESIDUES))
+    codes = slot[np.frombuffer(text.encode("latin-1", "replace"), dtype=np.uint8)]
+    return np.bincount(codes[:-1] * 21 + codes[1:], minlength=441)[:441].reshape(21, 21)[:20, :20].reshape(-1)
+
+
 def dipeptides(df: DataFrame, key: str, seq: str) -> DataFrame:
-    """H7 in long form: ``key, pair, n, freq`` of the pairs that occur (overlapping)."""
-    letters = F.split(seq, "")  # taking substrings at every position would be quadratic in the length
-    steps = F.zip_with(F.slice(letters, F.lit(1), F.length(seq) - 1), F.slice(letters, F.lit(2), F.length(seq) - 1), lambda a, b: F.concat(a, b))
-    pairs = df.filter(F.length(seq) > 1).select(key, F.explode(steps).alias("pair")).groupBy(key, "pair").agg(F.count(F.lit(1)).alias("n"))
-    # the length comes from the counts: taken beside the explode it would be computed for every pair
-    pairs = pairs.withColumn("len", F.sum("n").over(Window.partitionBy(key)) + 1).filter(F.col("pair").rlike(f"^[{RESIDUES}]{{2}}$"))
-    return pairs.select(key, "pair", "n", (F.col("n") / (F.col("len") - 1)).alias("freq"), "len")
+    """H7 in long form: ``key, pair, n, freq, len`` of the pairs that occur (overlapping), in one pass without a shuffle."""
+    names = np.array([a + b for a in RESIDUES for b in RESIDUES])
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                texts = [s or "" for s in part.column(1).to_pylist()]
+                counts = [_pair_counts(s) for s in texts]
+                met = [np.flatnonzero(c) for c in counts]
+                owner = np.repeat(np.arange(len(texts)), [len(m) for m in met])
+                pair, n = np.concatenate([*met, np.zeros(0, dtype=np.int64)]).astype(np.int64), np.concatenate([*(c[m] for c, m in zip(counts, met)), np.zeros(0, dtype=np.int64)]).astype(np.int64)
+                length = np.array([len(s) for s in texts], dtype=np.int64)[owner]
+                cols = [part.column(0).take(pa.array(owner)), pa.array(names[pair]), pa.array(n), pa.array(n / np.maximum(length - 1, 1)), pa.array(length)]
+                yield pa.RecordBatch.from_arrays(cols, [key, "pair", "n", "freq", "len"])
+
+    kind = df.schema[key].dataType.simpleString()
+    return df.select(key, F.col(seq).alias("_s")).mapInArrow(run, f"`{key}` {kind}, pair string, n long, freq double, len long")
+
+
+def pair_descriptors(weights=None, frequencies: bool = True):
+    """H7 and H10 as one vectorised function of a sequence column: the instability index, after the 400 pair frequencies if wanted."""
+    scale = np.array([(weights or INSTABILITY).get(a, {}).get(b, 1.0) for a in RESIDUES for b in RESIDUES])
+
+    @F.pandas_udf("array<double>")
+    def run(seqs: pd.Series) -> pd.Series:
+        def one(s):
+            if s is None:
+                return None
+            if len(s) < 2:
+                return np.zeros(401 if frequencies else 1)
+            n = _pair_counts(s)
+            index = 10.0 / len(s) * (n @ scale)
+            return np.append(n / (len(s) - 1), index) if frequencies else np.array([index])
 
+        return seqs.map(one, na_action=None)
 
-def _weight_map(weights) -> Column:
-    flat = [(a + b, w) for a, row in weights.items() for b, w in row.items()]
-    return F.create_map(*[F.lit(x) for pair in flat for x in pair])
+    return run
 
 
 def instability(df: DataFrame, key: str, seq: str, weights=None) -> DataFrame:
     """``key, instability``; sequences under two residues have 0."""
-    pair_weight = F.coalesce(_weight_map(weights or INSTABILITY)[F.col("pair")], F.lit(1.0))
-    sums = dipeptides(df, key, seq).groupBy(key).agg((10.0 / F.max("len") * F.sum(F.col("n") * pair_weight)).alias("instability"))
-    return df.select(key).join(sums, key, "left").select(key, F.coalesce("instability", F.lit(0.0)).alias("instability"))
+    return df.select(key, F.coalesce(pair_descriptors(weights, False)(F.col(seq))[0], F.lit(0.0)).alias("instability"))
 
 
 GROUPS = ("composition", "dipeptides", "global", "hydrophobicity", "structure", "charge", "complexity")
@@ -260,26 +300,20 @@ def feature_names(groups=GROUPS) -> list[str]:
 
 
 def descriptors(df: DataFrame, key: str, seq: str, groups=GROUPS) -> DataFrame:
-    """``key, features`` with the chosen groups in fixed order (436 values for all seven)."""
+    """``key, features`` with the chosen groups in fixed order (436 values for all seven), row by row without a shuffle."""
     s = F.col(seq)
     out = df.select(key, seq)
+    if "dipeptides" in groups or "global" in groups:
+        out = out.withColumn("_pairs", pair_descriptors(frequencies="dipeptides" in groups)(s))
     parts = {
         "composition": composition(s),
-        "global": F.array(molecular_weight(s), F.length(s).cast("double"), F.col("instability"), aliphatic_index(s), aromaticity(s)),
+        "dipeptides": F.slice("_pairs", 1, 400),
+        "global": F.array(molecular_weight(s), F.length(s).cast("double"), F.element_at("_pairs", -1), aliphatic_index(s), aromaticity(s)),
         "hydrophobicity": F.array(gravy(s), hydrophobic_moment()(s)),
         "structure": structure_fractions(s),
         "charge": F.concat(F.array(isoelectric_point(s), charge(s)), charged_fractions(s)),
         "complexity": F.array(entropy(s), complexity()(s)),
     }
-    if "dipeptides" in groups or "global" in groups:
-        pairs = dipeptides(df, key, seq)
-        per = pairs.groupBy(key).agg(
-            F.map_from_entries(F.collect_list(F.struct("pair", "freq"))).alias("pairs"),
-            (10.0 / F.max("len") * F.sum(F.col("n") * F.coalesce(_weight_map(INSTABILITY)[F.col("pair")], F.lit(1.0)))).alias("instability"),
-        )
-        out = out.join(per, key, "left").withColumn("instability", F.coalesce("instability", F.lit(0.0)))
-        every = F.transform(F.sequence(F.lit(0), F.lit(399)), lambda i: F.concat(F.substr(F.lit(RESIDUES), (i / 20).cast("int") + 1, F.lit(1)), F.substr(F.lit(RESIDUES), i % 20 + 1, F.lit(1))))
-        parts["dipeptides"] = F.transform(every, lambda p: F.coalesce(F.col("pairs")[p], F.lit(0.0)))
     return out.select(key, F.concat(*[parts[g] for g in GROUPS if g in groups]).alias("features"))
 
 

@@ -8,7 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from platewise.operators.normalise import average_rank
+from platewise.operators import gram
+from platewise.operators.order import average_rank
 
 
 def regression(long: DataFrame, by=()) -> DataFrame:
@@ -36,7 +37,8 @@ def spearman(long: DataFrame, mode: str = "sample", by=()) -> DataFrame:
     """As ``pearson`` on average ranks."""
     inner = {"sample": ["sample"], "feature": ["f"], "global": []}[mode]
     keys = [*by, *inner]
-    ranked = average_rank(average_rank(long, keys, "pred", "_p"), keys, "target", "_t")
+    cuts = 0 if mode == "sample" else 64  # a feature or the whole table is a large group
+    ranked = average_rank(average_rank(long, keys, "pred", "_p", cuts), keys, "target", "_t", cuts)
     ranked = ranked.withColumn("pred", F.col("_p")).withColumn("target", F.col("_t")).drop("_p", "_t")
     return _guarded_corr(ranked, keys).groupBy(*by).agg(F.avg("r").alias("spearman"))
 
@@ -113,8 +115,7 @@ def latent_regularity(long: DataFrame, key: str) -> DataFrame:
     """Mean absolute and squared value, hinge on unit spread per dimension, and mean squared off-diagonal covariance."""
     v = long.agg(F.avg(F.abs("v")).alias("l1"), F.avg(F.col("v") * F.col("v")).alias("l2"), F.count_distinct("f").alias("_d"))
     spread = long.groupBy("f").agg(F.greatest(F.lit(0.0), 1 - F.sqrt(F.var_samp("v") + 1e-4)).alias("h")).agg(F.avg("h").alias("variance"))
-    a, b = long.select(key, F.col("f").alias("a"), F.col("v").alias("x")), long.select(key, F.col("f").alias("b"), F.col("v").alias("y"))
-    cov = a.join(b, key).filter("a < b").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("c")).agg((2 * F.sum(F.col("c") * F.col("c"))).alias("_cov"))
+    cov = gram.covariance(gram.pair_sums(gram.listed(long.select(key, "f", "v"), key))).agg((2 * F.sum(F.col("c") * F.col("c"))).alias("_cov"))
     return v.crossJoin(spread).crossJoin(cov).select("l1", "l2", "variance", (F.col("_cov") / F.col("_d")).alias("covariance"))
 
 

@@ -5,20 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.operators.order import exact_percentiles
+
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
 
 def request_summary(log: DataFrame, latency: str, error: Column, by=(), approximate: bool = False) -> DataFrame:
     """Totals, error rate (errors / max(successes, 1)) and latency figures of the successful requests."""
     ok = F.when(~error, F.col(latency))
-    q = (lambda p: F.percentile_approx(ok, p)) if approximate else (lambda p: F.percentile(ok, F.lit(p)))
-    out = log.groupBy(*by).agg(
-        F.sum((~error).cast("long")).alias("requests"),
-        F.sum(error.cast("long")).alias("errors"),
-        F.avg(ok).alias("mean"),
-        *[q(p).alias(k) for k, p in PERCENTILES.items()],
-        F.max(ok).alias("max"),
-    )
+    by = list(by)
+    rough = [F.percentile_approx(ok, p).alias(k) for k, p in PERCENTILES.items()] if approximate else []
+    out = log.groupBy(*by).agg(F.sum((~error).cast("long")).alias("requests"), F.sum(error.cast("long")).alias("errors"), F.avg(ok).alias("mean"), *rough, F.max(ok).alias("max"))
+    if not approximate:
+        exact = exact_percentiles(log.withColumn("_ok", ok), by, "_ok", PERCENTILES)
+        out = out.join(exact, by) if by else out.crossJoin(F.broadcast(exact))  # without keys it is one row
     return out.withColumn("error_rate", F.col("errors") / F.greatest("requests", F.lit(1)))
 
 

@@ -6,9 +6,11 @@ packed rows as arrays.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise.operators import gram
+from platewise.operators.order import average_rank, exact_percentiles, largest_group
 from platewise.schema import to_long
 
 FLOOR, MAD_SCALE = 1e-8, 1.4826
@@ -20,9 +22,11 @@ def statistics(long: DataFrame, method: str, keys=(), only: Column | None = None
     v = F.when(only, F.col("v")) if only is not None else F.col("v")
     rows = long.withColumn("v", v)
     if method == "robust":
-        mid = rows.groupBy(*keys).agg(F.median("v").alias("centre"))
-        near = rows.join(mid, keys)
-        out = near.groupBy(*keys).agg(F.first("centre").alias("centre"), (F.median(F.abs(F.col("v") - F.col("centre"))) * MAD_SCALE).alias("scale"))
+        largest = largest_group(rows, keys, "v")
+        mid = exact_percentiles(rows, keys, "v", {"centre": 0.5}, largest=largest)
+        near = rows.join(mid, keys).withColumn("_d", F.abs(F.col("v") - F.col("centre")))
+        mad = exact_percentiles(near, [*keys, "centre"], "_d", {"_mad": 0.5}, largest=largest)
+        out = mad.select(*keys, "centre", (F.col("_mad") * MAD_SCALE).alias("scale"))
     elif method == "zscore":
         out = rows.groupBy(*keys).agg(F.avg("v").alias("centre"), F.stddev_pop("v").alias("scale"))
     elif method == "minmax":
@@ -108,19 +112,23 @@ def batch_summary(long: DataFrame, batch: str, method: str) -> DataFrame:
 
 
 def feature_statistics(long: DataFrame) -> DataFrame:
-    """Per feature moments, order statistics and null share."""
+    """Per feature moments, range and null share."""
     return long.groupBy("f").agg(
         F.avg("v").alias("mean"),
         F.stddev_pop("v").alias("std"),
         F.min("v").alias("min"),
         F.max("v").alias("max"),
-        F.median("v").alias("median"),
         F.avg(F.col("v").isNull().cast("double")).alias("null_share"),
         F.var_pop("v").alias("var_pop"),
         F.var_samp("v").alias("var_samp"),
     ).withColumn("cv", F.col("std") / (F.abs("mean") + 1e-8))
 
 
+def feature_medians(long: DataFrame) -> DataFrame:
+    """The exact median of each feature."""
+    return exact_percentiles(long, ["f"], "v", {"median": 0.5})
+
+
 def removals(stats: DataFrame, version: int = 1, nulls: float = 0.05, variance: float = 1e-6) -> DataFrame:
     """D15 (version 1) and D18 (version 2): features to remove, with the reason."""
     low = F.col("var_pop") < variance if version == 1 else ~(F.col("var_samp") > variance)
@@ -144,25 +152,16 @@ def problem_features(stats: DataFrame, low: float = 1e-6, nulls: float = 0.05, t
 
 
 def correlations(long: DataFrame, key: str, method: str = "pearson") -> DataFrame:
-    """``a < b, r`` over pairwise complete rows; constant features have no r. The join's rows are rows times pairs of features."""
+    """``a < b, r`` over pairwise complete rows; constant features have no r."""
     rows = long.filter(F.col("v").isNotNull())
     if method == "spearman":
-        rows = average_rank(rows, ["f"], "v", "v")
-    a = rows.select(key, F.col("f").alias("a"), F.col("v").alias("x"))
-    b = rows.select(key, F.col("f").alias("b"), F.col("v").alias("y"))
-    pairs = a.join(b, key).filter("a < b").groupBy("a", "b")
-    sums = pairs.agg(F.corr("x", "y").alias("r"), F.stddev_pop("x").alias("sx"), F.stddev_pop("y").alias("sy"))
-    return sums.select("a", "b", F.when((F.col("sx") > 0) & (F.col("sy") > 0), F.col("r")).alias("r"))
-
-
-def average_rank(df: DataFrame, by, value: str, out: str) -> DataFrame:
-    """Ranks from 1, ties sharing their mean rank. Ranks are taken over distinct values and their counts,
-    and joined back by value, so the values must not change when they are computed again."""
-    order = Window.partitionBy(*by).orderBy(value)
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    ranks = counts.withColumn("_rank", F.sum("_n").over(order) - (F.col("_n") - 1) / 2.0)
-    joined = df.join(ranks.drop("_n"), [*by, value])
-    return joined.withColumn(out, F.col("_rank")).drop("_rank")
+        rows = average_rank(rows, ["f"], "v", "v", cuts=64)
+    return gram.correlation(gram.pair_sums(gram.listed(rows.select(key, "f", "v"), key)))
+
+
+def packed_correlations(packed: DataFrame, features: str = "features") -> DataFrame:
+    """D19 on packed rows, without gathering them by a key."""
+    return gram.correlation(gram.pair_sums(gram.listed_packed(packed, features)))
 
 
 def correlation_filter(variances: dict[int, float], pairs: list[tuple[int, int, float]], limit: float, version: int = 1) -> list[int]:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.vectors import norm
+from platewise.operators.order import exact_percentiles, largest_group
 
 # Plate types that belong to a perturbation type.
 PLATE_TYPES = {"orf": ("orf",), "crispr": ("crispr",), "compound": ("compound", "compound_empty", "compound_full"), "target2": ("target2",)}
@@ -42,9 +43,13 @@ def norm_bounds(packed: DataFrame, times: float = 3.0, by: list[str] | None = No
     """Lower and upper norm, median plus or minus ``times`` MAD; nulls where the check does not apply."""
     by = by or []
     rows = packed.select(*by, norm(F.col("features")).alias("_norm"))
-    centre = rows.groupBy(*by).agg(F.median("_norm").alias("_mid"), F.count(F.lit(1)).alias("_n"))
-    near = rows.join(centre, by) if by else rows.crossJoin(F.broadcast(centre))
-    mad = near.groupBy(*by, "_mid", "_n").agg((F.median(F.abs(F.col("_norm") - F.col("_mid"))) * MAD_SCALE).alias("_mad"))
+    largest = largest_group(rows, by, "_norm")
+    near = exact_percentiles(rows, by, "_norm", {"_mid": 0.5}, largest=largest)
+    near = rows.join(near, by) if by else rows.crossJoin(F.broadcast(near))  # without keys it is one row
+    mad = exact_percentiles(near.withColumn("_d", F.abs(F.col("_norm") - F.col("_mid"))), [*by, "_mid"], "_d", {"_mad": 0.5}, largest=largest)
+    mad = mad.withColumn("_mad", F.col("_mad") * MAD_SCALE)
+    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    mad = mad.join(sizes, by) if by else mad.crossJoin(F.broadcast(sizes))
     applies = (F.col("_n") > 2) & (F.col("_mad") > 1e-8)
     return mad.select(
         *by, F.when(applies, F.col("_mid") - times * F.col("_mad")).alias("norm_low"), F.when(applies, F.col("_mid") + times * F.col("_mad")).alias("norm_high")
@@ -54,7 +59,7 @@ def norm_bounds(packed: DataFrame, times: float = 3.0, by: list[str] | None = No
 def flag_wells(packed: DataFrame, count: str | None = None, null_share: float = 0.5, least: int = 50, times: float = 3.0, by: list[str] | None = None) -> DataFrame:
     """``qc_passed`` and ``qc_reasons`` from the three checks together."""
     bounds = norm_bounds(packed, times, by)
-    rows = packed.join(F.broadcast(bounds), by) if by else packed.crossJoin(F.broadcast(bounds))
+    rows = packed.join(bounds, by) if by else packed.crossJoin(F.broadcast(bounds))  # without keys it is one row
     n = norm(F.col("features"))
     tests = {
         "nulls": ~null_share_ok(F.col("features"), null_share),
@@ -107,9 +112,8 @@ def missing_positions(wells: DataFrame, plate: str, row: str, col: str, rows, co
 
 def well_deviation(long: DataFrame, plate: str, well: str) -> DataFrame:
     """Per well the median over features of the distance from the plate's feature median."""
-    mid = long.groupBy(plate, "f").agg(F.median("v").alias("_mid"))
-    near = long.join(mid, [plate, "f"])
-    return near.groupBy(plate, well).agg(F.median(F.abs(F.col("v") - F.col("_mid"))).alias("deviation"))
+    near = long.join(exact_percentiles(long, [plate, "f"], "v", {"_mid": 0.5}), [plate, "f"])
+    return near.groupBy(plate, well).agg(F.median(F.abs(F.col("v") - F.col("_mid"))).alias("deviation"))  # over a well's features
 
 
 def plate_map(wells: DataFrame, row: str, col: str, value: str, cols) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from platewise.functions import vectors as V
 from platewise.operators.joins import unmatched
+from platewise.operators.order import rank  # noqa: F401
 
 
 def distance(a: Column, b: Column) -> Column:
@@ -36,23 +37,6 @@ def replicate_similarity(df: DataFrame, key: str, label: str, vector: str) -> Da
     return per.select(label, "n", ((F.col("q") - F.col("n")) / (F.col("n") * (F.col("n") - 1))).alias("similarity"))
 
 
-def rank(df: DataFrame, score: str, key: str, out: str = "rank", parts: int | None = None) -> DataFrame:
-    """Descending rank from 1 over all rows, without one task for all of them.
-
-    Rows are dealt by score into buckets of a histogram; ranks inside a bucket start after the rows above it.
-    """
-    span = df.agg(F.min(score).alias("_lo"), F.max(score).alias("_hi"), F.count(F.lit(1)).alias("_n"))
-    lo, hi, n = span.first()
-    buckets = parts or max(1, min(4096, int((n or 0) // 100_000) + 1))
-    width = (float(hi) - float(lo)) / buckets if n and hi is not None and hi > lo else 1.0
-    b = F.coalesce(F.floor((F.col(score) - F.lit(float(lo or 0))) / width), F.lit(-1)).cast("int") if n else F.lit(0)
-    rows = df.withColumn("_b", b)
-    above = rows.groupBy("_b").agg(F.count(F.lit(1)).alias("_c"))
-    above = above.select("_b", (F.sum("_c").over(Window.orderBy(F.col("_b").desc())) - F.col("_c")).alias("_above"))
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(F.col(score).desc_nulls_last(), key))
-    return rows.withColumn("_inside", inside).join(F.broadcast(above), "_b").withColumn(out, F.col("_inside") + F.col("_above")).drop("_b", "_inside", "_above")
-
-
 def aggregate_members(long: DataFrame, keys=("sample", "f")) -> DataFrame:
     """Mean and population spread over members or passes; fewer than two members are an error."""
     out = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.count(F.lit(1)).alias("_n"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise import scratch
 from platewise.functions.sequence import GROUPS, descriptors
 from platewise.functions.vectors import l2_normalise
 from platewise.operators import aggregates, normalise, quality
@@ -34,13 +35,12 @@ def curate(
     keep = [key, batch, treatment, *([count] if count else [])]
     packed = pack(wells, features, keep)
     good = quality.flag_wells(packed, count).filter("qc_passed").select(key, batch, treatment, quality.fill_missing(F.col("features")).alias("features"))
-    stats = normalise.feature_statistics(to_long(good, [key])).persist()
+    stats = scratch.written(normalise.feature_statistics(to_long(good, [key])), "features")
     removed = {r.f for r in normalise.removals(stats, 1, variance=variance).collect()}
     if correlation < 1:
         kept = [i for i in range(len(features)) if i not in removed]
         variances = {r.f: r.var_pop for r in stats.collect() if r.f in kept}
-        long = to_long(good, [key]).filter(F.col("f").isin(kept))
-        pairs = [(r.a, r.b, r.r) for r in normalise.correlations(long, key).collect()]
+        pairs = [(r.a, r.b, r.r) for r in normalise.packed_correlations(good).collect() if r.a in variances and r.b in variances]
         removed |= set(normalise.correlation_filter(variances, pairs, correlation))
     kept = [i for i in range(len(features)) if i not in removed]
     chosen = good.withColumn("features", F.array(*[F.col("features")[i] for i in kept]))
@@ -62,7 +62,7 @@ def process_cells(cells: DataFrame, keys, nulls: float = 0.05, variance: float =
     gone = {r.f for r in normalise.removals(stats, 2, nulls, variance).collect()}
     if correlation < 1:
         left = [i for i in range(len(names)) if i not in gone]
-        pairs = [(r.a, r.b, r.r) for r in normalise.correlations(long.filter(F.col("f").isin(left)), ordinal).collect()]
+        pairs = [(r.a, r.b, r.r) for r in normalise.packed_correlations(pack(cells, names, [])).collect() if r.a in left and r.b in left]
         gone |= set(normalise.correlation_filter({i: 0.0 for i in left}, pairs, correlation, 2))
     kept = [n for i, n in enumerate(names) if i not in gone]
     wells = aggregates.cells_to_wells(cells, keys, kept, how)
