@@ -78,3 +78,19 @@ def predictions(spark, sf: str) -> DataFrame:
 
 def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
     return df.withColumns({n: F.round(n, digits) for n in names})
+
+
+def uniform_sql(*parts: str) -> str:
+    """``hash_uniform`` in SQL, of expressions."""
+    text = " || '|' || ".join(f"({p})::VARCHAR" for p in parts)
+    return f"(('0x' || substr(sha256({text}), 1, 13))::BIGINT / 4503599627370496.0)"
+
+
+def picks_sql(source: str, first: str, following: str, n: int, update: str = "least(d, dist)", start: str = "'infinity'::DOUBLE") -> str:
+    """Greedy picks of ``n`` rows from the table expression ``source`` (vec_id, x, u): the first by ``first``, later ones by ``following`` (``{k}``:
+    the number of picks so far), after ``d`` of every candidate is updated by its distance ``dist`` to the last pick; ties to the smaller vec_id."""
+    parts = [f"c0 AS MATERIALIZED (SELECT vec_id, x, u, {start} AS d FROM ({source}))", f"p1 AS MATERIALIZED (SELECT vec_id, x, u, d FROM c0 ORDER BY {first} DESC, vec_id LIMIT 1)"]
+    for k in range(1, n):
+        parts.append(f"c{k} AS MATERIALIZED (SELECT vec_id, x, u, {update} AS d FROM (SELECT c.*, list_distance(c.x, p.x) AS dist FROM c{k - 1} c, p{k} p WHERE c.vec_id <> p.vec_id))")
+        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT vec_id, x, u, d FROM c{k}, (SELECT min(d) AS lo, max(d) AS hi FROM c{k}) ORDER BY {following.format(k=k)} DESC, vec_id LIMIT 1)")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {k} AS rank, vec_id FROM p{k}" for k in range(1, n + 1))

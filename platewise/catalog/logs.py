@@ -99,46 +99,72 @@ def _run(spark, stream, mode):
     if mode == "append":
         stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).outputMode("append").trigger(availableNow=True).start().awaitTermination()
     else:
-        sink = lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("append").parquet(out)
+        sink = lambda df, n: df.write.mode("overwrite").parquet(f"{out}/batch={n}")  # noqa: E731  # a batch that is tried again replaces itself
         stream.writeStream.foreachBatch(sink).option("checkpointLocation", mark).outputMode("update").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(out)
 
 
-@query()
+@query("""SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) FILTER (event_type <> 'error') AS requests, count(*) FILTER (event_type = 'error') AS errors,
+ round(count(*) FILTER (event_type = 'error') / greatest(count(*) FILTER (event_type <> 'error'), 1), 6) AS error_rate FROM events GROUP BY 1""")
 def j01_stream_windows(spark, sf):
-    """Tumbling windows over the stream, all of them closed by the watermark."""
+    """Tumbling windows of a day over the stream, all of them closed by the watermark."""
     log = _stream(spark, sf, "ts", "event_type", "value", close=True)
     out = monitor.request_windows(log, "ts", "value", F.col("event_type") == "error", width="1 day")
-    out = _run(spark, out.select(F.col("window.start").alias("start"), "requests", "errors", "error_rate"), "append")
+    out = _run(spark, out.select(F.col("window.start").alias("start"), "requests", "errors", F.round("error_rate", 6).alias("error_rate")), "append")
     end = table(spark, sf, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("end"))
-    return out.join(F.broadcast(end), F.col("start") <= F.col("end")).drop("end")  # without the rows that close
+    out = out.join(F.broadcast(end), F.col("start") <= F.col("end"))  # one row; without the rows that close
+    return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "requests", "errors", "error_rate")
 
 
-@query()
+@query("""WITH k AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS rn FROM events WHERE value IS NOT NULL)
+SELECT event_type AS key, count(*) AS n, round(quantile_cont(value, 0.5), 6) AS p50 FROM k WHERE rn <= 200 GROUP BY event_type""")
 def j02_stream_last_n(spark, sf):
     """Per event type the state after the last trigger."""
     out = _run(spark, monitor.last_n_stream(_stream(spark, sf, "ts", "event_type", "value"), "event_type", "ts", "value", 200), "update")
-    return out.groupBy("key").agg(F.max_by("n", "batch").alias("n"), F.max_by("p50", "batch").alias("p50"))
+    return rounded(out.groupBy("key").agg(F.max_by("n", "batch").alias("n"), F.max_by("p50", "batch").alias("p50")), "p50")
 
 
-@query()
+@query("""WITH k AS (SELECT event_type AS key, value, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS a, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC) AS z FROM events WHERE value IS NOT NULL),
+parts AS (SELECT key, value, CASE WHEN a <= 300 THEN 'r' WHEN z <= 300 THEN 'c' END AS part FROM k WHERE a <= 300 OR z <= 300), s AS (SELECT key, value, count(*) FILTER (part = 'r') AS r, count(*) FILTER (part = 'c') AS c FROM parts GROUP BY ALL),
+u AS (SELECT key, sum(r) OVER w AS fr, sum(c) OVER w AS fc, sum(r) OVER (PARTITION BY key) AS nr, sum(c) OVER (PARTITION BY key) AS nc FROM s WINDOW w AS (PARTITION BY key ORDER BY value))
+SELECT key, any_value(nc)::BIGINT AS n_current, round(max(CASE WHEN nc >= 300 THEN abs(fr / nr - fc / nc) END), 6) AS statistic FROM u GROUP BY key""")
 def j03_stream_drift(spark, sf):
+    """Per event type the test after the last trigger."""
     out = _run(spark, monitor.drift_stream(_stream(spark, sf, "ts", "event_type", "value"), "event_type", "ts", "value", 300), "update")
-    return out.groupBy("key").agg(F.max_by("n_current", "batch").alias("n_current"), F.max_by("statistic", "batch").alias("statistic"))
+    last = out.groupBy("key").agg(F.max(F.struct("batch", "n_current", "statistic")).alias("x"))
+    return rounded(last.select("key", "x.n_current", "x.statistic"), "statistic")
 
 
-@query()
+@query("""WITH b AS (SELECT user_id, ts, event_id FROM events WHERE event_type = 'purchase'), c AS (SELECT user_id, ts, value FROM events WHERE event_type = 'click')
+SELECT event_id, value AS prediction FROM b LEFT JOIN c ON b.user_id = c.user_id AND b.ts >= c.ts AND c.ts >= b.ts - INTERVAL 1 HOUR""")
 def j04_stream_feedback(spark, sf):
+    """Each purchase with the clicks of its user in the hour before."""
     clicks = _stream(spark, sf, "user_id", "ts", "value", "event_type", close=True).filter("event_type = 'click'").select("user_id", "ts", F.col("value").alias("prediction"))
     bought = _stream(spark, sf, "user_id", "ts", "event_id", "event_type", close=True).filter("event_type = 'purchase'").select("user_id", "ts", "event_id")
     return _run(spark, monitor.match_feedback(clicks, bought, "user_id", "ts").select("event_id", "prediction"), "append").filter("event_id is not null")
 
 
-@query("SELECT event_id, event_type FROM events")
+@query("SELECT count(*) AS n, round(sum((value - user_id) ** 2), 1) AS square, round(sum(abs(value - user_id)), 2) AS error FROM events WHERE value IS NOT NULL AND user_id IS NOT NULL")
+def j07_stream_quality(spark, sf):
+    """Quality of matched pairs batch by batch; errors times rows add up over the batches."""
+    pairs = _stream(spark, sf, "event_id", "value", "user_id").select(F.col("event_id").alias("sample"), F.lit(0).alias("f"), F.col("value").alias("pred"), F.col("user_id").cast("double").alias("target"))
+    out, mark = folder(spark, "quality"), folder(spark, "marks")
+    step = monitor.quality_of_batch(lambda metrics, n: metrics.write.mode("overwrite").parquet(f"{out}/batch={n}"))
+    pairs.writeStream.foreachBatch(step).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+    got = spark.read.parquet(out)
+    return got.agg(F.sum("n").alias("n"), F.round(F.sum(F.col("mse") * F.col("n")), 1).alias("square"), F.round(F.sum(F.col("mae") * F.col("n")), 2).alias("error"))
+
+
+@query("""WITH t AS (SELECT max(ts) AS top FROM events WHERE event_id % 2 = 0)
+SELECT event_id, event_type, CASE WHEN event_id % 2 = 1 AND ts < top - INTERVAL 600 SECOND THEN 'late' ELSE 'good' END AS side FROM events, t""")
 def a15_j08_append_and_late(spark, sf):
-    """All rows arrive on one side or the other: on time, or rejected as late."""
-    good, bad, mark = folder(spark, "good"), folder(spark, "late"), folder(spark, "marks")
-    save = lambda path: lambda df: df.write.mode("append").parquet(path)
-    step = monitor.split_late("ts", 600, save(good), save(bad))
-    _stream(spark, sf, "event_id", "event_type", "ts").writeStream.foreachBatch(step).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(good).unionByName(spark.read.parquet(bad)).select("event_id", "event_type")
+    """Rows with odd numbers come second, so all of them but the last ten minutes are late."""
+    source, log, out, marks = (folder(spark, n) for n in ("events", "log", "sides", "marks"))
+    events = table(spark, sf, "events").select("event_id", "event_type", "ts")
+    for odd in (0, 1):
+        events.filter(F.col("event_id") % 2 == odd).repartition(1).write.mode("append").parquet(source)
+    arriving = lambda path: spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    monitor.append_log(arriving(source), log, f"{marks}/log").awaitTermination()
+    arriving(log).writeStream.foreachBatch(monitor.split_late("ts", 600, out)).option("checkpointLocation", f"{marks}/late").trigger(availableNow=True).start().awaitTermination()
+    sides = [spark.read.schema(events.schema).parquet(f"{out}/{s}").select("event_id", "event_type", F.lit(s).alias("side")) for s in ("good", "late")]
+    return sides[0].unionByName(sides[1])

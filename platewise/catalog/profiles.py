@@ -25,17 +25,20 @@ def flagship_treatment_profiles(spark, sf):
     return rounded(out, "z")
 
 
-@query("""SELECT p_partkey AS part, p_name AS name, contains(p_name, 'Parent_') OR contains(p_name, 'Children_') OR contains(p_name, 'ObjectNumber') OR contains(p_name, 'Location_Center_')
- OR contains(p_name, 'Number_Object_Number') OR contains(p_name, 'AreaShape_BoundingBox') AS is_blocked, split_part(p_type, ' ', 1) AS head,
- CASE WHEN contains(p_type, 'Texture') THEN 'Texture' ELSE 'other' END AS category FROM part""")
+NAMES = {0: "Cells_AreaShape_", 1: "Nuclei_Texture_", 2: "Cells_Parent_", 3: "Cytoplasm_Intensity_", 4: "Cells_Location_Center_X_", 5: "Nuclei_Correlation_", 6: "Image_", 7: "Cells_Number_Object_Number_", 8: "Nuclei_AreaShape_BoundingBox", 9: "Nuclei_Granularity_"}
+_NAME = "CASE p_partkey % 11 " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in NAMES.items()) + " ELSE '' END || p_name"
+
+
+@query(f"""WITH n AS (SELECT p_partkey AS part, {_NAME} AS name FROM part) SELECT part, name, regexp_matches(name, '{"|".join(schema.BLOCKED)}') AS is_blocked, split_part(name, '_', 1) AS head,
+ CASE {" ".join(f"WHEN contains(name, '{c}') THEN '{c}'" for c in schema.CATEGORIES)} ELSE 'other' END AS category FROM n""")
 def b03_b06_feature_names(spark, sf):
-    return table(spark, sf, "part").select(
-        F.col("p_partkey").alias("part"),
-        F.col("p_name").alias("name"),
-        schema.blocked_column(F.col("p_name")).alias("is_blocked"),
-        F.substring_index("p_type", " ", 1).alias("head"),
-        schema.category(F.col("p_type")).alias("category"),
-    )
+    """Names of features of many kinds, some of them blocked."""
+    kind = F.col("p_partkey") % 11
+    head = F.lit("")
+    for k, v in NAMES.items():
+        head = F.when(kind == k, v).otherwise(head)
+    rows = table(spark, sf, "part").select(F.col("p_partkey").alias("part"), F.concat(head, "p_name").alias("name"))
+    return rows.withColumns({"is_blocked": schema.blocked_column(F.col("name")), "head": schema.compartment(F.col("name")), "category": schema.category(F.col("name"))})
 
 
 @query("""SELECT s_suppkey, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE contains(lower(trim(r_name)), 'america')
@@ -87,9 +90,10 @@ def b18_pack_profiles(spark, sf):
     return out.select("l_orderkey", "l_linenumber", "plate_id", "sample_id", F.col("features")[0].alias("a"), F.col("features")[1].alias("b"))
 
 
-@query("""SELECT l_orderkey, l_linenumber, chr((65 + l_linenumber)::INT) AS row, l_quantity::INT AS col, 1 AS row_length FROM lineitem""")
+@query("""SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 2 = 0 THEN 'A' ELSE '' END || chr((65 + l_linenumber)::INT) AS row, l_quantity::INT AS col, (1 + (l_suppkey % 2 = 0)::INT)::INT AS row_length FROM lineitem""")
 def b19_well_position(spark, sf):
-    well = F.concat(F.chr(F.col("l_linenumber") + 65), F.lpad(F.col("l_quantity").cast("int").cast("string"), 2, "0"))
+    head = F.when(F.col("l_suppkey") % 2 == 0, "A").otherwise("")  # rows past Z have two letters
+    well = F.concat(head, F.chr(F.col("l_linenumber") + 65), F.lpad(F.col("l_quantity").cast("int").cast("string"), 2, "0"))
     return table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", Q.well_position(well).alias("p")).select("l_orderkey", "l_linenumber", "p.*")
 
 
@@ -283,7 +287,7 @@ def d04_distinct_values(spark, sf):
 
 @query("SELECT DISTINCT l_suppkey, l_linestatus FROM lineitem")
 def d05_plate_sources(spark, sf):
-    return table(spark, sf, "lineitem").select("l_suppkey", "l_linestatus").distinct()
+    return A.plate_sources(table(spark, sf, "lineitem"), "l_suppkey", "l_linestatus")
 
 
 @query("""WITH p AS (SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1), d AS (SELECT n, count(*) AS keys FROM p GROUP BY n)
@@ -336,6 +340,11 @@ def f04_widest_groups(spark, sf):
     return A.widest_groups(table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey"), "l_partkey", "l_suppkey", 20)
 
 
+@query("SELECT s_suppkey, s_name FROM supplier ORDER BY s_name, s_suppkey LIMIT 10")
+def f05_first_plates(spark, sf):
+    return A.first_plates(table(spark, sf, "supplier").select("s_suppkey", "s_name"), "s_name", 10)
+
+
 @query("SELECT c_custkey, c_acctbal FROM customer ORDER BY c_acctbal DESC, c_custkey LIMIT 10")
 def f06_top_k(spark, sf):
     return A.top_k(table(spark, sf, "customer").select("c_custkey", "c_acctbal"), "c_acctbal", 10, "c_custkey")

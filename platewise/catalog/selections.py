@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platewise.catalog.base import VEC, query, rounded, table, vectors
+from platewise.catalog.base import VEC, picks_sql, query, rounded, table, uniform_sql, vectors
 from platewise.functions import vectors as V
 from platewise.operators import joins as J
 from platewise.operators import scoring as X
@@ -77,57 +77,93 @@ def i23_next_round(spark, sf):
     return a.withColumn("side", F.lit("labelled")).unionByName(b.withColumn("side", F.lit("pool")))
 
 
-@query(f"""WITH {VEC}, c AS (SELECT list_transform(range(1, 65), lambda i: list_avg(list_transform(list(x), lambda y: y[i]))) AS c FROM vec), p1 AS (SELECT vec_id, x FROM vec, c ORDER BY list_distance(x, c), vec_id LIMIT 1),
-d1 AS (SELECT v.vec_id, v.x, list_distance(v.x, p1.x) AS d FROM vec v, p1 WHERE v.vec_id <> p1.vec_id), p2 AS (SELECT vec_id, x FROM d1 ORDER BY d DESC, vec_id LIMIT 1),
-d2 AS (SELECT d.vec_id, least(d.d, list_distance(d.x, p2.x)) AS d FROM d1 d, p2 WHERE d.vec_id <> p2.vec_id), p3 AS (SELECT vec_id FROM d2 ORDER BY d DESC, vec_id LIMIT 1)
-SELECT 1 AS rank, vec_id FROM p1 UNION ALL SELECT 2, vec_id FROM p2 UNION ALL SELECT 3, vec_id FROM p3""")
+CENTRE = "(SELECT list_transform(range(1, 65), lambda i: list_avg(list_transform(list(x), lambda y: y[i]))) FROM vec)"
+U = "(x[1] - (SELECT min(x[1]) FROM vec)) / ((SELECT max(x[1]) - min(x[1]) FROM vec) + 1e-8)"
+
+
+@query(f"WITH {VEC}, " + picks_sql(f"SELECT vec_id, x, -list_distance(x, {CENTRE}) AS u FROM vec", "u", "d", 6))
 def i09_farthest_points(spark, sf):
-    return L.farthest_points(vectors(spark, sf), "vec_id", "x", 3)
+    return L.farthest_points(vectors(spark, sf), "vec_id", "x", 6)
 
 
-@query(f"""WITH {VEC}, u AS (SELECT vec_id, x, (x[1] - (SELECT min(x[1]) FROM vec)) / ((SELECT max(x[1]) - min(x[1]) FROM vec) + 1e-8) AS u FROM vec), p1 AS (SELECT vec_id, x FROM u ORDER BY u DESC, vec_id LIMIT 1),
-d1 AS (SELECT u.vec_id, u.x, u.u, list_distance(u.x, p1.x) AS d FROM u, p1 WHERE u.vec_id <> p1.vec_id), s1 AS (SELECT vec_id, x, 0.7 * u + 0.3 * (d - (SELECT min(d) FROM d1)) / ((SELECT max(d) - min(d) FROM d1) + 1e-8) AS s FROM d1),
-p2 AS (SELECT vec_id, x FROM s1 ORDER BY s DESC, vec_id LIMIT 1) SELECT 1 AS rank, vec_id FROM p1 UNION ALL SELECT 2, vec_id FROM p2""")
+@query(f"WITH {VEC}, " + picks_sql(f"SELECT vec_id, x, {U} AS u FROM vec", "u", "0.7 * u + 0.3 * (d - lo) / (hi - lo + 1e-8)", 6))
 def i14_hybrid(spark, sf):
-    return L.hybrid(vectors(spark, sf).withColumn("u", F.col("x")[0]), "vec_id", "x", "u", 2)
+    return L.hybrid(vectors(spark, sf).withColumn("u", F.col("x")[0]), "vec_id", "x", "u", 6)
 
 
-@query(f"""WITH {VEC}, p1 AS (SELECT vec_id, x FROM vec ORDER BY x[1] DESC, vec_id LIMIT 1), p2 AS (SELECT v.vec_id FROM vec v, p1 WHERE v.vec_id <> p1.vec_id ORDER BY v.x[1] * (1 - 0.5 * exp(-list_distance(v.x, p1.x))) DESC, v.vec_id LIMIT 1)
-SELECT 1 AS rank, vec_id FROM p1 UNION ALL SELECT 2, vec_id FROM p2""")
+@query(f"WITH {VEC}, " + picks_sql("SELECT vec_id, x, x[1] AS u FROM vec", "d", "d", 6, "d * (1 - 0.5 * exp(-dist))", "u"))
 def i15_batch_greedy(spark, sf):
-    return L.batch_greedy(vectors(spark, sf).withColumn("s", F.col("x")[0]), "vec_id", "x", "s", 2)
+    return L.batch_greedy(vectors(spark, sf).withColumn("s", F.col("x")[0]), "vec_id", "x", "s", 6)
 
 
-@query()
+@query(f"WITH {VEC}, " + picks_sql("SELECT vec_id, x, 0.0 AS u FROM vec", "-" + uniform_sql("vec_id", "5"), "ln(1.0 - " + uniform_sql("vec_id", "5", "{k}") + ") / (d * d + 1e-300)", 6))
 def i10_kmeans_pp(spark, sf):
-    return L.kmeans_pp(vectors(spark, sf), "vec_id", "x", 4, 5)
+    return L.kmeans_pp(vectors(spark, sf), "vec_id", "x", 6, 5)
 
 
-@query()
+@query(f"WITH {VEC}, " + picks_sql("SELECT vec_id, x, 0.0 AS u FROM vec", "-" + uniform_sql("vec_id", "5"), "d", 6))
 def i11_i18_max_min(spark, sf):
-    return L.max_min(vectors(spark, sf), "vec_id", "x", 4, 5)
+    return L.max_min(vectors(spark, sf), "vec_id", "x", 6, 5)
+
 
+def _dpp_sql(n: int, gamma: float) -> str:
+    """Each round adds e = (kernel - c.c') / sqrt(v') to every candidate's column c and takes e^2 from its v."""
+    parts = ["s0 AS MATERIALIZED (SELECT vec_id, x, [0.0::DOUBLE] AS c, 1.0::DOUBLE AS v FROM vec)"]
+    for k in range(n):
+        parts.append(f"p{k + 1} AS MATERIALIZED (SELECT * FROM s{k} ORDER BY v DESC, vec_id LIMIT 1)")
+        e = f"(exp(-{gamma} * list_distance(s.x, p.x) ** 2) - list_inner_product(s.c, p.c)) / sqrt(p.v)"
+        parts.append(f"s{k + 1} AS MATERIALIZED (SELECT vec_id, x, list_append(c, e) AS c, v - e * e AS v FROM (SELECT s.*, {e} AS e FROM s{k} s, p{k + 1} p WHERE s.vec_id <> p.vec_id))")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT {k} AS rank, vec_id FROM p{k}" for k in range(1, n + 1))
 
-@query()
+
+@query(f"WITH {VEC}, {_dpp_sql(6, 0.05)}")
 def i12_dpp(spark, sf):
-    return L.dpp(vectors(spark, sf), "vec_id", "x", 4)
+    return L.dpp(vectors(spark, sf), "vec_id", "x", 6, 0.05)
 
 
-@query()
+@query(f"SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice / 100.0 - ln(-ln(greatest({uniform_sql('p_partkey', '3')}, 1e-12))) DESC, p_partkey LIMIT 20")
 def i16_stochastic(spark, sf):
     return L.stochastic(table(spark, sf, "part").select("p_partkey", "p_retailprice"), "p_partkey", "p_retailprice", 20, 3, 100.0)
 
 
-@query(f"WITH {VEC} SELECT vec_id AS sample, round(list_max(x), 6) AS score FROM vec")
+SCORES = f"""WITH {VEC}, m AS (SELECT vec_id AS sample, list_avg(x) AS mean, list_max(x) AS std FROM vec), g AS (SELECT *, mean - ((SELECT max(mean) FROM m) + 0.01) AS gain FROM m), z AS (SELECT *, gain / (std + 1e-8) AS z FROM g),
+t AS (SELECT *, 1.0 / (1.0 + 0.3275911 * abs(z) / sqrt(2)) AS t FROM z), e AS (SELECT *, 1.0 - t * (0.254829592 + t * (-0.284496736 + t * (1.421413741 + t * (-1.453152027 + t * 1.061405429)))) * exp(-z * z / 2) AS erf FROM t),
+c AS (SELECT *, CASE WHEN z >= 0 THEN 0.5 * (1 + erf) ELSE 0.5 * (1 - erf) END AS cdf FROM e)
+SELECT sample, round(std, 6) AS uncertainty, round(gain * cdf + std * exp(-z * z / 2) / sqrt(2 * pi()), 6) AS ei, round(cdf, 6) AS pi, round({uniform_sql("sample", "0")}, 6) AS random, round(mean + 2 * std, 6) AS upper FROM c"""
+
+
+@query(SCORES)
 def i17_scores(spark, sf):
+    """Every kind of score of all rows, and one of a user's own (K4)."""
     rows = vectors(spark, sf).select(F.col("vec_id").alias("sample"), V.reduce_vector(F.col("x")).alias("mean"), F.array_max("x").alias("std"))
-    return rounded(L.scores(rows, "uncertainty"), "score").select("sample", "score")
+    kinds = {"uncertainty": "uncertainty", "ei": "ei", "pi": "pi", "random": "random", "upper": lambda mean, std, key: mean + 2 * std}
+    for name, kind in kinds.items():
+        rows = L.scores(rows, kind).withColumn(name, F.round("score", 6)).drop("score")
+    return rows.select("sample", *kinds)
+
+
+@query("""WITH s AS (SELECT p_partkey FROM part WHERE p_size > 10 ORDER BY p_retailprice DESC, p_partkey LIMIT 40) SELECT p_partkey, 'labelled' AS side, p_size AS label FROM part WHERE p_size <= 10 OR p_partkey IN (SELECT * FROM s)
+UNION ALL SELECT p_partkey, 'pool', NULL FROM part WHERE p_size > 10 AND p_partkey NOT IN (SELECT * FROM s)""")
+def k05_label_oracle(spark, sf):
+    """A round in which a table of measurements plays the oracle."""
+    part = table(spark, sf, "part")
+    oracle = lambda ids: part.select("p_partkey", F.col("p_size").alias("label"))
+    labelled = part.filter("p_size <= 10").select("p_partkey", F.col("p_size").alias("label"))
+    a, b = L.active_round(labelled, part.filter("p_size > 10").select("p_partkey", "p_retailprice"), "p_partkey", "p_retailprice", 40, oracle)
+    return a.withColumn("side", F.lit("labelled")).unionByName(b.select("p_partkey", F.lit(None).cast(labelled.schema["label"].dataType).alias("label"), F.lit("pool").alias("side")))
+
+
+@query("SELECT doc_id, upper(lang) AS lang, n_chars * 2 AS n_chars FROM documents")
+def k02_transforms(spark, sf):
+    """A table through two functions of a user's."""
+    docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars")
+    return X.transformed(docs, lambda d: d.withColumn("lang", F.upper("lang")), lambda d: d.withColumn("n_chars", F.col("n_chars") * 2))
 
 
-@query(f"""WITH {VEC}, s AS (SELECT * FROM vec WHERE label < 3), d AS (SELECT a.label, avg(list_distance(a.x, b.x)) AS d FROM s a JOIN s b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label)
-SELECT label, round(avg(x[1]), 6) AS mean, round(stddev_pop(x[1]), 6) AS std, 1 AS clusters, round(any_value(d), 6) AS distance FROM s JOIN d USING (label) GROUP BY label""")
+@query(f"""WITH {VEC}, d AS (SELECT a.label, avg(list_distance(a.x, b.x)) AS d FROM vec a JOIN vec b ON a.label = b.label AND a.vec_id < b.vec_id GROUP BY a.label)
+SELECT label, round(avg(x[1]), 6) AS mean, round(stddev_pop(x[1]), 6) AS std, count(DISTINCT vec_id % 5) AS clusters, round(any_value(d), 6) AS distance FROM vec LEFT JOIN d USING (label) GROUP BY label""")
 def d45_strategy_report(spark, sf):
-    rows = vectors(spark, sf).filter("label < 3").withColumn("u", F.col("x")[0]).withColumn("cluster", F.col("label"))
+    rows = vectors(spark, sf).withColumn("u", F.col("x")[0]).withColumn("cluster", F.pmod("vec_id", F.lit(5)))
     return rounded(L.strategy_report(rows, "label", "vec_id", "x", "u", "cluster"), "mean", "std", "distance")
 
 
@@ -162,7 +198,10 @@ def i13_balance_weights(spark, sf):
     return rounded(P.balance_weights(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_mktsegment"), "weight").select("c_custkey", "weight")
 
 
-@query()
+@query(f"""WITH s AS (SELECT c_mktsegment, count(*) AS size, row_number() OVER (ORDER BY c_mktsegment) - 1 AS g FROM customer GROUP BY c_mktsegment),
+p AS (SELECT c_custkey, c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY substr(sha256('42|' || c_custkey), 1, 2), c_custkey) - 1 AS place FROM customer),
+d AS (SELECT c_custkey AS draw, floor({uniform_sql("c_custkey", "42")} * (SELECT count(*) FROM s)) AS g, {uniform_sql("c_custkey", "43")} AS u FROM customer)
+SELECT draw, s.c_mktsegment, c_custkey FROM d JOIN s USING (g) JOIN p ON p.c_mktsegment = s.c_mktsegment AND p.place = floor(u * size)""")
 def i13_balanced_draws(spark, sf):
     return P.balanced_draws(table(spark, sf, "customer").select("c_custkey", "c_mktsegment"), "c_custkey", "c_mktsegment")
 
@@ -201,11 +240,11 @@ def b14_k1_predicates(spark, sf):
     return X.where(docs, lambda n: n > 1000, "n_chars").select("doc_id")
 
 
-@query(f"WITH {VEC} SELECT vec_id, round(x[1], 6) AS a FROM vec WHERE label = 2")
+@query(f"WITH {VEC} SELECT vec_id, round(x[1], 6) AS a, round(x[2], 6) AS b FROM vec WHERE label = 2")
 def b15_b22_lookup(spark, sf):
-    """Rows by key, with the chosen embedding kind."""
+    """Rows by key, with the chosen embedding kind (C5), and with a kind that every row must have."""
     v = vectors(spark, sf).filter("label = 2").withColumn("kinds", F.create_map(F.lit("esm2"), F.col("x")))
-    return v.select("vec_id", F.round(V.choose_embedding(F.col("kinds"), ["fused", "esm2"])[0], 6).alias("a"))
+    return v.select("vec_id", F.round(V.choose_embedding(F.col("kinds"), ["fused", "esm2"])[0], 6).alias("a"), F.round(V.required_embedding(F.col("kinds"), "esm2")[1], 6).alias("b"))
 
 
 @query("SELECT doc_id, n_chars FROM documents WHERE n_chars BETWEEN 200 AND 2000")

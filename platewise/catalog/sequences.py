@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platewise.catalog.base import SEQ, query, rounded, sequences, table
+from platewise.catalog.base import SEQ, query, rounded, sequences, table, vectors
 from platewise.functions import sequence as S
 from platewise.operators import aggregates as A
+from platewise.plans import pipelines
 
 
 def _count(a: str) -> str:
@@ -213,3 +214,15 @@ def h21_plddt(spark, sf):
 def h22_plddt_summary(spark, sf):
     rows = table(spark, sf, "orders").groupBy("o_custkey").agg(F.collect_list(F.col("o_totalprice") / 7000).alias("v"))
     return rounded(rows.select("o_custkey", S.plddt_summary(F.col("v")).alias("s")).select("o_custkey", "s.*"), "mean", "std", "over_70", "over_90", "under_50")
+
+
+@query(f"""WITH {SEQ}, c AS (SELECT doc_id, length(s) AS n, {_COUNTS} FROM seq), d AS (SELECT doc_id, [{", ".join(f"CASE WHEN n > 0 THEN n{a} / n ELSE 0.0 END" for a in S.RESIDUES)}] AS c FROM c),
+vec AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings), u AS (SELECT doc_id, list_transform(x, lambda a: a / (sqrt(list_sum(list_transform(x, lambda b: b * b))) + 1e-8)) AS x, list_transform(c, lambda a: a / (sqrt(list_sum(list_transform(c, lambda b: b * b))) + 1e-8)) AS c FROM d JOIN vec ON vec_id = doc_id),
+f AS (SELECT doc_id, list_concat(x, c) AS v FROM u), g AS (SELECT doc_id, list_transform(v, lambda a: a / (sqrt(list_sum(list_transform(v, lambda b: b * b))) + 1e-8)) AS v FROM f)
+SELECT doc_id, len(v)::INT AS n, round(v[1], 6) AS first, round(v[65], 6) AS second, round(list_sum(v), 5) AS total FROM g""")
+def i34_embed(spark, sf):
+    """Descriptors of each text fused with the precomputed vector of its number."""
+    known = vectors(spark, sf).select(F.col("vec_id").alias("doc_id"), F.col("x").alias("vector"))
+    out = pipelines.embed(sequences(spark, sf), "doc_id", "s", known, ("composition",))
+    total = F.round(F.aggregate("fused", F.lit(0.0), lambda a, x: a + x), 5)
+    return out.select("doc_id", F.size("fused").alias("n"), F.round(F.col("fused")[0], 6).alias("first"), F.round(F.col("fused")[64], 6).alias("second"), total.alias("total"))

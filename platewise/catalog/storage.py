@@ -39,14 +39,17 @@ def a02_metadata_table(spark, sf):
     return R.metadata_table(spark, root, "orf")
 
 
-@query("""SELECT l_suppkey AS "Metadata_Plate", CASE WHEN l_suppkey = 1 THEN l_returnflag END AS "Metadata_Flag", l_tax AS "Cells_Intensity_Tax" FROM lineitem WHERE l_suppkey IN (1, 2)""")
+@query("""SELECT l_suppkey AS "Metadata_Plate", CASE WHEN l_suppkey % 2 = 1 THEN l_returnflag END AS "Metadata_Flag", l_tax AS "Cells_Intensity_Tax" FROM lineitem""")
 def a03_load_plates(spark, sf):
-    root, li = folder(spark, "plates"), table(spark, sf, "lineitem")
-    a = li.filter("l_suppkey = 1").select(F.col("l_suppkey").alias("Metadata_Plate"), F.col("l_returnflag").alias("Metadata_Flag"), F.col("l_tax").alias("Cells_Intensity_Tax"), F.col("l_quantity").alias("Cells_AreaShape_Q"))
-    b = li.filter("l_suppkey = 2").select(F.col("l_suppkey").alias("Metadata_Plate"), F.col("l_tax").alias("Cells_Intensity_Tax"))
-    a.write.parquet(f"{root}/1")
-    b.write.parquet(f"{root}/2")
-    return R.load_plates(spark, [f"{root}/1", f"{root}/missing", f"{root}/2"])
+    """All plates, of two schemas, and one that is missing."""
+    root, li = folder(spark, "plates"), table(spark, sf, "lineitem").withColumn("plate", F.col("l_suppkey"))
+    key, tax = F.col("l_suppkey").alias("Metadata_Plate"), F.col("l_tax").alias("Cells_Intensity_Tax")
+    li.filter("l_suppkey % 2 = 1").select("plate", key, F.col("l_returnflag").alias("Metadata_Flag"), tax, F.col("l_quantity").alias("Cells_AreaShape_Q")).repartition("plate").write.partitionBy("plate").parquet(root)
+    li.filter("l_suppkey % 2 = 0").select("plate", key, tax).repartition("plate").write.mode("append").partitionBy("plate").parquet(root)
+    plates = [r[0] for r in li.select("plate").distinct().collect()]
+    out, skipped = R.load_plates(spark, [f"{root}/plate={p}" for p in sorted(plates)] + [f"{root}/missing"])
+    assert skipped == [f"{root}/missing"]
+    return out
 
 
 @query("SELECT l_orderkey || '-' || l_linenumber AS sample_id, l_tax AS a, l_quantity AS b FROM lineitem")
@@ -68,20 +71,24 @@ def a05_a13_fasta(spark, sf):
     return good.select("id", "sequence")
 
 
-@query(f"WITH {SEQ} SELECT s AS sequence, 'protein_' || doc_id AS name FROM seq WHERE s <> ''")
+@query(f"WITH {SEQ} SELECT s AS sequence, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'protein_' || (row_number() OVER (ORDER BY doc_id) - 1) END AS name FROM seq WHERE s <> ''")
 def a06_sequence_csv(spark, sf):
+    """Every other name is missing and comes from the row's number."""
     path = folder(spark, "csv")
-    sequences(spark, sf).filter("s <> ''").select(F.col("s").alias("sequence"), F.col("doc_id").alias("row")).write.option("header", True).csv(path)
+    rows = sequences(spark, sf).filter("s <> ''")
+    rows.orderBy("doc_id").coalesce(1).select(F.col("s").alias("sequence"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("name")).write.option("header", True).csv(path)
     return R.sequence_csv(spark, path).select("sequence", "name")
 
 
-@query(f"WITH {SEQ} SELECT s AS sequence, lang AS name FROM seq")
+@query(f"WITH {SEQ} SELECT s AS sequence, lang AS name, doc_id::VARCHAR AS id FROM seq UNION ALL SELECT s, lang, 'whole' FROM seq WHERE doc_id < 100")
 def a07_library_json(spark, sf):
-    path = folder(spark, "library")
-    rows = sequences(spark, sf).select(F.col("s").alias("sequence"), F.col("lang").alias("name"), F.lit("x").alias("source"))
-    whole = rows.groupBy("name").agg(F.collect_list(F.struct("sequence", "name", "source")).alias("proteins"), F.count(F.lit(1)).alias("count"))
-    whole.repartition(8, "name").write.option("maxRecordsPerFile", 1).json(path)
-    return R.library_json(spark, path).select("sequence", "name")
+    """All sequences through JSON lines and back, and a library document of some read whole."""
+    path, document = folder(spark, "library"), folder(spark, "document")
+    rows = sequences(spark, sf).select(F.col("s").alias("sequence"), F.col("lang").alias("name"), F.lit("x").alias("source"), F.create_map(F.lit("id"), F.col("doc_id").cast("string")).alias("metadata"))
+    W.save_library(rows, path)
+    some = rows.filter(F.col("metadata")["id"].cast("long") < 100).withColumn("metadata", F.create_map(F.lit("id"), F.lit("whole")))
+    some.agg(F.lit("some").alias("name"), F.count(F.lit(1)).alias("count"), F.collect_list(F.struct("sequence", "name", "source", "metadata")).alias("proteins")).coalesce(1).write.json(document)
+    return R.library_json(spark, path, lines=True).unionByName(R.library_json(spark, document)).select("sequence", "name", F.col("metadata")["id"].alias("id"))
 
 
 @query(f"WITH {VEC} SELECT vec_id::VARCHAR AS id, round(x[1], 6) AS a FROM vec")
@@ -91,6 +98,15 @@ def a08_embedding_store(spark, sf):
     return R.embeddings(spark, path, "esm2").select("id", F.round(F.col("vector")[0].cast("double"), 6).alias("a"))
 
 
+@query("SELECT p_brand AS gene, min(p_type) AS mapped FROM part GROUP BY p_brand")
+def a09_gene_mapping_json(spark, sf):
+    """A JSON object of brands."""
+    path = folder(spark, "mapping")
+    rows = table(spark, sf, "part").groupBy("p_brand").agg(F.min("p_type").alias("mapped"))
+    rows.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("p_brand", "mapped")))).alias("value")).coalesce(1).write.text(f"{path}.json")
+    return R.gene_mapping(spark, f"{path}.json")
+
+
 @query("SELECT p_partkey::VARCHAR AS gene, p_brand AS mapped FROM part")
 def a09_gene_mapping(spark, sf):
     path = folder(spark, "mapping")
@@ -104,7 +120,8 @@ def a10_d28_curated_set(spark, sf):
     path = folder(spark, "curated")
     rows, seen = A.observed(table(spark, sf, "lineitem"), "load", nulls=F.sum(F.col("l_tax").isNull().cast("long")))
     W.save_curated(rows.groupBy("l_suppkey").agg(F.round(F.avg("l_tax"), 6).alias("tax"), F.count(F.lit(1)).alias("n")), ["tax"], {"format": "1"}, path)
-    assert seen.get["rows"] > 0
+    n, nulls = table(spark, sf, "lineitem").agg(F.count(F.lit(1)), F.count_if(F.col("l_tax").isNull())).first()
+    assert seen.get["rows"] == n and seen.get["nulls"] == nulls
     return W.load_curated(spark, path)[0]
 
 

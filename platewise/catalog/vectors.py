@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from platewise.catalog.base import PRED, VEC, predictions, query, rounded, table, vectors
+from platewise.catalog.base import PRED, VEC, predictions, query, rounded, table, uniform_sql, vectors
 from platewise.functions import sequence as S
 from platewise.functions import vectors as V
+from platewise.operators import aggregates as A
 from platewise.operators import clustering as C
 from platewise.operators import metrics as M
 from platewise.operators import selection as L
@@ -67,7 +68,8 @@ def h38_standardise(spark, sf):
     return vectors(spark, sf).select("vec_id", F.round(V.standardise(F.col("x"), fill(0.1), fill(0.5))[0], 6).alias("a"))
 
 
-@query()
+@query(f"""WITH {VEC} SELECT vec_id, round(x[1] + 0.1 * sqrt(-2 * ln(1.0 - {uniform_sql("vec_id", "0", "3")})) * cos(2 * pi() * {uniform_sql("vec_id", "0", "4")}), 6) AS noisy,
+ len(list_filter(range(64), lambda i: {uniform_sql("vec_id", "i", "3")} < 0.2 OR x[i + 1] = 0))::INT AS zeros FROM vec""")
 def h39_augmentation(spark, sf):
     out = vectors(spark, sf).select("vec_id", V.add_noise(F.col("x"), "vec_id", 0.1, 3).alias("noisy"), V.drop_features(F.col("x"), "vec_id", 0.2, 3).alias("dropped"))
     return out.select("vec_id", F.round(F.col("noisy")[0], 6).alias("noisy"), F.size(F.filter("dropped", lambda x: x == 0)).alias("zeros"))
@@ -217,21 +219,21 @@ def c15_replicate_similarity(spark, sf):
     return rounded(L.replicate_similarity(vectors(spark, sf), "vec_id", "label", "x"), "similarity")
 
 
-@query(f"WITH {VEC}, u AS (SELECT label AS k, list_transform(range(1, 65), lambda i: list_avg(list_transform(list(x), lambda y: y[i]))) AS x FROM vec GROUP BY label) SELECT a.k AS a, b.k AS b, round(list_distance(a.x, b.x), 6) AS distance FROM u a JOIN u b ON a.k < b.k")
+@query(f"WITH {VEC} SELECT a.vec_id AS a, b.vec_id AS b, round(list_distance(a.x, b.x), 6) AS distance FROM vec a JOIN vec b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0")
 def c14_pairwise(spark, sf):
-    """Distances between the labels' mean vectors."""
-    long = vectors(spark, sf).select("label", F.posexplode("x").alias("f", "v")).groupBy("label", "f").agg(F.avg("v").alias("v"))
-    means = long.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "v"))), lambda c: c["v"]).alias("x"))
-    return rounded(L.pairwise(means, "label", "x"), "distance")
+    """Distances of the rows whose id is divisible by 50 to all others."""
+    return rounded(L.pairwise(vectors(spark, sf), "vec_id", "x", queries=F.pmod("vec_id", F.lit(50)) == 0), "distance")
 
 
-@query()
+@query(f"""WITH {VEC}, l AS (SELECT vec_id, unnest(range(64)) AS f, unnest(x) AS v FROM vec), s AS (SELECT f, avg(v) AS m, stddev_pop(v) AS s FROM l GROUP BY f)
+SELECT vec_id, round(sum(((v - m) / s) ** 2), 4) AS length FROM l JOIN s USING (f) GROUP BY vec_id""")
 def i01_pca(spark, sf):
-    rows, _, _ = C.pca(vectors(spark, sf), "x", 5)
-    return rows.select("vec_id", F.round(F.col("pca")[0], 4).alias("pc1"), F.round(F.col("pca")[1], 4).alias("pc2"))
+    """All components together keep the length of each standardised vector."""
+    rows, _, _ = C.pca(vectors(spark, sf), "x", 64)
+    return rows.select("vec_id", F.round(F.aggregate("pca", F.lit(0.0), lambda a, x: a + x * x), 4).alias("length"))
 
 
-@query()
+@query("SELECT vec_id, 0.0::DOUBLE AS error FROM embeddings")
 def i02_pca_inverse(spark, sf):
     """Scores of all components restore the vectors."""
     v = vectors(spark, sf)
@@ -256,8 +258,12 @@ def i05_choose_k(spark, sf):
     return spark.createDataFrame([(C.choose_k(vectors(spark, sf), "x", [2, 3, 4]),)], "k int")
 
 
-@query()
+@query(f"""WITH {VEC}, u AS (SELECT vec_id, label, list_transform(x, lambda a: a / {N2}) AS u FROM vec), c AS (SELECT label, count(*) AS n, list_transform(range(1, 65), lambda i: list_avg(list_transform(list(u), lambda y: y[i]))) AS m FROM u GROUP BY label),
+d AS (SELECT vec_id, u.label AS own, c.label AS other, n, 1 - list_inner_product(u, m) AS d FROM u, c),
+s AS (SELECT vec_id, any_value(n) FILTER (own = other) AS n, max(d * n / greatest(n - 1, 1)) FILTER (own = other) AS a, min(d) FILTER (own <> other) AS b FROM d GROUP BY vec_id)
+SELECT round(avg(CASE WHEN n = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM s""")
 def i07_latent_silhouette(spark, sf):
+    """Cosine silhouette of the labels over all rows."""
     return spark.createDataFrame([(round(C.silhouette(vectors(spark, sf), "x", "label", True), 6),)], "silhouette double")
 
 
@@ -269,3 +275,38 @@ def i31_ridge_and_members(spark, sf):
     members = C.ridge(pairs, "x", "y", members=3, key="vec_id")
     long = C.ridge_predict(v, "vec_id", "x", members).withColumnRenamed("vec_id", "sample")
     return rounded(L.reduce_uncertainty(L.aggregate_members(long)), "uncertainty")
+
+
+class Worst(M.Metric):
+    """The largest absolute error, as a metric of a user's own."""
+
+    def __init__(self):
+        self.most = 0.0
+
+    def update(self, pred, target):
+        self.most = max(self.most, float(abs(pred - target).max()) if len(pred) else 0.0)
+
+    def merge(self, other):
+        self.most = max(self.most, other.most)
+
+    def compute(self):
+        return self.most
+
+
+@query(f"WITH {PRED} SELECT task, 'worst' AS metric, round(max(abs(pred - target)), 6) AS value FROM pred GROUP BY task UNION ALL SELECT task, 'bias', round(avg(pred - target), 6) FROM pred GROUP BY task")
+def k03_user_metrics(spark, sf):
+    """Two metrics per task: one with states that are merged, one an aggregate."""
+    return rounded(M.user_metrics(predictions(spark, sf), {"worst": Worst, "bias": F.avg(F.col("pred") - F.col("target"))}, "task"), "value")
+
+
+@query(f"""WITH {PRED}, r AS (SELECT f, 1 - sum((pred - target) ** 2) / (var_pop(target) * count(target) + 1e-8) AS r2 FROM pred GROUP BY f)
+(SELECT f::INT AS f, 'best' AS side, round(r2, 6) AS r2 FROM r ORDER BY r.r2 DESC, f LIMIT 9) UNION ALL (SELECT f::INT, 'worst', round(r2, 6) FROM r ORDER BY r.r2, f LIMIT 9)""")
+def f08_best_and_worst(spark, sf):
+    return rounded(A.best_and_worst(M.per_feature(predictions(spark, sf)), "r2", 9, "f").select("f", "side", "r2"), "r2")
+
+
+@query(f"WITH {VEC}, l AS (SELECT unnest(range(64))::INT AS f, unnest(x) AS v FROM vec) SELECT f, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, (SELECT count(*) FROM vec) AS n_samples, (SELECT count(DISTINCT label) FROM vec) AS n_labels, (SELECT count(DISTINCT vec_id % 7) FROM vec) AS n_plates, 64 AS n_features FROM l GROUP BY f")
+def d27_training_statistics(spark, sf):
+    rows = vectors(spark, sf).select(F.col("x").alias("features"), "label", F.pmod("vec_id", F.lit(7)).alias("plate"))
+    whole, per = A.training_statistics(rows, "label", "plate")
+    return rounded(per.crossJoin(F.broadcast(whole)), "mean", "std")

@@ -67,6 +67,11 @@ def choose_embedding(kinds: Column, names) -> Column:
     return F.coalesce(*[kinds[n] for n in names])
 
 
+def required_embedding(kinds: Column, name: str) -> Column:
+    """The embedding of a kind; a row without it is an error."""
+    return F.coalesce(F.try_element_at(kinds, F.lit(name)), F.raise_error(F.lit(f"no embedding of kind {name}")).cast("array<double>"))
+
+
 def reduce_vector(v: Column, how: str = "mean") -> Column:
     """H34."""
     return {"mean": lambda: total(v) / F.size(v), "sum": lambda: total(v), "max": lambda: F.array_max(v), "none": lambda: v}[how]()
@@ -114,8 +119,9 @@ def standardise(v: Column, mean: Column, std: Column) -> Column:
 
 
 def hash_uniform(*cols) -> Column:
-    """A number in [0, 1) that depends only on the values given."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 40)) / float(1 << 40)
+    """A number in [0, 1) that depends only on the values given: the first 13 hex digits of the SHA-256 of the values joined by bars."""
+    text = F.concat_ws("|", *[c.cast("string") for c in cols])
+    return F.conv(F.substring(F.sha2(text, 256), 1, 13), 16, 10).cast("double") / float(1 << 52)
 
 
 def add_noise(v: Column, key: str, scale: float, seed: int) -> Column:

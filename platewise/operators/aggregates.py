@@ -40,6 +40,11 @@ def distinct_values(df: DataFrame, column: str) -> DataFrame:
     return df.select(column).dropna().distinct()
 
 
+def plate_sources(wells: DataFrame, plate: str, *where: str) -> DataFrame:
+    """Distinct plates with their source and batch."""
+    return wells.select(plate, *where).distinct()
+
+
 def replicate_distribution(df: DataFrame, key: str) -> DataFrame:
     """How many keys have n replicates and at least n. Rows of the result are distinct counts."""
     per = replicate_counts(df, key).groupBy("n").agg(F.count(F.lit(1)).alias("keys"))
@@ -125,6 +130,24 @@ def top_k(df: DataFrame, score: str, k: int, tie: str) -> DataFrame:
     return df.orderBy(F.col(score).desc(), tie).limit(k)
 
 
+def first_plates(plates: DataFrame, ordinal: str, most: int) -> DataFrame:
+    """the first plates of a list, to be taken before anything is read from them."""
+    return plates.orderBy(ordinal).limit(most)
+
+
+def best_and_worst(df: DataFrame, score: str, k: int, tie: str) -> DataFrame:
+    """F8: the k best and the k worst rows, marked by ``side``."""
+    best, worst = (df.orderBy(order, tie).limit(k).withColumn("side", F.lit(side)) for order, side in ((F.col(score).desc(), "best"), (F.col(score).asc(), "worst")))
+    return best.unionByName(worst)
+
+
+def training_statistics(samples: DataFrame, label: str, plate: str) -> tuple[DataFrame, DataFrame]:
+    """One row of counts about a training set (``features``, label, plate), and mean and spread of each feature."""
+    whole = samples.agg(F.count(F.lit(1)).alias("n_samples"), F.count_distinct(label).alias("n_labels"), F.count_distinct(plate).alias("n_plates"), F.max(F.size("features")).alias("n_features"))
+    per = samples.select(F.posexplode("features").alias("f", "v")).groupBy("f").agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("std"))
+    return whole, per
+
+
 def best_version(versions: DataFrame, metric: str, higher: bool = True, stage: str | None = None, tags=()) -> DataFrame:
     """the best version by a metric, of a stage and with all given tags."""
     value = F.try_element_at("metrics", F.lit(metric))

@@ -13,6 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise import scratch
 from platewise.functions.vectors import hash_uniform
 from platewise.operators.joins import overlap_counts
 from platewise.operators.selection import distance
@@ -59,7 +60,10 @@ def kmeans(df: DataFrame, vector: str, k: int, seeds=(1, 2, 3)) -> tuple[DataFra
     """The best of several starts on standardised vectors: rows with ``cluster``, centres, inertia."""
     rows, _ = standardised(df, vector)
     rows = rows.persist()
-    models = [KMeans(k=k, seed=s, featuresCol="scaled", predictionCol="cluster").fit(rows) for s in seeds]
+    try:
+        models = [KMeans(k=k, seed=s, featuresCol="scaled", predictionCol="cluster").fit(rows) for s in seeds]
+    finally:
+        rows.unpersist()
     best = min(models, key=lambda m: m.summary.trainingCost)
     return best.transform(rows).drop("scaled"), best.clusterCenters(), best.summary.trainingCost
 
@@ -84,7 +88,8 @@ def single_linkage(df: DataFrame, key: str, vector: str, cut: float) -> DataFram
     near = rows.select(F.col("node").alias("b"), F.col("x").alias("y"), F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda c, d: c + d - 1))).alias("cell"))
     edges = rows.join(near, "cell").filter((F.col("node") < F.col("b")) & (distance(F.col("x"), F.col("y")) <= cut)).select(F.col("node").alias("a"), "b")
     labels = df.select(F.col(key).alias("node"), F.col(key).alias("cluster"))
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).persist()
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    both = scratch.written(both, "edges")
     while True:
         seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("cluster").alias("c"))
         moved = labels.join(seen, labels["node"] == seen["a"], "left").select("node", F.least("cluster", F.coalesce("c", "cluster")).alias("new"), "cluster").checkpoint()
@@ -100,7 +105,7 @@ def quality(df: DataFrame, vector: str, cluster: str = "cluster") -> DataFrame:
     whole = long.groupBy("f").agg(F.avg("v").alias("m"))
     between = centres.join(whole, "f").agg(F.sum(F.col("n") * (F.col("c") - F.col("m")) ** 2).alias("between"))
     packed = centres.groupBy(cluster).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "c"))), lambda x: x["c"]).alias("centre"), F.first("n").alias("n"))
-    near = df.join(F.broadcast(packed), cluster).withColumn("d", distance(F.col(vector), F.col("centre")))
+    near = df.join(packed, cluster).withColumn("d", distance(F.col(vector), F.col("centre")))
     within = near.agg(F.sum(F.col("d") * F.col("d")).alias("within"), F.count(F.lit(1)).alias("rows"), F.count_distinct(cluster).alias("k"))
     s = near.groupBy(cluster).agg(F.avg("d").alias("s"), F.first("centre").alias("centre"))
     a, b = s.select(F.col(cluster).alias("i"), F.col("s").alias("si"), F.col("centre").alias("ci")), s.select(F.col(cluster).alias("j"), F.col("s").alias("sj"), F.col("centre").alias("cj"))

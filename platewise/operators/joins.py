@@ -78,6 +78,18 @@ def join_embeddings(profiles: DataFrame, embeddings: DataFrame, gene: str, mappi
     return profiles.join(embeddings, profiles["embedding_key"] == embeddings["id"]).drop(embeddings["id"])
 
 
+def mean_per_gene(joined: DataFrame, gene: str, values, embedding: str) -> DataFrame:
+    """One row a gene instead of a well: the mean of each value column, and the gene's embedding."""
+    return joined.groupBy(gene).agg(*[F.avg(c).alias(c) for c in values], F.first(embedding).alias(embedding), F.count(F.lit(1)).alias("n_wells"))
+
+
+def match_pool(pool: DataFrame, embeddings: DataFrame, on: str) -> tuple[DataFrame, DataFrame]:
+    """Candidates with their embeddings, and one row with how many candidates matched and how many were dropped."""
+    known = embeddings.select(on).distinct().withColumn("_known", F.lit(1))
+    counts = pool.select(on).join(known, on, "left").agg(F.count("_known").alias("n_matched"), F.count_if(F.col("_known").isNull()).alias("n_dropped"))
+    return pool.join(embeddings, on), counts
+
+
 def unmatched(left: DataFrame, right: DataFrame, on) -> DataFrame:
     """Rows of ``left`` without a partner."""
     return left.join(right.select(*([on] if isinstance(on, str) else on)), on, "left_anti")
@@ -113,11 +125,11 @@ def overlap_counts(members: DataFrame, annotations: DataFrame, key: str, group:
 
 
 def zip_rows(a: DataFrame, b: DataFrame, ordinal: str) -> DataFrame:
-    """Rows paired by position; unequal positions are an error."""
-    both = a.join(b, ordinal, "full").withColumn("_one", F.lit(1))
-    left, right = [c for c in a.columns if c != ordinal][0], [c for c in b.columns if c != ordinal][0]
-    bad = F.col(left).isNull() | F.col(right).isNull()
-    return both.withColumn(left, F.when(bad, F.raise_error(F.lit("unequal lengths")).cast(a.schema[left].dataType)).otherwise(F.col(left))).drop("_one")
+    """Rows paired by position; a position that only one side has is an error. Null values are values."""
+    both = a.withColumn("_a", F.lit(1)).join(b.withColumn("_b", F.lit(1)), ordinal, "full")
+    alone = F.col("_a").isNull() | F.col("_b").isNull()
+    checked = F.when(alone, F.raise_error(F.lit("unequal lengths")).cast(a.schema[ordinal].dataType)).otherwise(F.col(ordinal))
+    return both.withColumn(ordinal, checked).drop("_a", "_b")
 
 
 def compare_metrics(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -5,7 +5,10 @@ Every metric is one or two aggregations; further group keys (such as ``task``) p
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import pickle
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.operators import gram
@@ -147,3 +150,55 @@ def components_needed(explained: DataFrame, k: str, share: str, goals=(0.9, 0.95
     """Cumulative explained variance and the first component that reaches each goal. Rows are components."""
     total = explained.withColumn("cumulative", F.sum(share).over(Window.orderBy(k)))
     return total.agg(*[F.min(F.when(F.col("cumulative") >= g, F.col(k))).alias(f"k_{int(g * 100)}") for g in goals])
+
+
+class Metric:
+    """K3: a metric of one's own. A task makes one for each group, feeds it batches, and hands on its state; states are merged, then computed.
+
+    ``update`` gets arrays of predictions and targets; ``merge`` gets another object of the class.
+    """
+
+    def update(self, pred, target) -> None:
+        raise NotImplementedError
+
+    def merge(self, other) -> None:
+        raise NotImplementedError
+
+    def compute(self) -> float:
+        raise NotImplementedError
+
+
+def user_metrics(long: DataFrame, metrics: dict, by: str) -> DataFrame:
+    """K3: ``by, metric, value`` for metrics given as aggregate Columns over ``pred`` and ``target``, or as functions that make a ``Metric``.
+
+    No group is gathered in one place: each task merges into one state a group, and only states are shuffled.
+    """
+    out = None
+    for name, m in metrics.items():
+        if isinstance(m, Column):
+            rows = long.groupBy(by).agg(m.cast("double").alias("value"))
+        else:
+            rows = _merged(long, m, by)
+        rows = rows.select(F.col(by), F.lit(name).alias("metric"), "value")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def _merged(long: DataFrame, factory, by: str) -> DataFrame:
+    kind = long.schema[by].dataType.simpleString()
+
+    def states(batches):
+        held: dict = {}
+        for pdf in batches:
+            for key, part in pdf.groupby(by, dropna=False):
+                held.setdefault(key, factory()).update(part["pred"].to_numpy(), part["target"].to_numpy())
+        yield pd.DataFrame({by: list(held), "state": [pickle.dumps(x) for x in held.values()]})
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        whole = factory()
+        for x in pdf["state"]:
+            whole.merge(pickle.loads(x))
+        return pd.DataFrame({by: pdf[by].iloc[:1], "value": [float(whole.compute())]})
+
+    packed = long.select(by, "pred", "target").mapInPandas(states, f"`{by}` {kind}, state binary")
+    return packed.groupBy(by).applyInPandas(merge, f"`{by}` {kind}, value double")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,12 +37,18 @@ def rolling_percentile(log: DataFrame, by, order, value: str, n: int, p: float)
 
 
 def reference_and_current(log: DataFrame, by, order, window: int) -> DataFrame:
-    """The first ``window`` rows of each key as ``reference`` and the last ones after them as ``current``."""
-    first = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
-    last = F.row_number().over(Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order]))
-    rows = log.withColumn("_a", first).withColumn("_z", last)
-    part = F.when(F.col("_a") <= window, "reference").when(F.col("_z") <= window, "current")
-    return rows.withColumn("part", part).filter("part is not null").drop("_a", "_z")
+    """The first ``window`` rows of each key as ``reference`` and the last ones after them as ``current``.
+
+    Both are ranks with a limit, of which tasks keep the first rows before the shuffle; a key's count says how many of its last rows are
+    not among the first.
+    """
+    by = list(by)
+    first = log.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_n") <= window)
+    last = log.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*[F.col(c).desc() for c in order]))).filter(F.col("_n") <= window)
+    sizes = log.groupBy(*by).agg(F.count(F.lit(1)).alias("_size")).withColumnsRenamed({c: f"_b_{c}" for c in by})
+    same = reduce(lambda x, y: x & y, [last[c].eqNullSafe(F.col(f"_b_{c}")) for c in by])
+    last = last.join(sizes, same).filter(F.col("_n") <= F.col("_size") - window).drop("_size", *[f"_b_{c}" for c in by])
+    return first.withColumn("part", F.lit("reference")).unionByName(last.withColumn("part", F.lit("current"))).drop("_n")
 
 
 def kolmogorov(d: Column, n: Column, m: Column, terms: int = 40) -> Column:

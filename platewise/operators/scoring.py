@@ -52,6 +52,13 @@ def where(df: DataFrame, predicate, column: str | None = None) -> DataFrame:
     return df.filter(test(column))
 
 
+def transformed(df: DataFrame, *steps) -> DataFrame:
+    """K2: a table through a user's functions of DataFrames, in order; each may change values but not the number of rows."""
+    for step in steps:
+        df = df.transform(step)
+    return df
+
+
 def ablation(df: DataFrame, key: str, vector: str, groups: dict[str, list[int]], factory, fill: str = "zero") -> DataFrame:
     """Per group of features the mean absolute change of the prediction when the group is set to zero or to its mean."""
     width = df.select(F.size(vector)).first()[0]

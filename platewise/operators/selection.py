@@ -7,6 +7,8 @@ cuts the lineage. A round is one small job, so thousands of picks take long by n
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +22,50 @@ def distance(a: Column, b: Column) -> Column:
     return F.sqrt(V.total(F.zip_with(a, b, lambda x, y: (x - y) * (x - y))))
 
 
-def pairwise(df: DataFrame, key: str, vector: str, metric: str = "euclidean") -> DataFrame:
-    """C14: all pairs a < b with their distance. The result is quadratic by definition, so this is for bounded tables."""
-    a = df.select(F.col(key).alias("a"), F.col(vector).alias("x"))
-    b = df.select(F.col(key).alias("b"), F.col(vector).alias("y"))
-    x, y = F.col("x"), F.col("y")
+BLOCK = 256
+
+
+def _blocks(df: DataFrame, key: str, vector: str, by=()) -> DataFrame:
+    """Rows packed ``BLOCK`` or so to a row (``_block``, ``rows``), dealt by a hash of the key; within ``by``."""
+    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("_m"))
+    rows = df.join(sizes, list(by)) if by else df.crossJoin(F.broadcast(sizes))  # without keys it is one row
+    rows = rows.withColumn("_block", F.pmod(F.xxhash64(key), F.col("_m")))
+    return rows.groupBy(*by, "_block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("x"))).alias("rows"))
+
+
+def pairwise(df: DataFrame, key: str, vector: str, metric: str = "euclidean", queries: Column | None = None) -> DataFrame:
+    """C14: ``a, b, distance`` of each row ``a`` that ``queries`` accepts (all by default) to every other row ``b``.
+
+    The queries are packed into blocks, and every row meets each block once. The result has as many rows as queries times rows.
+    """
+    asked = _blocks(df.filter(queries) if queries is not None else df, key, vector).select("rows")
+    x, y = F.col("q.x"), F.col("y")
     d = distance(x, y) if metric == "euclidean" else 1 - V.dot(x, y) / (V.norm(x) * V.norm(y))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", d.alias("distance"))
+    rows = df.select(F.col(key).alias("b"), F.col(vector).alias("y")).crossJoin(asked).select("b", "y", F.explode("rows").alias("q"))
+    return rows.filter("q.k <> b").select(F.col("q.k").alias("a"), "b", d.alias("distance"))
+
+
+def mean_distance(df: DataFrame, key: str, vector: str, by: str) -> DataFrame:
+    """``by, distance``: mean Euclidean distance over all pairs of rows of a group. Blocks meet blocks as matrices, and only their sums go on; the work is
+    quadratic in a group by definition, and is dealt by pairs of blocks."""
+    blocks = _blocks(df, key, vector, [by])
+    a, b = (blocks.select(by, F.col("_block").alias(f"_{n}"), F.transform("rows", lambda r: r["x"]).alias(n)) for n in "ab")
+    both = a.join(b.withColumnRenamed(by, "_by"), a[by].eqNullSafe(F.col("_by"))).filter("_a <= _b").repartition("_a", "_b").select(by, (F.col("_a") == F.col("_b")).alias("same"), "a", "b")
+    kind = df.schema[by].dataType.simpleString()
+
+    def sums(batches):
+        for pdf in batches:
+            total, n = [], []
+            for same, a, b in zip(pdf["same"], pdf["a"], pdf["b"]):
+                a, b = np.stack(a), np.stack(b)
+                square = (a * a).sum(axis=1)[:, None] + (b * b).sum(axis=1)[None, :] - 2 * a @ b.T
+                d = np.sqrt(np.maximum(square, 0.0))
+                total.append(d[np.triu_indices(len(a), 1)].sum() if same else d.sum())
+                n.append(len(a) * (len(a) - 1) // 2 if same else len(a) * len(b))
+            yield pd.DataFrame({by: pdf[by], "total": total, "n": n})
+
+    per = both.mapInPandas(sums, f"`{by}` {kind}, total double, n long").groupBy(by).agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+    return per.filter("n > 0").select(by, (F.col("total") / F.col("n")).alias("distance"))
 
 
 def replicate_similarity(df: DataFrame, key: str, label: str, vector: str) -> DataFrame:
@@ -55,9 +94,11 @@ def reduce_uncertainty(per: DataFrame, how: str = "mean", value: str = "std") ->
     return per.groupBy("sample").agg(f(value).alias("uncertainty"))
 
 
-def scores(df: DataFrame, kind: str, mean: str = "mean", std: str = "std", best: float | None = None, seed: int = 0, key: str = "sample") -> DataFrame:
-    """Acquisition score: uncertainty, ei, pi or random."""
-    if kind == "uncertainty":
+def scores(df: DataFrame, kind, mean: str = "mean", std: str = "std", best: float | None = None, seed: int = 0, key: str = "sample") -> DataFrame:
+    """Acquisition score: uncertainty, ei, pi or random, or a user's function of the mean, spread and key columns."""
+    if callable(kind):
+        s = kind(F.col(mean), F.col(std), F.col(key))
+    elif kind == "uncertainty":
         s = F.col(std)
     elif kind == "random":
         s = V.hash_uniform(F.col(key), F.lit(seed))
@@ -201,7 +242,16 @@ def next_round(labelled: DataFrame, pool: DataFrame, selected: DataFrame, key: s
 def strategy_report(selected: DataFrame, strategy: str, key: str, vector: str, uncertainty: str, cluster: str) -> DataFrame:
     """Per strategy mean and spread of uncertainty, clusters covered and mean pairwise distance of its picks."""
     per = selected.groupBy(strategy).agg(F.avg(uncertainty).alias("mean"), F.stddev_pop(uncertainty).alias("std"), F.count_distinct(cluster).alias("clusters"))
-    a = selected.select(strategy, F.col(key).alias("a"), F.col(vector).alias("x"))
-    b = selected.select(strategy, F.col(key).alias("b"), F.col(vector).alias("y"))
-    d = a.join(b, strategy).filter("a < b").groupBy(strategy).agg(F.avg(distance(F.col("x"), F.col("y"))).alias("distance"))
-    return per.join(d, strategy, "left")
+    return per.join(mean_distance(selected, key, vector, strategy), strategy, "left")
+
+
+def label_with(ids: DataFrame, oracle, key: str) -> DataFrame:
+    """K5: labels for a table of ids from a user's function of DataFrames; ids that it leaves out are dropped, and extra ones too."""
+    return oracle(ids.select(key)).join(ids.select(key), key, "left_semi")
+
+
+def active_round(labelled: DataFrame, pool: DataFrame, key: str, score: str, n: int, oracle, round_: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The n best of the pool are labelled by the oracle and move over; ``labelled`` has the key and the oracle's columns."""
+    chosen = select_next(pool, key, score, n, round_=round_)
+    found = label_with(chosen, oracle, key)
+    return labelled.unionByName(found.select(*labelled.columns)), unmatched(pool, found, key)

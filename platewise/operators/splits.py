@@ -56,15 +56,15 @@ def balanced_draws(df: DataFrame, key: str, group: str, seed: int = 42) -> DataF
     draws and rows meet in an equality join on (group, place) instead of a range join.
     """
     rows = df.withColumn(group, F.coalesce(F.col(group).cast("string"), F.lit("unknown")))
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("size"))
-    groups = sorted((r[0], r[1]) for r in sizes.collect())
-    salted = rows.withColumn("_s", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(64)))
+    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("_size"))
+    sizes = sizes.withColumn("_g", F.row_number().over(Window.orderBy(group)) - 1)  # one row a group
+    whole = sizes.agg(F.count(F.lit(1)).alias("_k"))
+    salted = rows.withColumn("_s", F.substring(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")), 256), 1, 2))
     blocks = salted.groupBy(group, "_s").agg(F.count(F.lit(1)).alias("_c"))
     blocks = blocks.withColumn("_b", F.sum("_c").over(Window.partitionBy(group).orderBy("_s")) - F.col("_c")).drop("_c")
     placed = salted.withColumn("_i", F.row_number().over(Window.partitionBy(group, "_s").orderBy(key))).join(blocks, [group, "_s"])
     placed = placed.withColumn("place", F.col("_b") + F.col("_i") - 1).drop("_s", "_b", "_i")
-    names, counts = F.array(*[F.lit(g) for g, _ in groups]), F.array(*[F.lit(n) for _, n in groups])
-    draws = df.select(F.col(key).alias("draw")).withColumn("_g", (hash_uniform(F.col("draw"), F.lit(seed)) * len(groups)).cast("int"))
-    n = F.element_at(counts, F.col("_g") + 1)
-    draws = draws.select("draw", F.element_at(names, F.col("_g") + 1).alias(group), F.floor(hash_uniform(F.col("draw"), F.lit(seed + 1)) * n).alias("place"))
+    draws = df.select(F.col(key).alias("draw")).crossJoin(F.broadcast(whole))  # one row
+    draws = draws.withColumn("_g", F.floor(hash_uniform(F.col("draw"), F.lit(seed)) * F.col("_k"))).join(sizes, "_g")
+    draws = draws.select("draw", group, F.floor(hash_uniform(F.col("draw"), F.lit(seed + 1)) * F.col("_size")).alias("place"))
     return draws.join(placed, [group, "place"]).drop("place")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from platewise.functions.sequence import is_valid, normalise_sequence, sequence_hash
+from platewise import scratch
+from platewise.functions.sequence import is_valid, normalise_sequence
 from platewise.operators.joins import first_per_key, unmatched
 from platewise.schema import feature_columns, metadata_columns, nan_to_null
 
@@ -38,23 +40,41 @@ def metadata_table(spark: SparkSession, root: str, name: str, columns=None) -> D
     return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(f"{root}/{name}.csv*")
 
 
-def load_plates(spark: SparkSession, paths, compartments=None, most: int | None = None) -> DataFrame:
-    """Many plates together: features that all have, metadata that any has. Unreadable plates are left out."""
-    frames = []
+def load_plates(spark: SparkSession, paths, compartments=None, most: int | None = None) -> tuple[DataFrame, list[str]]:
+    """Many plates together: features that all have, metadata that any has; and the paths that could not be read.
+
+    The driver reads each plate's footer, and plates of one schema become one scan, so the plan grows with the schemas and not with the plates.
+    """
+    of: dict[str, tuple[T.StructType, list[str]]] = {}
+    skipped = []
     for p in list(paths)[:most]:
         try:
-            frames.append(spark.read.parquet(p))
-        except Exception:  # Spark reports a missing or broken plate when it reads the footer
+            schema = spark.read.parquet(p).schema
+        except AnalysisException:  # missing, or no footer that can be read
+            skipped.append(p)
             continue
-    if not frames:
+        of.setdefault(schema.json(), (schema, []))[1].append(p)
+    if not of:
         raise FileNotFoundError("no plate could be read")
     kinds = {"compartments": compartments} if compartments else {}
-    shared = sorted(set.intersection(*[set(feature_columns(f.columns, **kinds)) for f in frames]))
+    shared = sorted(set.intersection(*[set(feature_columns(schema.names, **kinds)) for schema, _ in of.values()]))
     out = None
-    for f in frames:
-        part = f.select(*metadata_columns(f.columns), *[F.col(c).cast("double") for c in shared])
+    for schema, group in of.values():
+        part = spark.read.schema(schema).parquet(*group).select(*metadata_columns(schema.names), *[F.col(c).cast("double") for c in shared])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
-    return nan_to_null(out, shared)
+    return nan_to_null(out, shared), skipped
+
+
+def numbered(df: DataFrame, out: str) -> DataFrame:
+    """A table read from text files with the number of each row from 0, in the order of files and of rows in them.
+
+    Each block of a file is read by one task from front to back, so a row's number is its place in its block and the rows of the blocks before.
+    """
+    rows = df.select("*", F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_start")).withColumn("_id", F.monotonically_increasing_id())
+    rows = scratch.written(rows, "rows")
+    blocks = rows.groupBy("_path", "_start").agg(F.count(F.lit(1)).alias("_n"), F.min("_id").alias("_first"))  # one row a block
+    blocks = blocks.withColumn("_before", F.sum("_n").over(Window.orderBy("_path", "_start")) - F.col("_n")).drop("_n")
+    return rows.join(blocks, ["_path", "_start"]).withColumn(out, F.col("_before") + F.col("_id") - F.col("_first")).drop("_path", "_start", "_id", "_first", "_before")
 
 
 def phenotype_csv(spark: SparkSession, path: str, schema: str, features=None, prefix: str | None = None, id_column: str | None = None) -> DataFrame:
@@ -64,8 +84,7 @@ def phenotype_csv(spark: SparkSession, path: str, schema: str, features=None, pr
         heads = (prefix,) if prefix else ("Cells_", "Cytoplasm_", "Nuclei_", "Image_")
         features = [c for c in df.columns if c.startswith(heads)]
     if id_column is None:
-        numbered = df.rdd.zipWithIndex().map(lambda x: (*x[0], x[1]))  # CSV rows have no other order
-        df = spark.createDataFrame(numbered, df.schema.add("_i", T.LongType())).withColumn("sample_id", F.concat(F.lit("sample_"), F.col("_i").cast("string"))).drop("_i")
+        df = numbered(df, "_i").withColumn("sample_id", F.concat(F.lit("sample_"), F.col("_i").cast("string"))).drop("_i")
     else:
         df = df.withColumn("sample_id", F.col(id_column).cast("string"))
     keep = [c for c in df.columns if c not in features]
@@ -81,22 +100,21 @@ def fasta(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return rows.filter(is_valid(F.col("sequence"))), rows.filter(~is_valid(F.col("sequence")))
 
 
-def sequence_csv(spark: SparkSession, path: str, ordinal: str = "row") -> DataFrame:
-    """``sequence`` and ``name`` (``protein_`` and the row's ordinal where it is missing)."""
+def sequence_csv(spark: SparkSession, path: str) -> DataFrame:
+    """``sequence`` and ``name`` (``protein_`` and the row's number where it is missing)."""
     df = spark.read.option("header", True).csv(path)
     if "sequence" not in df.columns:
         raise KeyError("a sequence column is needed")
     name = F.col("name") if "name" in df.columns else F.lit(None).cast("string")
-    number = F.col(ordinal).cast("string") if ordinal in df.columns else sequence_hash(F.col("sequence"))
-    return df.withColumn("name", F.coalesce(name, F.concat(F.lit("protein_"), number)))
+    return numbered(df, "_i").withColumn("name", F.coalesce(name, F.concat(F.lit("protein_"), F.col("_i").cast("string")))).drop("_i")
 
 
 LIBRARY = "name string, count long, proteins array<struct<sequence:string,name:string,source:string,metadata:map<string,string>,embeddings:map<string,array<double>>>>"
 
 
-def library_json(spark: SparkSession, path: str) -> DataFrame:
-    """One row a protein."""
-    return spark.read.schema(LIBRARY).option("multiLine", True).json(path).select(F.col("name").alias("library"), F.explode("proteins").alias("p")).select("library", "p.*")
+def library_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """One row a protein, from whole documents, or from ``lines`` of one document each as ``save_library`` writes them."""
+    return spark.read.schema(LIBRARY).option("multiLine", not lines).json(path).select(F.col("name").alias("library"), F.explode("proteins").alias("p")).select("library", "p.*")
 
 
 def embeddings(spark: SparkSession, path: str, kind: str | None = None) -> DataFrame:

@@ -45,13 +45,15 @@ def save_fasta(df: DataFrame, path: str, width: int = 80) -> None:
 
 
 def save_library(df: DataFrame, path: str) -> None:
-    """One JSON line a protein; the reader's single-document form is for exchange only."""
-    df.write.mode("overwrite").json(path)
+    """JSON lines, one a protein, each a library document of one protein, so that no library has to fit one task and the reader reads both forms."""
+    protein = F.struct(*[F.col(c) for c in ("sequence", "name", "source", "metadata", "embeddings") if c in df.columns])
+    library = F.col("library") if "library" in df.columns else F.lit(None).cast("string")
+    df.select(library.alias("name"), F.lit(1).alias("count"), F.array(protein).alias("proteins")).write.mode("overwrite").json(path)
 
 
 def save_embeddings(df: DataFrame, path: str) -> None:
     """``id, kind, vector`` with vectors as float, partitioned by kind for pruning."""
-    df.select("id", "kind", F.col("vector").cast("array<float>").alias("vector")).write.mode("overwrite").parquet(path)
+    df.select("id", "kind", F.col("vector").cast("array<float>").alias("vector")).write.mode("overwrite").partitionBy("kind").parquet(path)
 
 
 def save_selection(ranked: DataFrame, key: str, path: str) -> None:

@@ -7,6 +7,7 @@ written to a rejects table by a stage in front, since stateful operators drop th
 from __future__ import annotations
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -55,14 +56,9 @@ def drift_stream(log: DataFrame, key: str, ts: str, value: str, window: int = 50
 
     def step(k, batches, state: GroupState):
         ref, cur = state.get if state.exists else ([], [])
-        ref, cur = list(ref), list(cur)
-        rows = pd.concat(list(batches)).sort_values(ts)
-        for v in rows[value].dropna():
-            if len(ref) < window:
-                ref.append(float(v))
-            else:
-                cur.append(float(v))
-        cur = cur[-window:]
+        values = pd.concat(list(batches)).sort_values(ts)[value].dropna().astype(float).tolist()
+        free = max(0, window - len(ref))
+        ref, cur = [*ref, *values[:free]], [*cur, *values[free:]][-window:]
         state.update((ref, cur))
         d = ks_statistic(ref, cur) if len(cur) >= window else None
         p = ks_p(d, len(ref), len(cur)) if d is not None else None
@@ -101,32 +97,35 @@ def match_feedback(predictions: DataFrame, feedback: DataFrame, key: str, ts: st
 
 
 def quality_of_batch(sink):
-    """A ``foreachBatch`` function that scores matched pairs (``sample, f, pred, target``) and hands the metrics to ``sink``."""
+    """A ``foreachBatch`` function that scores matched pairs (``sample, f, pred, target``) and hands the metrics, their number of pairs ``n`` and the
+    batch's number to ``sink``, which should replace what it has of that batch."""
     from platewise.operators.metrics import regression
 
     def run(batch: DataFrame, number: int) -> None:
-        sink(regression(batch.filter("pred is not null and target is not null")).withColumn("batch", F.lit(number)))
+        known = batch.filter("pred is not null and target is not null")
+        sink(regression(known).crossJoin(known.agg(F.count(F.lit(1)).alias("n"))), number)  # two rows of sums
 
     return run
 
 
-def split_late(ts: str, late_seconds: int, on_time, rejects):
-    """A ``foreachBatch`` function that sends rows behind the largest event time seen so far by more than the
-    allowed lateness to ``rejects``, and the others to ``on_time``. The horizon only moves between batches."""
-    seen: dict = {"max": None}
+def split_late(ts: str, late_seconds: int, path: str):
+    """A ``foreachBatch`` function that sends rows behind the largest event time seen in earlier batches by more than the
+    allowed lateness to ``path/late``, and the others to ``path/good``.
+
+    Every batch writes its own folder and its largest event time beside it, and reads only those of smaller numbers. So a batch that is
+    tried again replaces what it wrote and decides as before, and a restart goes on from what is written.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
-        horizon = seen["max"]
-        late = F.lit(False) if horizon is None else F.col(ts) < F.lit(horizon) - F.expr(f"interval {late_seconds} seconds")
-        batch = batch.persist()
-        try:
-            rejects(batch.filter(late))
-            on_time(batch.filter(~late))
-            top = batch.agg(F.max(ts)).first()[0]
-        finally:
-            batch.unpersist()
-        if top is not None and (horizon is None or top > horizon):
-            seen["max"] = top
+        spark, horizon = batch.sparkSession, None
+        try:  # the first batch finds nothing
+            horizon = None if number == 0 else spark.read.schema("top timestamp, batch long").parquet(f"{path}/horizon").filter(F.col("batch") < number).agg(F.max("top")).first()[0]
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
+        late = F.lit(False) if horizon is None else F.coalesce(F.col(ts).cast("timestamp") < F.lit(horizon) - F.expr(f"interval {late_seconds} seconds"), F.lit(False))
+        for name, rows in (("late", batch.filter(late)), ("good", batch.filter(~late)), ("horizon", batch.agg(F.max(F.col(ts).cast("timestamp")).alias("top")))):
+            rows.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
 
     return run
 

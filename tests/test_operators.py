@@ -10,6 +10,7 @@ from platewise.operators import aggregates as A
 from platewise.operators import clustering as C
 from platewise.operators import joins as J
 from platewise.operators import normalise as N
+from platewise.operators import order as O
 from platewise.operators import quality as Q
 from platewise.operators import scoring as X
 from platewise.operators import selection as L
@@ -129,3 +130,102 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "t string, x double")
     assert A.wells_to_treatments(empty, "t", ["x"]).count() == 0
     assert L.rank(spark.createDataFrame([], "k int, s double"), "s", "k").count() == 0
+
+
+@pytest.mark.parametrize("shape", ["even", "ties", "outliers", "one value"])
+def test_percentiles_by_narrowing_equal_exact_ones(spark, shape):
+    import random
+
+    r = random.Random(40)
+    draw = {"even": r.random, "ties": lambda: float(r.randrange(4)), "outliers": lambda: r.random() if r.random() < 0.99 else 1e30 * r.random(), "one value": lambda: 2.5}[shape]
+    rows = [(r.choice(["a", "b", None]), draw() if r.random() < 0.95 else None) for _ in range(4000)] + [("empty", None), ("single", 7.0)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(3)
+    shares = {"low": 0.1, "mid": 0.5, "high": 0.99}
+    plain = O.exact_percentiles(df, ["g"], "v", shares)
+    narrowed = O.exact_percentiles(df, ["g"], "v", shares, most=20)
+    key = lambda x: str(x[0])
+    assert sorted(map(tuple, narrowed.select("g", *shares).collect()), key=key) == [pytest.approx(x) if x[1] is not None else x for x in sorted(map(tuple, plain.select("g", *shares).collect()), key=key)]
+    whole = O.exact_percentiles(df, [], "v", {"mid": 0.5}, most=50).first().mid
+    assert whole == pytest.approx(df.agg(F.median("v")).first()[0])
+
+
+def test_ranks_in_pieces_equal_ranks(spark):
+    import random
+
+    r = random.Random(41)
+    df = spark.createDataFrame([(i, r.randrange(2), float(r.randrange(300))) for i in range(3000)], "k int, g int, v double")
+    one, many = (values(O.average_rank(df, ["g"], "v", "r", cuts), "k", "r") for cuts in (0, 16))
+    assert one == many
+    whole = values(O.average_rank(df, [], "v", "r", 8), "v", "r")
+    assert whole[0][0] == 0.0 and max(x[1] for x in whole) <= 3000
+    ranked = O.rank(df.withColumn("v", F.when(F.col("k") > 5, F.col("v"))).repartition(5), "v", "k")
+    rows = sorted(ranked.collect(), key=lambda x: x["rank"])
+    assert [x["rank"] for x in rows] == list(range(1, 3001)) and [x.k for x in rows[-6:]] == list(range(6))
+    assert [(-x.v, x.k) for x in rows[:-6]] == sorted((-x.v, x.k) for x in rows[:-6])
+
+
+def test_gram_correlations_skip_missing_values(spark):
+    import random
+
+    import numpy as np
+
+    r = random.Random(42)
+    rows = [(i, [x := r.random(), x * 2 + r.random(), None if r.random() < 0.2 else -x, 5.0]) for i in range(500)]
+    got = {(x.a, x.b): x.r for x in N.packed_correlations(spark.createDataFrame(rows, "k int, features array<double>").repartition(4)).collect()}
+    m = np.array([[np.nan if v is None else v for v in x] for _, x in rows])
+    ok = ~np.isnan(m[:, 2])
+    assert got[(0, 1)] == pytest.approx(np.corrcoef(m[:, 0], m[:, 1])[0, 1]) and got[(1, 2)] == pytest.approx(np.corrcoef(m[ok, 1], m[ok, 2])[0, 1])
+    assert got[(0, 2)] == pytest.approx(-1.0) and got[(0, 3)] is None and len(got) == 6
+    same = {(x.a, x.b): x.r for x in N.correlations(schema.to_long(spark.createDataFrame(rows, "k int, features array<double>"), ["k"]), "k").collect()}
+    assert {k: v for k, v in same.items() if v is not None} == {k: pytest.approx(v) for k, v in got.items() if v is not None}
+
+
+def test_rows_zip_by_position(spark):
+    a = spark.createDataFrame([(0, None), (1, "x")], "i int, a string")
+    assert values(J.zip_rows(a, spark.createDataFrame([(0, "p"), (1, None)], "i int, b string"), "i"), "i", "a", "b") == [(0, None, "p"), (1, "x", None)]
+    with pytest.raises(Exception, match="unequal"):
+        J.zip_rows(a, spark.createDataFrame([(0, "p")], "i int, b string"), "i").collect()
+
+
+def test_mean_distance_of_blocks(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(L, "BLOCK", 7)
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(50, 3))
+    df = spark.createDataFrame([(i, i % 2, v.tolist()) for i, v in enumerate(x)] + [(99, 5, [0.0, 0.0, 0.0])], "k int, g int, x array<double>")
+    got = {r.g: r.distance for r in L.mean_distance(df, "k", "x", "g").collect()}
+    for g in (0, 1):
+        part = x[g::2]
+        d = [np.linalg.norm(part[i] - part[j]) for i in range(len(part)) for j in range(i)]
+        assert got[g] == pytest.approx(np.mean(d))
+    assert set(got) == {0, 1}
+    pairs = L.pairwise(df, "k", "x", queries=F.col("k") == 3).collect()
+    assert {p.b for p in pairs} == {*range(50), 99} - {3}
+
+
+def test_numbered_rows_of_many_blocks(spark, tmp_path):
+    from platewise.sources import readers as R
+
+    for name, n in (("a", 400), ("b", 250)):
+        (tmp_path / f"{name}.csv").write_text("sequence,name\n" + "".join(f"ACD{'A' * (i % 50)},{name}{i}\n" for i in range(n)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000b")
+    try:
+        rows = R.numbered(spark.read.option("header", True).csv(str(tmp_path)), "i").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [r.name for r in sorted(rows, key=lambda r: r.i)] == [f"a{i}" for i in range(400)] + [f"b{i}" for i in range(250)]
+
+
+def test_late_rows_survive_a_repeated_batch(spark, tmp_path):
+    import datetime
+
+    at = lambda m: datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=m)
+    step = monitor.split_late("ts", 600, str(tmp_path))
+    make = lambda rows: spark.createDataFrame(rows, "k int, ts timestamp")
+    first, second = make([(1, at(0)), (2, at(60))]), make([(3, at(5)), (4, at(55)), (5, at(90))])
+    for number, batch in ((0, first), (1, second), (1, second)):  # the second one is tried again, by a new run
+        step = monitor.split_late("ts", 600, str(tmp_path))
+        step(batch, number)
+    assert values(spark.read.parquet(f"{tmp_path}/late"), "k") == [(3,)] and values(spark.read.parquet(f"{tmp_path}/good"), "k") == [(1,), (2,), (4,), (5,)]
