@@ -2,8 +2,9 @@
 
 The test items form an inverted index: BM25 weights, items in blocks, and for each term and
 block the largest weight (the block maximum). Every document is cut into overlapping passages, each at
-least as long as the longest item on both sides of any position, and each passage queries the index for all
-items whose score reaches ``threshold`` times the score that the item gives itself.
+least as long as the longest item of its class on both sides of any position, and each passage queries the index for all
+items whose score reaches ``threshold`` times the score that the item gives itself. Items are dealt into classes of length (up to
+``LENGTH`` words, eight times that, and so on), each with an index and passages of its own, so that one long item doesn't lengthen the passages of the others.
 
 Because those thresholds are fixed, WAND's pivot of an item is fixed too: what its light terms (the share ``LIGHT`` of its
 threshold) cannot give must come from the others. Only the lists of those, the essential terms of some item of a block, bring up the block, and
@@ -36,6 +37,8 @@ from .common import in_slices
 
 SHINGLE, OVERLAP, ANSWER_OVERLAP, THRESHOLD = 5, 0.8, 0.5, 0.5
 K1, B, BLOCK, ITEMS, LIGHT = 1.2, 0.75, 8, 20_000, 0.5
+#: Most words of the first class of items, and how much longer each next class may be.
+LENGTH, LONGER = 64, 8
 _PLAIN = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 _SENTENCE = re.compile(r"[.?!\n]+\s*")
 
@@ -54,6 +57,14 @@ def split_item(text: str) -> tuple[list[bytes], list[bytes]]:
     return [w for p in parts[:-1] for w in p], parts[-1]
 
 
+def length_class(words: int) -> int:
+    """Most words of the class that an item of so many words is in."""
+    bound = LENGTH
+    while bound < words:
+        bound *= LONGER
+    return bound
+
+
 def shingles(ids: list[int]) -> set:
     n = max(1, len(ids) - SHINGLE + 1)
     return {tuple(ids[i : i + SHINGLE]) for i in range(n)} if ids else set()
@@ -83,19 +94,18 @@ class Csr:
 
 @dataclass
 class Statistics:
-    """What weights and passages depend on, over the whole benchmark: items, their mean and largest number of words, and
-    in how many of them each word occurs."""
+    """What weights depend on, over the whole benchmark: items, their mean number of words, and in how many of them each word occurs."""
 
     n: int
     mean: float
-    longest: int
     df: dict[bytes, int]
 
 
 class Index:
     def __init__(self, items: list[tuple[int, str]], threshold: float = THRESHOLD, block: int = BLOCK, whole: Statistics | None = None):
-        """``whole``: the statistics of the benchmark that ``items`` are a part of; without it they are all of it."""
+        """``items`` are of one class; ``whole``: the statistics of the benchmark that they are a part of; without it they are all of it."""
         items = [(i, q, a) for i, t in items for q, a in [split_item(t or "")] if q]
+        self.step = length_class(max((len(q) + len(a) for _, q, a in items), default=1))
         self.items = [i for i, _, _ in items]
         self.vocab: dict[bytes, int] = {}
         docs = []
@@ -105,10 +115,10 @@ class Index:
         self.answer = [shingles(d[len(q) :]) for d, (_, q, _) in zip(docs, items)]
         n = len(docs)
         if whole:
-            self.longest, mean, total = whole.longest, whole.mean, whole.n
+            mean, total = whole.mean, whole.n
             df = np.array([whole.df[w] for w in self.vocab], dtype=float)
         else:
-            self.longest, mean, total = max((len(d) for d in docs), default=1), sum(map(len, docs)) / max(1, n), n
+            mean, total = sum(map(len, docs)) / max(1, n), n
             df = np.zeros(len(self.vocab))
             for d in docs:
                 df[list(set(d))] += 1
@@ -180,7 +190,7 @@ class Index:
 
     def match(self, texts: list[str | None], threshold: float = THRESHOLD, overlap: float = OVERLAP):
         """(text number, item_id, score, question overlap, answer overlap) of verified items; the best passage counts."""
-        step = self.longest
+        step = self.step
         get = self.vocab.get
         ids, offsets = [], [0]
         for t in texts:
@@ -223,24 +233,23 @@ def statistics(benchmark: DataFrame) -> Statistics:
     def count(batches):
         for b in batches:
             df: dict[bytes, int] = {}
-            n = total = longest = 0
+            n = total = 0
             for t in b.column(0).to_pylist():
                 q, a = split_item(t or "")
                 if q:
-                    n, total, longest = n + 1, total + len(q) + len(a), max(longest, len(q) + len(a))
+                    n, total = n + 1, total + len(q) + len(a)
                     for w in {*q, *a}:
                         df[w] = df.get(w, 0) + 1
-            # the empty word carries the items, their words and the longest item
+            # the empty word carries the items and their words
             yield pa.RecordBatch.from_arrays(
-                [pa.array([*df, b""], pa.binary()), pa.array([*df.values(), n], pa.int64()), pa.array([0] * len(df) + [total], pa.int64()), pa.array([0] * len(df) + [longest], pa.int64())],
-                ["word", "n", "total", "longest"],
+                [pa.array([*df, b""], pa.binary()), pa.array([*df.values(), n], pa.int64()), pa.array([0] * len(df) + [total], pa.int64())], ["word", "n", "total"]
             )
 
-    rows = benchmark.select("text").mapInArrow(count, "word binary, n long, total long, longest long")
-    df = {bytes(r.word): r for r in rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.max("longest").alias("longest")).collect()}
+    rows = benchmark.select("text").mapInArrow(count, "word binary, n long, total long")
+    df = {bytes(r.word): r for r in rows.groupBy("word").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).collect()}
     all_ = df.pop(b"", None)
-    n, total, longest = (all_.n, all_.total, all_.longest) if all_ else (0, 0, 0)
-    return Statistics(n, total / max(1, n), max(1, longest), {w: r.n for w, r in df.items()})
+    n, total = (all_.n, all_.total) if all_ else (0, 0)
+    return Statistics(n, total / max(1, n), {w: r.n for w, r in df.items()})
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, overlap: float = OVERLAP, items: int = ITEMS) -> DataFrame:
@@ -253,16 +262,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     di, ti = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {di}, item_id {ti}, score double, question_overlap double, answer_overlap double"
     out = spark.createDataFrame([], schema)
-    whole = statistics(benchmark) if passes > 1 else None
+    whole = statistics(benchmark) if passes else None
     for k in range(passes):
         rows = benchmark.filter(F.pmod(F.xxhash64("item_id"), F.lit(passes)) == k).select("item_id", "text").collect()
-        shared = spark.sparkContext.broadcast(Index(sorted(((r[0], r[1]) for r in rows), key=str), threshold, whole=whole))
+        classes: dict[int, list] = {}
+        for r in sorted(rows, key=str):
+            q, a = split_item(r[1] or "")
+            classes.setdefault(length_class(len(q) + len(a)), []).append((r[0], r[1]))
+        shared = spark.sparkContext.broadcast([Index(part, threshold, whole=whole) for _, part in sorted(classes.items())])
 
         def run(batches, shared=shared):
-            index = shared.value
             for b in in_slices(batches, 256):
-                ids = b.column(0).to_pylist()
-                found = [(ids[d], *rest) for d, *rest in index.match(b.column(1).to_pylist(), threshold, overlap)]
+                ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+                found = [(ids[d], *rest) for index in shared.value for d, *rest in index.match(texts, threshold, overlap)]
                 if found:
                     yield pa.RecordBatch.from_pydict(dict(zip(names, map(list, zip(*found)))), schema=arrow)
 

@@ -12,7 +12,7 @@ index's parts are worth a row. A group sends each of its distinct probes once, s
 documents share reaches its part once a group, not once a document. Whole copies of an earlier document are
 settled beforehand by a hash of their words and send no probes.
 
-Windows are compared by 64-bit hashes of their words, probes by about 40 bits of theirs (a false hit only adds
+Windows are compared by two hashes of their words, of 64 and 32 bits and of different bases, probes by about 40 bits of theirs (a false hit only adds
 windows to the exact step). Group and part sizes grow with the square root of the input.
 
 Defined results: null and empty texts have no words; texts under fifty words keep all; rows that share
@@ -37,7 +37,7 @@ WINDOW, ANCHOR = 50, 25
 GROUP_WORDS = 400_000
 
 _U = np.uint64
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
+_BYTE_BASE, _WORD_BASE, _AGAIN_BASE = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 
@@ -67,7 +67,7 @@ class WordHasher:
     """Hashes of a text's words and of its runs of words, from prefix sums."""
 
     def __init__(self):
-        self.bytes, self.words = _Powers(_BYTE_BASE), _Powers(_WORD_BASE)
+        self.bytes, self.words, self.again = _Powers(_BYTE_BASE), _Powers(_WORD_BASE), _Powers(_AGAIN_BASE)
 
     def of(self, raw: bytes) -> np.ndarray:
         a = np.frombuffer(raw, dtype=np.uint8)
@@ -79,15 +79,19 @@ class WordHasher:
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum((a.astype(np.uint64) + _U(1)) * up[: len(a)])])
         return _mix((sums[end] - sums[start]) * down[start] + (end - start).astype(np.uint64))
 
-    def runs(self, words: np.ndarray, width: int) -> np.ndarray:
+    def runs(self, words: np.ndarray, width: int, powers: _Powers | None = None) -> np.ndarray:
         """Hashes of all runs of ``width`` words."""
         n = len(words)
         if n < width:
             return np.zeros(0, dtype=np.uint64)
-        up, down = self.words.upto(n + 1)
+        up, down = (powers or self.words).upto(n + 1)
         sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(words * up[:n])])
         return _mix((sums[width:] - sums[:-width]) * down[: n - width + 1])
 
+    def checks(self, words: np.ndarray, width: int) -> np.ndarray:
+        """Second hashes of all runs, 32 bits each."""
+        return (self.runs(words, width, self.again) >> _U(32)).astype(np.uint32).view(np.int32)
+
 
 def _texts(docs: pa.Table, live: set):
     for doc, raw in zip(docs.column("doc_id").to_pylist(), docs.column("raw").to_pylist()):
@@ -176,7 +180,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
         live = {x for x in right.column("x").to_pylist() if x is not None}
         hits = [_U(p << 30) | np.frombuffer(k, dtype=np.uint32) for p, k in zip(right.column("part").to_pylist(), right.column("keys").to_pylist()) if k is not None]
         hits = np.sort(np.concatenate(hits)) if hits else np.zeros(0, dtype=np.uint64)
-        found, owner = [], []
+        found, owner, second = [], [], []
         for doc, raw in _texts(left, live) if len(hits) else ():
             words = hasher.of(raw)
             key = (hasher.runs(words, anchor) & ~_U(1)) >> shift
@@ -188,31 +192,37 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 near = run[window - anchor + 1 :][:n] > run[:n]
                 h = hasher.runs(words, window)[near]
                 found.append(h)
+                second.append(hasher.checks(words, window)[near])
                 owner.append(np.full(len(h), doc, dtype=np.int64))
         if not found:
-            return pa.table({k: pa.array([], t) for k, t in (("h", pa.int64()), ("grp", pa.int32()), ("low", pa.int64()), ("high", pa.int64()))})
-        h, owner = np.concatenate(found), np.concatenate(owner)
-        order = np.lexsort((owner, h))
-        h, owner = h[order], owner[order]
-        at, end = _slices(h)
+            return pa.table({k: pa.array([], t) for k, t in (("h", pa.int64()), ("g", pa.int32()), ("grp", pa.int32()), ("low", pa.int64()), ("high", pa.int64()))})
+        h, g, owner = np.concatenate(found), np.concatenate(second), np.concatenate(owner)
+        order = np.lexsort((owner, g, h))
+        h, g, owner = h[order], g[order], owner[order]
+        at = np.flatnonzero(np.concatenate([[True], (h[1:] != h[:-1]) | (g[1:] != g[:-1])]))
+        end = np.concatenate([at[1:], [len(h)]])
         me = left.column("grp")[0].as_py()
-        return pa.table({"h": pa.array(h[at].view(np.int64)), "grp": pa.array(np.full(len(at), me, dtype=np.int32)), "low": pa.array(owner[at]), "high": pa.array(owner[end - 1])})
+        return pa.table({"h": pa.array(h[at].view(np.int64)), "g": pa.array(g[at]), "grp": pa.array(np.full(len(at), me, dtype=np.int32)), "low": pa.array(owner[at]), "high": pa.array(owner[end - 1])})
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
         hasher = WordHasher()
-        x, h, m = (right.column(c) for c in ("x", "h", "m"))
+        x, h, g, m = (right.column(c) for c in ("x", "h", "g", "m"))
         live = {v for v in x.to_pylist() if v is not None}
         known = h.is_valid()
-        h, m = h.filter(known).to_numpy().view(np.uint64), m.filter(known).to_numpy()
+        h, g, m = h.filter(known).to_numpy().view(np.uint64), g.filter(known).to_numpy(), m.filter(known).to_numpy()
         order = np.argsort(h)
-        h, m = h[order], m[order]
+        h, g, m = h[order], g[order], m[order]
+        at, end = _slices(h)
+        most = int((end - at).max()) if len(at) else 0  # windows that only the second hash tells apart
         out = set()  # rows that repeat a doc_id and its words give one
         for doc, raw in _texts(left, live) if len(h) else ():
             words = hasher.of(raw)
-            mine = hasher.runs(words, window)
-            at = np.searchsorted(h, mine)
-            at[at == len(h)] = 0
-            starts = np.flatnonzero((h[at] == mine) & (m[at] < doc))
+            mine, also = hasher.runs(words, window), hasher.checks(words, window)
+            at, lost = np.searchsorted(h, mine), np.zeros(len(mine), dtype=bool)
+            for k in range(most):
+                there = np.minimum(at + k, len(h) - 1)
+                lost |= (h[there] == mine) & (g[there] == also) & (m[there] < doc)
+            starts = np.flatnonzero(lost)
             if len(starts):
                 cover = np.zeros(len(words) + 1, dtype=np.int64)
                 np.add.at(cover, starts, 1)
@@ -228,10 +238,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
     sent = by_group(marks).applyInArrow(probes, "part int, grp int, keys binary")
     hits = sent.groupBy("part").applyInArrow(lookup, "grp int, part int, keys binary")
     known = marks.unionByName(hits.withColumn("x", none.cast(id_kind)))
-    met = by_group(known).applyInArrow(windows, "h long, grp int, low long, high long")
-    met = met.withColumn("m", F.min("low").over(Window.partitionBy("h"))).filter("m < high")
-    said = live.select("grp", F.col("doc_id").alias("x"), none.cast("long").alias("h"), none.cast("long").alias("m"))
-    said = said.unionByName(met.select("grp", "h", "m").withColumn("x", none.cast(id_kind)))
+    met = by_group(known).applyInArrow(windows, "h long, g int, grp int, low long, high long")
+    met = met.withColumn("m", F.min("low").over(Window.partitionBy("h", "g"))).filter("m < high")
+    said = live.select("grp", F.col("doc_id").alias("x"), none.cast("long").alias("h"), none.cast("int").alias("g"), none.cast("long").alias("m"))
+    said = said.unionByName(met.select("grp", "h", "g", "m").withColumn("x", none.cast(id_kind)))
     removed = by_group(said).applyInArrow(cut, f"id {id_kind}, of string, removed long, kept string")
 
     empty = F.lit(hashlib.sha256(b"").hexdigest())
