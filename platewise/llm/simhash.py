@@ -29,12 +29,14 @@ or pass through where documents are kept.
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_slices, materialise
+from .common import in_slices, materialise, scratch_dir
 
 SHINGLE, BUCKET = 3, 256
 #: Shingles of ``keep_similar``; its similarity is NUMERATOR / (NUMERATOR + 1) = 0.8, in whole numbers.
@@ -126,14 +128,15 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root`` for the nodes of undirected ``edges`` (a, b); root is the smallest node reachable."""
     e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
-    mark = None
-    for _ in range(rounds):
+    mark, paths = None, [f"{scratch_dir(edges.sparkSession)}/stars-{uuid.uuid4().hex}-{k}" for k in (0, 1)]
+    for k in range(rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e = both.filter("v > u").join(least, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = e.groupBy("u").agg(F.min("v").alias("m"))
         e = e.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
-        e = materialise(e, "stars")
+        e.write.mode("overwrite").parquet(paths[k % 2])  # over the table of the round before the last, which nothing reads any more
+        e = edges.sparkSession.read.schema(e.schema).parquet(paths[k % 2])
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -15,7 +15,7 @@ settled beforehand by a hash of their words and send no probes.
 Windows are compared by two hashes of their words, of 64 and 32 bits and of different bases, probes by about 40 bits of theirs (a false hit only adds
 windows to the exact step). Group and part sizes grow with the square root of the input.
 
-Defined results: null and empty texts have no words; texts under fifty words keep all; rows that share
+Defined results: doc_id is an integer; null and empty texts have no words; texts under fifty words keep all; rows that share
 a doc_id do not remove each other's words, and each gives one row by its own text; a null doc_id neither removes
 nor loses words; an empty table gives an empty result; further columns are ignored.
 """
