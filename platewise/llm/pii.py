@@ -150,7 +150,7 @@ def redact(text: str, spans) -> str:
 
 
 def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Per document: counts of the base kinds, digest of the base spans, and all spans."""
+    """Per document: counts of the base kinds, digest of the base spans, all spans, and their number."""
 
     def run(batches):
         for b in in_slices(batches, ROWS):
@@ -160,15 +160,15 @@ def find_pii(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 n = [0, 0, 0, 0]
                 for _, k, _ in base:
                     n[k] += 1
-                rows.append((*n, hashlib.sha256(render(base).encode()).hexdigest(), render(spans)))
-            cols = list(zip(*rows)) if rows else [()] * 6
+                rows.append((*n, hashlib.sha256(render(base).encode()).hexdigest(), render(spans), len(spans)))
+            cols = list(zip(*rows)) if rows else [()] * 7
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string())],
-                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+                [b.column(0), *[pa.array(c, pa.int64()) for c in cols[:4]], pa.array(cols[4], pa.string()), pa.array(cols[5], pa.string()), pa.array(cols[6], pa.int64())],
+                ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans", "n_spans"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redact_documents(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
