@@ -27,14 +27,25 @@ def scratch_dir(spark: SparkSession) -> str:
     return known.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared scratch folder and read it back, which cuts its lineage."""
+def materialise(df: DataFrame, name: str, made: list[str] | None = None) -> DataFrame:
+    """Write ``df`` to the shared scratch folder and read it back, which cuts its lineage. The path is added to ``made``."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if made is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, made: list[str]) -> None:
+    """Delete scratch tables that nothing will read any more."""
+    conf = spark._jsc.hadoopConfiguration()
+    for x in made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(x)
+        path.getFileSystem(conf).delete(path, True)
+    made.clear()
+
+
 def word_count(text: Column) -> Column:
     """Number of words of ``text`` (0 for null)."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

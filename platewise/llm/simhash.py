@@ -16,9 +16,9 @@ Components are found by alternating large-star and small-star steps on the links
 more. At that similarity two fingerprints differ in about ten of 64 bits, and signatures for ten bits (six segments of ten bits) would
 put every text into buckets that hold a five-hundredth of all texts. So the signatures for two bits bring the first candidates, an
 equality join on prefixes of ordered shingle sets brings the rest (two such sets share one of the first ``n - ceil(0.8 n) + 1`` shingles in any
-order), and the whole sets verify every pair. The order decides only the cost: shingles that are frequent in a sample of documents come
-last, so that lines repeated over many documents bring no candidates. Of each shared prefix shingle all texts are first verified against the
-smallest one; then all pairs of texts that share one and are not yet in one component. Texts that are equal word for word are one node;
+order), and the whole sets verify every pair. The order decides only the cost: shingles are counted over all documents, by parts of their hashes, and frequent ones come
+last, so that passages repeated over many documents bring no candidates. Of each shared prefix shingle all texts are first verified against the
+smallest and the largest one; then all pairs of texts that share one and are not yet in one component. Texts that are equal word for word are one node;
 shingles are compared by 64-bit hashes, texts shorter than a shingle are one shingle, texts without words are one node.
 
 Defined results: null text is empty text; texts without words have fingerprint zero and link like
@@ -36,13 +36,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import in_slices, materialise, scratch_dir
+from .common import discard, in_slices, materialise, scratch_dir
 
 SHINGLE, BUCKET = 3, 256
 #: Shingles of ``keep_similar``; its similarity is NUMERATOR / (NUMERATOR + 1) = 0.8, in whole numbers.
 WIDTH, NUMERATOR = 5, 4
-#: Documents whose shingles are counted for the order, and most frequent shingles that it puts last.
-SAMPLE, FREQUENT = 20_000, 200_000
+#: Documents that a shingle of the order is in at least (copies count as often as tasks meet them), most shingles that the order
+#: knows (the most frequent ones), and words of a part of the counting.
+LEAST, FREQUENT, PART_WORDS = 8, 4_000_000, 4_000_000
 #: Texts and pairs that a task works on at a time.
 ROWS = 256
 _LOW = (1 << 32) - 1
@@ -125,10 +126,12 @@ def links(fps: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return paired.unionAll(starred)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """``node, root`` for the nodes of undirected ``edges`` (a, b); root is the smallest node reachable."""
-    e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links")
+def components(edges: DataFrame, rounds: int = 60, made: list[str] | None = None) -> DataFrame:
+    """``node, root`` for the nodes of undirected ``edges`` (a, b); root is the smallest node reachable. Paths of its tables are added to ``made``."""
+    e = materialise(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u > v").distinct(), "links", made)
     mark, paths = None, [f"{scratch_dir(edges.sparkSession)}/stars-{uuid.uuid4().hex}-{k}" for k in (0, 1)]
+    if made is not None:
+        made += paths
     for k in range(rounds):
         both = e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -201,62 +204,121 @@ def _signed(nodes: list[int]) -> np.ndarray:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """``doc_id, node, fp``: one number for texts of equal words, and the fingerprint."""
+    """``doc_id, node, fp, words``: one number for texts of equal words, the fingerprint and the number of words."""
 
     def run(batches):
         for b in in_slices(batches, ROWS):
             raws = b.column(1).to_pylist()
+            words = [_words(r) for r in raws]
             fps = np.array([fingerprint(r, WIDTH) if r else 0 for r in raws], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_signed([node_of(_words(r)) for r in raws])), pa.array(fps)], ["doc_id", "node", "fp"])
+            cols = [b.column(0), pa.array(_signed([node_of(w) for w in words])), pa.array(fps), pa.array([len(w) for w in words], pa.int64())]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "fp", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _raw(docs)).mapInArrow(run, f"doc_id {kind}, node long, fp long")
-
-
-def frequent(docs: DataFrame, n_docs: int) -> np.ndarray:
-    """Frequent shingles of a sample, the most frequent one last."""
+    return docs.select("doc_id", _raw(docs)).mapInArrow(run, f"doc_id {kind}, node long, fp long, words long")
+
+
+def _once(batches):
+    """Slices of a task's texts as (words, node), without those whose words it has met (as far as it remembers)."""
+    seen: set[int] = set()
+    for b in in_slices(batches, ROWS):
+        out = []
+        for r in b.column(0).to_pylist():
+            words = _words(r)
+            node = node_of(words)
+            if words and node not in seen:
+                if len(seen) < 1_000_000:
+                    seen.add(node)
+                out.append((words, node))
+        if out:
+            yield out
+
+
+def frequent(docs: DataFrame, words: int, most: int = FREQUENT) -> tuple[np.ndarray, int]:
+    """The leading bits of frequent shingles, the most frequent last, and how many bits those are. ``words``: of all documents.
+
+    A task sends each part of the hash space the sorted hashes that fall there as differences, whose high bytes are nearly all zero and compress;
+    a part counts them. The driver receives at most ``most`` of them.
+    """
+    bits = max(4, (words // PART_WORDS).bit_length())
+    shift = np.uint64(32 - bits)
+
+    def rows(hashes):
+        key = np.sort(np.concatenate(hashes).view(np.uint64) >> shift)  # of a part and 32 bits
+        part = (key >> np.uint64(32)).astype(np.int32)
+        at = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))
+        blobs = []
+        for s, e in zip(at, [*at[1:], len(key)]):
+            code = (key[s:e] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            blobs.append(np.diff(code, prepend=np.uint32(0)).view(np.uint8).reshape(-1, 4).T.tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(part[at]), pa.array(blobs, pa.binary())], ["part", "codes"])
 
     def run(batches):
-        for b in in_slices(batches, ROWS):
-            for r in b.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(_words(r)))], ["h"])
-
-    some = docs.select(_raw(docs)).distinct() if n_docs <= SAMPLE else docs.filter(F.pmod(F.xxhash64("text"), F.lit(n_docs // SAMPLE)) == 0).select(_raw(docs)).distinct()
-    top = some.mapInArrow(run, "h long").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 2").orderBy(F.desc("n"), "h").limit(FREQUENT).collect()
-    return np.array([r.h for r in reversed(top)], dtype=np.int64)
-
-
-def prefixes(docs: DataFrame, last: np.ndarray) -> DataFrame:
+        held, n = [], 0
+        for texts in _once(batches):
+            held += [shingle_set(w) for w, _ in texts]
+            n += sum(map(len, held[-len(texts) :]))
+            if n > 1 << 21:
+                yield rows(held)
+                held, n = [], 0
+        if held:
+            yield rows(held)
+
+    def count(t: pa.Table) -> pa.Table:
+        codes = []
+        for x in t.column("codes").to_pylist():
+            steps = np.ascontiguousarray(np.frombuffer(x, dtype=np.uint8).reshape(4, -1).T).view(np.uint32).reshape(-1)
+            codes.append(np.cumsum(steps, dtype=np.uint32))
+        code = np.sort(np.concatenate(codes))
+        at = np.flatnonzero(np.concatenate([[True], code[1:] != code[:-1]]))
+        n = np.diff(np.append(at, len(code)))
+        many = n >= LEAST
+        key = np.int64(t.column("part")[0].as_py()) << 32 | code[at][many].astype(np.int64)
+        return pa.table({"key": pa.array(key), "n": pa.array(n[many], pa.int64())})
+
+    made: list[str] = []
+    counted = docs.select(_raw(docs)).mapInArrow(run, "part int, codes binary").groupBy("part").applyInArrow(count, "key long, n long")
+    counted = materialise(counted, "frequent", made)
+    sizes = sorted(((r.n, r["count"]) for r in counted.groupBy("n").count().collect()), reverse=True)  # a row a number of documents
+    least, held = None, 0
+    for n, size in sizes:
+        held += size
+        if held > most:
+            break
+        least = n
+    got = counted.filter(F.col("n") >= least).toArrow() if least else None
+    discard(docs.sparkSession, made)
+    if got is None:
+        return np.zeros(0, dtype=np.uint64), bits
+    key, n = got.column("key").to_numpy(), got.column("n").to_numpy()
+    return key[np.lexsort((key, n))].view(np.uint64), bits
+
+
+def prefixes(docs: DataFrame, last: np.ndarray, bits: int) -> DataFrame:
     """``h, node, n, pos``: the prefix shingles of each node, its number of shingles and their places in the order."""
     order = np.argsort(last, kind="stable")
-    shared = docs.sparkSession.sparkContext.broadcast((last[order], order + 1))
+    shared = docs.sparkSession.sparkContext.broadcast((last[order], (order + 1).astype(np.int32)))
+    shift = np.uint64(32 - bits)
 
     def run(batches):
         codes, rank = shared.value
-        seen: set[int] = set()
-        for b in in_slices(batches, ROWS):
+        for texts in _once(batches):
             hs, ns, sizes, places = [], [], [], []
-            for r in b.column(0).to_pylist():
-                words = _words(r)
-                node = node_of(words)
-                if not words or node in seen:
-                    continue
-                if len(seen) < 1_000_000:
-                    seen.add(node)
+            for words, node in texts:
                 h = shingle_set(words)
-                late = np.zeros(len(h), dtype=np.int64)
+                late = np.zeros(len(h), dtype=np.int32)
                 if len(codes):
-                    at = np.minimum(np.searchsorted(codes, h), len(codes) - 1)
-                    late = np.where(codes[at] == h, rank[at], 0)
+                    key = h.view(np.uint64) >> shift
+                    at = np.minimum(np.searchsorted(codes, key), len(codes) - 1)
+                    late = np.where(codes[at] == key, rank[at], 0)
                 k = prefix_size(len(h))
                 hs.append(h[np.lexsort((h, late))][:k])
                 ns.append(np.full(k, node, dtype=np.uint64).view(np.int64))
                 sizes.append(np.full(k, len(h), dtype=np.int32))
                 places.append(np.arange(k, dtype=np.int32))
-            if hs:
-                cols = [pa.array(np.concatenate(x)) for x in (hs, ns, sizes, places)]
-                for at in range(0, len(cols[0]), 1 << 16):
-                    yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in cols], ["h", "node", "n", "pos"])
+            cols = [pa.array(np.concatenate(x)) for x in (hs, ns, sizes, places)]
+            for at in range(0, len(cols[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in cols], ["h", "node", "n", "pos"])
 
     return docs.select(_raw(docs)).mapInArrow(run, "h long, node long, n int, pos int")
 
@@ -267,7 +329,7 @@ def _possible(a: str, b: str) -> Column:
     return (2 * NUMERATOR + 1) * least >= NUMERATOR * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+def verified(docs: DataFrame, pairs: DataFrame, made: list[str]) -> DataFrame:
     """The ``pairs`` (a, b) of nodes whose whole sets are similar."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
@@ -290,48 +352,51 @@ def verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(mask, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
     texts = docs.select(_raw(docs)).mapInArrow(nodes, "node long, raw binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    packed = materialise(texts.mapInArrow(sets, "node long, packed binary"), "shingles")
+    packed = materialise(texts.mapInArrow(sets, "node long, packed binary"), "shingles", made)
     left, right = packed.select(F.col("node").alias("a"), F.col("packed").alias("x")), packed.select(F.col("node").alias("b"), F.col("packed").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
 
-def near_bits(nodes: DataFrame, bucket: int = BUCKET) -> DataFrame:
+def near_bits(nodes: DataFrame, made: list[str], bucket: int = BUCKET) -> DataFrame:
     """Pairs ``(a, b)`` of nodes whose fingerprints differ in at most two bits: each fingerprint's nodes with its smallest one, and the smallest of
     linked fingerprints."""
-    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints")
+    first = materialise(nodes.groupBy("fp").agg(F.min("node").alias("node")), "fingerprints", made)
     equal = nodes.join(first.withColumnRenamed("node", "a"), "fp").filter("node > a").select("a", F.col("node").alias("b"))
     x, y = (first.select(F.col("fp").alias(f), F.col("node").alias(n)) for f, n in (("x", "u"), ("y", "v")))
     linked = links(first.select("fp"), bucket).select(F.col("a").alias("x"), F.col("b").alias("y")).join(x, "x").join(y, "y")
     return equal.unionAll(linked.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
 
 
-def similar_links(docs: DataFrame, nodes: DataFrame, n_docs: int) -> DataFrame:
+def similar_links(docs: DataFrame, nodes: DataFrame, words: int, made: list[str]) -> DataFrame:
     """Links ``(a, b)`` of similar nodes that connect each group of near copies. ``nodes`` has ``node, fp``."""
-    rows = prefixes(docs, frequent(docs, n_docs)).repartition("h").distinct()
-    by = Window.partitionBy("h")
-    rows = rows.withColumn("first", F.min(F.struct("node", "n", "pos")).over(by)).withColumn("last", F.max("node").over(by))
-    met = materialise(rows.filter("first.node < last").select("h", "node", "n", "pos", F.col("first.node").alias("fnode"), F.col("first.n").alias("fn"), F.col("first.pos").alias("fpos")), "prefixes")
-    star = met.filter("node > fnode").filter(_possible("", "f")).select(F.col("fnode").alias("a"), F.col("node").alias("b")).distinct()
-    star = materialise(star.unionAll(near_bits(nodes)).distinct(), "candidates")
-    found = materialise(verified(docs, star), "verified")
-    roots = components(found).select("node", "root")
+    rows = prefixes(docs, *frequent(docs, words)).repartition("h").distinct()
+    by, me = Window.partitionBy("h"), F.struct("node", "n", "pos")
+    met = rows.withColumn("first", F.min(me).over(by)).withColumn("last", F.max(me).over(by)).filter("first.node < last.node")
+    met = materialise(met, "prefixes", made)
+    both = [met.select("node", "n", "pos", *[F.col(f"{end}.{c}").alias(f"f{c}") for c in ("node", "n", "pos")]).filter("node <> fnode").filter(_possible("", "f")) for end in ("first", "last")]
+    star = both[0].unionAll(both[1]).select(F.least("node", "fnode").alias("a"), F.greatest("node", "fnode").alias("b"))
+    star = materialise(star.unionAll(near_bits(nodes, made)).distinct(), "candidates", made)
+    found = materialise(verified(docs, star, made), "verified", made)
+    roots = components(found, made=made).select("node", "root")
     now = met.select("h", "node", "n", "pos").join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
     now = now.withColumn("low", F.min("root").over(by)).withColumn("high", F.max("root").over(by)).filter("low < high").drop("low", "high")
-    now = materialise(now, "open")
+    now = materialise(now, "open", made)
     x, y = (now.select("h", *[F.col(c).alias(f"{s}{c}") for c in ("node", "n", "pos", "root")]) for s in "xy")
     rest = x.join(y, "h").filter("xnode < ynode and xroot <> yroot").filter(_possible("x", "y")).select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
-    rest = materialise(rest.join(star, ["a", "b"], "left_anti"), "candidates")
-    return found.unionAll(verified(docs, rest))
+    rest = materialise(rest.join(star, ["a", "b"], "left_anti"), "candidates", made)
+    return found.unionAll(verified(docs, rest, made))
 
 
 def keep_similar(docs: DataFrame) -> DataFrame:
     """``docs`` with one document of each group of near copies: the one with the smallest doc_id."""
-    found = materialise(nodes_of(docs), "nodes")
+    made: list[str] = []
+    found = materialise(nodes_of(docs), "nodes", made)
     nodes = materialise(found.groupBy("node").agg(F.min("doc_id").alias("first"), F.first("fp").alias("fp")), "firsts")
-    pairs = similar_links(docs, nodes.select("node", "fp"), found.count())
+    pairs = similar_links(docs, nodes.select("node", "fp"), found.agg(F.sum("words")).first()[0] or 0, made)
     a, b = nodes.select(F.col("node").alias("a"), F.col("first").alias("fa")), nodes.select(F.col("node").alias("b"), F.col("first").alias("fb"))
     roots = components(pairs.join(a, "a").join(b, "b").select(F.col("fa").alias("a"), F.col("fb").alias("b")))
     first = nodes.join(roots, nodes["first"] == roots["node"], "left").select(F.coalesce("root", "first").alias("component_id"))
+    discard(docs.sparkSession, made)  # what is returned reads the nodes and their roots only
     return _kept(docs, first)
 
 
