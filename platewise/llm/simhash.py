@@ -17,8 +17,8 @@ more. At that similarity two fingerprints differ in about ten of 64 bits, and si
 put every text into buckets that hold a five-hundredth of all texts. So the signatures for two bits bring the first candidates, an
 equality join on prefixes of ordered shingle sets brings the rest (two such sets share one of the first ``n - ceil(0.8 n) + 1`` shingles in any
 order), and the whole sets verify every pair. The order decides only the cost: shingles are counted over all documents, by parts of their hashes, and frequent ones come
-last, so that passages repeated over many documents bring no candidates. Of each shared prefix shingle all texts are first verified against the
-smallest and the largest one; then all pairs of texts that share one and are not yet in one component. Texts that are equal word for word are one node;
+last, so that passages repeated over many documents bring no candidates. Of each shared prefix shingle all texts are first verified against the one
+with the fewest rarer shingles and against the largest one; then all pairs of texts that share one and are not yet in one component. Texts that are equal word for word are one node;
 shingles are compared by 64-bit hashes, texts shorter than a shingle are one shingle, texts without words are one node.
 
 Defined results: null text is empty text; texts without words have fingerprint zero and link like
@@ -370,8 +370,10 @@ def near_bits(nodes: DataFrame, made: list[str], bucket: int = BUCKET) -> DataFr
 def similar_links(docs: DataFrame, nodes: DataFrame, words: int, made: list[str]) -> DataFrame:
     """Links ``(a, b)`` of similar nodes that connect each group of near copies. ``nodes`` has ``node, fp``."""
     rows = prefixes(docs, *frequent(docs, words)).repartition("h").distinct()
-    by, me = Window.partitionBy("h"), F.struct("node", "n", "pos")
-    met = rows.withColumn("first", F.min(me).over(by)).withColumn("last", F.max(me).over(by)).filter("first.node < last.node")
+    by = Window.partitionBy("h")
+    # the text with the fewest rarer shingles is the likeliest to be what the others were made from
+    met = rows.withColumn("first", F.min(F.struct("pos", "node", "n")).over(by)).withColumn("last", F.max(F.struct("node", "n", "pos")).over(by))
+    met = met.withColumn("size", F.count(F.lit(1)).over(by)).filter("size > 1").drop("size")
     met = materialise(met, "prefixes", made)
     both = [met.select("node", "n", "pos", *[F.col(f"{end}.{c}").alias(f"f{c}") for c in ("node", "n", "pos")]).filter("node <> fnode").filter(_possible("", "f")) for end in ("first", "last")]
     star = both[0].unionAll(both[1]).select(F.least("node", "fnode").alias("a"), F.greatest("node", "fnode").alias("b"))
