@@ -1,8 +1,6 @@
 """Choosing what to measure next.
 
-Iterative selectors keep one row per candidate with its smallest distance so far. A round broadcasts the last
-pick (one vector), updates the distances and takes the best candidate; ``checkpoint`` every few rounds
-cuts the lineage. A round is one small job, so thousands of picks take long by nature.
+Greedy selectors make many picks a scan (``greedy``); only ``kmeans_pp``, whose draws don't fall, takes a job a pick.
 """
 
 from __future__ import annotations
@@ -13,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions import vectors as V
+from platewise.operators import greedy
 from platewise.operators.joins import unmatched
 from platewise.operators.order import rank  # noqa: F401
 
@@ -145,16 +144,29 @@ def _loop(df: DataFrame, key: str, vector: str, n: int, first, next_score, every
     return df.sparkSession.createDataFrame([(i + 1, k) for i, k in enumerate(chosen)], f"rank int, {key} {df.schema[key].dataType.simpleString()}")
 
 
+def _ranked(df: DataFrame, key: str, chosen: list) -> DataFrame:
+    return df.sparkSession.createDataFrame([(i + 1, k) for i, k in enumerate(chosen)], f"rank int, {key} {df.schema[key].dataType.simpleString()}")
+
+
+def _start(rows: DataFrame, by: Column):
+    """Key and vector of the candidate with the largest value, the smaller key on a tie."""
+    return rows.orderBy(by.desc_nulls_last(), "key").select("key", "x").first()
+
+
 def farthest_points(df: DataFrame, key: str, vector: str, n: int) -> DataFrame:
-    """Start nearest to the centroid, then always the point farthest from those chosen."""
-    long = df.select(F.posexplode(vector).alias("f", "v")).groupBy("f").agg(F.avg("v").alias("m"))
-    centre = [r.m for r in long.orderBy("f").collect()]
-    return _loop(df, key, vector, n, lambda s: _pick(s, key, -distance(F.col(vector), _literal(centre)), vector), lambda s: F.col("_d"))
+    """Start nearest to the centroid, then always the point farthest from those chosen. Rows without key or vector are left out."""
+    rows = greedy.candidates(df, key, vector)
+    long = rows.select(F.posexplode("x").alias("f", "v")).groupBy("f").agg(F.avg("v").alias("m"))
+    centre = [r.m for r in long.orderBy("f").collect()]  # a row a feature
+    first = _start(rows, -distance(F.col("x"), _literal(centre))) if centre else None
+    return _ranked(df, key, greedy.lazy_greedy(rows, greedy.Farthest(), n, first) if first else [])
 
 
 def max_min(df: DataFrame, key: str, vector: str, n: int, seed: int) -> DataFrame:
     """As I9 from a seeded random start."""
-    return _loop(df, key, vector, n, lambda s: _pick(s, key, -V.hash_uniform(F.col(key), F.lit(seed)), vector), lambda s: F.col("_d"))
+    rows = greedy.candidates(df, key, vector)
+    first = _start(rows, -V.hash_uniform(F.col("key"), F.lit(seed)))
+    return _ranked(df, key, greedy.lazy_greedy(rows, greedy.Farthest(), n, first) if first else [])
 
 
 def kmeans_pp(df: DataFrame, key: str, vector: str, n: int, seed: int) -> DataFrame:
@@ -169,50 +181,24 @@ def kmeans_pp(df: DataFrame, key: str, vector: str, n: int, seed: int) -> DataFr
 
 
 def hybrid(df: DataFrame, key: str, vector: str, uncertainty: str, n: int, weight: float = 0.7) -> DataFrame:
-    """Weighted sum of scaled uncertainty and scaled distance to what is chosen; the first is the most uncertain."""
-    rows = min_max(df, uncertainty, "_u")
-
-    def score(state):
-        lo, hi = state.agg(F.min("_d"), F.max("_d")).first()
-        scaled = (F.col("_d") - F.lit(float(lo or 0))) / F.lit(float(hi or 0) - float(lo or 0) + 1e-8)
-        return weight * F.col("_u") + (1 - weight) * scaled
-
-    return _loop(rows, key, vector, n, lambda s: _pick(s, key, F.col("_u"), vector), score)
+    """Weighted sum of scaled uncertainty and scaled distance to what is chosen; the first is the most uncertain. Rows without key or vector are left out."""
+    rows = greedy.candidates(min_max(df, uncertainty, "_u"), key, vector, "_u")
+    first = _start(rows, F.col("score"))
+    return _ranked(df, key, greedy.lazy_hybrid(rows, n, first, weight) if first else [])
 
 
 def batch_greedy(df: DataFrame, key: str, vector: str, score: str, n: int) -> DataFrame:
-    """After each pick the scores of its surroundings shrink by 1 - exp(-d) / 2."""
-    rows = df.withColumn("_s", F.col(score).cast("double"))
-    state, chosen = rows, []
-    while len(chosen) < n:
-        pick = _pick(state, key, F.col("_s"), vector)
-        if pick is None:
-            break
-        chosen.append(pick[0])
-        d = distance(F.col(vector), _literal(pick[1]))
-        state = state.filter(F.col(key) != F.lit(pick[0])).withColumn("_s", F.col("_s") * (1 - 0.5 * F.exp(-d)))
-        if len(chosen) % 20 == 0:
-            state = state.checkpoint()
-    return df.sparkSession.createDataFrame([(i + 1, k) for i, k in enumerate(chosen)], f"rank int, {key} {df.schema[key].dataType.simpleString()}")
+    """After each pick the scores of its surroundings shrink by 1 - exp(-d) / 2. Rows without key, vector or score are left out."""
+    rows = greedy.candidates(df.filter(F.col(score).isNotNull()), key, vector, score)
+    first = _start(rows, F.col("score"))
+    return _ranked(df, key, greedy.lazy_greedy(rows, greedy.Shrinking(), n, first) if first else [])
 
 
 def dpp(df: DataFrame, key: str, vector: str, n: int, gamma: float = 1.0) -> DataFrame:
-    """Greedy maximum of the log-determinant of an RBF kernel, with one Cholesky column a round (Chen et al., 2018)."""
-    state = df.select(key, vector).withColumn("_c", F.array().cast("array<double>")).withColumn("_v", F.lit(1.0))
-    chosen = []
-    while len(chosen) < n:
-        pick = state.orderBy(F.col("_v").desc(), key).first()
-        if pick is None or pick["_v"] <= 1e-12:
-            break
-        chosen.append(pick[key])
-        d = distance(F.col(vector), _literal(pick[vector]))
-        done = _literal(pick["_c"]) if pick["_c"] else F.array().cast("array<double>")
-        e = (F.exp(-gamma * d * d) - V.dot(F.col("_c"), done)) / float(pick["_v"]) ** 0.5
-        state = state.filter(F.col(key) != F.lit(pick[key])).withColumn("_e", e)
-        state = state.withColumn("_c", F.concat("_c", F.array("_e"))).withColumn("_v", F.col("_v") - F.col("_e") * F.col("_e")).drop("_e")
-        if len(chosen) % 20 == 0:
-            state = state.checkpoint()
-    return df.sparkSession.createDataFrame([(i + 1, k) for i, k in enumerate(chosen)], f"rank int, {key} {df.schema[key].dataType.simpleString()}")
+    """Greedy maximum of the log-determinant of an RBF kernel by Cholesky columns (Chen et al., 2018), from the smallest key. Rows without key or vector are left out."""
+    rows = greedy.candidates(df, key, vector)
+    first = _start(rows, F.lit(0.0))
+    return _ranked(df, key, greedy.lazy_greedy(rows, greedy.Determinant(gamma), n, first) if first else [])
 
 
 def stochastic(df: DataFrame, key: str, score: str, n: int, seed: int, temperature: float = 1.0) -> DataFrame:
