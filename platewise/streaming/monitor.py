@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 LATE = "10 minutes"
 
@@ -50,42 +50,122 @@ def ks_p(d: float, n: int, m: int) -> float:
     return max(0.0, min(1.0, sum(2 * (-1) ** (k - 1) * math.exp(-2.0 * k * k * x * x) for k in range(1, 41))))
 
 
-def drift_stream(log: DataFrame, key: str, ts: str, value: str, window: int = 500, alpha: float = 0.01) -> DataFrame:
-    """Per key the first ``window`` values become the reference; later ones fill a buffer of the last
-    ``window``, and once it is full each trigger tests it. State per key is two lists of at most ``window`` numbers."""
-
-    def step(k, batches, state: GroupState):
-        ref, cur = state.get if state.exists else ([], [])
-        values = pd.concat(list(batches)).sort_values(ts)[value].dropna().astype(float).tolist()
-        free = max(0, window - len(ref))
-        ref, cur = [*ref, *values[:free]], [*cur, *values[free:]][-window:]
-        state.update((ref, cur))
-        d = ks_statistic(ref, cur) if len(cur) >= window else None
-        p = ks_p(d, len(ref), len(cur)) if d is not None else None
-        yield pd.DataFrame({"key": [k[0]], "n_reference": [len(ref)], "n_current": [len(cur)], "statistic": [d], "p": [p], "drifted": [p is not None and p < alpha]})
-
+def _in_rocksdb(log: DataFrame) -> None:
+    """State of arbitrary shape is kept in RocksDB, so it need not fit an executor's memory."""
+    log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+class _PerKey(StatefulProcessor):
+    """State of a key that ends when the key has been silent for ``idle`` milliseconds of event time (0: never)."""
+
+    def __init__(self, ts: str, value: str, idle: int):
+        self.ts, self.value, self.idle = ts, value, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.lists = {name: handle.getListState(name, "ts long, value double") for name in self.names}
+
+    def values(self, rows):
+        """Each batch as a list of (microseconds, value), in order of time; only one batch is held at a time."""
+        for batch in rows:
+            batch = batch[[self.ts, self.value]].dropna().sort_values(self.ts, kind="stable")
+            yield list(zip(batch[self.ts].astype("datetime64[us]").astype("int64").tolist(), batch[self.value].astype(float).tolist()))
+
+    def kept(self, name: str) -> list:
+        state = self.lists[name]
+        return list(state.get()) if state.exists() else []
+
+    def wait(self, last: int) -> None:
+        """Sets the key's end to ``idle`` after its last row (in microseconds)."""
+        if self.idle:
+            old = [t for t in self.handle.listTimers()]
+            end = max([last // 1000 + self.idle, *old])
+            for t in old:
+                if t != end:
+                    self.handle.deleteTimer(t)
+            if end not in old:
+                self.handle.registerTimer(end)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        for state in self.lists.values():
+            state.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
+
+def _latest(kept: list, new: list, n: int) -> list:
+    """The last ``n`` of two lists in order of time, which of equal times keep the order of arrival."""
+    return sorted([*kept, *new], key=lambda x: x[0])[-n:]
+
+
+class _LastN(_PerKey):
+    names = ("last",)
+
+    def __init__(self, ts, value, idle, n):
+        super().__init__(ts, value, idle)
+        self.n = n
+
+    def handleInputRows(self, key, rows, timerValues):
+        kept = self.kept("last")
+        for new in self.values(rows):
+            kept = _latest(kept, new[-self.n :], self.n)
+        if kept:
+            self.lists["last"].put(kept)
+            self.wait(kept[-1][0])
+        s = pd.Series([v for _, v in kept], dtype=float)
+        yield pd.DataFrame({"key": [key[0]], "n": [len(s)], "p50": [s.quantile(0.5)], "p99": [s.quantile(0.99)]})
+
+
+class _Drift(_PerKey):
+    names = ("reference", "current")
+
+    def __init__(self, ts, value, idle, window, alpha):
+        super().__init__(ts, value, idle)
+        self.window, self.alpha = window, alpha
+
+    def handleInputRows(self, key, rows, timerValues):
+        fixed, first, current = self.kept("reference"), [], self.kept("current")
+        free = self.window - len(fixed)
+        for new in self.values(rows):
+            if free:  # the earliest rows of the trigger fill the reference, in whatever batch they come
+                first = sorted([*first, *new], key=lambda x: x[0])
+                first, new = first[:free], first[free:]
+            current = _latest(current, new[-self.window :], self.window)
+        if first:
+            fixed = [*fixed, *first]
+            self.lists["reference"].put(fixed)
+        if current:
+            self.lists["current"].put(current)
+        if fixed:
+            self.wait(max(x[-1][0] for x in (fixed, current) if x))
+        d = ks_statistic([v for _, v in fixed], [v for _, v in current]) if len(current) >= self.window else None
+        p = ks_p(d, len(fixed), len(current)) if d is not None else None
+        out = {"key": [key[0]], "n_reference": [len(fixed)], "n_current": [len(current)], "statistic": [d], "p": [p], "drifted": [p is not None and p < self.alpha]}
+        yield pd.DataFrame(out).astype({"statistic": "float64", "p": "float64"})
+
+
+def _per_key(log: DataFrame, key: str, ts: str, processor: _PerKey, schema: str) -> DataFrame:
+    _in_rocksdb(log)
     kind = log.schema[key].dataType.simpleString()
-    return log.groupBy(key).applyInPandasWithState(
-        step,
-        f"key {kind}, n_reference long, n_current long, statistic double, p double, drifted boolean",
-        "ref array<double>, cur array<double>",
-        "update",
-        GroupStateTimeout.NoTimeout,
-    )
+    mode = "eventTime" if processor.idle else "none"
+    return log.groupBy(key).transformWithStateInPandas(processor, f"key {kind}, {schema}", "Update", mode)
 
 
-def last_n_stream(log: DataFrame, key: str, ts: str, value: str, n: int = 1000) -> DataFrame:
-    """Per key the percentiles of its last n values, updated each trigger; state is one list of at most n."""
+def drift_stream(log: DataFrame, key: str, ts: str, value: str, window: int = 500, alpha: float = 0.01, idle: int = 0) -> DataFrame:
+    """Per key the first ``window`` values become the reference; later ones fill a buffer of the last
+    ``window``, and once it is full each trigger tests it. State per key is two lists of at most ``window`` rows, and a trigger's rows are read batch by batch.
 
-    def step(k, batches, state: GroupState):
-        kept = list(state.get[0]) if state.exists else []
-        kept = (kept + pd.concat(list(batches)).sort_values(ts)[value].dropna().astype(float).tolist())[-n:]
-        state.update((kept,))
-        s = pd.Series(kept, dtype=float)
-        yield pd.DataFrame({"key": [k[0]], "n": [len(kept)], "p50": [s.quantile(0.5)], "p99": [s.quantile(0.99)]})
+    With ``idle`` (milliseconds; ``log`` needs a watermark on ``ts``) a key that is silent for so long is forgotten and starts anew. Nulls don't count.
+    """
+    schema = "n_reference long, n_current long, statistic double, p double, drifted boolean"
+    return _per_key(log, key, ts, _Drift(ts, value, idle, window, alpha), schema)
 
-    kind = log.schema[key].dataType.simpleString()
-    return log.groupBy(key).applyInPandasWithState(step, f"key {kind}, n long, p50 double, p99 double", "kept array<double>", "update", GroupStateTimeout.NoTimeout)
+
+def last_n_stream(log: DataFrame, key: str, ts: str, value: str, n: int = 1000, idle: int = 0) -> DataFrame:
+    """Per key the percentiles of its last n values, updated each trigger; state is one list of at most n rows. ``idle`` as in ``drift_stream``."""
+    return _per_key(log, key, ts, _LastN(ts, value, idle, n), "n long, p50 double, p99 double")
 
 
 def match_feedback(predictions: DataFrame, feedback: DataFrame, key: str, ts: str, within: str = "1 hour", late: str = LATE) -> DataFrame:
