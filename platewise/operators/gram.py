@@ -1,7 +1,8 @@
 """Products of features over rows, added up block by block.
 
-Each task multiplies its batches of rows as matrices and hands on one row per pair of features, so what is shuffled is pairs times tasks
-rather than pairs times rows. Missing values are masked, so every pair is summed over the rows that have both.
+A task multiplies its batches of rows as matrices. Its sums leave it as square tiles of ``TILE`` features by ``TILE``, one row a tile with the numbers
+packed. Input splits are first joined to ``groups`` tasks (twice the cluster's cores if not given), so what is shuffled is tiles times groups, however many splits there
+are; each tile is then added up in one stream. Missing values are masked, so every pair is summed over the rows that have both.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+#: Features of a tile's side.
+TILE = 256
 
 
 def _matrix(batch: pa.RecordBatch, place: dict[int, int], centre: np.ndarray) -> np.ndarray:
@@ -26,10 +29,10 @@ def _matrix(batch: pa.RecordBatch, place: dict[int, int], centre: np.ndarray) ->
     return out - centre
 
 
-def pair_sums(rows: DataFrame, f: str = "fs", v: str = "vs") -> DataFrame:
+def pair_sums(rows: DataFrame, f: str = "fs", v: str = "vs", groups: int | None = None) -> DataFrame:
     """``a < b`` and, over rows that have both features, their number, sums, squares and products, after subtracting each feature's mean ``ca``, ``cb``.
 
-    ``rows`` has a list of feature numbers and a list of as many values.
+    ``rows`` has a list of feature numbers and a list of as many values. A task holds four matrices of all features by all features.
     """
     means = rows.select(F.explode(F.arrays_zip(F.col(f).alias("f"), F.col(v).alias("v"))).alias("x")).select("x.f", "x.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
     means = sorted((r.f, r.m) for r in means.groupBy("f").agg(F.avg("v").alias("m")).collect())  # a row a feature
@@ -48,13 +51,34 @@ def pair_sums(rows: DataFrame, f: str = "fs", v: str = "vs") -> DataFrame:
                 sx += x.T @ m  # of the first feature where the second is known
                 sxx += (x * x).T @ m
                 sxy += x.T @ x
-        a, b = np.triu_indices(d, 1)
-        sums = (n[a, b], sx[a, b], sx[b, a], sxx[a, b], sxx[b, a], sxy[a, b])
-        yield pa.RecordBatch.from_arrays([pa.array(names[a]), pa.array(names[b]), *map(pa.array, sums)], ["a", "b", *_SUMS])
-
-    schema = "a int, b int, " + ", ".join(f"{s} double" for s in _SUMS)
-    added = rows.select(F.col(f).cast("array<int>"), F.col(v).cast("array<double>")).mapInArrow(run, schema)
-    return added.groupBy("a", "b").agg(*[F.sum(s).alias(s) for s in _SUMS]).filter("n > 0")
+        for i in range(0, d, TILE):
+            for j in range(i, d, TILE):
+                x, y = slice(i, i + TILE), slice(j, j + TILE)
+                sums = np.stack([n[x, y], sx[x, y], sx[y, x].T, sxx[x, y], sxx[y, x].T, sxy[x, y]])
+                yield pa.RecordBatch.from_arrays([pa.array([i // TILE], pa.int32()), pa.array([j // TILE], pa.int32()), pa.array([sums.tobytes()], pa.binary())], ["i", "j", "sums"])
+
+    def add(batches):
+        tiles: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for i, j, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                sums = np.frombuffer(raw.as_buffer(), dtype=np.float64)
+                if (i, j) in tiles:
+                    tiles[i, j] += sums
+                else:
+                    tiles[i, j] = sums.copy()
+        for (i, j), sums in tiles.items():
+            x, y = names[i * TILE : (i + 1) * TILE], names[j * TILE : (j + 1) * TILE]
+            sums = sums.reshape(len(_SUMS), len(x), len(y))
+            a, b = np.triu_indices(len(x), 1) if i == j else (k.ravel() for k in np.indices((len(x), len(y))))
+            known = sums[0, a, b] > 0
+            a, b = a[known], b[known]
+            yield pa.RecordBatch.from_arrays([pa.array(x[a]), pa.array(y[b]), *(pa.array(s[a, b]) for s in sums)], ["a", "b", *_SUMS])
+
+    spark = rows.sparkSession
+    sides = -(-len(names) // TILE)
+    packed = rows.select(F.col(f).cast("array<int>"), F.col(v).cast("array<double>")).coalesce(groups or 2 * spark.sparkContext.defaultParallelism)
+    tiles = packed.mapInArrow(run, "i int, j int, sums binary").repartition(max(1, sides * (sides + 1) // 2), "i", "j")
+    return tiles.mapInArrow(add, "a int, b int, " + ", ".join(f"{s} double" for s in _SUMS))
 
 
 def listed(long: DataFrame, key: str) -> DataFrame:

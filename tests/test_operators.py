@@ -229,3 +229,25 @@ def test_late_rows_survive_a_repeated_batch(spark, tmp_path):
         step = monitor.split_late("ts", 600, str(tmp_path))
         step(batch, number)
     assert values(spark.read.parquet(f"{tmp_path}/late"), "k") == [(3,)] and values(spark.read.parquet(f"{tmp_path}/good"), "k") == [(1,), (2,), (4,), (5,)]
+
+
+def test_gram_tiles_of_two_thousand_features(spark):
+    import numpy as np
+
+    from platewise.operators import gram
+
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(60, 2000))
+    x[rng.random(x.shape) < 0.1] = np.nan
+    x[:, 7] = np.nan  # a feature that no row has
+    rows = spark.createDataFrame([(i, [None if np.isnan(v) else float(v) for v in r]) for i, r in enumerate(x)], "id long, features array<double>").repartition(12)
+    sums = gram.pair_sums(gram.listed_packed(rows), groups=3)
+    got = gram.correlation(sums).filter("a in (0, 255, 256, 1999) or b in (256, 1999)").collect()
+    seen = {(r.a, r.b): r.r for r in got}
+    assert len(seen) == len(got) and all(a < b for a, b in seen) and not any(7 in k for k in seen)
+    for (a, b), r in list(seen.items())[::211] + [((255, 256), seen[255, 256]), ((0, 1999), seen[0, 1999])]:
+        both = ~np.isnan(x[:, a]) & ~np.isnan(x[:, b])
+        assert r == pytest.approx(np.corrcoef(x[both, a], x[both, b])[0, 1], abs=1e-9)
+    assert sums.count() == 1999 * 1998 // 2
+    plan = sums._jdf.queryExecution().toString()
+    assert "Coalesce 3" in plan  # the shuffle has three sets of tiles, not twelve
