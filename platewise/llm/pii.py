@@ -4,16 +4,19 @@ Regular expressions propose spans; validators confirm them (Luhn for cards, mod-
 octet and length ranges, area rules for social-security numbers); words near a span move its
 score. The four base kinds (email, ip, card, phone) are reported whenever their validator
 passes. Further kinds (IBAN, national phone numbers, social-security numbers, access keys and
-passwords) are reported when the score, raised or lowered by context, reaches the threshold.
+passwords) are reported when the score, raised or lowered by context, reaches the threshold. An IBAN is tried at every place where a country and two
+digits stand, with the country's length; national numbers without a fixed shape count only beside a word such as "phone".
 
 Defined results: null text is empty text; empty texts have no spans; matching is linear in the
-text's length; equal rows give equal rows; further columns of the input are ignored.
+text's length, and a task holds a slice of texts with their spans; spans of different kinds may lie at one place and are all listed; equal rows give equal rows; further columns
+of the input are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,10 +33,18 @@ _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}")
+_IBAN_REST = re.compile(r"(?:\x20?[A-Z0-9])*")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 _LOCAL_PHONE = re.compile(r"(?<![0-9+-])\(?[0-9]{3}\)?[\x20.-][0-9]{3}[.-][0-9]{4}(?![0-9-])")
+#: Numbers of other national shapes: a trunk zero and groups of digits.
+_TRUNK_PHONE = re.compile(r"(?<![0-9A-Za-z+.,/-])\(?0[0-9]{1,4}\)?(?:[\x20./-]{1,2}[0-9]{2,8}){1,5}(?![0-9A-Za-z]|[.,/-][0-9])")
+_NAME = r"(?:password|passwd|passphrase|pwd|api[_-]?key|secret(?:[_-]?key)?|client[_-]?secret|access[_-]?(?:key|token)|auth[_-]?token|private[_-]?key)"
 _SECRET = re.compile(r"(?<![A-Za-z0-9])(?:AKIA[A-Z0-9]{16}(?![A-Za-z0-9])|(?:password|api_key|secret)=[^\s]{6,})")
+#: Written-out pairs of name and value, and keys that tell what they are.
+_PAIR = re.compile(r"(?<![A-Za-z0-9])" + _NAME + r"[\"']?\x20?(?:=>|:=|=|:)\x20?(?:\"([^\"\s]{6,})\"|'([^'\s]{6,})'|([^\s\"',;]{6,}))", re.IGNORECASE)
+_TOKEN = re.compile(r"(?<![A-Za-z0-9])(?:ASIA[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[0-9A-Za-z-]{20,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,})(?![A-Za-z0-9])")
+_HINT = re.compile(r"[0-9=]|AKIA|ASIA|gh[pousr]_|eyJ")
 _DIGIT = re.compile(r"[0-9]")
 
 # Length of an IBAN by country, from the public IBAN registry.
@@ -50,12 +61,14 @@ ROWS = 256
 
 #: Words that raise or lower the score of a span when they stand within 40 characters of it.
 CONTEXT = {
-    "iban": (("iban", "account", "bank", "konto", "cuenta", "compte"), ("example", "sample")),
-    "ssn": (("ssn", "social", "security", "insurance"), ("part", "serial", "order", "item")),
-    "local_phone": (("phone", "tel", "call", "mobile", "fax", "contact"), ("isbn", "serial", "order", "version")),
-    "secret": (("key", "password", "token", "secret", "login"), ("example", "placeholder")),
+    "iban": (("iban", "account", "bank", "payment", "transfer", "konto", "bankverbindung", "cuenta", "compte", "virement"), ("example", "sample", "beispiel", "exemple", "ejemplo")),
+    "ssn": (("ssn", "social", "security", "insurance", "taxpayer", "sozialversicherung", "seguridad"), ("part", "serial", "order", "item", "invoice", "model")),
+    "local_phone": (
+        ("phone", "telephone", "tel", "call", "mobile", "cell", "fax", "contact", "hotline", "telefon", "mobil", "anruf", "téléphone", "teléfono", "móvil", "portable"),
+        ("isbn", "serial", "order", "version", "invoice", "page", "pages", "doi"),
+    ),
+    "secret": (("key", "password", "token", "secret", "login", "credentials", "passwort", "contraseña"), ("example", "placeholder", "changeme", "dummy")),
 }
-_PRIOR = {"iban": 0.8, "ssn": 0.6, "local_phone": 0.45, "secret": 0.8}
 _CONTEXT_RE = {k: tuple(re.compile(r"\b(?:" + "|".join(w) + r")\b", re.IGNORECASE) for w in v) for k, v in CONTEXT.items()}
 
 
@@ -109,29 +122,80 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def context_score(text: str, kind: str, start: int, end: int, width: int = 40) -> float:
+def context_score(text: str, kind: str, start: int, end: int, prior: float, width: int = 40) -> float:
     near = text[max(0, start - width) : start] + " " + text[end : end + width]
     good, bad = _CONTEXT_RE[kind]
-    return _PRIOR[kind] + 0.3 * bool(good.search(near)) - 0.4 * bool(bad.search(near))
+    return prior + 0.3 * bool(good.search(near)) - 0.4 * bool(bad.search(near))
+
+
+def ibans(text: str):
+    """Spans of IBANs: at every country and two digits as many letters and digits as the country's have, with single blanks between."""
+    end = 0
+    for m in _IBAN.finditer(text):
+        size = IBAN_LENGTHS.get(m[0][:2])
+        if size is None or m.start() < end:
+            continue
+        rest = _IBAN_REST.match(text, m.end(), m.end() + 2 * size)[0]
+        held = at = 0
+        while at < len(rest) and held < size - 4:
+            held += rest[at] != " "
+            at += 1
+        stop = m.end() + at
+        if held == size - 4 and not (stop < len(text) and text[stop].isascii() and text[stop].isalnum()) and mod97(text[m.start() : stop]):
+            end = stop
+            yield m.start(), stop
+
+
+def _matched(pattern):
+    return lambda text: ((m.start(), m.end()) for m in pattern.finditer(text))
+
+
+def pairs(text: str):
+    """Spans of names with values that look like secrets: no plain word or plain number."""
+    for m in _PAIR.finditer(text):
+        value = m[1] or m[2] or m[3]
+        if any(c.isdigit() for c in value) and any(not c.isdigit() for c in value):
+            yield m.start(), m.end()
+
+
+def trunk_phones(text: str):
+    for m in _TRUNK_PHONE.finditer(text):
+        if 9 <= sum(c.isdigit() for c in m[0]) <= 12:
+            yield m.start(), m.end()
+
+
+def ssns(text: str):
+    for m in _SSN.finditer(text):
+        area, group, serial = m[0].split("-")
+        if area not in ("000", "666") and area[0] != "9" and group != "00" and serial != "0000":
+            yield m.start(), m.end()
+
+
+#: What proposes spans of a kind, and the score that it starts from.
+PROPOSALS = (
+    ("iban", ibans, 0.8), ("ssn", ssns, 0.6), ("local_phone", _matched(_LOCAL_PHONE), 0.45), ("local_phone", trunk_phones, 0.25),
+    ("secret", _matched(_SECRET), 0.8), ("secret", pairs, 0.6), ("secret", _matched(_TOKEN), 0.8),
+)
 
 
 def extra_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[int, int, int]]:
-    found = []
-    for kind, pattern, valid in (
-        ("iban", _IBAN, mod97),
-        ("ssn", _SSN, lambda s: s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"),
-        ("local_phone", _LOCAL_PHONE, lambda s: True),
-        ("secret", _SECRET, lambda s: True),
-    ):
-        for m in pattern.finditer(text):
-            if valid(m[0]) and context_score(text, kind, m.start(), m.end()) >= threshold:
-                found.append((m.start(), KINDS.index(kind), m.end()))
-    return found
+    """Spans of the kinds beyond the base. Of two of one kind that overlap the first proposal counts."""
+    found: dict[str, list[tuple[int, int]]] = {}
+    for kind, propose, prior in PROPOSALS:
+        mine = found.setdefault(kind, [])
+        new = []
+        for s, e in propose(text):
+            k = bisect_left(mine, (s, e))
+            clear = (k == 0 or mine[k - 1][1] <= s) and (k == len(mine) or mine[k][0] >= e)
+            if clear and context_score(text, kind, s, e, prior) >= threshold:
+                new.append((s, e))
+        found[kind] = sorted(mine + new)
+    return [(s, KINDS.index(kind), e) for kind, spans in found.items() for s, e in spans]
 
 
 def all_spans(text: str, threshold: float = THRESHOLD):
     base = sorted(base_spans(text))
-    more = [] if not base and not (_DIGIT.search(text) or "=" in text or "AKIA" in text) else extra_spans(text, threshold)
+    more = extra_spans(text, threshold) if base or _HINT.search(text) else []
     return base, sorted(base + more)
 
 
