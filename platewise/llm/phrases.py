@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, source_partitions
-from .words import byte_kinds, in_byte_slices, split
+from .words import byte_kinds, hashes, in_byte_slices, mixed, split
 
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: A longer phrase stands for its parts if it has at least SHARE percent of their occurrences.
@@ -32,18 +32,7 @@ FILTER_BITS = 27
 SALTS = 32
 _KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
 _NAMES = [f"w{k}" for k in range(1, LONGEST + 1)]
-_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-
-
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(32))) * _ODD[0]
-    return (x ^ (x >> np.uint64(29))) * _ODD[1]
-
-
-def _hashes(words: pa.Array) -> np.ndarray:
-    from xxhash import xxh64_intdigest
-
-    return np.array([xxh64_intdigest(w) for w in words.to_pylist()], dtype=np.uint64)
+_STEP = np.uint64(0x165667B19E3779F9)
 
 
 class _Slice:
@@ -54,11 +43,11 @@ class _Slice:
         langs = b.column(0).fill_null("und").dictionary_encode()
         self.lang, self.langs = langs.indices.to_numpy()[words.text], langs.dictionary
         self.words, self.distinct, self.code = words, words.distinct, words.code
-        h = _hashes(words.distinct)[words.code] if len(words.code) else np.zeros(0, dtype=np.uint64)
-        own = _hashes(self.langs)[self.lang] if len(words.code) else h
-        self.word = _mixed(h * _ODD[2] + own)
+        h = hashes(words.distinct)[words.code] if len(words.code) else np.zeros(0, dtype=np.uint64)
+        own = hashes(self.langs)[self.lang] if len(words.code) else h
+        self.word = mixed(h * _STEP + own)
         self.near = words.next_to()
-        self.pair = _mixed(self.word[:-1] + _mixed(h[1:] ^ _ODD[0]))
+        self.pair = mixed(self.word[:-1] + mixed(h[1:] ^ _STEP))
 
 
 def _texts(docs: DataFrame) -> DataFrame:

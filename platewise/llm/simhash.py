@@ -18,7 +18,7 @@ put every text into buckets that hold a five-hundredth of all texts. So the sign
 equality join on prefixes of ordered shingle sets brings the rest (two such sets share one of the first ``n - ceil(0.8 n) + 1`` shingles in any
 order), and the whole sets verify every pair. The order decides only the cost: shingles are counted over all documents, by parts of their hashes, and frequent ones come
 last, so that passages repeated over many documents bring no candidates. Of each shared prefix shingle all texts are first verified against the one
-with the fewest rarer shingles and against the largest one; then all pairs of texts that share one and are not yet in one component. Texts that are equal word for word are one node;
+with the fewest rarer shingles and against the largest one, then against the first text of another group that is still apart, twice; last come all pairs of texts that share one and are not yet in one component. Texts that are equal word for word are one node;
 shingles are compared by 64-bit hashes, texts shorter than a shingle are one shingle, texts without words are one node.
 
 Defined results: null text is empty text; texts without words have fingerprint zero and link like
@@ -37,6 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import discard, in_slices, materialise, scratch_dir
+from .words import byte_kinds, hashes, in_byte_slices, mixed, split
 
 SHINGLE, BUCKET = 3, 256
 #: Shingles of ``keep_similar``; its similarity is NUMERATOR / (NUMERATOR + 1) = 0.8, in whole numbers.
@@ -46,6 +47,10 @@ WIDTH, NUMERATOR = 5, 4
 LEAST, FREQUENT, PART_WORDS = 8, 4_000_000, 4_000_000
 #: Texts and pairs that a task works on at a time.
 ROWS = 256
+#: Further centres that the texts of a shingle are tried with before its pairs.
+ROUNDS = 2
+_KINDS = byte_kinds(b" \t\n\x0b\x0c\r")
+_ODD = np.uint64(0xD6E8FEB86659FD93)
 _LOW = (1 << 32) - 1
 
 
@@ -169,21 +174,39 @@ def _kept(docs: DataFrame, first: DataFrame) -> DataFrame:
     return docs.join(first, docs["doc_id"].eqNullSafe(first["component_id"]), "left_semi")
 
 
-def node_of(words: list[bytes]) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(b" ".join(words), 7)
-
-
-def shingle_set(words: list[bytes], width: int = WIDTH) -> np.ndarray:
-    """Hashes of the distinct shingles, ascending."""
-    from xxhash import xxh64_intdigest
-
-    if not words:
-        return np.zeros(0, dtype=np.int64)
-    n = max(1, len(words) - width + 1)
-    hashes = [xxh64_intdigest(b" ".join(words[k : k + width]), 42) for k in range(n)]
-    return np.unique(np.array(hashes, dtype=np.uint64).view(np.int64))
+class Shingled:
+    """Some texts: the number of words, a number for the sequence of words, and the hashes of the ``WIDTH``-word shingles, repeats included, of each."""
+
+    def __init__(self, texts: pa.Array):
+        w = split(texts, _KINDS)
+        self.words = np.bincount(w.text, minlength=len(texts)).astype(np.int64)
+        start = np.concatenate([[0], np.cumsum(self.words)])
+        own = hashes(w.distinct)[w.code] if len(w.code) else np.zeros(0, dtype=np.uint64)
+        place = np.arange(len(own)) - start[w.text]
+        node = np.zeros(len(texts), dtype=np.uint64)
+        some = self.words > 0
+        if some.any():
+            node[some] = np.add.reduceat(mixed(own ^ mixed(place.astype(np.uint64))), start[:-1][some])
+        self.node = mixed(node + self.words.astype(np.uint64)).view(np.int64)
+        shingle = own
+        for k in range(1, WIDTH):  # a text of fewer words is one shingle, with zeros at its end
+            after = np.zeros(len(own), dtype=np.uint64)
+            after[: len(own) - k] = np.where(w.text[k:] == w.text[: len(own) - k], own[k:], np.uint64(0))
+            shingle = mixed(shingle * _ODD + after)
+        self.shingles = shingle[(place == 0) | (place <= self.words[w.text] - WIDTH)].view(np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(np.where(some, np.maximum(1, self.words - WIDTH + 1), 0))])
+
+    def all_of(self, t: int) -> np.ndarray:
+        return self.shingles[self.bounds[t] : self.bounds[t + 1]]
+
+    def set_of(self, t: int) -> np.ndarray:
+        """Hashes of the distinct shingles, ascending."""
+        return np.unique(self.all_of(t))
+
+    def fingerprint(self, t: int) -> np.int64:
+        h = self.all_of(t)
+        ones = sum(np.unpackbits(h[at : at + (1 << 16)].byteswap().view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64) for at in range(0, len(h), 1 << 16))
+        return np.packbits(2 * ones > len(h)).view(">i8")[0] if len(h) else np.int64(0)
 
 
 def prefix_size(n: int) -> int:
@@ -191,45 +214,33 @@ def prefix_size(n: int) -> int:
     return n - -(-NUMERATOR * n // (NUMERATOR + 1)) + 1
 
 
-def _raw(docs: DataFrame) -> Column:
-    return F.encode(F.col("text"), "UTF-8").alias("raw")
-
-
-def _words(raw) -> list[bytes]:
-    return raw.lower().split() if raw else []
-
-
-def _signed(nodes: list[int]) -> np.ndarray:
-    return np.array(nodes, dtype=np.uint64).view(np.int64)
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text"))
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
     """``doc_id, node, fp, words``: one number for texts of equal words, the fingerprint and the number of words."""
 
     def run(batches):
-        for b in in_slices(batches, ROWS):
-            raws = b.column(1).to_pylist()
-            words = [_words(r) for r in raws]
-            fps = np.array([fingerprint(r, WIDTH) if r else 0 for r in raws], dtype=np.uint64).view(np.int64)
-            cols = [b.column(0), pa.array(_signed([node_of(w) for w in words])), pa.array(fps), pa.array([len(w) for w in words], pa.int64())]
-            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "node", "fp", "words"])
+        for b in in_byte_slices(batches, 1):
+            s = Shingled(b.column(1))
+            fps = np.array([s.fingerprint(t) for t in range(b.num_rows)], dtype=np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s.node), pa.array(fps), pa.array(s.words)], ["doc_id", "node", "fp", "words"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", _raw(docs)).mapInArrow(run, f"doc_id {kind}, node long, fp long, words long")
+    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, node long, fp long, words long")
 
 
 def _once(batches):
-    """Slices of a task's texts as (words, node), without those whose words it has met (as far as it remembers)."""
+    """Slices of a task's texts as (node, set), without those whose words it has met (as far as it remembers) or that have none."""
     seen: set[int] = set()
-    for b in in_slices(batches, ROWS):
-        out = []
-        for r in b.column(0).to_pylist():
-            words = _words(r)
-            node = node_of(words)
-            if words and node not in seen:
+    for b in in_byte_slices(batches, 0):
+        s, out = Shingled(b.column(0)), []
+        for t, node in enumerate(s.node.tolist()):
+            if s.words[t] and node not in seen:
                 if len(seen) < 1_000_000:
                     seen.add(node)
-                out.append((words, node))
+                out.append((node, s.set_of(t)))
         if out:
             yield out
 
@@ -256,7 +267,7 @@ def frequent(docs: DataFrame, words: int, most: int = FREQUENT) -> tuple[np.ndar
     def run(batches):
         held, n = [], 0
         for texts in _once(batches):
-            held += [shingle_set(w) for w, _ in texts]
+            held += [h for _, h in texts]
             n += sum(map(len, held[-len(texts) :]))
             if n > 1 << 21:
                 yield rows(held)
@@ -277,7 +288,7 @@ def frequent(docs: DataFrame, words: int, most: int = FREQUENT) -> tuple[np.ndar
         return pa.table({"key": pa.array(key), "n": pa.array(n[many], pa.int64())})
 
     made: list[str] = []
-    counted = docs.select(_raw(docs)).mapInArrow(run, "part int, codes binary").groupBy("part").applyInArrow(count, "key long, n long")
+    counted = _texts(docs).mapInArrow(run, "part int, codes binary").groupBy("part").applyInArrow(count, "key long, n long")
     counted = materialise(counted, "frequent", made)
     sizes = sorted(((r.n, r["count"]) for r in counted.groupBy("n").count().collect()), reverse=True)  # a row a number of documents
     least, held = None, 0
@@ -304,8 +315,7 @@ def prefixes(docs: DataFrame, last: np.ndarray, bits: int) -> DataFrame:
         codes, rank = shared.value
         for texts in _once(batches):
             hs, ns, sizes, places = [], [], [], []
-            for words, node in texts:
-                h = shingle_set(words)
+            for node, h in texts:
                 late = np.zeros(len(h), dtype=np.int32)
                 if len(codes):
                     key = h.view(np.uint64) >> shift
@@ -313,14 +323,14 @@ def prefixes(docs: DataFrame, last: np.ndarray, bits: int) -> DataFrame:
                     late = np.where(codes[at] == key, rank[at], 0)
                 k = prefix_size(len(h))
                 hs.append(h[np.lexsort((h, late))][:k])
-                ns.append(np.full(k, node, dtype=np.uint64).view(np.int64))
+                ns.append(np.full(k, node, dtype=np.int64))
                 sizes.append(np.full(k, len(h), dtype=np.int32))
                 places.append(np.arange(k, dtype=np.int32))
             cols = [pa.array(np.concatenate(x)) for x in (hs, ns, sizes, places)]
             for at in range(0, len(cols[0]), 1 << 16):
                 yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in cols], ["h", "node", "n", "pos"])
 
-    return docs.select(_raw(docs)).mapInArrow(run, "h long, node long, n int, pos int")
+    return _texts(docs).mapInArrow(run, "h long, node long, n int, pos int")
 
 
 def _possible(a: str, b: str) -> Column:
@@ -329,18 +339,21 @@ def _possible(a: str, b: str) -> Column:
     return (2 * NUMERATOR + 1) * least >= NUMERATOR * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, made: list[str]) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose whole sets are similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+def packed_sets(docs: DataFrame, wanted: DataFrame, made: list[str]) -> DataFrame:
+    """``node, packed``: the whole shingle sets of the ``wanted`` nodes, worked out once."""
 
-    def nodes(batches):
-        for b in in_slices(batches, ROWS):
-            yield pa.RecordBatch.from_arrays([pa.array(_signed([node_of(_words(r)) for r in b.column(0).to_pylist()])), b.column(0)], ["node", "raw"])
+    def run(batches):
+        for texts in _once(batches):
+            for at in range(0, len(texts), ROWS):
+                part = texts[at : at + ROWS]
+                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.int64()), pa.array([h.tobytes() for _, h in part], pa.binary())], ["node", "packed"])
 
-    def sets(batches):
-        for b in in_slices(batches, ROWS):
-            packed = [shingle_set(_words(r)).tobytes() for r in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(packed, pa.binary())], ["node", "packed"])
+    found = _texts(docs).mapInArrow(run, "node long, packed binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    return materialise(found, "shingles", made)
+
+
+def verified(packed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose whole sets are similar."""
 
     def check(batches):
         for b in in_slices(batches, ROWS):
@@ -351,8 +364,6 @@ def verified(docs: DataFrame, pairs: DataFrame, made: list[str]) -> DataFrame:
                 mask.append((2 * NUMERATOR + 1) * both >= NUMERATOR * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(mask, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
-    texts = docs.select(_raw(docs)).mapInArrow(nodes, "node long, raw binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    packed = materialise(texts.mapInArrow(sets, "node long, packed binary"), "shingles", made)
     left, right = packed.select(F.col("node").alias("a"), F.col("packed").alias("x")), packed.select(F.col("node").alias("b"), F.col("packed").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
@@ -367,26 +378,48 @@ def near_bits(nodes: DataFrame, made: list[str], bucket: int = BUCKET) -> DataFr
     return equal.unionAll(linked.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
 
 
+def _ordered(x: Column | str, y: Column | str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
 def similar_links(docs: DataFrame, nodes: DataFrame, words: int, made: list[str]) -> DataFrame:
-    """Links ``(a, b)`` of similar nodes that connect each group of near copies. ``nodes`` has ``node, fp``."""
-    rows = prefixes(docs, *frequent(docs, words)).repartition("h").distinct()
-    by = Window.partitionBy("h")
+    """Links ``(a, b)`` of similar nodes that connect each group of near copies. ``nodes`` has ``node, fp``.
+
+    Whatever is known of all texts of a shingle (its centres, whether they are linked already) is aggregated and joined back, so that a shingle of very many texts is
+    split over tasks.
+    """
+    rows = prefixes(docs, *frequent(docs, words)).distinct()
+    end = F.struct("pos", "node", "n")
     # the text with the fewest rarer shingles is the likeliest to be what the others were made from
-    met = rows.withColumn("first", F.min(F.struct("pos", "node", "n")).over(by)).withColumn("last", F.max(F.struct("node", "n", "pos")).over(by))
-    met = met.withColumn("size", F.count(F.lit(1)).over(by)).filter("size > 1").drop("size")
-    met = materialise(met, "prefixes", made)
-    both = [met.select("node", "n", "pos", *[F.col(f"{end}.{c}").alias(f"f{c}") for c in ("node", "n", "pos")]).filter("node <> fnode").filter(_possible("", "f")) for end in ("first", "last")]
-    star = both[0].unionAll(both[1]).select(F.least("node", "fnode").alias("a"), F.greatest("node", "fnode").alias("b"))
-    star = materialise(star.unionAll(near_bits(nodes, made)).distinct(), "candidates", made)
-    found = materialise(verified(docs, star, made), "verified", made)
-    roots = components(found, made=made).select("node", "root")
-    now = met.select("h", "node", "n", "pos").join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
-    now = now.withColumn("low", F.min("root").over(by)).withColumn("high", F.max("root").over(by)).filter("low < high").drop("low", "high")
-    now = materialise(now, "open", made)
+    of = rows.groupBy("h").agg(F.min(end).alias("first"), F.max(F.struct("node", "n", "pos")).alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
+    met = materialise(rows.join(of, "h"), "prefixes", made)
+    ends = [met.select("node", "n", "pos", *[F.col(f"{end}.{c}").alias(f"f{c}") for c in ("node", "n", "pos")]) for end in ("first", "last")]
+    star = ends[0].unionAll(ends[1]).filter("node <> fnode").filter(_possible("", "f")).select(*_ordered("node", "fnode"))
+    tried = materialise(star.unionAll(near_bits(nodes, made)).distinct(), "candidates", made)
+    wanted = met.select("node").unionAll(tried.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    packed = packed_sets(docs, wanted, made)
+    found = materialise(verified(packed, tried), "verified", made)
+    now = met.select("h", "node", "n", "pos")
+    for k in range(ROUNDS + 1):
+        roots = components(found, made=made).select("node", "root")
+        now = now.join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+        apart = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").drop("low", "high")
+        now = materialise(now.join(apart, "h", "left_semi"), f"open-{k}", made)
+        if now.isEmpty():
+            return found
+        if k == ROUNDS:
+            break
+        # of each shingle's groups but the one of its first text, the first text is tried with the texts of the others
+        first = now.groupBy("h").agg(F.min(F.struct("pos", "node", "n", "root")).alias("f")).select("h", F.col("f.root").alias("froot"))
+        other = now.join(first, "h").filter("root <> froot").groupBy("h").agg(F.min(F.struct("pos", "node", "n", "root")).alias("c"))
+        each = now.join(other.select("h", *[F.col(f"c.{c}").alias(f"f{c}") for c in ("pos", "node", "n", "root")]), "h").filter("root <> froot").filter(_possible("", "f"))
+        new = materialise(each.select(*_ordered("node", "fnode")).distinct().join(tried, ["a", "b"], "left_anti"), "candidates", made)
+        tried, found = tried.unionAll(new), found.unionAll(materialise(verified(packed, new), "verified", made))
+        now = now.drop("root")
     x, y = (now.select("h", *[F.col(c).alias(f"{s}{c}") for c in ("node", "n", "pos", "root")]) for s in "xy")
     rest = x.join(y, "h").filter("xnode < ynode and xroot <> yroot").filter(_possible("x", "y")).select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
-    rest = materialise(rest.join(star, ["a", "b"], "left_anti"), "candidates", made)
-    return found.unionAll(verified(docs, rest, made))
+    rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "candidates", made)
+    return found.unionAll(verified(packed, rest))
 
 
 def keep_similar(docs: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pyarrow as pa
 #: Kinds of bytes: part of a word, a gap between words, a stop that no phrase goes across.
 WORD, GAP, STOP = 0, 1, 2
 #: Bytes of text that a task works on at a time; a longer text is a slice of its own.
-BYTES = 8 << 20
+BYTES = 3 << 20
 
 
 def byte_kinds(gaps: bytes, stops: bytes = b"") -> np.ndarray:
@@ -23,6 +23,21 @@ def byte_kinds(gaps: bytes, stops: bytes = b"") -> np.ndarray:
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
+_ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)]
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers scrambled one by one."""
+    x = (x ^ (x >> np.uint64(32))) * _ODD[0]
+    return (x ^ (x >> np.uint64(29))) * _ODD[1]
+
+
+def hashes(words: pa.Array) -> np.ndarray:
+    """XXH64 of each word."""
+    from xxhash import xxh64_intdigest
+
+    return np.array([xxh64_intdigest(w) for w in words.to_pylist()], dtype=np.uint64)
+
 
 @dataclass
 class Words:
