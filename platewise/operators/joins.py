@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise.operators.ranges import as_of  # noqa: F401
+
 
 def first_per_key(df: DataFrame, keys, ordinal, keep: str = "first") -> DataFrame:
     """E5: the first (or last) row of each key by an explicit order; ties go by all other columns' order of ``ordinal``."""
@@ -105,20 +107,6 @@ def restrict(df: DataFrame, ids: DataFrame, on: str) -> DataFrame:
     return df.join(ids.select(on), on, "left_semi")
 
 
-def as_of(left: DataFrame, right: DataFrame, key: str, time: str, value: str, out: str) -> DataFrame:
-    """For each left row the value of the latest right row of its key at or before its time.
-
-    Both sides are merged and sorted per key; at equal times right rows come first, and of right rows with
-    one time the greatest value counts.
-    """
-    extra = [c for c in left.columns if c not in (key, time)]
-    a = left.select(key, time, F.lit(1).alias("_side"), F.lit(None).cast(right.schema[value].dataType).alias("_v"), *extra)
-    b = right.select(key, time, F.lit(0).alias("_side"), F.col(value).alias("_v"), *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in extra])
-    seen = Window.partitionBy(key).orderBy(time, "_side", F.col("_v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    both = a.unionByName(b).withColumn(out, F.last("_v", ignorenulls=True).over(seen))
-    return both.filter("_side = 1").drop("_side", "_v")
-
-
 def overlap_counts(members: DataFrame, annotations: DataFrame, key: str, group: str, label: str) -> DataFrame:
     """How many members of each group carry each label."""
     return members.join(annotations, key).groupBy(group, label).agg(F.count(F.lit(1)).alias("n"))

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.operators.order import exact_percentiles
+from platewise.operators.ranges import rolling_percentile  # noqa: F401
 
 PERCENTILES = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
 
@@ -30,12 +31,6 @@ def last_n(log: DataFrame, by, order, n: int) -> DataFrame:
     return log.withColumn("_rn", F.row_number().over(Window.partitionBy(*by).orderBy(*desc))).filter(F.col("_rn") <= n).drop("_rn")
 
 
-def rolling_percentile(log: DataFrame, by, order, value: str, n: int, p: float) -> DataFrame:
-    """After each row the percentile of the last n rows."""
-    frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0)
-    return log.withColumn("rolling", F.percentile(value, F.lit(p)).over(frame))
-
-
 def reference_and_current(log: DataFrame, by, order, window: int) -> DataFrame:
     """The first ``window`` rows of each key as ``reference`` and the last ones after them as ``current``.
 
