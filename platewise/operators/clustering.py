@@ -16,6 +16,9 @@ from pyspark.sql import functions as F
 from platewise import scratch
 from platewise.functions.vectors import hash_uniform
 from platewise.operators.joins import overlap_counts
+from platewise.operators.linkage import cut_tree, linkage_tree
+from platewise.operators.greedy import distances
+from platewise.operators.selection import _blocks as blocked
 from platewise.operators.selection import distance
 
 
@@ -75,27 +78,8 @@ def bisecting(df: DataFrame, vector: str, k: int, seed: int = 1) -> DataFrame:
 
 
 def single_linkage(df: DataFrame, key: str, vector: str, cut: float) -> DataFrame:
-    """I4: clusters of single linkage cut at a distance: components of the graph of pairs within it.
-
-    Pairs come from a grid of cells as wide as the cut over the vector's two most spread directions, so only rows in touching
-    cells are compared.
-    """
-    spread = df.select(F.posexplode(vector).alias("f", "v")).groupBy("f").agg(F.var_pop("v").alias("s")).orderBy(F.col("s").desc(), "f").limit(2)
-    axes = [r.f for r in spread.collect()]
-    cell = [F.floor(F.col(vector)[a] / cut).cast("long") for a in axes]
-    rows = df.select(F.col(key).alias("node"), F.col(vector).alias("x"), F.array(*cell).alias("cell"))
-    steps = F.array(*[F.array(*[F.lit(d).cast("long") for d in ds]) for ds in np.ndindex(*([3] * len(axes)))])
-    near = rows.select(F.col("node").alias("b"), F.col("x").alias("y"), F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda c, d: c + d - 1))).alias("cell"))
-    edges = rows.join(near, "cell").filter((F.col("node") < F.col("b")) & (distance(F.col("x"), F.col("y")) <= cut)).select(F.col("node").alias("a"), "b")
-    labels = df.select(F.col(key).alias("node"), F.col(key).alias("cluster"))
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = scratch.written(both, "edges")
-    while True:
-        seen = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("cluster").alias("c"))
-        moved = labels.join(seen, labels["node"] == seen["a"], "left").select("node", F.least("cluster", F.coalesce("c", "cluster")).alias("new"), "cluster").checkpoint()
-        if not moved.filter("new < cluster").limit(1).count():
-            return moved.select(F.col("node").alias(key), F.col("new").alias("cluster"))
-        labels = moved.select("node", F.col("new").alias("cluster"))
+    """I4: clusters of single linkage cut at a distance, from the forest of edges within it; ``linkage`` has the whole tree and its other cuts."""
+    return cut_tree(df, key, linkage_tree(df, key, vector, cut, grow=False), distance=cut)
 
 
 def quality(df: DataFrame, vector: str, cluster: str = "cluster") -> DataFrame:
@@ -115,11 +99,41 @@ def quality(df: DataFrame, vector: str, cluster: str = "cluster") -> DataFrame:
 
 
 def silhouette(df: DataFrame, vector: str, cluster: str = "cluster", cosine: bool = False) -> float:
-    """Spark's silhouette (squared Euclidean or cosine), which differs from the plain Euclidean one."""
+    """Spark's silhouette (squared Euclidean or cosine); ``silhouettes`` has the plain Euclidean one."""
     rows = df.withColumn("_v", array_to_vector(vector))
     return ClusteringEvaluator(featuresCol="_v", predictionCol=cluster, distanceMeasure="cosine" if cosine else "squaredEuclidean").evaluate(rows)
 
 
+def silhouettes(df: DataFrame, key: str, vector: str, cluster: str = "cluster") -> DataFrame:
+    """``key, cluster, silhouette`` of every row by plain Euclidean distances; 0 for a row alone in its cluster, null if there is one cluster.
+
+    Blocks of rows meet blocks of one cluster's members as matrices, dealt by pairs of groups of blocks; a block pair hands on each row's sum for that cluster.
+    The work is quadratic in the rows by definition.
+    """
+    blocks = scratch.written(blocked(df.filter(F.col(cluster).isNotNull()), key, vector, [cluster]).withColumn("_id", F.monotonically_increasing_id()), "blocks")
+    groups = max(1, math.isqrt(blocks.count()))
+    dealt = F.pmod(F.xxhash64("_id"), F.lit(groups))
+    own = blocks.select(F.col(cluster).alias("own"), "_id", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_g"))
+    members = blocks.select(F.col(cluster).alias("other"), F.transform("rows", lambda r: r["x"]).alias("y"), dealt.alias("_g"))
+    kinds = [df.schema[c].dataType.simpleString() for c in (key, cluster)]
+
+    def sums(batches):
+        for pdf in batches:
+            for rows, own, other, y in zip(pdf["rows"], pdf["own"], pdf["other"], pdf["y"]):
+                x, y = np.stack([r["x"] for r in rows]), np.stack(y)
+                total = distances(x, y).sum(axis=1)
+                yield pd.DataFrame({"key": [r["k"] for r in rows], "own": own, "other": other, "total": total})
+
+    per = own.join(members, "_g").repartition("_id", "_g").select("rows", "own", "other", "y").mapInPandas(sums, f"key {kinds[0]}, own {kinds[1]}, other {kinds[1]}, total double")
+    sizes = df.groupBy(F.col(cluster).alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    per = per.groupBy("key", "own", "other").agg(F.sum("total").alias("total")).join(sizes, "other")
+    same = F.col("own") == F.col("other")
+    mean = F.when(same, F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1))).otherwise(F.col("total") / F.col("n"))
+    ab = per.withColumn("mean", mean).groupBy("key", "own").agg(F.max(F.when(same, F.col("mean"))).alias("a"), F.min(F.when(~same, F.col("mean"))).alias("b"), F.max(F.when(same, F.col("n"))).alias("n"))
+    value = F.when(F.col("b").isNull(), None).when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
+    return ab.select(F.col("key").alias(key), F.col("own").alias(cluster), value.alias("silhouette"))
+
+
 def choose_k(df: DataFrame, vector: str, ks, criterion: str = "calinski") -> int:
     """The best number of clusters by Calinski-Harabasz, silhouette or the elbow of the inertia."""
     scored = []

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -180,6 +181,52 @@ def kmeans_pp(df: DataFrame, key: str, vector: str, n: int, seed: int) -> DataFr
     return _loop(df, key, vector, n, lambda s: _pick(s, key, -V.hash_uniform(F.col(key), F.lit(seed)), vector), race)
 
 
+def _nearest(rows: DataFrame, chosen: list) -> DataFrame:
+    """``key, x, d, near``: the distance of each candidate to the nearest of ``chosen`` (key, vector), and that one's place."""
+    shared = rows.sparkSession.sparkContext.broadcast(np.array([v for _, v in chosen], dtype=np.float64))
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                d = greedy.distances(greedy._matrix(part.column(1)), shared.value)
+                near = d.argmin(axis=1)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(d[np.arange(len(d)), near]), pa.array(near, pa.int32())], ["key", "x", "d", "near"])
+
+    kind = rows.schema["key"].dataType.simpleString()
+    return rows.select("key", "x").mapInArrow(run, f"key {kind}, x array<double>, d double, near int")
+
+
+def kmeans_parallel(df: DataFrame, key: str, vector: str, k: int, seed: int, rounds: int = 5, times: float = 2.0) -> DataFrame:
+    """I10 for many rows: k-means|| (Bahmani et al., 2012). From a seeded start each round draws every row with probability ``times * k * d^2 / sum of d^2``; rows
+    are then counted to the nearest drawn one, and ``k`` of the drawn are picked like ``kmeans_pp`` with their counts as weights.
+
+    About ``rounds * times * k`` rows come to the driver. Draws are hashes of the key, so runs agree. Rows without key or vector are left out.
+    """
+    rows = greedy.candidates(df, key, vector)
+    first = _start(rows, -V.hash_uniform(F.col("key"), F.lit(seed)))
+    chosen = [tuple(first)] if first else []
+    for r in range(1, rounds + 1) if chosen else ():
+        near = _nearest(rows, chosen)
+        cost = near.agg(F.sum(F.col("d") * F.col("d"))).first()[0]
+        if not cost:
+            break
+        drawn = near.filter(V.hash_uniform(F.col("key"), F.lit(seed), F.lit(r)) < F.lit(times * k / cost) * F.col("d") * F.col("d"))
+        chosen += sorted(map(tuple, drawn.select("key", "x").collect()))
+    if not chosen:
+        return _ranked(df, key, [])
+    weight = {r.near: r["count"] for r in _nearest(rows, chosen).groupBy("near").count().collect()}  # a row a drawn one
+    drawn = [(c, [float(v) for v in x], float(weight.get(i, 0))) for i, (c, x) in enumerate(chosen)]
+    pool = df.sparkSession.createDataFrame(drawn, f"{key} {df.schema[key].dataType.simpleString()}, x array<double>, w double")
+    step = iter(range(k))
+
+    def race(_):
+        u = 1.0 - V.hash_uniform(F.col(key), F.lit(seed), F.lit(next(step)), F.lit("pick"))
+        return F.log(u) / (F.col("w") * F.least(F.col("_d") * F.col("_d"), F.lit(1e300)) + 1e-300)
+
+    return _loop(pool, key, "x", min(k, len(drawn)), lambda s: _pick(s.withColumn("_d", F.lit(1.0)), key, race(s), "x"), race)
+
+
 def hybrid(df: DataFrame, key: str, vector: str, uncertainty: str, n: int, weight: float = 0.7) -> DataFrame:
     """Weighted sum of scaled uncertainty and scaled distance to what is chosen; the first is the most uncertain. Rows without key or vector are left out."""
     rows = greedy.candidates(min_max(df, uncertainty, "_u"), key, vector, "_u")
