@@ -4,9 +4,9 @@ Every word stands in one row with its three followers in the piece (``w1`` to ``
 longest windows are counted; ``ROLLUP`` sums them over ever shorter prefixes, which gives the occurrences of every phrase of four, three,
 two and one words and the words of each language, so no shorter n-gram is ever listed for itself.
 
-A phrase counts only from ``LEAST`` occurrences on, and then all its words and pairs of neighbours occur as often. So a first pass counts words
-and pairs by 64-bit hashes in parts of the hash space and marks those that occur often enough in a filter of fixed size; the second ends each window before
-the first pair that the filter doesn't know. The filter only admits too much (hash collisions, or when it fills up), never too little, so it
+A phrase counts only from ``LEAST`` occurrences on, and then all its words, pairs and triples of neighbours occur as often. So a first pass counts words
+and pairs by 64-bit hashes in parts of the hash space and marks those that occur often enough in a filter of fixed size, a second one does so with the triples of such pairs, and the
+windows end before the first pair or triple that the filters don't know. A filter only admits too much (hash collisions, or when it fills up), never too little, so it
 changes the cost and no result.
 
 Defined results: null texts are empty, a null language is ``und``; texts without words say nothing; copies count as often as they are there; one text may be of
@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,8 +27,9 @@ from .words import byte_kinds, hashes, in_byte_slices, mixed, split
 LONGEST, LEAST, TOP = 4, 30, 2000
 #: A longer phrase stands for its parts if it has at least SHARE percent of their occurrences.
 SHARE = 80
-#: Binary digits of the filter's places: 16 MB, whatever the input.
-FILTER_BITS = 27
+#: Fewest and most binary digits of a filter's places (0.5 and 32 MB). Between them it has 65,536 places a part of the hash space, and the parts follow the
+#: number of shuffle partitions.
+FILTER_BITS = (22, 28)
 #: Lists that a language's candidates are ranked in before the last ranking.
 SALTS = 32
 _KINDS = byte_kinds(b" \t", b".,;:!?\n\x0b\x0c\r")
@@ -35,6 +37,17 @@ _NAMES = [f"w{k}" for k in range(1, LONGEST + 1)]
 _STEP = np.uint64(0x165667B19E3779F9)
 
 
+class Filter:
+    """Marks of hashes by their leading digits."""
+
+    def __init__(self, table: np.ndarray):
+        self.table, self.shift = table, np.uint64(65 - (len(table) * 8).bit_length())
+
+    def known(self, h: np.ndarray) -> np.ndarray:
+        place = (h >> self.shift).astype(np.int64)
+        return (self.table[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
+
+
 class _Slice:
     """The words of some texts with hashes of (language, word) and (language, word, next word)."""
 
@@ -48,25 +61,32 @@ class _Slice:
         self.word = mixed(h * _STEP + own)
         self.near = words.next_to()
         self.pair = mixed(self.word[:-1] + mixed(h[1:] ^ _STEP))
+        self.triple = mixed(self.pair[:-1] + mixed(h[2:] + _STEP))
+
+    def goes(self, pairs: Filter) -> np.ndarray:
+        """Whether a word and the next one are a frequent pair."""
+        known = pairs.known(self.word)
+        return self.near & pairs.known(self.pair) & known[:-1] & known[1:]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
 
 
-def frequent(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS) -> np.ndarray:
-    """The filter: one bit for each value of a hash's leading ``bits``, set where a word or pair has at least ``least`` occurrences.
+def frequent(docs: DataFrame, keys, least: int = LEAST, bits: int | None = None) -> Filter:
+    """One bit for each value of a hash's leading ``bits``, set where one of the ``keys`` (hashes of a slice) comes at least ``least`` times.
 
     A task sends each part of the hash space the distinct hashes of a slice that fall there, as differences, and their counts; a part adds them up and
     returns its piece of the filter.
     """
-    parts = min(bits - 10, max(4, (4 * source_partitions(docs.sparkSession) - 1).bit_length()))
+    parts = max(4, (4 * source_partitions(docs.sparkSession) - 1).bit_length())
+    bits = bits or min(FILTER_BITS[1], max(FILTER_BITS[0], parts + 16))
+    parts = min(bits - 10, parts)
     enough = min(least, 255)
 
     def run(batches):
         for b in in_byte_slices(batches, 1):
-            s = _Slice(b)
-            key = np.sort(np.concatenate([s.word, s.pair[s.near]]))
+            key = np.sort(keys(_Slice(b)))
             if not len(key):
                 continue
             at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
@@ -103,20 +123,26 @@ def frequent(docs: DataFrame, least: int = LEAST, bits: int = FILTER_BITS) -> np
     got = found.toArrow()
     for part, raw in zip(got.column("part").to_pylist(), got.column("bits")):
         table[part * size : (part + 1) * size] = np.frombuffer(raw.as_buffer(), dtype=np.uint8)
-    return table
+    return Filter(table)
 
 
-def windows(docs: DataFrame, table: np.ndarray) -> DataFrame:
-    """``lang, w1..w4, n``: the distinct longest windows of each slice, ended before the first pair that is not frequent, and their number.
+def filters(docs: DataFrame, least: int = LEAST, bits: int | None = None) -> tuple[Broadcast, Broadcast]:
+    """The filters of words and pairs, and of triples."""
+    send = docs.sparkSession.sparkContext.broadcast
+    pairs = send(frequent(docs, lambda s: np.concatenate([s.word, s.pair[s.near]]), least, bits))
+
+    def triples(s: _Slice) -> np.ndarray:
+        goes = s.goes(pairs.value)
+        return s.triple[goes[:-1] & goes[1:]]
+
+    return pairs, send(frequent(docs, triples, least, bits))
+
+
+def windows(docs: DataFrame, known_pairs: Broadcast, known_triples: Broadcast) -> DataFrame:
+    """``lang, w1..w4, n``: the distinct longest windows of each slice, ended before the first pair or triple that is not frequent, and their number.
 
     Words that are not frequent are told apart no longer: ``w1`` is null.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(table)
-    shift = np.uint64(64 - (len(table) * 8).bit_length() + 1)
-
-    def known(h: np.ndarray) -> np.ndarray:
-        place = (h >> shift).astype(np.int64)
-        return (shared.value[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1 == 1
 
     def run(batches):
         for b in in_byte_slices(batches, 1):
@@ -125,16 +151,16 @@ def windows(docs: DataFrame, table: np.ndarray) -> DataFrame:
             if not n:
                 continue
             size = len(s.distinct) + 1
-            lead = [np.where(known(s.word), s.code + 1, 0).astype(np.int64)]  # 0: none
-            goes = np.zeros(n, dtype=bool)
-            goes[:-1] = s.near & known(s.pair) & (lead[0][:-1] > 0) & (lead[0][1:] > 0)
-            follows = goes.copy()
-            for k in range(1, LONGEST):
+            pairs, triples = known_pairs.value, known_triples.value
+            two, three, four = np.zeros(n, dtype=bool), np.zeros(n, dtype=bool), np.zeros(n, dtype=bool)
+            two[:-1] = s.goes(pairs)
+            three[:-2] = two[:-2] & two[1:-1] & triples.known(s.triple)
+            four[:-1] = three[:-1] & three[1:]
+            lead = [np.where(pairs.known(s.word), s.code + 1, 0).astype(np.int64)]  # 0: none
+            for k, held in enumerate((two, three, four), 1):
                 column = np.zeros(n, dtype=np.int64)
-                column[: n - k] = np.where(follows[: n - k], s.code[k:] + 1, 0)
+                column[: n - k] = np.where(held[: n - k], s.code[k:] + 1, 0)
                 lead.append(column)
-                follows[: n - k] &= goes[k:]
-                follows[max(0, n - k) :] = False
             head = (s.lang.astype(np.int64) * size + lead[0]) * size + lead[1]
             tail = lead[2] * size + lead[3]
             order = np.lexsort((tail, head))
@@ -155,7 +181,8 @@ def windows(docs: DataFrame, table: np.ndarray) -> DataFrame:
 
 def phrase_counts(longest: DataFrame, least: int = LEAST) -> DataFrame:
     """``lang, words, phrase, size, f``: every phrase of up to four words with at least ``least`` occurrences, and under size 0 the words of each language."""
-    rolled = longest.rollup("lang", *_NAMES).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
+    distinct = longest.groupBy("lang", *_NAMES).agg(F.sum("n").alias("n"))  # else each task would roll up its own
+    rolled = distinct.rollup("lang", *_NAMES).agg(F.sum("n").alias("f"), F.grouping_id().alias("g"))
     words = F.array(*_NAMES)
     size = F.lit(LONGEST) - F.bit_count("g")  # each bit is a column summed over
     rows = rolled.filter(F.col("g") < (1 << LONGEST)).withColumn("size", size.cast("int"))
@@ -195,10 +222,13 @@ def covered(counts: DataFrame, share: int = SHARE) -> DataFrame:
     return own.join(most, ["lang", "phrase"]).filter(100 * decimal("most") >= share * decimal("f")).select("lang", "phrase")
 
 
-def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int = SHARE, bits: int = FILTER_BITS) -> DataFrame:
+def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP, share: int = SHARE, bits: int | None = None) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language."""
     made: list[str] = []
-    counts = materialise(phrase_counts(windows(docs, frequent(docs, least, bits)), least), "phrases", made)
+    known = filters(docs, least, bits)
+    counts = materialise(phrase_counts(windows(docs, *known), least), "phrases", made)
+    for x in known:
+        x.unpersist()
     rows = scored(counts).join(covered(counts, share), ["lang", "phrase"], "left_anti")
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase").asc()]
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("phrase"), F.lit(SALTS)))
