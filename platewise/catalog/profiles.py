@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from platewise import schema
-from platewise.catalog.base import FEATURES, LONG, WELLS, long_wells, query, rounded, table, wells
+from platewise.catalog.base import FEATURES, LONG, WELLS, long_wells, picks_sql, query, rounded, table, wells
 from platewise.operators import aggregates as A
 from platewise.operators import normalise as N
 from platewise.operators import quality as Q
+from platewise.operators.order import largest_group, median_and_count
 from platewise.plans import pipelines
+from platewise.scratch import folder
 
 NORM = "sqrt(list_sum(list_transform(features, lambda x: coalesce(x * x, 0.0))))"
 ROBUST = """mid AS (SELECT f, median(v) AS c FROM long GROUP BY f),
@@ -20,8 +22,9 @@ stats AS (SELECT f, any_value(c) AS c, greatest(median(abs(v - c)) * 1.4826, 1e-
 SELECT treatment, f, round(median(z), 6) AS z, count(*) AS n FROM scaled GROUP BY treatment, f HAVING count(*) >= 5""")
 def flagship_treatment_profiles(spark, sf):
     """Robust normalisation over all wells, then replicate medians."""
-    scaled = schema.to_long(N.normalise(wells(spark, sf).select("treatment", "features"), "robust"), ["treatment"]).filter("v is not null")
-    out = scaled.groupBy("treatment", "f").agg(F.median("v").alias("z"), F.count(F.lit(1)).alias("n")).filter("n >= 5")
+    rows = wells(spark, sf).select("treatment", "features")
+    scaled = schema.to_long(N.normalise(rows, "robust"), ["treatment"]).filter("v is not null")
+    out = median_and_count(scaled, ["treatment", "f"], "v", "z", "n", largest_group(rows, ["treatment"], "treatment")).filter("n >= 5")
     return rounded(out, "z")
 
 
@@ -408,6 +411,50 @@ def i32_curation(spark, sf):
     return out.select("treatment", "n_replicates", *[F.round(F.col("features")[i], 5).alias(n) for i, n in enumerate("abc")])
 
 
+_WELLS = CURATED.replace("min(l_suppkey) AS plate, min(l_partkey) AS treatment", "min(l_suppkey) % 16 AS plate, min(p_brand || CASE WHEN p_size % 2 = 0 THEN '+' ELSE '-' END) AS treatment").replace(
+    "FROM lineitem GROUP BY 1)", "FROM (SELECT *, min(l_partkey) OVER (PARTITION BY l_orderkey, l_linenumber) AS k FROM lineitem) JOIN part ON k = p_partkey GROUP BY 1)"
+)
+_HEAD = _WELLS.rsplit("SELECT treatment, n AS", 1)[0]
+COVERED = (
+    f"{_HEAD}, vec AS (SELECT treatment AS vec_id, any_value(n) AS n, list(v ORDER BY f) AS x FROM t GROUP BY treatment), "
+    + picks_sql("SELECT vec_id, x, -list_distance(x, (SELECT list_transform(range(1, 4), lambda i: list_avg(list_transform(list(x), lambda y: y[i]))) FROM vec)) AS u FROM vec", "u", "d", 8)
+)
+_AT = COVERED.rindex(" SELECT 1 AS rank")
+COVERED = COVERED[:_AT] + ", picks AS (" + COVERED[_AT:] + ") SELECT rank, treatment, n_replicates, a, b, c FROM picks JOIN (SELECT vec_id AS treatment, vec_id, n AS n_replicates, round(x[1], 5) AS a, round(x[2], 5) AS b, round(x[3], 5) AS c FROM vec) USING (vec_id)"
+
+
+def _training_set(spark, sf):
+    """Plates in files, of wells whose repeated positions are averaged; symbols come from a metadata table."""
+    root = folder(spark, "plates")
+    wells = table(spark, sf, "lineitem").groupBy((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("Metadata_Well")).agg(
+        (F.min("l_suppkey") % 16).alias("Metadata_Plate"), F.min("l_partkey").alias("Metadata_JCP2022"), (F.min("l_quantity") * 10).alias("Metadata_Count_Cells"),
+        F.avg("l_quantity").alias("Cells_AreaShape_Q"), F.avg("l_extendedprice").alias("Cells_Intensity_P"), F.avg("l_tax").alias("Nuclei_Texture_T"),
+    )
+    wells = wells.withColumn("Nuclei_Granularity_M", F.col("Cells_AreaShape_Q") / 2 + F.col("Nuclei_Texture_T"))
+    wells.withColumn("plate", F.col("Metadata_Plate")).repartition("plate").write.partitionBy("plate").parquet(root)
+    symbol = F.concat("p_brand", F.when(F.col("p_size") % 2 == 0, "+").otherwise("-"))
+    symbols = table(spark, sf, "part").select(F.col("p_partkey").alias("Metadata_JCP2022"), symbol.alias("Metadata_Symbol"), F.col("p_partkey").alias("ordinal"))
+    plates = [f"{root}/plate={p}" for p in range(16)] + [f"{root}/plate=99"]
+    return pipelines.training_set(
+        spark, plates, [(symbols, [["Metadata_JCP2022"]], "ordinal")], "Metadata_Well", "Metadata_Plate", "Metadata_Symbol", "Metadata_Count_Cells", sample=8, correlation=0.9
+    )
+
+
+@query(COVERED)
+def i32_training_set(spark, sf):
+    """From plate files to sampled treatments: load, enrich, QC, features, normalisation, correction, aggregation, coverage."""
+    out, kept, skipped, _ = _training_set(spark, sf)
+    assert len(skipped) <= 16 and kept == ["Cells_AreaShape_Q", "Cells_Intensity_P", "Nuclei_Texture_T"]
+    return out.select("rank", F.col("Metadata_Symbol").alias("treatment"), "n_replicates", *[F.round(F.col("features")[i], 5).alias(n) for i, n in enumerate("abc")])
+
+
+@query(f"""{_HEAD}, c AS (SELECT (SELECT count(*) FROM u) AS n, (SELECT count(*) FROM good) AS g, (SELECT count(DISTINCT treatment) FROM t) AS t)
+SELECT unnest([1, 2, 3, 4, 5, 6]) AS step, unnest(['loaded', 'merged', 'quality', 'features', 'treatments', 'sampled']) AS name, unnest([n, n, g, g, t, least(t, 8)]) AS rows, unnest([4, 4, 4, 3, 3, 3]) AS features FROM c""")
+def d28_curation_report(spark, sf):
+    """Rows and features after each step of the same job."""
+    return _training_set(spark, sf)[3]
+
+
 @query("""SELECT l_suppkey, l_linenumber, median(l_quantity) AS "Cells_AreaShape_Q", median(l_extendedprice) AS "Nuclei_Intensity_P", count(*) AS cell_count, l_suppkey || '_' || l_linenumber AS sample_id, count(*) >= 80 AS qc_passed
  FROM lineitem GROUP BY 1, 2""")
 def i33_cell_pipeline(spark, sf):

@@ -101,6 +101,24 @@ def i10_kmeans_pp(spark, sf):
     return L.kmeans_pp(vectors(spark, sf), "vec_id", "x", 6, 5)
 
 
+def _parallel_sql(k: int, rounds: int, times: float) -> str:
+    """Rounds of draws by the distance to those drawn before, counts to the nearest, and weighted picks."""
+    parts = [f"g0 AS MATERIALIZED (SELECT vec_id, x, 0 AS r FROM vec ORDER BY {uniform_sql('vec_id', '5')}, vec_id LIMIT 1)"]
+    for r in range(1, rounds + 1):
+        parts.append(f"d{r} AS MATERIALIZED (SELECT v.vec_id, v.x, min(list_distance(v.x, c.x)) AS d FROM vec v, g{r - 1} c GROUP BY v.vec_id, v.x)")
+        parts.append(f"g{r} AS MATERIALIZED (SELECT * FROM g{r - 1} UNION ALL SELECT vec_id, x, {r} FROM d{r} WHERE {uniform_sql('vec_id', '5', str(r))} < {times * k} / (SELECT sum(d * d) FROM d{r}) * d * d)")
+    parts.append(f"near AS (SELECT v.vec_id, arg_min(c.vec_id, list_distance(v.x, c.x)) AS c FROM vec v, g{rounds} c GROUP BY v.vec_id)")
+    parts.append(f"pool AS (SELECT vec_id, x, (SELECT count(*) FROM near WHERE c = p.vec_id)::DOUBLE AS u FROM g{rounds} p)")
+    race = "ln(1.0 - " + uniform_sql("vec_id", "5", "{k}", "'pick'") + ") / (u * least(d * d, 1e300) + 1e-300)"
+    return ", ".join(parts) + ", " + picks_sql("SELECT vec_id, x, u FROM pool", "ln(1.0 - " + uniform_sql("vec_id", "5", "0", "'pick'") + ") / (u + 1e-300)", race, k)
+
+
+@query(f"WITH {VEC}, {_parallel_sql(6, 3, 2.0)}")
+def i10_kmeans_parallel(spark, sf):
+    """k-means|| from the same seeded hashes."""
+    return L.kmeans_parallel(vectors(spark, sf), "vec_id", "x", 6, 5, rounds=3)
+
+
 @query(f"WITH {VEC}, " + picks_sql("SELECT vec_id, x, 0.0 AS u FROM vec", "-" + uniform_sql("vec_id", "5"), "d", 6))
 def i11_i18_max_min(spark, sf):
     return L.max_min(vectors(spark, sf), "vec_id", "x", 6, 5)

@@ -73,21 +73,23 @@ def a05_a13_fasta(spark, sf):
 
 @query(f"WITH {SEQ} SELECT s AS sequence, CASE WHEN doc_id % 2 = 0 THEN lang ELSE 'protein_' || (row_number() OVER (ORDER BY doc_id) - 1) END AS name FROM seq WHERE s <> ''")
 def a06_sequence_csv(spark, sf):
-    """Every other name is missing and comes from the row's number."""
+    """Every other name is missing and comes from the row's number, over as many files as the sort writes."""
     path = folder(spark, "csv")
     rows = sequences(spark, sf).filter("s <> ''")
-    rows.orderBy("doc_id").coalesce(1).select(F.col("s").alias("sequence"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("name")).write.option("header", True).csv(path)
+    rows.orderBy("doc_id").select(F.col("s").alias("sequence"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("name")).write.option("header", True).csv(path)
     return R.sequence_csv(spark, path).select("sequence", "name")
 
 
-@query(f"WITH {SEQ} SELECT s AS sequence, lang AS name, doc_id::VARCHAR AS id FROM seq UNION ALL SELECT s, lang, 'whole' FROM seq WHERE doc_id < 100")
+@query(f"WITH {SEQ} SELECT s AS sequence, lang AS name, doc_id::VARCHAR AS id FROM seq UNION ALL SELECT s, lang, 'whole' FROM seq")
 def a07_library_json(spark, sf):
-    """All sequences through JSON lines and back, and a library document of some read whole."""
+    """All sequences through JSON lines and back, and through library documents of 64 numbers each that are read whole."""
     path, document = folder(spark, "library"), folder(spark, "document")
     rows = sequences(spark, sf).select(F.col("s").alias("sequence"), F.col("lang").alias("name"), F.lit("x").alias("source"), F.create_map(F.lit("id"), F.col("doc_id").cast("string")).alias("metadata"))
     W.save_library(rows, path)
-    some = rows.filter(F.col("metadata")["id"].cast("long") < 100).withColumn("metadata", F.create_map(F.lit("id"), F.lit("whole")))
-    some.agg(F.lit("some").alias("name"), F.count(F.lit(1)).alias("count"), F.collect_list(F.struct("sequence", "name", "source", "metadata")).alias("proteins")).coalesce(1).write.json(document)
+    of = F.floor(F.col("metadata")["id"].cast("long") / 64).alias("part")
+    whole = rows.select(of, F.struct("sequence", "name", "source", F.create_map(F.lit("id"), F.lit("whole")).alias("metadata")).alias("p")).groupBy("part")
+    whole = whole.agg(F.lit("some").alias("name"), F.count(F.lit(1)).alias("count"), F.collect_list("p").alias("proteins"))
+    whole.repartition("part").write.partitionBy("part").json(document)
     return R.library_json(spark, path, lines=True).unionByName(R.library_json(spark, document)).select("sequence", "name", F.col("metadata")["id"].alias("id"))
 
 

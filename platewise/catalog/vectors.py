@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from platewise.catalog.base import PRED, VEC, predictions, query, rounded, table, uniform_sql, vectors
@@ -9,6 +10,7 @@ from platewise.functions import sequence as S
 from platewise.functions import vectors as V
 from platewise.operators import aggregates as A
 from platewise.operators import clustering as C
+from platewise.operators import linkage as K
 from platewise.operators import metrics as M
 from platewise.operators import selection as L
 from platewise.schema import to_long
@@ -243,6 +245,71 @@ def i02_pca_inverse(spark, sf):
     return back.select("vec_id", F.round(L.distance(F.col("x"), F.col("restored")), 6).alias("error"))
 
 
+#: Prim's order from the first row: cutting it where the next edge is longer than a limit gives the clusters of single linkage.
+LINKAGE = f"""WITH RECURSIVE {VEC}, v AS (SELECT vec_id, x, row_number() OVER (ORDER BY vec_id) AS r FROM vec), dist AS (SELECT a.r, list(list_distance(a.x, b.x) ORDER BY b.r) AS ds FROM v a, v b GROUP BY a.r),
+prim AS (SELECT 1::BIGINT AS step, 1::BIGINT AS r, 0.0::DOUBLE AS d, list_transform(ds, lambda y, i: CASE WHEN i = 1 THEN NULL ELSE y END) AS near FROM dist WHERE r = 1 UNION ALL
+ SELECT step + 1, j, m, list_transform(near, lambda y, i: CASE WHEN y IS NULL OR i = j THEN NULL ELSE least(y, ds[i]) END) FROM (SELECT step, near, list_min(near) AS m, list_position(near, list_min(near)) AS j FROM prim WHERE list_min(near) IS NOT NULL) p JOIN dist ON dist.r = p.j),
+limits AS (SELECT 0.95 * max(d) AS share, (SELECT d FROM prim ORDER BY d DESC LIMIT 1 OFFSET 4) AS k FROM prim),
+cut AS (SELECT vec_id, count(*) FILTER (d > 1.14) OVER w AS c1, count(*) FILTER (d > k) OVER w AS c2, count(*) FILTER (d > share) OVER w AS c3 FROM prim JOIN v USING (r), limits WINDOW w AS (ORDER BY step))
+SELECT vec_id, min(vec_id) OVER (PARTITION BY c1) AS by_distance, min(vec_id) OVER (PARTITION BY c2) AS by_number, min(vec_id) OVER (PARTITION BY c3) AS by_share FROM cut"""
+
+
+@query(LINKAGE)
+def i04_linkage_cuts(spark, sf):
+    """One tree of single linkage, cut at a distance, into five clusters, and at 95 % of the largest merge."""
+    v = vectors(spark, sf)
+    tree = K.linkage_tree(v, "vec_id", "x", 1.1)
+    cuts = {"by_distance": {"distance": 1.14}, "by_number": {"k": 5}, "by_share": {"share": 0.95}}
+    out = v.select("vec_id")
+    for name, cut in cuts.items():
+        out = out.join(K.cut_tree(v, "vec_id", tree, **cut).withColumnRenamed("cluster", name), "vec_id")
+    return out
+
+
+@query(f"""WITH {VEC}, s AS (SELECT a.vec_id, a.label AS own, b.label AS other, sum(list_distance(a.x, b.x)) AS t, count(*) AS n FROM vec a, vec b GROUP BY ALL),
+m AS (SELECT vec_id, own AS label, max(CASE WHEN own = other AND n > 1 THEN t / (n - 1) END) AS a, min(CASE WHEN own <> other THEN t / n END) AS b, max(CASE WHEN own = other THEN n END) AS n FROM s GROUP BY vec_id, own)
+SELECT vec_id, label, round(CASE WHEN n = 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END, 6) AS silhouette FROM m""")
+def i06_silhouettes(spark, sf):
+    """The plain Euclidean silhouette of every row."""
+    return rounded(C.silhouettes(vectors(spark, sf), "vec_id", "x", "label"), "silhouette")
+
+
+@query("SELECT range::INT AS f, 0.0::DOUBLE AS gap, 0.0::DOUBLE AS mixed FROM range(64)")
+def i01_pca_shares(spark, sf):
+    """A component's explained share is its scores' share of the variance, and its scores don't go with the next component's."""
+    rows, _, share = C.pca(vectors(spark, sf), "x", 64)
+    shares = spark.createDataFrame([(i, float(s)) for i, s in enumerate(share)], "f int, share double")
+    turned = F.concat(F.slice("pca", 2, 63), F.slice("pca", 1, 1))
+    long = rows.select(F.posexplode(F.arrays_zip(F.col("pca").alias("a"), turned.alias("b"))).alias("f", "p")).groupBy("f").agg(F.var_pop("p.a").alias("v"), F.covar_pop("p.a", "p.b").alias("c"))
+    out = long.join(shares, "f").select("f", F.abs(F.round(F.col("v") / 64 - F.col("share"), 6)).alias("gap"), F.abs(F.round("c", 6)).alias("mixed"))
+    return out
+
+
+@query("SELECT vec_id, true AS nearest, true AS adds_up FROM embeddings")
+def i03_kmeans_nearest(spark, sf):
+    """Each row's centre is the nearest one, and the inertia is the sum of the squared distances to them."""
+    v, _ = C.standardised(vectors(spark, sf), "x")
+    rows, centres, inertia = C.kmeans(vectors(spark, sf), "x", 4)
+    table_ = spark.createDataFrame([([[float(y) for y in c] for c in centres],)], "centres array<array<double>>")
+    near = rows.join(v.select("vec_id", vector_to_array("scaled").alias("z")), "vec_id").crossJoin(F.broadcast(table_))  # one row
+    near = near.withColumn("ds", F.transform("centres", lambda c: L.distance(F.col("z"), c)))
+    total = near.agg(F.sum(F.pow(F.get("ds", F.col("cluster")), F.lit(2))).alias("total"))
+    out = near.crossJoin(F.broadcast(total))  # one row
+    return out.select("vec_id", (F.get("ds", F.col("cluster")) <= F.array_min("ds") + 1e-9).alias("nearest"), (F.abs(F.col("total") / inertia - 1) < 1e-6).alias("adds_up"))
+
+
+@query("SELECT f::INT AS f, true AS orthogonal FROM range(64) t(f)")
+def i31_ridge_residuals(spark, sf):
+    """The residuals of the ridge map times each input are the penalty times its coefficient."""
+    v = vectors(spark, sf)
+    pairs = v.join(v.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id")
+    beta = C.ridge(pairs, "x", "y")[0]
+    got = C.ridge_predict(pairs, "vec_id", "x", [beta]).join(pairs.select("vec_id", F.posexplode("y").alias("f", "y")), ["vec_id", "f"]).join(pairs.select("vec_id", "x"), "vec_id")
+    dots = got.select("f", (F.col("y") - F.col("value")).alias("e"), F.posexplode("x").alias("i", "xi")).groupBy("f", "i").agg(F.sum(F.col("e") * F.col("xi")).alias("dot"))
+    known = spark.createDataFrame([(f, i, float(beta[i + 1, f])) for f in range(64) for i in range(64)], "f int, i int, b double")
+    return dots.join(known, ["f", "i"]).groupBy("f").agg((F.max(F.abs(F.col("dot") - F.col("b"))) < 1e-6).alias("orthogonal"))
+
+
 @query()
 def i03_kmeans(spark, sf):
     return C.kmeans(vectors(spark, sf), "x", 4)[0].select("vec_id", "cluster")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.operators.joins import first_per_key, restrict, unmatched
+from platewise.operators.order import exact_percentiles
+from platewise.schema import from_long, pack, to_long, unpack
 
 HOW = {"mean": F.avg, "median": F.median}
 
@@ -16,17 +18,27 @@ def exact_median_by_count(long: DataFrame, keys, value: str, out: str) -> DataFr
     return counts.groupBy(*keys).agg(F.percentile(value, 0.5, F.col("_c")).alias(out))
 
 
+def _by_feature(rows: DataFrame, keys: list[str], features, how: str, count: str) -> DataFrame:
+    """``keys``, each feature's mean or median within them, and the number of rows: by the long form, so the plan has one aggregate and no group one task beyond its means."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+    if not features:
+        return sizes
+    largest = sizes.agg(F.max(count)).first()[0] or 0
+    long = to_long(pack(rows, features, keys), keys)
+    per = exact_percentiles(long, [*keys, "f"], "v", {"v": 0.5}, largest=largest) if how == "median" else long.groupBy(*keys, "f").agg(HOW[how]("v").alias("v"))
+    return unpack(from_long(per, keys), features).join(sizes, keys)
+
+
 def cells_to_wells(cells: DataFrame, keys, features, how: str = "median") -> DataFrame:
     """A row per well with ``cell_count`` and an id of the keys joined by underscores; rows with null keys are left out."""
     there = [k for k in keys if k in cells.columns]
-    rows = cells.dropna(subset=there)
-    out = rows.groupBy(*there).agg(*[HOW[how](c).alias(c) for c in features], F.count(F.lit(1)).alias("cell_count"))
+    out = _by_feature(cells.dropna(subset=there), there, list(features), how, "cell_count")
     return out.withColumn("sample_id", F.concat_ws("_", *[F.col(k).cast("string") for k in there]))
 
 
 def wells_to_treatments(wells: DataFrame, key: str, features, how: str = "median", least: int = 1) -> DataFrame:
     """A row per treatment of at least ``least`` wells; wells count before nulls are skipped; null keys are left out."""
-    out = wells.dropna(subset=[key]).groupBy(key).agg(*[HOW[how](c).alias(c) for c in features], F.count(F.lit(1)).alias("n_replicates"))
+    out = _by_feature(wells.dropna(subset=[key]), [key], list(features), how, "n_replicates")
     return out.filter(F.col("n_replicates") >= least)
 
 

@@ -68,7 +68,12 @@ def kmeans(df: DataFrame, vector: str, k: int, seeds=(1, 2, 3)) -> tuple[DataFra
     finally:
         rows.unpersist()
     best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(rows).drop("scaled"), best.clusterCenters(), best.summary.trainingCost
+    found, centres = best.transform(rows), best.clusterCenters()
+    # the summary's cost is that of the centres before the last step
+    one = df.sparkSession.createDataFrame([([[float(v) for v in c] for c in centres],)], "_c array<array<double>>")
+    d = distance(vector_to_array("scaled"), F.get("_c", F.col("cluster")))
+    inertia = found.crossJoin(F.broadcast(one)).agg(F.sum(d * d)).first()[0]  # one row
+    return found.drop("scaled"), centres, inertia
 
 
 def bisecting(df: DataFrame, vector: str, k: int, seed: int = 1) -> DataFrame:

@@ -10,23 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.operators import gram
-from platewise.operators.order import average_rank, exact_percentiles, largest_group
+from platewise.operators.order import average_rank, exact_percentiles, largest_group, median_and_mad
+from platewise.scratch import written
 from platewise.schema import to_long
 
 FLOOR, MAD_SCALE = 1e-8, 1.4826
 
 
-def statistics(long: DataFrame, method: str, keys=(), only: Column | None = None) -> DataFrame:
-    """``centre`` and ``scale`` per feature (and keys): robust, zscore, minmax, center or none. ``only`` limits the rows used."""
+def statistics(long: DataFrame, method: str, keys=(), only: Column | None = None, largest: int | None = None) -> DataFrame:
+    """``centre`` and ``scale`` per feature (and keys): robust, zscore, minmax, center or none. ``only`` limits the rows used; ``largest``: values of the
+    largest group at most, which the robust form counts if it is not known."""
     keys = [*keys, "f"]
     v = F.when(only, F.col("v")) if only is not None else F.col("v")
     rows = long.withColumn("v", v)
     if method == "robust":
-        largest = largest_group(rows, keys, "v")
-        mid = exact_percentiles(rows, keys, "v", {"centre": 0.5}, largest=largest)
-        near = rows.join(mid, keys).withColumn("_d", F.abs(F.col("v") - F.col("centre")))
-        mad = exact_percentiles(near, [*keys, "centre"], "_d", {"_mad": 0.5}, largest=largest)
-        out = mad.select(*keys, "centre", (F.col("_mad") * MAD_SCALE).alias("scale"))
+        out = median_and_mad(rows, keys, "v", largest).select(*keys, F.col("_mid").alias("centre"), (F.col("_mad") * MAD_SCALE).alias("scale"))
     elif method == "zscore":
         out = rows.groupBy(*keys).agg(F.avg("v").alias("centre"), F.stddev_pop("v").alias("scale"))
     elif method == "minmax":
@@ -58,7 +56,8 @@ def unscale(v: Column, centre: Column, spread: Column) -> Column:
 def normalise(packed: DataFrame, method: str = "robust", by=(), clip: float | None = 5.0, only: Column | None = None) -> DataFrame:
     """D6-D9 on packed rows, over all rows or within ``by``."""
     by = list(by)
-    stats = packed_statistics(statistics(to_long(packed, [c for c in packed.columns if c != "features"]), method, by, only), by)
+    largest = largest_group(packed, by, "features") if method == "robust" else None  # rows: a feature has no more values
+    stats = packed_statistics(statistics(to_long(packed, [c for c in packed.columns if c != "features"]), method, by, only, largest), by)
     rows = packed.join(stats, by) if by else packed.crossJoin(F.broadcast(stats))
     return rows.withColumn("features", scale(F.col("features"), F.col("centre"), F.col("scale"), clip)).drop("centre", "scale")
 
@@ -66,8 +65,9 @@ def normalise(packed: DataFrame, method: str = "robust", by=(), clip: float | No
 def control_statistics(long: DataFrame, plate: str, control: Column, method: str = "robust") -> DataFrame:
     """Per plate and feature from control wells; from all wells where a plate has no controls."""
     rows = long.withColumn("_c", control)
-    own = statistics(rows, method, [plate], F.col("_c"))
-    every = statistics(rows, method, [plate]).withColumnsRenamed({"centre": "_centre", "scale": "_scale"})
+    largest = largest_group(rows, [plate, "f"], "v") if method == "robust" else None
+    own = statistics(rows, method, [plate], F.col("_c"), largest)
+    every = statistics(rows, method, [plate], largest=largest).withColumnsRenamed({"centre": "_centre", "scale": "_scale"})
     both = every.join(own, [plate, "f"], "left")
     has = F.col("centre").isNotNull()
     return both.select(plate, "f", F.when(has, F.col("centre")).otherwise(F.col("_centre")).alias("centre"), F.when(has, F.col("scale")).otherwise(F.col("_scale")).alias("scale"))
@@ -81,9 +81,16 @@ def percent_of_control(long: DataFrame, plate: str, control: Column) -> DataFram
 
 
 def fit_batches(long: DataFrame, batch: str, method: str) -> tuple[DataFrame, DataFrame]:
-    """Statistics per batch and overall. ``method``: center, zscore, robust or reference (whose spreads are like zscore's)."""
-    kind = {"center": "center", "zscore": "zscore", "reference": "zscore", "robust": "robust"}[method]
-    return statistics(long, kind, [batch]), statistics(long, kind)
+    """Statistics per batch and overall. ``method``: center, zscore, robust or reference (whose spreads are like zscore's).
+
+    Means and spreads of both come from one scan by grouping sets, written as a row a batch and feature.
+    """
+    if method == "robust":
+        return statistics(long, "robust", [batch]), statistics(long, "robust")
+    scale = F.lit(1.0) if method == "center" else F.stddev_pop("v")
+    both = long.groupingSets([[F.col(batch), F.col("f")], [F.col("f")]], batch, "f").agg(F.avg("v").alias("centre"), scale.alias("scale"), F.grouping_id().alias("_whole"))
+    both = written(both.withColumn("scale", F.greatest("scale", F.lit(FLOOR))), "batches")
+    return both.filter("_whole = 0").drop("_whole"), both.filter("_whole > 0").drop("_whole", batch)
 
 
 def correct_batches(long: DataFrame, batch: str, method: str, reference=None) -> DataFrame:

@@ -38,6 +38,37 @@ def exact_percentiles(rows: DataFrame, keys, value: str, shares: dict[str, float
     return out.drop("_g")
 
 
+def median_and_mad(rows: DataFrame, keys, value: str, largest: int | None = None, most: int = MOST) -> DataFrame:
+    """``keys, _mid, _mad, _n``: the median, the median distance from it, and the number of values that are not null.
+
+    While the largest group is small its values are gathered and sorted once, which takes one shuffle; beyond that both are narrowed.
+    """
+    keys = list(keys)
+    largest = largest_group(rows, keys, value) if largest is None else largest
+    if largest > most:
+        mid = exact_percentiles(rows, keys, value, {"_mid": 0.5}, most, largest)
+        near = _same(rows, mid, keys) if keys else rows.crossJoin(F.broadcast(mid))  # without keys it is one row
+        far = exact_percentiles(near.withColumn("_d", F.abs(F.col(value) - F.col("_mid"))), keys, "_d", {"_mad": 0.5}, most, largest)
+        sizes = rows.groupBy(*keys).agg(F.count(value).alias("_n"))
+        both = _same(mid, far, keys) if keys else mid.crossJoin(F.broadcast(far))
+        return _same(both, sizes, keys) if keys else both.crossJoin(F.broadcast(sizes))
+    middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.ceil((F.size(a) - 1) / 2).cast("int"))) / 2
+    held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_a"))
+    held = held.withColumn("_mid", F.when(F.size("_a") > 0, middle(F.col("_a"))))
+    held = held.withColumn("_b", F.sort_array(F.transform("_a", lambda x: F.abs(x - F.col("_mid")))))
+    return held.select(*keys, "_mid", F.when(F.size("_b") > 0, middle(F.col("_b"))).alias("_mad"), F.size("_a").cast("long").alias("_n"))
+
+
+def median_and_count(rows: DataFrame, keys, value: str, out: str, count: str, largest: int | None = None, most: int = MOST) -> DataFrame:
+    """``keys``, the median of the values that are not null as ``out``, and the number of rows as ``count``."""
+    keys = list(keys)
+    largest = largest_group(rows, keys, value) if largest is None else largest
+    if largest <= most:
+        return rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias(out), F.count(F.lit(1)).alias(count))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
+    return _same(exact_percentiles(rows, keys, value, {out: 0.5}, most, largest), sizes, keys)
+
+
 def _same(a: DataFrame, b: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Join on keys that may be null."""
     b = b.withColumnsRenamed({k: f"_b_{k}" for k in keys})
@@ -51,28 +82,27 @@ def _select(rows: DataFrame, keys, sizes: DataFrame, p: float, most: int) -> Dat
     at = p * (F.col("_n") - 1)
     state = sizes.filter("_n > 0").select(
         *keys, "_n", F.floor(at).alias("_k0"), F.ceil(at).alias("_k1"), (at - F.floor(at)).alias("_part"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in"),
-        F.lit(float("-inf")).alias("_lo"), F.lit(float("nan")).alias("_hi"),
+        F.lit(float("-inf")).alias("_lo"), F.lit(float("nan")).alias("_hi"), F.lit(None).cast("long").alias("_was"),
     )
-    before = None
+    shrinks = F.col("_was").isNull() | (F.col("_in") < F.col("_was"))  # each group goes on for as long as its own bracket does
     while True:
-        state = scratch.written(state, "ranks")
-        still = state.filter((F.col("_in") > most) & (F.col("_lo") < F.col("_hi"))).agg(F.max("_in")).first()[0]
-        if still is None or still == before:
+        state = scratch.written(state, "ranks").withColumn("_goes", (F.col("_in") > most) & (F.col("_lo") < F.col("_hi")) & shrinks)
+        if state.filter("_goes").isEmpty():
             break
-        before = still
-        inside = _same(rows, state, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+        inside = _same(rows, state.filter("_goes"), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         cuts = inside.groupBy(*keys).agg(F.percentile_approx("_v", [k / CUTS for k in range(CUTS + 1)], ACCURACY).alias("_q"))
         place = lambda k: (F.col(k) - F.col("_below")) / F.col("_in") * CUTS
         low = F.element_at("_q", F.greatest(F.floor(place("_k0")) - 1, F.lit(0)).cast("int") + 1)
         high = F.element_at("_q", F.least(F.ceil(place("_k1")) + 1, F.lit(CUTS)).cast("int") + 1)
-        tried = _same(state, cuts, keys).withColumn("_l", F.greatest(low, F.col("_lo"))).withColumn("_h", F.least(high, F.col("_hi"))).drop("_q")
+        tried = _same(state.filter("_goes"), cuts, keys).withColumn("_l", F.greatest(low, F.col("_lo"))).withColumn("_h", F.least(high, F.col("_hi"))).drop("_q")
         counted = _same(rows, tried.select(*keys, "_lo", "_hi", "_l", "_h"), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
         counted = counted.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_l")).alias("_less"), F.count_if(F.col("_v").between(F.col("_l"), F.col("_h"))).alias("_mid"))
         tried = _same(tried, counted, keys)
         below = F.col("_below") + F.col("_less")
         holds = (below <= F.col("_k0")) & (F.col("_k1") < below + F.col("_mid"))
         new = {"_lo": F.col("_l"), "_hi": F.col("_h"), "_below": below, "_in": F.col("_mid")}
-        state = tried.select(*keys, "_n", "_k0", "_k1", "_part", *[F.when(holds, v).otherwise(F.col(c)).alias(c) for c, v in new.items()])
+        done = state.filter("not _goes").drop("_goes")
+        state = tried.select(*keys, "_n", "_k0", "_k1", "_part", *[F.when(holds, v).otherwise(F.col(c)).alias(c) for c, v in new.items()], F.col("_in").alias("_was")).unionByName(done)
     near = _same(rows, state, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
     near = near.groupBy(*keys, "_k0", "_k1", "_part", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
     upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))

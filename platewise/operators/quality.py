@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.functions.vectors import norm
-from platewise.operators.order import exact_percentiles, largest_group
+from platewise.operators.order import exact_percentiles, median_and_mad
 
 # Plate types that belong to a perturbation type.
 PLATE_TYPES = {"orf": ("orf",), "crispr": ("crispr",), "compound": ("compound", "compound_empty", "compound_full"), "target2": ("target2",)}
@@ -43,13 +43,7 @@ def norm_bounds(packed: DataFrame, times: float = 3.0, by: list[str] | None = No
     """Lower and upper norm, median plus or minus ``times`` MAD; nulls where the check does not apply."""
     by = by or []
     rows = packed.select(*by, norm(F.col("features")).alias("_norm"))
-    largest = largest_group(rows, by, "_norm")
-    near = exact_percentiles(rows, by, "_norm", {"_mid": 0.5}, largest=largest)
-    near = rows.join(near, by) if by else rows.crossJoin(F.broadcast(near))  # without keys it is one row
-    mad = exact_percentiles(near.withColumn("_d", F.abs(F.col("_norm") - F.col("_mid"))), [*by, "_mid"], "_d", {"_mad": 0.5}, largest=largest)
-    mad = mad.withColumn("_mad", F.col("_mad") * MAD_SCALE)
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    mad = mad.join(sizes, by) if by else mad.crossJoin(F.broadcast(sizes))
+    mad = median_and_mad(rows, by, "_norm").withColumn("_mad", F.col("_mad") * MAD_SCALE)
     applies = (F.col("_n") > 2) & (F.col("_mad") > 1e-8)
     return mad.select(
         *by, F.when(applies, F.col("_mid") - times * F.col("_mad")).alias("norm_low"), F.when(applies, F.col("_mid") + times * F.col("_mad")).alias("norm_high")

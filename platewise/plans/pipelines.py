@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from platewise import scratch
 from platewise.functions.sequence import GROUPS, descriptors
 from platewise.functions.vectors import l2_normalise
-from platewise.operators import aggregates, normalise, quality
-from platewise.schema import cell_feature_columns, from_long, pack, to_long
+from platewise.operators import aggregates, joins, normalise, quality, selection
+from platewise.operators.order import largest_group, median_and_count
+from platewise.schema import cell_feature_columns, feature_columns, from_long, pack, to_long
+from platewise.sources import readers
 
 
 def curate(
@@ -27,14 +29,20 @@ def curate(
     how: str = "median",
     correlation: float = 1.0,
     most: int | None = None,
+    report: list[tuple[str, int, int]] | None = None,
 ) -> tuple[DataFrame, list[str]]:
     """I32: QC, fill, feature selection, normalisation, batch correction, replicate aggregation, choice of treatments.
 
-    ``wells`` is wide, with unique ``key``. Returns treatments (``features``, ``n_replicates``) and the features kept.
+    ``wells`` is wide, with unique ``key``. Returns treatments (``features``, ``n_replicates``) and the features kept. Steps are added to ``report`` (D28) as name,
+    rows and features, counted while their rows are written.
     """
+    report = [] if report is None else report
     keep = [key, batch, treatment, *([count] if count else [])]
     packed = pack(wells, features, keep)
     good = quality.flag_wells(packed, count).filter("qc_passed").select(key, batch, treatment, quality.fill_missing(F.col("features")).alias("features"))
+    good, seen = aggregates.observed(good, "good")
+    good = scratch.written(good, "good")  # five steps read it
+    report.append(("quality", seen.get["rows"], len(features)))
     stats = scratch.written(normalise.feature_statistics(to_long(good, [key])), "features")
     removed = {r.f for r in normalise.removals(stats, 1, variance=variance).collect()}
     if correlation < 1:
@@ -43,16 +51,45 @@ def curate(
         pairs = [(r.a, r.b, r.r) for r in normalise.packed_correlations(good).collect() if r.a in variances and r.b in variances]
         removed |= set(normalise.correlation_filter(variances, pairs, correlation))
     kept = [i for i in range(len(features)) if i not in removed]
+    report.append(("features", seen.get["rows"], len(kept)))
     chosen = good.withColumn("features", F.array(*[F.col("features")[i] for i in kept]))
-    scaled = normalise.normalise(chosen, method, clip=clip)
-    long = normalise.correct_batches(to_long(scaled, [key, batch, treatment]), batch, correction)
-    per = long.dropna(subset=[treatment]).groupBy(treatment, "f").agg(aggregates.HOW[how]("v").alias("v"), F.count(F.lit(1)).alias("n_replicates"))
+    scaled = scratch.written(normalise.normalise(chosen, method, clip=clip), "scaled")
+    long = normalise.correct_batches(to_long(scaled, [key, batch, treatment]), batch, correction).dropna(subset=[treatment])
+    if how == "median":
+        per = median_and_count(long, [treatment, "f"], "v", "v", "n_replicates", largest_group(good, [treatment], treatment))
+    else:
+        per = long.groupBy(treatment, "f").agg(aggregates.HOW[how]("v").alias("v"), F.count(F.lit(1)).alias("n_replicates"))
     out = from_long(per.filter(F.col("n_replicates") >= least), [treatment, "n_replicates"])
     if most:
         out = out.orderBy(F.col("n_replicates").desc(), treatment).limit(most)
+    out, seen = aggregates.observed(out, "treatments")
+    out = scratch.written(out, "treatments")
+    report.append(("treatments", seen.get["rows"], len(kept)))
     return out, [features[i] for i in kept]
 
 
+def training_set(spark: SparkSession, plates, metadata, key: str, batch: str, treatment: str, count: str | None = None, sample: int | None = None, most_plates: int | None = None, **options):
+    """I32, D28 from files: loads plates (A3, F5), adds metadata (C1, C2; ``metadata`` as for ``joins.enrich``), curates, and samples ``sample`` treatments that cover the
+    profiles (I9). ``options`` go to ``curate``.
+
+    Returns the treatments (with ``rank`` of choice if sampled), the features kept, the plates that could not be read, and the report: ``step, name, rows, features``.
+    Rows that are loaded and joined are written once, and counted by that.
+    """
+    raw, skipped = readers.load_plates(spark, plates, most=most_plates)
+    names = feature_columns(raw.columns)
+    raw, loaded = aggregates.observed(raw, "loaded")
+    merged, seen = aggregates.observed(joins.enrich(raw, metadata), "merged")
+    merged = scratch.written(merged, "wells")
+    report = [("loaded", loaded.get["rows"], len(names)), ("merged", seen.get["rows"], len(names))]
+    out, kept = curate(merged, key, batch, treatment, names, count, report=report, **options)
+    if sample:
+        picks = selection.farthest_points(out, treatment, "features", sample)
+        out = scratch.written(out.join(picks, treatment), "sampled")
+        report.append(("sampled", out.count(), len(kept)))
+    steps = spark.createDataFrame([(i, *r) for i, r in enumerate(report, 1)], "step int, name string, rows long, features int")
+    return out, kept, skipped, steps
+
+
 def process_cells(cells: DataFrame, keys, nulls: float = 0.05, variance: float = 1e-6, correlation: float = 1.0, how: str = "median", least: int = 0, ordinal: str | None = None) -> DataFrame:
     """Resolve features, filter them, aggregate cells to wells, flag by cell count."""
     names = cell_feature_columns(cells.columns)

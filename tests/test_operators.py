@@ -251,3 +251,58 @@ def test_gram_tiles_of_two_thousand_features(spark):
     assert sums.count() == 1999 * 1998 // 2
     plan = sums._jdf.queryExecution().toString()
     assert "Coalesce 3" in plan  # the shuffle has three sets of tiles, not twelve
+
+
+def test_narrowing_goes_on_beside_a_group_of_ties(spark):
+    """A group of equal values can't shrink; another one still does."""
+    import random
+
+    from platewise.operators import order
+
+    r = random.Random(3)
+    rows = [("ties", 5.0)] * 4000 + [("wide", r.random()) for _ in range(5001)] + [("small", 1.0), ("small", 2.0), ("none", None), (None, 3.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    wide = sorted(v for k, v in rows if k == "wide")
+    got = {x.k: x.p for x in order.exact_percentiles(df, ["k"], "v", {"p": 0.5}, most=50).collect()}
+    assert got == {"ties": 5.0, "wide": wide[2500], "small": 1.5, "none": None, None: 3.0}
+    seen = []
+    plain = order.scratch.written
+    order.scratch.written = lambda d, name: seen.append(plain(d, name)) or seen[-1]
+    try:
+        order.exact_percentiles(df, ["k"], "v", {"p": 0.5}, most=50).collect()
+    finally:
+        order.scratch.written = plain
+    assert {x.k: x._in for x in seen[-1].collect()}["wide"] <= 400  # narrowed although the ties stayed
+
+
+def test_median_and_mad_either_way(spark):
+    import random
+    import statistics
+
+    from platewise.operators import order
+
+    r = random.Random(4)
+    rows = [(k, r.choice([None, r.random(), 0.5])) for k in ("a", "b", None) for _ in range(301)] + [("none", None), ("one", 2.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(4)
+    want = {}
+    for k in ("a", "b", None, "one"):
+        v = [x for kk, x in rows if kk == k and x is not None]
+        mid = statistics.median(v)
+        want[k] = (pytest.approx(mid), pytest.approx(statistics.median([abs(x - mid) for x in v])), len(v))
+    want["none"] = (None, None, 0)
+    for most in (10**6, 40):
+        assert {x.k: (x._mid, x._mad, x._n) for x in order.median_and_mad(df, ["k"], "v", most=most).collect()} == want
+        whole = order.median_and_mad(df, [], "v", most=most).first()
+        assert whole._n == sum(x is not None for _, x in rows)
+        got = {x.k: (x.m, x.n) for x in order.median_and_count(df, ["k"], "v", "m", "n", most=most).collect()}
+        assert got == {k: (want[k][0], sum(kk == k for kk, _ in rows)) for k in want}
+
+
+def test_batches_and_the_whole_come_from_one_scan(spark):
+    from platewise.operators import normalise as N
+
+    df = spark.createDataFrame([("x", 0, 1.0), ("x", 0, 3.0), (None, 0, 8.0), ("y", 1, 5.0), ("y", 1, None)], "b string, f int, v double")
+    for method in ("center", "zscore", "robust"):
+        per, whole = N.fit_batches(df, "b", method)
+        assert sorted((r.b or "", r.f, r.centre) for r in per.collect()) == [("", 0, 8.0), ("x", 0, 2.0), ("y", 1, 5.0)]
+        assert sorted((r.f, r.centre) for r in whole.collect()) == [(0, 3.0 if method == "robust" else 4.0), (1, 5.0)]
