@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -40,26 +43,78 @@ def metadata_table(spark: SparkSession, root: str, name: str, columns=None) -> D
     return spark.read.option("header", True).option("enforceSchema", False).schema(schema).csv(f"{root}/{name}.csv*")
 
 
+def _footer(path: str) -> tuple[str | None, bool]:
+    """The schema of a Parquet file, or of the first one in a folder, as Spark's JSON, from its footer alone; and whether the path could be looked at from here."""
+    import pyarrow.fs as pfs
+    import pyarrow.parquet as pq
+    from pyspark.sql.pandas.types import from_arrow_schema
+
+    try:
+        fs, at = pfs.FileSystem.from_uri(path) if ":" in path.split("/")[0] else (pfs.LocalFileSystem(), path)
+        info = fs.get_file_info(at)
+    except (ValueError, OSError, ImportError):  # a store that only Spark opens
+        return None, False
+    try:
+        if info.type == pfs.FileType.Directory:
+            files = sorted(f.path for f in fs.get_file_info(pfs.FileSelector(at)) if f.type == pfs.FileType.File and not f.base_name.startswith(("_", ".")))
+            at = files[0] if files else at
+        schema = pq.read_schema(at, filesystem=fs)
+    except (OSError, ValueError):  # missing, empty or no Parquet; pyarrow's errors are of these kinds
+        return None, True
+    own = (schema.metadata or {}).get(b"org.apache.spark.sql.parquet.row.metadata")
+    return own.decode() if own else from_arrow_schema(schema).json(), True
+
+
+def schemas(spark: SparkSession, paths: list[str]) -> tuple[list[tuple[T.StructType, list[str]]], list[str]]:
+    """The schemas of Parquet paths with the paths of each, and the paths that can't be read, both in the order of ``paths``.
+
+    Tasks read the footers and Spark groups the paths by schema, so the driver receives a row a schema. Paths in a store that tasks can't open by themselves are left to
+    the driver, one after another.
+    """
+    wide = min(len(paths), 4 * spark.sparkContext.defaultParallelism) or 1
+    rows = spark.createDataFrame(list(enumerate(paths)), "i long, path string").repartition(wide)
+
+    def run(batches):
+        for pdf in batches:
+            found = [_footer(x) for x in pdf["path"]]
+            yield pdf.assign(schema=[s for s, _ in found], seen=[seen for _, seen in found])
+
+    read = rows.mapInPandas(run, "i long, path string, schema string, seen boolean")
+    got = read.groupBy("schema", "seen").agg(F.array_sort(F.collect_list(F.struct("i", "path"))).alias("p")).collect()
+    of: dict[str, list[tuple[int, str]]] = {}
+    skipped: list[tuple[int, str]] = []
+    for r in got:
+        mine = [(x.i, x.path) for x in r.p]
+        if r.schema is not None:
+            of[T.StructType.fromJson(json.loads(r.schema)).json()] = mine
+        elif r.seen:
+            skipped += mine
+        else:
+            for i, x in mine:
+                try:
+                    of.setdefault(spark.read.parquet(x).schema.json(), []).append((i, x))
+                except AnalysisException:  # missing
+                    skipped.append((i, x))
+                except Py4JJavaError as e:  # no footer that can be read
+                    if "CANNOT_READ_FILE_FOOTER" not in str(e):
+                        raise
+                    skipped.append((i, x))
+    ordered = sorted((sorted(mine), kind) for kind, mine in of.items())
+    return [(T.StructType.fromJson(json.loads(kind)), [x for _, x in mine]) for mine, kind in ordered], [x for _, x in sorted(skipped)]
+
+
 def load_plates(spark: SparkSession, paths, compartments=None, most: int | None = None) -> tuple[DataFrame, list[str]]:
     """Many plates together: features that all have, metadata that any has; and the paths that could not be read.
 
-    The driver reads each plate's footer, and plates of one schema become one scan, so the plan grows with the schemas and not with the plates.
+    Footers are read by tasks, and plates of one schema become one scan, so neither the driver nor the plan grows with the plates.
     """
-    of: dict[str, tuple[T.StructType, list[str]]] = {}
-    skipped = []
-    for p in list(paths)[:most]:
-        try:
-            schema = spark.read.parquet(p).schema
-        except AnalysisException:  # missing, or no footer that can be read
-            skipped.append(p)
-            continue
-        of.setdefault(schema.json(), (schema, []))[1].append(p)
+    of, skipped = schemas(spark, list(paths)[:most])
     if not of:
         raise FileNotFoundError("no plate could be read")
     kinds = {"compartments": compartments} if compartments else {}
-    shared = sorted(set.intersection(*[set(feature_columns(schema.names, **kinds)) for schema, _ in of.values()]))
+    shared = sorted(set.intersection(*[set(feature_columns(schema.names, **kinds)) for schema, _ in of]))
     out = None
-    for schema, group in of.values():
+    for schema, group in of:
         part = spark.read.schema(schema).parquet(*group).select(*metadata_columns(schema.names), *[F.col(c).cast("double") for c in shared])
         out = part if out is None else out.unionByName(part, allowMissingColumns=True)
     return nan_to_null(out, shared), skipped

@@ -306,3 +306,22 @@ def test_batches_and_the_whole_come_from_one_scan(spark):
         per, whole = N.fit_batches(df, "b", method)
         assert sorted((r.b or "", r.f, r.centre) for r in per.collect()) == [("", 0, 8.0), ("x", 0, 2.0), ("y", 1, 5.0)]
         assert sorted((r.f, r.centre) for r in whole.collect()) == [(0, 3.0 if method == "robust" else 4.0), (1, 5.0)]
+
+
+def test_footers_are_read_by_tasks(spark, tmp_path, monkeypatch):
+    from platewise.sources import readers as R
+
+    for p in range(6):
+        own = "1.5D as Cells_B" if p % 2 else "'x' as Metadata_Note"
+        spark.range(10 * p, 10 * p + 3).selectExpr("id as Metadata_Well", "cast(id as double) as Cells_A", own).coalesce(1).write.parquet(str(tmp_path / f"p{p}"))
+    (tmp_path / "junk").write_text("no parquet")
+    paths = [str(tmp_path / x) for x in ("p0", "p1", "none", "p2", "p3", "junk", "p4")] + [f"file:{tmp_path}/p5"]
+    wide, skipped = R.load_plates(spark, paths)
+    assert skipped == [paths[2], paths[5]]
+    assert sorted(wide.columns) == ["Cells_A", "Metadata_Note", "Metadata_Well"]
+    assert sorted(r.Metadata_Well for r in wide.collect()) == sorted(10 * p + i for p in range(6) for i in range(3))
+    kinds, _ = R.schemas(spark, paths)
+    assert [group for _, group in kinds] == [[paths[0], paths[3], paths[6]], [paths[1], paths[4], paths[7]]]
+    monkeypatch.setattr(R, "_footer", lambda path: (None, False))  # a store that tasks can't open
+    assert [(k.names, g) for k, g in R.schemas(spark, paths)[0]] == [(k.names, g) for k, g in kinds] and R.schemas(spark, paths)[1] == skipped
+    assert R.load_plates(spark, paths, most=2)[1] == []
