@@ -339,22 +339,16 @@ def _possible(a: str, b: str) -> Column:
     return (2 * NUMERATOR + 1) * least >= NUMERATOR * (F.col(f"{a}n") + F.col(f"{b}n"))
 
 
-def packed_sets(docs: DataFrame, wanted: DataFrame, made: list[str]) -> DataFrame:
-    """``node, packed``: the whole shingle sets of the ``wanted`` nodes, worked out once."""
+def verified(docs: DataFrame, pairs: DataFrame, made: list[str]) -> DataFrame:
+    """The ``pairs`` (a, b) of nodes whose whole sets are similar."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
 
-    def run(batches):
+    def sets(batches):
         for texts in _once(batches):
             for at in range(0, len(texts), ROWS):
                 part = texts[at : at + ROWS]
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in part], pa.int64()), pa.array([h.tobytes() for _, h in part], pa.binary())], ["node", "packed"])
 
-    found = _texts(docs).mapInArrow(run, "node long, packed binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
-    return materialise(found, "shingles", made)
-
-
-def verified(packed: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The ``pairs`` (a, b) of nodes whose whole sets are similar."""
-
     def check(batches):
         for b in in_slices(batches, ROWS):
             mask = []
@@ -364,6 +358,8 @@ def verified(packed: DataFrame, pairs: DataFrame) -> DataFrame:
                 mask.append((2 * NUMERATOR + 1) * both >= NUMERATOR * (len(x) + len(y)))
             yield pa.RecordBatch.from_arrays([b.column(k).filter(pa.array(mask, pa.bool_())) for k in (0, 1)], ["a", "b"])
 
+    packed = _texts(docs).mapInArrow(sets, "node long, packed binary").join(wanted, "node", "left_semi").dropDuplicates(["node"])
+    packed = materialise(packed, "shingles", made)
     left, right = packed.select(F.col("node").alias("a"), F.col("packed").alias("x")), packed.select(F.col("node").alias("b"), F.col("packed").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, "a long, b long")
 
@@ -385,10 +381,10 @@ def _ordered(x: Column | str, y: Column | str) -> list[Column]:
 def similar_links(docs: DataFrame, nodes: DataFrame, words: int, made: list[str]) -> DataFrame:
     """Links ``(a, b)`` of similar nodes that connect each group of near copies. ``nodes`` has ``node, fp``.
 
-    Whatever is known of all texts of a shingle (its centres, whether they are linked already) is aggregated and joined back, so that a shingle of very many texts is
-    split over tasks.
+    What is known of all texts of a shingle (its centres, whether they are linked already) is aggregated and joined back, so that no task holds the texts
+    of a shingle. Both go by the same shuffle.
     """
-    rows = prefixes(docs, *frequent(docs, words)).distinct()
+    rows = prefixes(docs, *frequent(docs, words)).repartition("h").distinct()
     end = F.struct("pos", "node", "n")
     # the text with the fewest rarer shingles is the likeliest to be what the others were made from
     of = rows.groupBy("h").agg(F.min(end).alias("first"), F.max(F.struct("node", "n", "pos")).alias("last"), F.count(F.lit(1)).alias("size")).filter("size > 1").drop("size")
@@ -396,13 +392,11 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, made: list[str]
     ends = [met.select("node", "n", "pos", *[F.col(f"{end}.{c}").alias(f"f{c}") for c in ("node", "n", "pos")]) for end in ("first", "last")]
     star = ends[0].unionAll(ends[1]).filter("node <> fnode").filter(_possible("", "f")).select(*_ordered("node", "fnode"))
     tried = materialise(star.unionAll(near_bits(nodes, made)).distinct(), "candidates", made)
-    wanted = met.select("node").unionAll(tried.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    packed = packed_sets(docs, wanted, made)
-    found = materialise(verified(packed, tried), "verified", made)
+    found = materialise(verified(docs, tried, made), "verified", made)
     now = met.select("h", "node", "n", "pos")
     for k in range(ROUNDS + 1):
         roots = components(found, made=made).select("node", "root")
-        now = now.join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root"))
+        now = now.join(roots, "node", "left").select("h", "node", "n", "pos", F.coalesce("root", "node").alias("root")).repartition("h")
         apart = now.groupBy("h").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high").drop("low", "high")
         now = materialise(now.join(apart, "h", "left_semi"), f"open-{k}", made)
         if now.isEmpty():
@@ -410,16 +404,18 @@ def similar_links(docs: DataFrame, nodes: DataFrame, words: int, made: list[str]
         if k == ROUNDS:
             break
         # of each shingle's groups but the one of its first text, the first text is tried with the texts of the others
-        first = now.groupBy("h").agg(F.min(F.struct("pos", "node", "n", "root")).alias("f")).select("h", F.col("f.root").alias("froot"))
-        other = now.join(first, "h").filter("root <> froot").groupBy("h").agg(F.min(F.struct("pos", "node", "n", "root")).alias("c"))
-        each = now.join(other.select("h", *[F.col(f"c.{c}").alias(f"f{c}") for c in ("pos", "node", "n", "root")]), "h").filter("root <> froot").filter(_possible("", "f"))
-        new = materialise(each.select(*_ordered("node", "fnode")).distinct().join(tried, ["a", "b"], "left_anti"), "candidates", made)
-        tried, found = tried.unionAll(new), found.unionAll(materialise(verified(packed, new), "verified", made))
+        one = F.min(F.struct("pos", "node", "n", "root"))
+        first = now.groupBy("h").agg(one.alias("f")).select("h", F.col("f.root").alias("froot"))
+        other = now.join(first, "h").filter("root <> froot").groupBy("h").agg(one.alias("c")).select("h", *[F.col(f"c.{c}").alias(f"f{c}") for c in ("pos", "node", "n", "root")])
+        each = now.join(other, "h").filter("root <> froot").filter(_possible("", "f")).select(*_ordered("node", "fnode")).distinct()
+        new = materialise(each.join(tried, ["a", "b"], "left_anti"), "candidates", made)
         now = now.drop("root")
+        if not new.isEmpty():
+            tried, found = tried.unionAll(new), found.unionAll(materialise(verified(docs, new, made), "verified", made))
     x, y = (now.select("h", *[F.col(c).alias(f"{s}{c}") for c in ("node", "n", "pos", "root")]) for s in "xy")
     rest = x.join(y, "h").filter("xnode < ynode and xroot <> yroot").filter(_possible("x", "y")).select(F.col("xnode").alias("a"), F.col("ynode").alias("b")).distinct()
     rest = materialise(rest.join(tried, ["a", "b"], "left_anti"), "candidates", made)
-    return found.unionAll(verified(packed, rest))
+    return found.unionAll(verified(docs, rest, made))
 
 
 def keep_similar(docs: DataFrame) -> DataFrame:
