@@ -31,6 +31,8 @@ from .common import materialise
 #: The longest context in bytes, and most strings (of all languages together) that one broadcast holds. A single language's strings with
 #: one byte before the last are never divided; there are at most 2 ** 24 of them.
 ORDER, BLOCK = 3, 4_000_000
+#: Most strings times languages of a block of several languages: its tables have a number for each.
+CELLS = 16_000_000
 #: Byte positions that are counted at a time, and distinct strings that a task holds before it sums them up.
 CHUNK, HELD = 1 << 22, 1 << 21
 #: Code lengths (bytes times languages) that a task works out at a time.
@@ -196,12 +198,13 @@ def _before() -> Column:
 
 
 def divide(sizes: dict[tuple[int, int], int], n_langs: int, block: int) -> list[tuple[list[int], int, int]]:
-    """Blocks of at most ``block`` strings: several whole languages, or one language and a run of bytes. ``sizes[language, byte]``."""
+    """Blocks of at most ``block`` strings, and ``CELLS`` strings times languages: several whole languages, or one language and a run of bytes.
+    ``sizes[language, byte]``."""
     out: list[tuple[list[int], int, int]] = []
     group, held = [], 0
     for j in range(n_langs):
         mine = [sizes.get((j, b), 0) for b in range(256)]
-        if held + sum(mine) > block and group:
+        if group and (held + sum(mine) > block or (held + sum(mine)) * (len(group) + 1) > CELLS):
             out, group, held = [*out, (group, 0, 255)], [], 0
         if sum(mine) <= block:
             group, held = [*group, j], held + sum(mine)

@@ -312,3 +312,15 @@ def test_two_added_spans_at_one_place():
     assert pii.render(spans) == "secret:6:26,ssn:15:26"
     assert pii.redact(t, spans) == "login <SECRET> now"
     assert np.all(np.diff([s for s, _, _ in pii.all_spans("a1@b.org " * 50 + "password=abcdef1 " * 50)[1]]) > 0)
+
+
+def test_language_blocks_are_bounded_by_strings_times_languages():
+    from platewise.llm import langid
+
+    sizes = {(j, b): 50_000 + 1000 * j for j in range(100) for b in (0, 101)}
+    blocks = langid.divide(sizes, 100, langid.BLOCK)
+    assert [j for names, _, _ in blocks for j in names] == list(range(100)) and len(blocks) > 4
+    for names, low, high in blocks:
+        assert (low, high) == (0, 255)
+        assert sum(sizes[j, b] for j in names for b in (0, 101)) * len(names) <= langid.CELLS
+    assert langid.divide({(j, 0): 900_000 for j in range(4)}, 4, langid.BLOCK) == [([0, 1, 2, 3], 0, 255)]
