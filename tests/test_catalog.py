@@ -30,6 +30,15 @@ NAMES = [
     "i09_farthest_points",
     "i24_random_split",
     "i32_curation",
+    "i32_training_set",
+    "d28_curation_report",
+    "i04_linkage_cuts",
+    "i06_silhouettes",
+    "i10_kmeans_parallel",
+    "i12_dpp",
+    "i14_hybrid",
+    "i15_batch_greedy",
+    "e01_rolling_percentile",
     "j03_j06_drift",
     "a03_load_plates",
     "a05_a13_fasta",
