@@ -1,9 +1,8 @@
 """Exact order statistics and ranks of groups of any size.
 
 Spark's exact percentile holds every distinct value of a group in one task. That is used while the largest group, which is counted first,
-is small. Beyond that a value is selected by narrowing: approximate quantiles give a bracket that holds the wanted rank, exact counts
-confirm it, and only the bracket is looked at again, until few distinct values are left. A round is two scans with partial aggregation and
-leaves about a hundredth of a group.
+is small. Beyond that the distinct values are counted, sorted over all tasks by key and value, and written once in small parts; sums of the parts tell which of them
+hold the wanted ranks, and only those are looked at again. That is one scan of the rows and a fixed number of jobs, whatever the values are.
 """
 
 from __future__ import annotations
@@ -13,8 +12,8 @@ from pyspark.sql import functions as F
 
 from platewise import scratch
 
-#: Rows of a group that one task may hold, pieces that approximate quantiles cut a group into, and their accuracy.
-MOST, CUTS, ACCURACY = 1_000_000, 256, 4096
+#: Rows of a group that one task may hold, the share of them in a sorted part, and the accuracy of approximate quantiles.
+MOST, PARTS, ACCURACY = 1_000_000, 64, 4096
 
 
 def largest_group(rows: DataFrame, keys, value: str) -> int:
@@ -30,28 +29,23 @@ def exact_percentiles(rows: DataFrame, keys, value: str, shares: dict[str, float
     keys = list(keys)
     if (largest_group(rows, keys, value) if largest is None else largest) <= most:
         return rows.groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in shares.items()])
-    rows = rows.select(*keys, F.lit(0).alias("_g"), F.col(value).cast("double").alias("_v"))
-    sizes = rows.groupBy(*keys, "_g").agg(F.count("_v").alias("_n"))
-    out = sizes.select(*keys, "_g")
-    for name, p in shares.items():
-        out = _same(out, _select(rows.filter("_v is not null"), keys, sizes, p, most).withColumnRenamed("_value", name), [*keys, "_g"], "left")
-    return out.drop("_g")
+    rows = rows.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_c"))
+    return _select(_sorted(rows, keys, most), keys, shares).drop("_n")
 
 
 def median_and_mad(rows: DataFrame, keys, value: str, largest: int | None = None, most: int = MOST) -> DataFrame:
     """``keys, _mid, _mad, _n``: the median, the median distance from it, and the number of values that are not null.
 
-    While the largest group is small its values are gathered and sorted once, which takes one shuffle; beyond that both are narrowed.
+    While the largest group is small its values are gathered and sorted once, which takes one shuffle; beyond that the distances are taken from the counted values.
     """
     keys = list(keys)
     largest = largest_group(rows, keys, value) if largest is None else largest
     if largest > most:
-        mid = exact_percentiles(rows, keys, value, {"_mid": 0.5}, most, largest)
-        near = _same(rows, mid, keys) if keys else rows.crossJoin(F.broadcast(mid))  # without keys it is one row
-        far = exact_percentiles(near.withColumn("_d", F.abs(F.col(value) - F.col("_mid"))), keys, "_d", {"_mad": 0.5}, most, largest)
-        sizes = rows.groupBy(*keys).agg(F.count(value).alias("_n"))
-        both = _same(mid, far, keys) if keys else mid.crossJoin(F.broadcast(far))
-        return _same(both, sizes, keys) if keys else both.crossJoin(F.broadcast(sizes))
+        counts = _sorted(rows.select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).alias("_c")), keys, most)
+        mid = scratch.written(_select(counts, keys, {"_mid": 0.5}), "medians")  # a row a group
+        near = _same(counts, mid, keys).select(*keys, F.abs(F.col("_v") - F.col("_mid")).alias("_v"), "_c")
+        far = _select(_sorted(near, keys, most), keys, {"_mad": 0.5}).drop("_n")
+        return _same(mid, far, keys).select(*keys, "_mid", "_mad", "_n")
     middle = lambda a: (F.get(a, F.floor((F.size(a) - 1) / 2).cast("int")) + F.get(a, F.ceil((F.size(a) - 1) / 2).cast("int"))) / 2
     held = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.col(value).cast("double"))).alias("_a"))
     held = held.withColumn("_mid", F.when(F.size("_a") > 0, middle(F.col("_a"))))
@@ -70,46 +64,44 @@ def median_and_count(rows: DataFrame, keys, value: str, out: str, count: str, la
 
 
 def _same(a: DataFrame, b: DataFrame, keys, how: str = "inner") -> DataFrame:
-    """Join on keys that may be null."""
+    """Join on keys that may be null; without keys ``b`` is one row."""
+    if not keys:
+        return a.crossJoin(F.broadcast(b))
     b = b.withColumnsRenamed({k: f"_b_{k}" for k in keys})
     on = [a[k].eqNullSafe(b[f"_b_{k}"]) for k in keys]
     return a.join(b, on, how).drop(*[f"_b_{k}" for k in keys])
 
 
-def _select(rows: DataFrame, keys, sizes: DataFrame, p: float, most: int) -> DataFrame:
-    """The percentile ``p`` of each group as ``_value``."""
-    keys = [*keys, "_g"]
-    at = p * (F.col("_n") - 1)
-    state = sizes.filter("_n > 0").select(
-        *keys, "_n", F.floor(at).alias("_k0"), F.ceil(at).alias("_k1"), (at - F.floor(at)).alias("_part"), F.lit(0).cast("long").alias("_below"), F.col("_n").alias("_in"),
-        F.lit(float("-inf")).alias("_lo"), F.lit(float("nan")).alias("_hi"), F.lit(None).cast("long").alias("_was"),
-    )
-    shrinks = F.col("_was").isNull() | (F.col("_in") < F.col("_was"))  # each group goes on for as long as its own bracket does
-    while True:
-        state = scratch.written(state, "ranks").withColumn("_goes", (F.col("_in") > most) & (F.col("_lo") < F.col("_hi")) & shrinks)
-        if state.filter("_goes").isEmpty():
-            break
-        inside = _same(rows, state.filter("_goes"), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        cuts = inside.groupBy(*keys).agg(F.percentile_approx("_v", [k / CUTS for k in range(CUTS + 1)], ACCURACY).alias("_q"))
-        place = lambda k: (F.col(k) - F.col("_below")) / F.col("_in") * CUTS
-        low = F.element_at("_q", F.greatest(F.floor(place("_k0")) - 1, F.lit(0)).cast("int") + 1)
-        high = F.element_at("_q", F.least(F.ceil(place("_k1")) + 1, F.lit(CUTS)).cast("int") + 1)
-        tried = _same(state.filter("_goes"), cuts, keys).withColumn("_l", F.greatest(low, F.col("_lo"))).withColumn("_h", F.least(high, F.col("_hi"))).drop("_q")
-        counted = _same(rows, tried.select(*keys, "_lo", "_hi", "_l", "_h"), keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-        counted = counted.groupBy(*keys).agg(F.count_if(F.col("_v") < F.col("_l")).alias("_less"), F.count_if(F.col("_v").between(F.col("_l"), F.col("_h"))).alias("_mid"))
-        tried = _same(tried, counted, keys)
-        below = F.col("_below") + F.col("_less")
-        holds = (below <= F.col("_k0")) & (F.col("_k1") < below + F.col("_mid"))
-        new = {"_lo": F.col("_l"), "_hi": F.col("_h"), "_below": below, "_in": F.col("_mid")}
-        done = state.filter("not _goes").drop("_goes")
-        state = tried.select(*keys, "_n", "_k0", "_k1", "_part", *[F.when(holds, v).otherwise(F.col(c)).alias(c) for c, v in new.items()], F.col("_in").alias("_was")).unionByName(done)
-    near = _same(rows, state, keys).filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-    near = near.groupBy(*keys, "_k0", "_k1", "_part", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
-    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys).orderBy("_v"))
-    near = near.withColumn("_upto", upto).groupBy(*keys, "_part").agg(
-        F.min(F.when(F.col("_upto") > F.col("_k0"), F.col("_v"))).alias("_a"), F.min(F.when(F.col("_upto") > F.col("_k1"), F.col("_v"))).alias("_b")
-    )
-    return near.select(*keys, F.when(F.col("_a") == F.col("_b"), F.col("_a")).otherwise((1 - F.col("_part")) * F.col("_a") + F.col("_part") * F.col("_b")).alias("_value"))
+def _sorted(rows: DataFrame, keys, most: int) -> DataFrame:
+    """``keys, _v, _c, _part``: distinct values of the groups with the sum of ``_c``, written in order of keys and value, in numbered parts of at most ``most / PARTS`` of them."""
+    counts = rows.groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+    placed = counts.repartitionByRange(*keys, "_v").sortWithinPartitions(*keys, "_v").withColumn("_at", F.monotonically_increasing_id())
+    run, inside = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    part = F.shiftleft(run, 33) + F.floor(inside / max(1, most // PARTS))
+    return scratch.written(placed.withColumn("_part", part).drop("_at"), "counts")
+
+
+def _select(counts: DataFrame, keys, shares: dict[str, float]) -> DataFrame:
+    """``keys, _n`` and one column for each share, from ``_sorted`` counts: the rows of a null value count in no rank."""
+    held = F.when(F.col("_v").isNotNull(), F.col("_c")).otherwise(0)
+    group = Window.partitionBy(*keys)
+    parts = counts.groupBy(*keys, "_part").agg(F.sum(held).alias("_in"))
+    parts = parts.withColumn("_below", F.sum("_in").over(group.orderBy("_part")) - F.col("_in")).withColumn("_n", F.sum("_in").over(group))
+    at = {name: F.lit(p) * (F.col("_n") - 1) for name, p in shares.items()}
+    ends = [f(x) for x in at.values() for f in (F.floor, F.ceil)]
+    wanted = F.col("_n") == 0
+    for k in ends:
+        wanted = wanted | ((F.col("_below") <= k) & (k < F.col("_below") + F.col("_in")))
+    wanted = scratch.written(parts.filter(wanted), "ranks")  # two or so a group and share
+    near = _same(counts, wanted.drop("_in"), [*keys, "_part"])
+    near = near.withColumn("_upto", F.col("_below") + F.sum(held).over(Window.partitionBy(*keys, "_part").orderBy("_v")))
+    first = lambda k: F.min(F.when(F.col("_upto") > k, F.col("_v")))
+    found = near.groupBy(*keys, "_n").agg(*[first(f(x)).alias(f"_{end}_{name}") for name, x in at.items() for f, end in ((F.floor, "a"), (F.ceil, "b"))])
+    values = []
+    for name, x in at.items():
+        a, b, part = F.col(f"_a_{name}"), F.col(f"_b_{name}"), x - F.floor(x)
+        values.append(F.when(a == b, a).otherwise((1 - part) * a + part * b).alias(name))
+    return found.select(*keys, "_n", *values)
 
 
 def average_rank(df: DataFrame, by, value: str, out: str, cuts: int = 0) -> DataFrame:

@@ -325,3 +325,35 @@ def test_footers_are_read_by_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(R, "_footer", lambda path: (None, False))  # a store that tasks can't open
     assert [(k.names, g) for k, g in R.schemas(spark, paths)[0]] == [(k.names, g) for k, g in kinds] and R.schemas(spark, paths)[1] == skipped
     assert R.load_plates(spark, paths, most=2)[1] == []
+
+
+def test_large_groups_are_read_once(spark):
+    """Medians and spreads of groups beyond a task take one scan and as many tables as any other data, also where values lie far apart."""
+    import random
+
+    import numpy as np
+
+    from platewise.operators import order
+
+    r = random.Random(6)
+    rows = [(i % 3, r.choice([r.random(), 1e30 * r.random(), 1e-30 * r.random()])) for i in range(3000)]
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(v):
+        seen.add(1)
+        return v
+
+    df = spark.createDataFrame(rows, "k int, v double").repartition(4).withColumn("v", counted("v"))
+    tables = []
+    plain = order.scratch.written
+    order.scratch.written = lambda d, name: tables.append(name) or plain(d, name)
+    try:
+        got = {x.k: (x._mid, x._mad) for x in order.median_and_mad(df, ["k"], "v", largest=1000, most=10).collect()}
+    finally:
+        order.scratch.written = plain
+    assert seen.value == len(rows)
+    assert len(tables) == 5
+    for k in range(3):
+        v = np.array([x for kk, x in rows if kk == k])
+        assert got[k] == (pytest.approx(np.median(v)), pytest.approx(np.median(np.abs(v - np.median(v)))))
