@@ -199,7 +199,7 @@ def enrichment(members: DataFrame, annotations: DataFrame, key: str, cluster: st
 def ridge(df: DataFrame, x: str, y: str, penalty: float = 1.0, members: int = 0, key: str | None = None, seed: int = 0):
     """Linear map from embedding to phenotype by normal equations, and bootstrap members by Poisson weights.
 
-    Each batch adds its products; the driver solves one system of the embedding's width for each member.
+    Each batch adds its products; the driver solves one system of the embedding's width for each member. Rows without either vector are left out.
     """
 
     def products(batches):
@@ -213,7 +213,8 @@ def ridge(df: DataFrame, x: str, y: str, penalty: float = 1.0, members: int = 0,
                 w = np.ones(len(pdf)) if m == 0 else np.stack(pdf["w"].to_numpy())[:, m - 1]
                 s = sums.setdefault(m, [0.0, 0.0])
                 s[0], s[1] = s[0] + (a * w[:, None]).T @ a, s[1] + (a * w[:, None]).T @ b
-        yield pd.DataFrame({"m": list(sums), "xx": [s[0].ravel().tolist() for s in sums.values()], "xy": [s[1].ravel().tolist() for s in sums.values()]})
+        if sums:  # a task may have no rows
+            yield pd.DataFrame({"m": list(sums), "xx": [s[0].ravel().tolist() for s in sums.values()], "xy": [s[1].ravel().tolist() for s in sums.values()]})
 
     def poisson(m):  # of mean 1, by inverting its distribution on a seeded hash
         u, steps, p = hash_uniform(F.col(key), F.lit(seed), F.lit(m)), F.lit(0), 0.0
@@ -223,9 +224,12 @@ def ridge(df: DataFrame, x: str, y: str, penalty: float = 1.0, members: int = 0,
         return steps.cast("double")
 
     w = F.array(*[poisson(m) for m in range(members)]) if members else F.array().cast("array<double>")
-    rows = df.select(F.col(x).alias("x"), F.col(y).alias("y"), w.alias("w")).mapInPandas(products, "m int, xx array<double>, xy array<double>")
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    rows = known.select(F.col(x).alias("x"), F.col(y).alias("y"), w.alias("w")).mapInPandas(products, "m int, xx array<double>, xy array<double>")
     long = rows.select("m", F.posexplode("xx").alias("i", "v"), F.lit(0).alias("which")).unionByName(rows.select("m", F.posexplode("xy").alias("i", "v"), F.lit(1).alias("which")))
     got = long.groupBy("m", "which", "i").agg(F.sum("v").alias("v")).toPandas()
+    if not len(got):
+        raise ValueError("no rows to fit")
     out = []
     for m in range(members + 1):
         part = got[got.m == m].sort_values("i")
@@ -239,7 +243,7 @@ def ridge(df: DataFrame, x: str, y: str, penalty: float = 1.0, members: int = 0,
 
 
 def ridge_predict(df: DataFrame, key: str, x: str, coefficients) -> DataFrame:
-    """Predictions of all members, long: ``key, member, f, value``."""
+    """Predictions of all members, long: ``key, member, f, value``. Rows without a vector are left out."""
     shared = df.sparkSession.sparkContext.broadcast(coefficients)
 
     def run(batches):
@@ -250,4 +254,4 @@ def ridge_predict(df: DataFrame, key: str, x: str, coefficients) -> DataFrame:
                     yield pd.DataFrame({key: pdf[key], "member": m, "p": list(a @ c)})
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, F.col(x).alias("x")).mapInPandas(run, f"{key} {kind}, member int, p array<double>").select(key, "member", F.posexplode("p").alias("f", "value"))
+    return df.filter(F.col(x).isNotNull()).select(key, F.col(x).alias("x")).mapInPandas(run, f"{key} {kind}, member int, p array<double>").select(key, "member", F.posexplode("p").alias("f", "value"))

@@ -357,3 +357,17 @@ def test_large_groups_are_read_once(spark):
     for k in range(3):
         v = np.array([x for kk, x in rows if kk == k])
         assert got[k] == (pytest.approx(np.median(v)), pytest.approx(np.median(np.abs(v - np.median(v)))))
+
+
+def test_ridge_on_tasks_without_rows(spark):
+    """Empty tasks add nothing, rows without a vector are left out, and a table without rows is an error of its own."""
+    rows = [(i, [float(i), float(i * i % 7)], [2.0 * i + 1]) for i in range(5)]
+    kind = "k long, x array<double>, y array<double>"
+    df = spark.createDataFrame([*rows, (7, None, [1.0]), (8, [1.0, 2.0], None)], kind).repartition(20)
+    members = C.ridge(df, "x", "y", penalty=1e-9, members=2, key="k")
+    assert len(members) == 3
+    assert members[0].ravel() == pytest.approx([1.0, 2.0, 0.0], abs=1e-5)
+    got = {r.k: r.value for r in C.ridge_predict(df, "k", "x", members[:1]).collect()}
+    assert got == {k: pytest.approx(2.0 * x[0] + 1, abs=1e-4) for k, x, _ in [*rows, (8, [1.0, 2.0], None)]}
+    with pytest.raises(ValueError, match="no rows"):
+        C.ridge(spark.createDataFrame([], kind), "x", "y")
