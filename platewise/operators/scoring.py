@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise.functions.vectors import hash_uniform
@@ -89,16 +89,19 @@ def importance(long: DataFrame, how: str = "mean") -> DataFrame:
 def shapley(df: DataFrame, key: str, vector: str, baseline: list[float], factory, permutations: int = 8, seed: int = 0) -> DataFrame:
     """Sampled Shapley values: features enter in seeded random orders, and each change of the score is a contribution.
 
-    The first feature of an order is measured against the baseline's own score (Q14).
+    The first feature of an order is measured against the baseline's own score (Q14). Scores are dealt once by key and compared with the one before in their order,
+    without a join, as the size of what the steps are exploded to can't be estimated and a side of it might be broadcast.
     """
     width = len(baseline)
     base = F.array(*[F.lit(float(b)) for b in baseline])
-    perms = df.select(key, vector).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    spark = df.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))  # few bytes here make many steps
+    perms = df.select(key, vector).repartition(tasks, key).withColumn("_row", F.monotonically_increasing_id()).withColumn("perm", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
     keyed = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.struct(hash_uniform(F.lit(seed), F.col("perm"), F.col(key), i).alias("u"), i.alias("i")))
     order = perms.withColumn("order", F.transform(F.array_sort(keyed), lambda s: s["i"]))
     steps = order.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(width))))
     mixed = F.zip_with(F.zip_with(vector, F.sequence(F.lit(0), F.lit(width - 1)), lambda x, i: F.when(F.array_position("order", i) <= F.col("step"), x)), base, lambda x, b: F.coalesce(x, b))
-    rows = steps.select(F.struct(key, "perm", "step", F.when(F.col("step") > 0, F.element_at("order", F.greatest("step", F.lit(1)))).alias("f")).alias("id"), mixed.alias("x"))
-    got = score(rows, "id", "x", factory).select("id.*", F.col("prediction")[0].alias("p"))
-    before = got.select(key, "perm", (F.col("step") + 1).alias("step"), F.col("p").alias("before"))
-    return got.filter("step > 0").join(before, [key, "perm", "step"]).groupBy(key, "f").agg(F.avg(F.col("p") - F.col("before")).alias("shapley"))
+    rows = steps.select(F.struct(key, "_row", "perm", "step", F.when(F.col("step") > 0, F.element_at("order", F.greatest("step", F.lit(1)))).alias("f")).alias("id"), mixed.alias("x"))
+    got = score(rows, "id", "x", factory).select("id.*", F.col("prediction")[0].alias("p")).repartition(key)
+    before = F.lag("p").over(Window.partitionBy(key, "_row", "perm").orderBy("step"))
+    return got.withColumn("before", before).filter("step > 0").groupBy(key, "f").agg(F.avg(F.col("p") - F.col("before")).alias("shapley"))

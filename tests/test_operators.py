@@ -371,3 +371,24 @@ def test_ridge_on_tasks_without_rows(spark):
     assert got == {k: pytest.approx(2.0 * x[0] + 1, abs=1e-4) for k, x, _ in [*rows, (8, [1.0, 2.0], None)]}
     with pytest.raises(ValueError, match="no rows"):
         C.ridge(spark.createDataFrame([], kind), "x", "y")
+
+
+def test_shapley_joins_nothing(spark):
+    """Each score is made once and no side of steps can be broadcast; rows of one key are averaged, and failing scores are left out."""
+    rows = [(1, [3.0, 4.0]), (1, [5.0, 4.0]), (2, [0.0, 2.0]), (3, [1.0, None])]
+    df = spark.createDataFrame(rows, "k int, x array<double>")
+    seen = spark.sparkContext.accumulator(0)
+
+    def factory():
+        def run(xs):
+            seen.add(len(xs))
+            return [[x[0] * 2 + x[1] * x[0]] for x in xs]
+
+        return run
+
+    out = X.shapley(df, "k", "x", [1.0, 0.0], factory, 40)
+    got = {(r.k, r.f): r.shapley for r in out.collect()}
+    assert seen.value == len(rows) * 40 * 3
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [got[k, 0] + got[k, 1] for k in (1, 2, 3)] == pytest.approx([(18 + 30) / 2 - 2, -2, 0])  # they add up to the change of the score
+    assert set(got) == {(k, f) for k in (1, 2, 3) for f in (0, 1)}
