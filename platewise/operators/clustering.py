@@ -112,24 +112,32 @@ def silhouette(df: DataFrame, vector: str, cluster: str = "cluster", cosine: boo
 def silhouettes(df: DataFrame, key: str, vector: str, cluster: str = "cluster") -> DataFrame:
     """``key, cluster, silhouette`` of every row by plain Euclidean distances; 0 for a row alone in its cluster, null if there is one cluster.
 
-    Blocks of rows meet blocks of one cluster's members as matrices, dealt by pairs of groups of blocks; a block pair hands on each row's sum for that cluster.
-    The work is quadratic in the rows by definition.
+    Blocks of rows are written once, as many files as the cluster has cores, and every pair of files is one task of a Cartesian product, so no pair of blocks is shuffled or
+    written; a task hands on each row's sum for each cluster. The work is quadratic in the rows by definition, what is on disk is not.
     """
-    blocks = scratch.written(blocked(df.filter(F.col(cluster).isNotNull()), key, vector, [cluster]).withColumn("_id", F.monotonically_increasing_id()), "blocks")
-    groups = max(1, math.isqrt(blocks.count()))
-    dealt = F.pmod(F.xxhash64("_id"), F.lit(groups))
-    own = blocks.select(F.col(cluster).alias("own"), "_id", "rows", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))).alias("_g"))
-    members = blocks.select(F.col(cluster).alias("other"), F.transform("rows", lambda r: r["x"]).alias("y"), dealt.alias("_g"))
+    files = df.sparkSession.sparkContext.defaultParallelism
+    blocks = blocked(df.filter(F.col(cluster).isNotNull()), key, vector, [cluster]).repartition(files)
+    blocks = scratch.written(blocks.withColumn("_id", F.monotonically_increasing_id()), "blocks")
+    own = blocks.select("_id", "rows", F.col(cluster).alias("own"))
+    members = blocks.select(F.col(cluster).alias("other"), F.transform("rows", lambda r: r["x"]).alias("y"))
     kinds = [df.schema[c].dataType.simpleString() for c in (key, cluster)]
 
     def sums(batches):
-        for pdf in batches:
-            for rows, own, other, y in zip(pdf["rows"], pdf["own"], pdf["other"], pdf["y"]):
-                x, y = np.stack([r["x"] for r in rows]), np.stack(y)
-                total = distances(x, y).sum(axis=1)
-                yield pd.DataFrame({"key": [r["k"] for r in rows], "own": own, "other": other, "total": total})
+        at, keys, mine, x, totals = None, [], None, None, {}
+
+        def done():
+            for other, total in totals.items():
+                yield pd.DataFrame({"key": keys, "own": mine, "other": other, "total": total})
+
+        for pdf in batches:  # pairs of a block follow one another
+            for i, rows, own, other, y in zip(pdf["_id"], pdf["rows"], pdf["own"], pdf["other"], pdf["y"]):
+                if i != at:
+                    yield from done()
+                    at, keys, mine, x, totals = i, [r["k"] for r in rows], own, np.stack([r["x"] for r in rows]), {}
+                totals[other] = totals.get(other, 0.0) + distances(x, np.stack(y)).sum(axis=1)
+        yield from done()
 
-    per = own.join(members, "_g").repartition("_id", "_g").select("rows", "own", "other", "y").mapInPandas(sums, f"key {kinds[0]}, own {kinds[1]}, other {kinds[1]}, total double")
+    per = own.crossJoin(members).mapInPandas(sums, f"key {kinds[0]}, own {kinds[1]}, other {kinds[1]}, total double")
     sizes = df.groupBy(F.col(cluster).alias("other")).agg(F.count(F.lit(1)).alias("n"))
     per = per.groupBy("key", "own", "other").agg(F.sum("total").alias("total")).join(sizes, "other")
     same = F.col("own") == F.col("other")

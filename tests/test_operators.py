@@ -392,3 +392,21 @@ def test_shapley_joins_nothing(spark):
     assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
     assert [got[k, 0] + got[k, 1] for k in (1, 2, 3)] == pytest.approx([(18 + 30) / 2 - 2, -2, 0])  # they add up to the change of the score
     assert set(got) == {(k, f) for k in (1, 2, 3) for f in (0, 1)}
+
+
+def test_silhouettes_shuffle_no_pairs_of_blocks(spark):
+    """Blocks meet in a product of their files; what is shuffled afterwards has no vectors."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x, label = r.random((700, 3)), r.integers(0, 3, 700)
+    df = spark.createDataFrame([(i, v.tolist(), int(c)) for i, (v, c) in enumerate(zip(x, label))], "k int, x array<double>, c int")
+    out = C.silhouettes(df, "k", "x", "c")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression" not in plan  # pairs were dealt out with both their vectors
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+    got = {row.k: row.silhouette for row in out.collect()}
+    for i in range(0, 700, 50):
+        mean = {c: d[i, label == c].sum() / ((label == c).sum() - (c == label[i])) for c in range(3)}
+        a, b = mean[label[i]], min(v for c, v in mean.items() if c != label[i])
+        assert got[i] == pytest.approx((b - a) / max(a, b), abs=1e-9)
