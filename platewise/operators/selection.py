@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from platewise import scratch
 from platewise.functions import vectors as V
 from platewise.operators import greedy
 from platewise.operators.joins import unmatched
@@ -33,16 +34,68 @@ def _blocks(df: DataFrame, key: str, vector: str, by=()) -> DataFrame:
     return rows.groupBy(*by, "_block").agg(F.collect_list(F.struct(F.col(key).alias("k"), F.col(vector).alias("x"))).alias("rows"))
 
 
+def _rectangles(x: pa.ListArray) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Vectors by length: their places and a matrix of them. Vectors that are null or hold a null are left out."""
+    width = np.asarray(x.value_lengths().fill_null(-1))
+    start = np.cumsum(np.maximum(width, 0)) - np.maximum(width, 0)
+    flat = x.flatten()
+    if flat.null_count:
+        width = width.copy()
+        width[np.unique(np.repeat(np.arange(len(x)), np.maximum(width, 0))[np.asarray(flat.is_null())])] = -1
+    values = flat.to_numpy(zero_copy_only=False)
+    places = {int(w): np.flatnonzero(width == w) for w in np.unique(width) if w >= 0}
+    return {w: (at, values[start[at][:, None] + np.arange(w)]) for w, at in places.items()}
+
+
+def _pair_matrix(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of the rows of ``x`` to those of ``y``, added up feature by feature as ``distance`` does, so near rows lose no digits."""
+    out = np.zeros((len(x), len(y)))
+    columns = np.ascontiguousarray(y.T)
+    for at in range(0, len(x), 64):  # a stripe that stays in the cache
+        part = out[at : at + 64]
+        step = np.empty_like(part)
+        for f in range(x.shape[1]):
+            if metric == "euclidean":
+                np.subtract(x[at : at + 64, f, None], columns[f], out=step)
+                np.multiply(step, step, out=step)
+            else:
+                np.multiply(x[at : at + 64, f, None], columns[f], out=step)
+            part += step
+    if metric == "euclidean":
+        return np.sqrt(out, out=out)
+    norms = [np.sqrt(np.square(z).sum(axis=1)) for z in (x, y)]
+    return 1 - out / (norms[0][:, None] * norms[1])
+
+
 def pairwise(df: DataFrame, key: str, vector: str, metric: str = "euclidean", queries: Column | None = None) -> DataFrame:
-    """C14: ``a, b, distance`` of each row ``a`` that ``queries`` accepts (all by default) to every other row ``b``.
+    """C14: ``a, b, distance`` of each row ``a`` that ``queries`` accepts (all by default) to every other row ``b``; null where a vector is missing or the lengths differ.
 
-    The queries are packed into blocks, and every row meets each block once. The result has as many rows as queries times rows.
+    Rows and queries are packed into blocks, written once, and blocks meet blocks as matrices in the tasks of a Cartesian product, so no pair is shuffled. The result
+    has as many rows as queries times rows.
     """
-    asked = _blocks(df.filter(queries) if queries is not None else df, key, vector).select("rows")
-    x, y = F.col("q.x"), F.col("y")
-    d = distance(x, y) if metric == "euclidean" else 1 - V.dot(x, y) / (V.norm(x) * V.norm(y))
-    rows = df.select(F.col(key).alias("b"), F.col(vector).alias("y")).crossJoin(asked).select("b", "y", F.explode("rows").alias("q"))
-    return rows.filter("q.k <> b").select(F.col("q.k").alias("a"), "b", d.alias("distance"))
+    files = 4 * df.sparkSession.sparkContext.defaultParallelism
+    df = df.withColumn(vector, F.col(vector).cast("array<double>")).filter(F.col(key).isNotNull())
+    asked = scratch.written(_blocks(df.filter(queries) if queries is not None else df, key, vector).select("rows"), "queries")
+    rows = scratch.written(_blocks(df, key, vector).select("rows").repartition(files), "blocks")
+    kind = df.schema[key].dataType.simpleString()
+
+    def pairs(batches):
+        for batch in batches:
+            for mine, others in zip(batch.column(0), batch.column(1)):
+                (k, x), (m, y) = ((part.values.field("k"), part.values.field("x")) for part in (mine, others))
+                d, known = np.zeros((len(k), len(m))), np.zeros((len(k), len(m)), dtype=bool)
+                x, y = _rectangles(x), _rectangles(y)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    for w in x.keys() & y.keys():
+                        at = np.ix_(x[w][0], y[w][0])
+                        d[at], known[at] = _pair_matrix(x[w][1], y[w][1], metric), True
+                codes = pa.concat_arrays([k, m]).dictionary_encode().indices.to_numpy()
+                s, t = np.nonzero(codes[: len(k), None] != codes[None, len(k) :])
+                values = pa.array(d[s, t]) if known.all() else pa.array(d[s, t], mask=~known[s, t])
+                yield pa.RecordBatch.from_arrays([k.take(pa.array(s)), m.take(pa.array(t)), values], ["a", "b", "distance"])
+
+    both = asked.select(F.col("rows").alias("q")).crossJoin(rows)
+    return both.mapInArrow(pairs, f"a {kind}, b {kind}, distance double")
 
 
 def mean_distance(df: DataFrame, key: str, vector: str, by: str) -> DataFrame:
