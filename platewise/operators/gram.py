@@ -29,13 +29,21 @@ def _matrix(batch: pa.RecordBatch, place: dict[int, int], centre: np.ndarray) ->
     return out - centre
 
 
-def pair_sums(rows: DataFrame, f: str = "fs", v: str = "vs", groups: int | None = None) -> DataFrame:
+def _means(rows: DataFrame, f: str, v: str) -> dict[int, float]:
+    """The mean of each feature's values that are neither null nor NaN: a row a feature."""
+    long = rows.select(F.explode(F.arrays_zip(F.col(f).alias("f"), F.col(v).alias("v"))).alias("x")).select("x.f", "x.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
+    return {r.f: r.m for r in long.groupBy("f").agg(F.avg("v").alias("m")).collect()}
+
+
+def pair_sums(rows: DataFrame, f: str = "fs", v: str = "vs", groups: int | None = None, means: dict[int, float] | None = None) -> DataFrame:
     """``a < b`` and, over rows that have both features, their number, sums, squares and products, after subtracting each feature's mean ``ca``, ``cb``.
 
     ``rows`` has a list of feature numbers and a list of as many values. A task holds four matrices of all features by all features.
+    ``means``: of the features that have any value, if known; they only centre the sums.
     """
-    means = rows.select(F.explode(F.arrays_zip(F.col(f).alias("f"), F.col(v).alias("v"))).alias("x")).select("x.f", "x.v").filter(F.col("v").isNotNull() & ~F.isnan("v"))
-    means = sorted((r.f, r.m) for r in means.groupBy("f").agg(F.avg("v").alias("m")).collect())  # a row a feature
+    if means is None:
+        means = _means(rows, f, v)
+    means = sorted(means.items())
     names, centre = np.array([k for k, _ in means], dtype=np.int32), np.array([m for _, m in means])
     place = {int(k): i for i, k in enumerate(names)}
 

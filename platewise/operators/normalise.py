@@ -53,10 +53,11 @@ def unscale(v: Column, centre: Column, spread: Column) -> Column:
     return F.zip_with(F.zip_with(v, spread, lambda x, s: x * s), centre, lambda x, c: x + c)
 
 
-def normalise(packed: DataFrame, method: str = "robust", by=(), clip: float | None = 5.0, only: Column | None = None) -> DataFrame:
-    """D6-D9 on packed rows, over all rows or within ``by``."""
+def normalise(packed: DataFrame, method: str = "robust", by=(), clip: float | None = 5.0, only: Column | None = None, largest: int | None = None) -> DataFrame:
+    """D6-D9 on packed rows, over all rows or within ``by``; ``largest``: rows of the largest group, if known."""
     by = list(by)
-    largest = largest_group(packed, by, "features") if method == "robust" else None  # rows: a feature has no more values
+    if method == "robust" and largest is None:
+        largest = largest_group(packed, by, "features")  # rows: a feature has no more values
     stats = packed_statistics(statistics(to_long(packed, [c for c in packed.columns if c != "features"]), method, by, only, largest), by)
     rows = packed.join(stats, by) if by else packed.crossJoin(F.broadcast(stats))
     return rows.withColumn("features", scale(F.col("features"), F.col("centre"), F.col("scale"), clip)).drop("centre", "scale")
@@ -108,6 +109,23 @@ def correct_batches(long: DataFrame, batch: str, method: str, reference=None) ->
     return rows.withColumn("v", (F.col("v") - centre) / spread * F.col("_s") + F.col("_c")).drop("centre", "scale", "_c", "_s", "_c0", "_s0")
 
 
+def correct_packed(packed: DataFrame, batch: str, method: str, reference=None) -> DataFrame:
+    """``correct_batches`` on packed rows: a batch's statistics come as one array, so a row meets them once and not once a feature."""
+    per, whole = fit_batches(to_long(packed.select(batch, "features"), [batch]), batch, method)
+    if method == "reference" and reference is None:
+        return packed
+    goal = per.filter(F.col(batch).cast("string") == str(reference)) if method == "reference" else whole
+    goal = goal.select("f", F.col("centre").alias("_c"), F.col("scale").alias("_s"))
+    overall = whole.select("f", F.col("centre").alias("_c0"), F.col("scale").alias("_s0")).join(F.broadcast(goal), "f", "left")  # a row a feature
+    cells = lambda c, s: F.transform(F.array_sort(F.collect_list(F.struct("f", c.alias("c"), s.alias("s"), "_c", "_s"))), lambda x: x.dropFields("f"))
+    per = per.filter(F.col(batch).isNotNull()).join(F.broadcast(overall), "f")
+    per = per.groupBy(batch).agg(cells(F.coalesce("centre", "_c0"), F.coalesce("scale", "_s0")).alias("_own"))
+    every = overall.agg(cells(F.col("_c0"), F.col("_s0")).alias("_every"))
+    rows = packed.join(per, batch, "left").crossJoin(F.broadcast(every))  # one row
+    moved = F.zip_with("features", F.coalesce("_own", "_every"), lambda x, t: (x - t["c"]) / t["s"] * t["_s"] + t["_c"])
+    return rows.withColumn("features", moved).drop("_own", "_every")
+
+
 def batch_summary(long: DataFrame, batch: str, method: str) -> DataFrame:
     """Rows of each batch, and mean and spread of its centres and scales over features."""
     per, _ = fit_batches(long, batch, method)
@@ -166,9 +184,9 @@ def correlations(long: DataFrame, key: str, method: str = "pearson") -> DataFram
     return gram.correlation(gram.pair_sums(gram.listed(rows.select(key, "f", "v"), key)))
 
 
-def packed_correlations(packed: DataFrame, features: str = "features") -> DataFrame:
-    """D19 on packed rows, without gathering them by a key."""
-    return gram.correlation(gram.pair_sums(gram.listed_packed(packed, features)))
+def packed_correlations(packed: DataFrame, features: str = "features", means: dict[int, float] | None = None) -> DataFrame:
+    """D19 on packed rows, without gathering them by a key; ``means`` of the features, if known, save a scan."""
+    return gram.correlation(gram.pair_sums(gram.listed_packed(packed, features), means=means))
 
 
 def correlation_filter(variances: dict[int, float], pairs: list[tuple[int, int, float]], limit: float, version: int = 1) -> list[int]:

@@ -7,7 +7,7 @@ hold the wanted ranks, and only those are looked at again. That is one scan of t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from platewise import scratch
@@ -58,11 +58,23 @@ def median_and_count(rows: DataFrame, keys, value: str, out: str, count: str, la
     keys = list(keys)
     largest = largest_group(rows, keys, value) if largest is None else largest
     if largest <= most:
-        return rows.groupBy(*keys).agg(F.percentile(value, F.lit(0.5)).alias(out), F.count(F.lit(1)).alias(count))
+        return _sorted_median(rows, keys, value, out, {count: F.lit(1)})
     sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias(count))
     return _same(exact_percentiles(rows, keys, value, {out: 0.5}, most, largest), sizes, keys)
 
 
+def _sorted_median(rows: DataFrame, keys, value: str, out: str, counts: dict[str, Column]) -> DataFrame:
+    """``keys``, the median as ``out`` and counts of columns, by sorting each group in its task: one shuffle, none if ``rows`` lie together by some of the keys."""
+    group = Window.partitionBy(*keys)
+    placed = rows.select(*keys, F.col(value).cast("double").alias("_v"), *[c.alias(f"_c_{n}") for n, c in counts.items()])
+    placed = placed.withColumn("_r", F.row_number().over(group.orderBy(F.col("_v").asc_nulls_last())) - 1)
+    placed = placed.withColumns({"_n": F.count("_v").over(group)} | {n: F.count(f"_c_{n}").over(group) for n in counts})
+    last = F.greatest(F.col("_n") - 1, F.lit(0))
+    middle = placed.filter(F.col("_r").isin(F.shiftright(last, 1), F.shiftright(last + 1, 1)))
+    low, high = F.min("_v"), F.max("_v")
+    return middle.groupBy(*keys).agg(F.when(low == high, low).otherwise(0.5 * low + 0.5 * high).alias(out), *[F.first(n).alias(n) for n in counts])
+
+
 def _same(a: DataFrame, b: DataFrame, keys, how: str = "inner") -> DataFrame:
     """Join on keys that may be null; without keys ``b`` is one row."""
     if not keys:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from platewise import scratch
 from platewise.functions.vectors import norm
 from platewise.operators.order import exact_percentiles, median_and_mad
 
@@ -42,7 +43,7 @@ def count_ok(count: Column | None, least: int = 50) -> Column:
 def norm_bounds(packed: DataFrame, times: float = 3.0, by: list[str] | None = None) -> DataFrame:
     """Lower and upper norm, median plus or minus ``times`` MAD; nulls where the check does not apply."""
     by = by or []
-    rows = packed.select(*by, norm(F.col("features")).alias("_norm"))
+    rows = scratch.written(packed.select(*by, norm(F.col("features")).alias("_norm")), "norms")  # several scans
     mad = median_and_mad(rows, by, "_norm").withColumn("_mad", F.col("_mad") * MAD_SCALE)
     applies = (F.col("_n") > 2) & (F.col("_mad") > 1e-8)
     return mad.select(

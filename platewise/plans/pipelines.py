@@ -9,7 +9,7 @@ from platewise import scratch
 from platewise.functions.sequence import GROUPS, descriptors
 from platewise.functions.vectors import l2_normalise
 from platewise.operators import aggregates, joins, normalise, quality, selection
-from platewise.operators.order import largest_group, median_and_count
+from platewise.operators.order import MOST, largest_group, median_and_count
 from platewise.schema import cell_feature_columns, feature_columns, from_long, pack, to_long
 from platewise.sources import readers
 
@@ -30,34 +30,43 @@ def curate(
     correlation: float = 1.0,
     most: int | None = None,
     report: list[tuple[str, int, int]] | None = None,
+    stored: bool = False,
 ) -> tuple[DataFrame, list[str]]:
     """I32: QC, fill, feature selection, normalisation, batch correction, replicate aggregation, choice of treatments.
 
     ``wells`` is wide, with unique ``key``. Returns treatments (``features``, ``n_replicates``) and the features kept. Steps are added to ``report`` (D28) as name,
-    rows and features, counted while their rows are written.
+    rows and features, counted while their rows are written. Unless ``wells`` are a ``stored`` table, they are written first, as quality reads them twice.
     """
     report = [] if report is None else report
     keep = [key, batch, treatment, *([count] if count else [])]
     packed = pack(wells, features, keep)
+    packed = packed if stored else scratch.written(packed, "packed")
     good = quality.flag_wells(packed, count).filter("qc_passed").select(key, batch, treatment, quality.fill_missing(F.col("features")).alias("features"))
     good, seen = aggregates.observed(good, "good")
     good = scratch.written(good, "good")  # five steps read it
-    report.append(("quality", seen.get["rows"], len(features)))
+    rows = seen.get["rows"]
+    report.append(("quality", rows, len(features)))
     stats = scratch.written(normalise.feature_statistics(to_long(good, [key])), "features")
     removed = {r.f for r in normalise.removals(stats, 1, variance=variance).collect()}
     if correlation < 1:
         kept = [i for i in range(len(features)) if i not in removed]
-        variances = {r.f: r.var_pop for r in stats.collect() if r.f in kept}
-        pairs = [(r.a, r.b, r.r) for r in normalise.packed_correlations(good).collect() if r.a in variances and r.b in variances]
+        known = stats.collect()  # a row a feature
+        variances = {r.f: r.var_pop for r in known if r.f in kept}
+        means = {r.f: r.mean for r in known if r.mean is not None}
+        pairs = [(r.a, r.b, r.r) for r in normalise.packed_correlations(good, means=means).collect() if r.a in variances and r.b in variances]
         removed |= set(normalise.correlation_filter(variances, pairs, correlation))
     kept = [i for i in range(len(features)) if i not in removed]
-    report.append(("features", seen.get["rows"], len(kept)))
+    report.append(("features", rows, len(kept)))
     chosen = good.withColumn("features", F.array(*[F.col("features")[i] for i in kept]))
-    scaled = scratch.written(normalise.normalise(chosen, method, clip=clip), "scaled")
-    long = normalise.correct_batches(to_long(scaled, [key, batch, treatment]), batch, correction).dropna(subset=[treatment])
+    scaled = scratch.written(normalise.normalise(chosen, method, clip=clip, largest=rows), "scaled")
+    fixed = normalise.correct_packed(scaled, batch, correction).dropna(subset=[treatment]).select(treatment, "features")
     if how == "median":
-        per = median_and_count(long, [treatment, "f"], "v", "v", "n_replicates", largest_group(good, [treatment], treatment))
+        largest = largest_group(good, [treatment], treatment)
+        # small groups meet as packed rows, before they become a row a feature; large ones are scanned twice
+        fixed = fixed.repartition(treatment) if largest <= MOST else scratch.written(fixed, "corrected")
+        per = median_and_count(to_long(fixed, [treatment]), [treatment, "f"], "v", "v", "n_replicates", largest)
     else:
+        long = to_long(fixed, [treatment])
         per = long.groupBy(treatment, "f").agg(aggregates.HOW[how]("v").alias("v"), F.count(F.lit(1)).alias("n_replicates"))
     out = from_long(per.filter(F.col("n_replicates") >= least), [treatment, "n_replicates"])
     if most:
@@ -81,7 +90,7 @@ def training_set(spark: SparkSession, plates, metadata, key: str, batch: str, tr
     merged, seen = aggregates.observed(joins.enrich(raw, metadata), "merged")
     merged = scratch.written(merged, "wells")
     report = [("loaded", loaded.get["rows"], len(names)), ("merged", seen.get["rows"], len(names))]
-    out, kept = curate(merged, key, batch, treatment, names, count, report=report, **options)
+    out, kept = curate(merged, key, batch, treatment, names, count, report=report, stored=True, **options)
     if sample:
         picks = selection.farthest_points(out, treatment, "features", sample)
         out = scratch.written(out.join(picks, treatment), "sampled")

@@ -3,6 +3,9 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from platewise import schema
+from platewise.operators import normalise as N
+from platewise.operators import order
 from platewise.operators import selection as L
 
 
@@ -28,3 +31,22 @@ def test_pairwise_by_matrices_with_odd_vectors(spark):
                 assert got[f"k{a}", f"k{b}"] == np.sqrt(total)
         assert all(got[f"k{a}", k] is None for k in ("null", "hole", "short", "none"))
     assert got["short", "none"] is None
+
+
+def test_packed_correction_is_the_long_one_and_medians_take_one_shuffle(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, None if i % 11 == 0 else f"b{i % 3}", f"t{i % 7}", [float(v) if v > -1.5 else None for v in rng.normal(size=3)]) for i in range(120)]
+    packed = spark.createDataFrame(rows, "k int, batch string, t string, features array<double>")
+    for method, reference in (("center", None), ("zscore", None), ("robust", None), ("reference", "b1")):
+        long = N.correct_batches(schema.to_long(packed, ["k", "batch"]), "batch", method, reference)
+        want = {(r.k, r.f): r.v for r in long.collect()}
+        got = {(r.k, r.f): r.v for r in schema.to_long(N.correct_packed(packed, "batch", method, reference), ["k"]).collect()}
+        assert got == want and len(got) == 360
+    placed = schema.to_long(packed.repartition("t"), ["t"])
+    out = order.median_and_count(placed, ["t", "f"], "v", "m", "n", 20)
+    assert plan(out).count("Exchange hashpartitioning") == 1
+    for r in out.collect():
+        own = [x[3][r.f] for x in rows if x[2] == r.t]
+        assert r.n == len(own) and r.m == np.median([v for v in own if v is not None])
+    empty = spark.createDataFrame([("a", None), ("a", None), (None, 2.0)], "t string, v double")
+    assert sorted((str(r.t), r.m, r.n) for r in order.median_and_count(empty, ["t"], "v", "m", "n", 2).collect()) == [("None", 2.0, 1), ("a", None, 2)]
