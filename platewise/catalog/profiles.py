@@ -231,18 +231,22 @@ def d23_problem_features(spark, sf):
     return N.problem_features(N.feature_statistics(long_wells(spark, sf)), 0.001, 0.05, 2.0)
 
 
+def _unique_wells(spark, sf, how):
+    """A packed row a position: repeated ones are joined feature by feature."""
+    values = [how(F.col("features")[i]) for i in range(len(FEATURES))]
+    return wells(spark, sf).groupBy((F.col("ord") * 10 + F.col("line")).alias("k")).agg(F.array(*values).alias("features"))
+
+
 @query(f"""WITH {LONG}, u AS (SELECT ord * 10 + line AS k, f, avg(v) AS v FROM long GROUP BY ALL), p AS (SELECT a.f AS a, b.f AS b, corr(a.v, b.v) AS r FROM u a JOIN u b USING (k)
  WHERE a.f < b.f AND a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY ALL) SELECT a, b, round(r, 6) AS r FROM p""")
 def d19_pearson_matrix(spark, sf):
-    rows = long_wells(spark, sf).groupBy((F.col("ord") * 10 + F.col("line")).alias("k"), "f").agg(F.avg("v").alias("v"))
-    return rounded(N.correlations(rows, "k"), "r")
+    return rounded(N.packed_correlations(_unique_wells(spark, sf, F.avg)), "r")
 
 
 @query(f"""WITH {LONG}, u AS (SELECT ord * 10 + line AS k, f, min(v) AS v FROM long GROUP BY ALL), r AS (SELECT k, f, rank() OVER w + (count(*) OVER (PARTITION BY f, v) - 1) / 2.0 AS v FROM u WHERE v IS NOT NULL WINDOW w AS (PARTITION BY f ORDER BY v))
 SELECT a.f AS a, b.f AS b, round(corr(a.v, b.v), 6) AS r FROM r a JOIN r b USING (k) WHERE a.f < b.f GROUP BY ALL""")
 def d20_spearman_matrix(spark, sf):
-    rows = long_wells(spark, sf).groupBy((F.col("ord") * 10 + F.col("line")).alias("k"), "f").agg(F.min("v").alias("v"))
-    return rounded(N.correlations(rows, "k", "spearman"), "r")
+    return rounded(N.correlations(schema.to_long(_unique_wells(spark, sf, F.min), ["k"]), "k", "spearman"), "r")
 
 
 @query("""SELECT l_orderkey AS ord, l_quantity AS v, rank() OVER (PARTITION BY l_suppkey ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_suppkey, l_quantity) - 1) / 2.0 AS r, l_suppkey FROM lineitem""")

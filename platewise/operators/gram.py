@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from platewise import scratch
+
 _SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
 #: Features of a tile's side.
 TILE = 256
@@ -42,6 +44,7 @@ def pair_sums(rows: DataFrame, f: str = "fs", v: str = "vs", groups: int | None
     ``means``: of the features that have any value, if known; they only centre the sums.
     """
     if means is None:
+        rows = scratch.written(rows.select(f, v), "lists")  # two scans
         means = _means(rows, f, v)
     means = sorted(means.items())
     names, centre = np.array([k for k, _ in means], dtype=np.int32), np.array([m for _, m in means])
