@@ -180,7 +180,7 @@ def correlations(long: DataFrame, key: str, method: str = "pearson") -> DataFram
     """``a < b, r`` over pairwise complete rows; constant features have no r."""
     rows = long.filter(F.col("v").isNotNull())
     if method == "spearman":
-        rows = average_rank(rows, ["f"], "v", "v", cuts=64)
+        rows = average_rank(written(rows.select(key, "f", "v"), "values"), ["f"], "v", "v", cuts=64)  # four scans
     return gram.correlation(gram.pair_sums(gram.listed(rows.select(key, "f", "v"), key)))
 
 

@@ -14,6 +14,8 @@ from platewise import scratch
 
 #: Rows of a group that one task may hold, the share of them in a sorted part, and the accuracy of approximate quantiles.
 MOST, PARTS, ACCURACY = 1_000_000, 64, 4096
+#: Rows from which a value may count as frequent.
+OFTEN = 10_000
 
 
 def largest_group(rows: DataFrame, keys, value: str) -> int:
@@ -120,7 +122,8 @@ def average_rank(df: DataFrame, by, value: str, out: str, cuts: int = 0) -> Data
     """Ranks from 1, ties sharing their mean rank. Ranks are taken over distinct values and their counts,
     and joined back by value, so the values must not change when they are computed again.
 
-    ``cuts`` divides each group's values at approximate quantiles, so that a group is ranked by as many tasks; for few large groups.
+    ``cuts`` divides each group's values at approximate quantiles, so that a group is ranked by as many tasks; for few large groups. There the values that ``OFTEN`` rows and
+    more than 1 / (16 ``cuts``) of their group hold, which are few, are sent to all tasks, so that the rows of one value don't meet in one task.
     """
     by = list(by)
     counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
@@ -134,8 +137,18 @@ def average_rank(df: DataFrame, by, value: str, out: str, cuts: int = 0) -> Data
     else:
         counts = counts.withColumn("_block", F.lit(0)).withColumn("_before", F.lit(0))
     order = Window.partitionBy(*by, "_block").orderBy(value)
-    ranks = counts.withColumn("_rank", F.col("_before") + F.sum("_n").over(order) - (F.col("_n") - 1) / 2.0).drop("_n", "_block", "_before")
-    return df.join(ranks, [*by, value]).withColumn(out, F.col("_rank")).drop("_rank")
+    ranks = counts.withColumn("_rank", F.col("_before") + F.sum("_n").over(order) - (F.col("_n") - 1) / 2.0).drop("_block", "_before")
+    on = [*by, value]
+    if cuts:
+        ranks = scratch.written(ranks, "ranks")
+        sizes = ranks.groupBy(*by).agg(F.sum("_n").alias("_all"))
+        ranks = ranks.join(F.broadcast(sizes), by) if by else ranks.crossJoin(F.broadcast(sizes))  # a row a group
+        often = (F.col("_n") > OFTEN) & (F.col("_n") * 16 * cuts > F.col("_all"))
+        hot, ranks = (ranks.filter(t).drop("_n", "_all") for t in (often, ~often))
+        rows = df.join(F.broadcast(hot), on).unionByName(df.join(F.broadcast(hot), on, "left_anti").join(ranks, on))
+    else:
+        rows = df.join(ranks.drop("_n"), on)
+    return rows.withColumn(out, F.col("_rank")).drop("_rank")
 
 
 def rank(df: DataFrame, score: str, key: str, out: str = "rank") -> DataFrame:

@@ -50,3 +50,29 @@ def test_packed_correction_is_the_long_one_and_medians_take_one_shuffle(spark):
         assert r.n == len(own) and r.m == np.median([v for v in own if v is not None])
     empty = spark.createDataFrame([("a", None), ("a", None), (None, 2.0)], "t string, v double")
     assert sorted((str(r.t), r.m, r.n) for r in order.median_and_count(empty, ["t"], "v", "m", "n", 2).collect()) == [("None", 2.0, 1), ("a", None, 2)]
+
+
+def test_ranks_of_frequent_values_are_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(order, "OFTEN", 20)
+    v = [float(i % 3) if i % 2 else float(i) for i in range(300)] + [float("nan")] * 30
+    df = spark.createDataFrame([(i, i % 2, x) for i, x in enumerate(v)] + [(400, None, 1.0), (401, 1, None)], "k int, g int, v double")
+    for by in ([], ["g"]):
+        want = {r.k: r.r for r in order.average_rank(df.filter("g is not null and v is not null"), by, "v", "r").collect()}
+        out = order.average_rank(df.filter("g is not null and v is not null"), by, "v", "r", cuts=4)
+        assert "BroadcastHashJoin" in plan(out)
+        assert {r.k: r.r for r in out.collect()} == want and len(want) == 330
+
+
+def test_pair_sums_read_their_rows_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<double>")
+    def counted(k):
+        seen.add(1)
+        return [float(k), float(k * k), None if k % 3 else float(-k)]
+
+    rows = spark.range(60).select(counted("id").alias("features"))
+    got = {(r.a, r.b): r.r for r in N.packed_correlations(rows).collect()}
+    assert seen.value == 60
+    k = np.arange(60)
+    assert abs(got[0, 1] - np.corrcoef(k, k * k)[0, 1]) < 1e-12 and abs(got[0, 2] + 1) < 1e-12
