@@ -176,11 +176,12 @@ SELECT name, count(*) FILTER (value <> 0) AS n_used, round(sum(value), 2) AS tot
 @query(DESCRIPTORS)
 def h19_descriptors(spark, sf):
     """All 436 values of every text, summed up by name in three ways."""
-    out = S.descriptors(sequences(spark, sf), "doc_id", "s").select("doc_id", F.posexplode("features").alias("i", "value"))
-    named = out.withColumn("name", F.element_at(F.array(*[F.lit(n) for n in S.feature_names()]), F.col("i") + 1))
-    sums = named.groupBy("name").agg(
+    packed = S.descriptors(sequences(spark, sf), "doc_id", "s").mapInArrow(lambda batches: batches, "doc_id long, features array<double>")  # or the sums join the descriptors' generated code, too long to be compiled
+    out = packed.select("doc_id", F.posexplode("features").alias("i", "value"))
+    sums = out.groupBy("i").agg(
         F.count_if(F.col("value") != 0).alias("n_used"), F.sum("value").alias("total"), F.max("value").alias("highest"), F.sum(F.col("value") * (F.pmod("doc_id", F.lit(7)) + 1)).alias("weighted")
     )
+    sums = sums.select(F.element_at(F.array(*[F.lit(n) for n in S.feature_names()]), F.col("i") + 1).alias("name"), "n_used", "total", "highest", "weighted")
     return rounded(rounded(sums.filter("n_used > 0"), "total", "weighted", digits=2), "highest", digits=4)
 
 

@@ -76,3 +76,10 @@ def test_pair_sums_read_their_rows_once(spark):
     assert seen.value == 60
     k = np.arange(60)
     assert abs(got[0, 1] - np.corrcoef(k, k * k)[0, 1]) < 1e-12 and abs(got[0, 2] + 1) < 1e-12
+
+
+def test_descriptor_sums_are_not_in_the_descriptors_generated_code(spark):
+    from platewise import catalog
+
+    text = plan(catalog.queries()["h19_descriptors"](spark, "/root/testdata/sf0.001"))
+    assert text.index("Generate posexplode") < text.index("MapInArrow") < text.index("ArrowEvalPython")  # printed from the last step to the first
