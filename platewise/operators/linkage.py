@@ -1,8 +1,8 @@
 """Single linkage as a tree, and components of graphs (I4).
 
 The tree is the minimum spanning tree of the rows' distances, grown by Borůvka rounds: each component takes its shortest edge to another one, and components joined that way
-become one. Edges come from a grid: rows in touching cells of width ``reach`` over the two most spread directions are compared block by block as matrices,
-and of each pair of components a pair of blocks hands on the shortest edge only. If several components are left, the reach doubles; only edges between them are then
+become one. Edges come from blocks of rows that lie together in the two most spread directions: blocks within ``reach`` of each other are compared as matrices, and a task
+hands on only the minimum spanning forest of the edges it found. If several components are left, the reach doubles; only edges between them are then
 looked for. All edges up to the reach are used before longer ones, so the tree is exact, and one tree answers cuts by distance, by number of clusters, and by a
 share of the largest merge.
 """
@@ -11,13 +11,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from platewise.scratch import written
 
-#: Rows of a block that is compared as a matrix.
-BLOCK = 256
+#: Rows of a block, rows of it that are compared at once, and edges that a task gathers before it takes their forest.
+BLOCK, STRIPE, MOST = 1024, 64, 1_000_000
 
 
 def _jumped(parents: DataFrame) -> DataFrame:
@@ -48,42 +50,105 @@ def components(edges: DataFrame) -> DataFrame:
     return known if known is not None else edges.select(F.col("a").alias("node"), F.col("a").alias("root")).filter("false")
 
 
-def _edges(rows: DataFrame, reach: float, axes: list[int], kind: str) -> DataFrame:
-    """``ca, cb, d, a, b``: of blocks in touching cells the shortest edge within ``reach`` between each two components. ``rows``: ``node, x, root``."""
-    cell = F.array(*[F.floor(F.col("x")[a] / reach).cast("long") for a in axes])
-    placed = rows.withColumn("cell", cell)
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("m"))
-    placed = placed.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64("node"), F.col("m")))
-    blocks = placed.groupBy("cell", "block").agg(F.collect_list("node").alias("n"), F.collect_list("x").alias("x"), F.collect_list("root").alias("r"))
-    blocks = written(blocks.withColumn("id", F.struct("cell", "block")), "blocks")
-    steps = F.array(*[F.array(*[F.lit(d - 1).cast("long") for d in ds]) for ds in np.ndindex(*([3] * len(axes)))])
-    near = blocks.select("id", "n", "x", "r", F.explode(F.transform(steps, lambda s: F.zip_with("cell", s, lambda c, d: c + d))).alias("cell"))
-    other = blocks.select("cell", F.col("id").alias("id2"), F.col("n").alias("n2"), F.col("x").alias("x2"), F.col("r").alias("r2"))
-    pairs = near.join(other, "cell").filter("id <= id2").select("n", "x", "r", "n2", "x2", "r2")
+def _forest(edges: pa.Table) -> pa.Table:
+    """The minimum spanning forest of edges between components (Kruskal), equal distances in the order of keys. An edge that closes a cycle of shorter ones is in no larger tree."""
+    edges = edges.combine_chunks().sort_by([("d", "ascending"), ("a", "ascending"), ("b", "ascending")])
+    codes = pa.concat_arrays(edges["ca"].chunks + edges["cb"].chunks).dictionary_encode().indices.to_numpy().tolist()
+    up, kept = list(range(max(codes, default=-1) + 1)), []
+    for i in range(edges.num_rows):
+        u, v = codes[i], codes[edges.num_rows + i]
+        while up[u] != u:
+            up[u] = u = up[up[u]]
+        while up[v] != v:
+            up[v] = v = up[up[v]]
+        if u != v:
+            up[u] = v
+            kept.append(i)
+    return edges.take(pa.array(kept, pa.int64()))
+
+
+def _blocks(rows: DataFrame, reach: float, axes: list[int], kind: str, largest) -> DataFrame:
+    """``id, open, low, high, n, r, x``: rows packed in the order of strips of width ``reach`` and of the place in a strip, with their bounds on the axes. ``open``: some are
+    outside the component ``largest``."""
+    ends = [F.col("x")[a] for a in axes]
+    strip, place = F.floor(ends[0] / reach) if ends else F.lit(0), ends[-1] if ends else F.lit(0.0)
+    placed = rows.select("node", "root", "x", (F.lit(True) if largest is None else F.col("root") != largest).alias("out"), strip.alias("strip"), place.alias("place"))
+    placed = placed.repartitionByRange("out", "strip", "place").sortWithinPartitions("out", "strip", "place").select("node", "root", "x", "out")
+
+    def pack(batches):
+        at = TaskContext.get().partitionId() << 33
+        for whole in batches:
+            for i in range(0, whole.num_rows, BLOCK):
+                b = whole.slice(i, BLOCK)
+                x = np.array(b.column(2).flatten(), dtype=np.float64).reshape(b.num_rows, -1)
+                ends = x[:, axes]
+                lists = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(k)) for k in (0, 1)]
+                bounds = [pa.array([e.tolist()], pa.list_(pa.float64())) for e in (ends.min(axis=0), ends.max(axis=0))]
+                columns = [pa.array([at], pa.int64()), pa.array([any(b.column(3).to_pylist())]), *bounds, *lists, pa.array([x.tobytes()], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "open", "low", "high", "n", "r", "x"])
+                at += 1
+
+    blocks = placed.mapInArrow(pack, f"id long, open boolean, low array<double>, high array<double>, n array<{kind}>, r array<{kind}>, x binary")
+    return written(blocks.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism), "blocks")
+
+
+def _edges(rows: DataFrame, reach: float, axes: list[int], kind: str, largest=None) -> DataFrame:
+    """``ca, cb, d, a, b``: edges within ``reach`` between components that hold all of the tree's, of each task a forest. ``rows``: ``node, x, root``.
+
+    Blocks meet blocks whose bounds are within ``reach`` in the tasks of a Cartesian product, so a crowded place is dealt like any other. Of two rows of different components one
+    is outside the ``largest``.
+    """
+    blocks = _blocks(rows, reach, axes, kind, largest)
+    other = blocks.withColumnsRenamed({c: f"{c}2" for c in blocks.columns}).hint("shuffle_replicate_nl")
+    near = (F.col("id") <= F.col("id2")) & (F.col("open") | F.col("open2"))
+    for k in range(len(axes)):
+        near = near & (F.col("low")[k] <= F.col("high2")[k] + reach) & (F.col("low2")[k] <= F.col("high")[k] + reach)
+    pairs = blocks.join(other, near).select("n", "r", "x", "n2", "r2", "x2")
 
     def shortest(batches):
+        found, pending = [], 0
         for b in batches:
             for i in range(b.num_rows):
-                n, x, r, m, y, q = (b.column(k)[i].values for k in range(6))
-                x, y = (np.array(v.flatten()).reshape(len(v), -1) for v in (x, y))
-                d = np.sqrt(np.maximum((x * x).sum(axis=1)[:, None] + (y * y).sum(axis=1)[None, :] - 2 * x @ y.T, 0.0))
+                n, r, m, q = (b.column(k)[i].values for k in (0, 1, 3, 4))
+                x, y = (np.frombuffer(b.column(k)[i].as_buffer()).reshape(len(v), -1) for k, v in ((2, n), (5, m)))
+                xx, yy = (np.square(v).sum(axis=1) for v in (x, y))
+                limit = reach * reach * (1 + 1e-9) + 1e-12 * (xx.max() + yy.max())
+                left = np.hstack([x, -xx[:, None] / 2, np.ones((len(x), 1))])
+                right = np.ascontiguousarray(np.hstack([y, np.ones((len(y), 1)), -yy[:, None] / 2]).T)
                 codes = pa.concat_arrays([r, q]).dictionary_encode().indices.to_numpy()
-                s, t = np.nonzero((d <= reach * (1 + 1e-9)) & (codes[: len(x), None] != codes[None, len(x) :]))
-                d = np.sqrt(np.square(x[s] - y[t]).sum(axis=1))  # exact, unlike the product
-                inside = d <= reach
-                s, t, d = s[inside], t[inside], d[inside]
+                near = []
+                for at in range(0, len(x), STRIPE):
+                    # the product is minus half the squared distance
+                    s, t = np.divmod(np.flatnonzero(left[at : at + STRIPE] @ right >= -limit / 2), len(y))
+                    s += at
+                    apart = codes[s] != codes[len(x) + t]
+                    s, t = s[apart], t[apart]
+                    d = np.sqrt(np.square(x[s] - y[t]).sum(axis=1))  # exact, unlike the product
+                    inside = d <= reach
+                    near.append((s[inside], t[inside], d[inside]))
+                s, t, d = (pa.array(np.concatenate(c)) for c in zip(*near))
                 if not len(d):
                     continue
-                order = np.argsort(d, kind="stable")
-                low, high = np.minimum(codes[s], codes[len(x) + t]), np.maximum(codes[s], codes[len(x) + t])
-                _, first = np.unique((low.astype(np.int64) * (len(codes) + 1) + high)[order], return_index=True)
-                best = order[first]
-                s, t = pa.array(s[best]), pa.array(t[best])
-                yield pa.RecordBatch.from_arrays([r.take(s), q.take(t), pa.array(d[best]), n.take(s), m.take(t)], ["ca", "cb", "d", "a", "b"])
+                a, b_ = n.take(s), m.take(t)
+                first = pc.less(a, b_)
+                ends = [pc.if_else(first, a, b_), pc.if_else(first, b_, a)]
+                found.append(pa.Table.from_arrays([r.take(s), q.take(t), d, *ends], ["ca", "cb", "d", "a", "b"]))
+                pending += len(d)
+                if pending > MOST:
+                    found, pending = [_forest(pa.concat_tables(found))], 0
+        if found:
+            yield from _forest(pa.concat_tables(found)).to_batches(max_chunksize=10_000)
 
     return pairs.mapInArrow(shortest, f"ca {kind}, cb {kind}, d double, a {kind}, b {kind}")
 
 
+def _hooked(picked: DataFrame) -> DataFrame:
+    """``node, root`` of components that each go to the one at the other end of their shortest edge (``ca, to``). In a strict order of edges only two can point at each other."""
+    back = picked.select(F.col("ca").alias("to"), F.col("to").alias("_back"))
+    up = F.when((F.col("_back") == F.col("ca")) & (F.col("ca") < F.col("to")), F.col("ca")).otherwise(F.col("to"))
+    return _jumped(picked.join(back, "to").select(F.col("ca").alias("node"), up.alias("parent"))).withColumnRenamed("parent", "root")
+
+
 def linkage_tree(df: DataFrame, key: str, vector: str, reach: float, grow: bool = True) -> DataFrame:
     """``a, b, d``: the edges of the minimum spanning tree of Euclidean distances; with ``grow`` false of the forest within ``reach``.
 
@@ -95,23 +160,25 @@ def linkage_tree(df: DataFrame, key: str, vector: str, reach: float, grow: bool
     kind = rows.schema["node"].dataType.simpleString()
     spread = rows.select(F.posexplode("x").alias("f", "v")).groupBy("f").agg(F.var_pop("v").alias("s")).orderBy(F.col("s").desc(), "f").limit(2)
     axes = [r.f for r in spread.collect()]
-    roots, tree = rows.select("node", F.col("node").alias("root")), None
+    roots, tree, largest = rows.select("node", F.col("node").alias("root")), None, None
     n, found = rows.count(), 0
     while found < n - 1:
-        left = written(_edges(rows.join(roots, "node"), reach, axes, kind), "candidates")
+        left = written(_edges(rows.join(roots, "node"), reach, axes, kind, largest), "candidates")
         while not left.isEmpty():
             both = left.unionAll(left.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"), "d", "a", "b"))
             edge = F.struct("d", F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("cb").alias("to"))
             picked = written(both.groupBy("ca").agg(F.min(edge).alias("e")).select("ca", "e.*"), "picked")
             new = picked.select("a", "b", "d").distinct()
             tree = new if tree is None else tree.unionAll(new)
-            merged = written(components(picked.select(F.col("ca").alias("a"), F.col("to").alias("b"))), "merged")
+            merged = _hooked(picked)
             step = merged.select(F.col("node").alias("root"), F.col("root").alias("_new"))
             roots = written(roots.join(step, "root", "left").select("node", F.coalesce("_new", "root").alias("root")), "roots")
             x, y = (merged.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("ca", "cb"))
             left = left.join(x, "ca", "left").join(y, "cb", "left").select(F.coalesce("_ca", "ca").alias("ca"), F.coalesce("_cb", "cb").alias("cb"), "d", "a", "b")
             left = written(left.filter("ca <> cb"), "candidates")
-        found = n - roots.select("root").distinct().count()
+        sizes = written(roots.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "sizes")
+        found = n - sizes.count()
+        largest = sizes.orderBy(F.col("n").desc(), "root").first()[0]
         if not grow:
             break
         reach *= 2

@@ -1,7 +1,10 @@
 """Single linkage, silhouettes and k-means|| against plain versions."""
 
+from collections import Counter
+
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from platewise.operators import clustering as C
 from platewise.operators import linkage as K
@@ -70,6 +73,17 @@ def test_tree_of_equal_rows_and_of_nothing(spark):
     assert [tuple(r) for r in K.cut_tree(one, "id", K.linkage_tree(one, "id", "x", 1.0)).collect()] == [(3, 3)]
 
 
+def test_edges_of_one_crowded_place_are_dealt_to_many_tasks(spark, monkeypatch):
+    """Rows of one cell, which a join by cell compares in one task; a task hands on a forest of its edges."""
+    monkeypatch.setattr(K, "BLOCK", 16)
+    x = np.random.default_rng(4).uniform(0.0, 0.9, size=(300, 4))
+    rows = frame(spark, x).select(F.col("id").alias("node"), "x", F.col("id").alias("root"))
+    edges = K._edges(rows, 2.0, [0, 1], "bigint").withColumn("task", F.spark_partition_id()).collect()
+    sizes = Counter(e.task for e in edges)
+    assert len(sizes) > 8 and max(sizes.values()) < 300
+    assert K.linkage_tree(frame(spark, x), "id", "x", 2.0).agg(F.sum("d")).first()[0] == pytest.approx(sum(d for _, _, d in plain_tree(x)))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.range(500).selectExpr("id as a", "id + 1 as b").unionAll(spark.createDataFrame([(1000, 900), (900, 1000), (7, 7)], "a long, b long"))
     roots = {r.node: r.root for r in K.components(edges).collect()}
