@@ -83,3 +83,19 @@ def test_descriptor_sums_are_not_in_the_descriptors_generated_code(spark):
 
     text = plan(catalog.queries()["h19_descriptors"](spark, "/root/testdata/sf0.001"))
     assert text.index("Generate posexplode") < text.index("MapInArrow") < text.index("ArrowEvalPython")  # printed from the last step to the first
+
+
+def test_many_plates_are_listed_by_few_tasks(spark, tmp_path):
+    from platewise.sources import readers as R
+
+    spark.range(80).selectExpr("id as plate", "id as Metadata_K", "cast(id as double) as Cells_A").repartition("plate").write.partitionBy("plate").parquet(f"{tmp_path}/p")
+    spark.sparkContext.setJobGroup("listing", "")
+    try:
+        rows, skipped = R.load_plates(spark, [f"{tmp_path}/p/plate={i}" for i in range(80)])
+        tracker = spark.sparkContext.statusTracker()
+        stages = [tracker.getStageInfo(s) for j in tracker.getJobIdsForGroup("listing") for s in tracker.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert stages and max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
+    assert skipped == [] and rows.agg(F.sum("Cells_A")).first()[0] == 3160.0
