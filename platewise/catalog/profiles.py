@@ -320,7 +320,7 @@ def d31_distinct_counts(spark, sf):
 
 @query(f"""WITH {LONG}, m AS (SELECT treatment, f, avg(v) AS m FROM long GROUP BY ALL) SELECT f, round(var_pop(m), 4) AS variance FROM m GROUP BY f ORDER BY var_pop(m) DESC LIMIT 3""")
 def d34_most_variable(spark, sf):
-    return rounded(A.most_variable(long_wells(spark, sf), "treatment", 3), "variance", digits=4)
+    return rounded(A.most_variable_packed(wells(spark, sf), "treatment", 3), "variance", digits=4)
 
 
 @query(f"""WITH {WELLS}, v AS (SELECT unnest(features) AS v FROM wells), s AS (SELECT avg(v) AS mean, stddev_pop(v) AS std, sum((v IS NULL)::INT)::BIGINT AS nulls FROM v),

@@ -85,6 +85,11 @@ def most_variable(long: DataFrame, key: str, k: int = 30) -> DataFrame:
     return means.groupBy("f").agg(F.var_pop("m").alias("variance")).orderBy(F.col("variance").desc(), "f").limit(k)
 
 
+def most_variable_packed(packed: DataFrame, key: str, k: int = 30, features: str = "features") -> DataFrame:
+    """D34 on packed rows. They are dealt by key before they become a row a feature, so a task sums up only the keys dealt to it, and not all keys that occur in its input."""
+    return most_variable(to_long(packed.select(key, F.col(features).alias("features")).repartition(key), [key]), key, k)
+
+
 def phenotype_summary(packed: DataFrame, plate: str, protein: str, qc: str) -> DataFrame:
     """One row about a whole set of packed phenotypes."""
     v = packed.select(F.explode("features").alias("v"))

@@ -99,3 +99,24 @@ def test_many_plates_are_listed_by_few_tasks(spark, tmp_path):
     assert stages and max(s.numTasks for s in stages if s) <= 4 * spark.sparkContext.defaultParallelism
     assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == "10000"
     assert skipped == [] and rows.agg(F.sum("Cells_A")).first()[0] == 3160.0
+
+
+def _own_shuffles(df) -> list[str]:
+    """Shuffles that joins and aggregates asked for."""
+    return [x for x in plan(df).splitlines() if "Exchange hashpartitioning" in x and "REPARTITION" not in x]
+
+
+def test_variance_of_means_is_summed_up_by_keys_dealt_to_a_task(spark):
+    from platewise import catalog
+    from platewise.operators import aggregates as A
+
+    text = plan(catalog.queries()["d34_most_variable"](spark, "/root/testdata/sf0.001"))
+    assert text.index("Generate posexplode") < text.index("REPARTITION_BY_COL")  # printed from the last step to the first
+    rows = [(i % 5, [float(i * i % 17), None if i % 5 == 2 else float(-i), None]) for i in range(60)] + [(None, [3.0, 4.0, 5.0])]
+    packed = spark.createDataFrame(rows, "k int, features array<double>")
+    out = A.most_variable_packed(packed, "k", 3)
+    assert len(_own_shuffles(out)) == 1  # by feature
+    want = A.most_variable(schema.to_long(packed, ["k"]), "k", 3).collect()
+    got = out.collect()
+    assert [r.f for r in got] == [r.f for r in want]
+    assert all(abs(a.variance - b.variance) < 1e-9 for a, b in zip(got, want))
