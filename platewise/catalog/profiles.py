@@ -110,7 +110,7 @@ def c17_missing_positions(spark, sf):
 @query(f"""WITH {LONG}, m AS (SELECT plate, f, median(v) AS mid FROM long GROUP BY ALL), w AS (SELECT plate, ord, median(abs(v - mid)) AS deviation FROM long JOIN m USING (plate, f) GROUP BY ALL)
 SELECT plate, ord, round(deviation, 6) AS deviation FROM w""")
 def d32_well_deviation(spark, sf):
-    return rounded(Q.well_deviation(long_wells(spark, sf), "plate", "ord"), "deviation")
+    return rounded(Q.well_deviation_packed(wells(spark, sf), "plate", "ord"), "deviation")
 
 
 @query("""SELECT l_suppkey, sum(CASE WHEN l_linenumber = 1 THEN l_quantity END) AS "1", sum(CASE WHEN l_linenumber = 2 THEN l_quantity END) AS "2", sum(CASE WHEN l_linenumber = 3 THEN l_quantity END) AS "3"

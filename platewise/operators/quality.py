@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from platewise import scratch
 from platewise.functions.vectors import norm
-from platewise.operators.order import exact_percentiles, median_and_mad
+from platewise.operators.order import exact_percentiles, largest_group, median_and_mad
+from platewise.schema import to_long
 
 # Plate types that belong to a perturbation type.
 PLATE_TYPES = {"orf": ("orf",), "crispr": ("crispr",), "compound": ("compound", "compound_empty", "compound_full"), "target2": ("target2",)}
@@ -111,6 +112,19 @@ def well_deviation(long: DataFrame, plate: str, well: str) -> DataFrame:
     return near.groupBy(plate, well).agg(F.median(F.abs(F.col("v") - F.col("_mid"))).alias("deviation"))  # over a well's features
 
 
+def well_deviation_packed(packed: DataFrame, plate: str, well: str, features: str = "features") -> DataFrame:
+    """D32 on packed rows: they are dealt by plate once, meet their plate's medians as one array, and a well's distances are sorted as one list."""
+    largest = largest_group(packed, [plate], plate)
+    rows = packed.select(plate, well, F.col(features).alias("features")).filter(F.size("features") > 0).repartition(plate)
+    mids = exact_percentiles(to_long(rows, [plate]), [plate, "f"], "v", {"_mid": 0.5}, largest=largest)
+    mids = mids.groupBy(plate).agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "_mid"))), lambda x: x["_mid"]).alias("_mids"))
+    near = rows.join(mids, plate).select(plate, well, F.zip_with("features", "_mids", lambda v, m: F.abs(v - m)).alias("_d"))
+    own = near.groupBy(plate, well).agg(F.sort_array(F.filter(F.flatten(F.collect_list("_d")), lambda d: d.isNotNull())).alias("_d"))
+    n = F.size("_d")
+    low, high = (F.get("_d", i) for i in (F.floor((n - 1) / 2).cast("int"), F.floor(n / 2).cast("int")))
+    return own.select(plate, well, F.when(low == high, low).otherwise(0.5 * low + 0.5 * high).alias("deviation"))
+
+
 def plate_map(wells: DataFrame, row: str, col: str, value: str, cols) -> DataFrame:
     """One row per plate row, one column per plate column."""
     return wells.groupBy(row).pivot(col, list(cols)).agg(F.first(value))

@@ -120,3 +120,16 @@ def test_variance_of_means_is_summed_up_by_keys_dealt_to_a_task(spark):
     got = out.collect()
     assert [r.f for r in got] == [r.f for r in want]
     assert all(abs(a.variance - b.variance) < 1e-9 for a, b in zip(got, want))
+
+
+def test_well_deviation_shuffles_packed_rows_once(spark):
+    from platewise import catalog
+    from platewise.operators import quality as Q
+
+    assert _own_shuffles(catalog.queries()["d32_well_deviation"](spark, "/root/testdata/sf0.001")) == []
+    rng = np.random.default_rng(8)
+    rows = [(i % 3, i // 9, [float(v) if v > -1 else None for v in rng.normal(size=3)] if i % 9 else [None] * 3) for i in range(90)]
+    rows += [(7, 1, [None, None, None]), (7, 2, None), (7, 3, []), (None, 1, [1.0, 2.0, 3.0])]
+    packed = spark.createDataFrame(rows, "p int, w int, features array<double>")
+    want = {(r.p, r.w): r.deviation for r in Q.well_deviation(schema.to_long(packed, ["p", "w"]), "p", "w").collect()}
+    assert {(r.p, r.w): r.deviation for r in Q.well_deviation_packed(packed, "p", "w").collect()} == want and len(want) == 31
