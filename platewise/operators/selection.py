@@ -99,11 +99,14 @@ def pairwise(df: DataFrame, key: str, vector: str, metric: str = "euclidean", qu
 
 
 def mean_distance(df: DataFrame, key: str, vector: str, by: str) -> DataFrame:
-    """``by, distance``: mean Euclidean distance over all pairs of rows of a group. Blocks meet blocks as matrices, and only their sums go on; the work is
-    quadratic in a group by definition, and is dealt by pairs of blocks."""
-    blocks = _blocks(df, key, vector, [by])
-    a, b = (blocks.select(by, F.col("_block").alias(f"_{n}"), F.transform("rows", lambda r: r["x"]).alias(n)) for n in "ab")
-    both = a.join(b.withColumnRenamed(by, "_by"), a[by].eqNullSafe(F.col("_by"))).filter("_a <= _b").repartition("_a", "_b").select(by, (F.col("_a") == F.col("_b")).alias("same"), "a", "b")
+    """``by, distance``: mean Euclidean distance over all pairs of rows of a group. Blocks are written once and meet as matrices in the tasks of a
+    Cartesian product, so no pair is shuffled, and only their sums go on; the work is quadratic in a group by definition."""
+    files = 4 * df.sparkSession.sparkContext.defaultParallelism
+    blocks = _blocks(df, key, vector, [by]).select(by, "_block", F.transform("rows", lambda r: r["x"]).alias("x"))
+    blocks = scratch.written(blocks.repartition(files), "blocks")
+    a, b = (blocks.select(F.col(by).alias(f"_by_{n}"), F.col("_block").alias(f"_{n}"), F.col("x").alias(n)) for n in "ab")
+    both = a.join(b.hint("shuffle_replicate_nl"), F.col("_by_a").eqNullSafe(F.col("_by_b")) & (F.col("_a") <= F.col("_b")))
+    both = both.select(F.col("_by_a").alias(by), (F.col("_a") == F.col("_b")).alias("same"), "a", "b")
     kind = df.schema[by].dataType.simpleString()
 
     def sums(batches):

@@ -133,3 +133,18 @@ def test_well_deviation_shuffles_packed_rows_once(spark):
     packed = spark.createDataFrame(rows, "p int, w int, features array<double>")
     want = {(r.p, r.w): r.deviation for r in Q.well_deviation(schema.to_long(packed, ["p", "w"]), "p", "w").collect()}
     assert {(r.p, r.w): r.deviation for r in Q.well_deviation_packed(packed, "p", "w").collect()} == want and len(want) == 31
+
+
+def test_mean_distance_shuffles_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(L, "BLOCK", 8)
+    x = np.random.default_rng(6).normal(size=(60, 4))
+    df = spark.createDataFrame([(i, None if i % 3 == 2 else i % 3, v.tolist()) for i, v in enumerate(x)] + [(99, 5, x[0].tolist())], "k int, g int, x array<double>")
+    out = L.mean_distance(df, "k", "x", "g")
+    text = plan(out)
+    assert "CartesianProduct" in text and "Exchange" not in text[text.index("MapInPandas") :]
+    got = {r.g: r.distance for r in out.collect()}
+    assert set(got) == {0, 1}  # as before, a null group and one row have no mean
+    for g in (0, 1):
+        y = x[g::3]
+        d = np.sqrt(((y[:, None] - y[None]) ** 2).sum(axis=2))
+        assert abs(got[g] - d[np.triu_indices(20, 1)].mean()) < 1e-9
