@@ -187,8 +187,8 @@ SELECT plate, f, round(1000 + median((v - b.c) / b.s * t.s + t.c), 3) AS middle,
 def _correction(method):
     @query(_corrected(method))
     def run(spark, sf):
-        out = N.correct_batches(long_wells(spark, sf), "plate", method, 1 if method == "reference" else None)
-        return out.groupBy("plate", "f").agg(F.round(1000 + F.median("v"), 3).alias("middle"), F.round(1000 + F.max("v"), 3).alias("high"), F.round(1000 + F.min("v"), 3).alias("low"))
+        out = N.corrected_ends(wells(spark, sf), "plate", method, 1 if method == "reference" else None)
+        return out.select("plate", "f", *[F.round(1000 + F.col(c), 3).alias(name) for c, name in (("_mid", "middle"), ("_high", "high"), ("_low", "low"))])
 
     return run
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from platewise.operators import gram
-from platewise.operators.order import average_rank, exact_percentiles, largest_group, median_and_mad
+from platewise.operators.order import MOST, average_rank, exact_percentiles, largest_group, median_and_ends, median_and_mad, packed_ends
 from platewise.scratch import written
 from platewise.schema import to_long
 
@@ -84,19 +84,24 @@ def percent_of_control(long: DataFrame, plate: str, control: Column) -> DataFram
 def fit_batches(long: DataFrame, batch: str, method: str) -> tuple[DataFrame, DataFrame]:
     """Statistics per batch and overall. ``method``: center, zscore, robust or reference (whose spreads are like zscore's).
 
-    Means and spreads of both come from one scan by grouping sets, written as a row a batch and feature.
+    Means and spreads come from one scan, written as a row a batch and feature, with ``_rows`` of them; the overall ones are put together from those of the batches.
     """
     if method == "robust":
         return statistics(long, "robust", [batch]), statistics(long, "robust")
-    scale = F.lit(1.0) if method == "center" else F.stddev_pop("v")
-    both = long.groupingSets([[F.col(batch), F.col("f")], [F.col("f")]], batch, "f").agg(F.avg("v").alias("centre"), scale.alias("scale"), F.grouping_id().alias("_whole"))
-    both = written(both.withColumn("scale", F.greatest("scale", F.lit(FLOOR))), "batches")
-    return both.filter("_whole = 0").drop("_whole"), both.filter("_whole > 0").drop("_whole", batch)
-
-
-def correct_batches(long: DataFrame, batch: str, method: str, reference=None) -> DataFrame:
-    """(x - c_b) / s_b * s + c with c and s of all rows, or of the reference batch. Null batches take the overall statistics."""
-    per, whole = fit_batches(long, batch, method)
+    spread = F.lit(1.0) if method == "center" else F.stddev_pop("v")
+    per = long.groupBy(batch, "f").agg(F.avg("v").alias("centre"), spread.alias("scale"), F.sum("v").alias("_sum"), F.count("v").alias("_n"), F.count(F.lit(1)).alias("_rows"))
+    per = written(per, "batches")
+    means = per.groupBy("f").agg(F.try_divide(F.sum("_sum"), F.sum("_n")).alias("_mean"))  # a row a feature
+    squares = F.sum(F.col("_n") * (F.col("scale") * F.col("scale") + (F.col("centre") - F.col("_mean")) * (F.col("centre") - F.col("_mean"))))
+    spread = F.lit(1.0) if method == "center" else F.sqrt(F.try_divide(squares, F.sum("_n")))
+    whole = per.join(F.broadcast(means), "f").groupBy("f").agg(F.first("_mean").alias("centre"), spread.alias("scale"))
+    floored = F.greatest("scale", F.lit(FLOOR))
+    return per.withColumn("scale", floored).drop("_sum", "_n"), written(whole.withColumn("scale", floored), "whole")
+
+
+def correct_batches(long: DataFrame, batch: str, method: str, reference=None, fitted: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(x - c_b) / s_b * s + c with c and s of all rows, or of the reference batch. Null batches take the overall statistics. ``fitted``: ``fit_batches``, if known."""
+    per, whole = fitted or fit_batches(long, batch, method)
     if method == "reference":
         if reference is None:
             return long
@@ -104,26 +109,47 @@ def correct_batches(long: DataFrame, batch: str, method: str, reference=None) ->
     else:
         goal = whole.select("f", F.col("centre").alias("_c"), F.col("scale").alias("_s"))
     overall = whole.select("f", F.col("centre").alias("_c0"), F.col("scale").alias("_s0"))
-    rows = long.join(per, [batch, "f"], "left").join(F.broadcast(goal), "f").join(F.broadcast(overall), "f")
+    rows = long.join(per.select(batch, "f", "centre", "scale"), [batch, "f"], "left").join(F.broadcast(goal), "f").join(F.broadcast(overall), "f")
     centre, spread = F.coalesce("centre", "_c0"), F.coalesce("scale", "_s0")
     return rows.withColumn("v", (F.col("v") - centre) / spread * F.col("_s") + F.col("_c")).drop("centre", "scale", "_c", "_s", "_c0", "_s0")
 
 
-def correct_packed(packed: DataFrame, batch: str, method: str, reference=None) -> DataFrame:
-    """``correct_batches`` on packed rows: a batch's statistics come as one array, so a row meets them once and not once a feature."""
-    per, whole = fit_batches(to_long(packed.select(batch, "features"), [batch]), batch, method)
+def correct_packed(packed: DataFrame, batch: str, method: str, reference=None, fitted: tuple[DataFrame, DataFrame] | None = None, dealt: bool = False) -> DataFrame:
+    """``correct_batches`` on packed rows: a batch's statistics come as one array, so a row meets them once and not once a feature.
+
+    ``dealt``: rows are dealt by batch and not sorted, for what goes on to take them by batch.
+    """
+    per, whole = fitted or fit_batches(to_long(packed.select(batch, "features"), [batch]), batch, method)
     if method == "reference" and reference is None:
         return packed
     goal = per.filter(F.col(batch).cast("string") == str(reference)) if method == "reference" else whole
     goal = goal.select("f", F.col("centre").alias("_c"), F.col("scale").alias("_s"))
-    overall = whole.select("f", F.col("centre").alias("_c0"), F.col("scale").alias("_s0")).join(F.broadcast(goal), "f", "left")  # a row a feature
+    overall = whole.select("f", F.col("centre").alias("_c0"), F.col("scale").alias("_s0")).join(F.broadcast(goal), "f")  # a row a feature
     cells = lambda c, s: F.transform(F.array_sort(F.collect_list(F.struct("f", c.alias("c"), s.alias("s"), "_c", "_s"))), lambda x: x.dropFields("f"))
     per = per.filter(F.col(batch).isNotNull()).join(F.broadcast(overall), "f")
     per = per.groupBy(batch).agg(cells(F.coalesce("centre", "_c0"), F.coalesce("scale", "_s0")).alias("_own"))
     every = overall.agg(cells(F.col("_c0"), F.col("_s0")).alias("_every"))
-    rows = packed.join(per, batch, "left").crossJoin(F.broadcast(every))  # one row
-    moved = F.zip_with("features", F.coalesce("_own", "_every"), lambda x, t: (x - t["c"]) / t["s"] * t["_s"] + t["_c"])
-    return rows.withColumn("features", moved).drop("_own", "_every")
+    rows = packed.join(per.hint("shuffle_hash") if dealt else per, batch, "left").crossJoin(F.broadcast(every))  # one row
+    moved = lambda v, t: F.zip_with(v, t, lambda x, t: (x - t["c"]) / t["s"] * t["_s"] + t["_c"])
+    x, t = F.col("features"), F.coalesce("_own", "_every")
+    n = F.least(F.size(x), F.size(t))
+    cut = F.when(n >= 0, moved(F.slice(x, 1, n), F.slice(t, 1, n)))  # a short row stays short, and features that the reference lacks fall away
+    return rows.withColumn("features", F.when(F.size(x) == F.size(t), moved(x, t)).otherwise(cut)).drop("_own", "_every")
+
+
+def corrected_ends(packed: DataFrame, batch: str, method: str, reference=None, most: int = MOST) -> DataFrame:
+    """D13, then ``batch, f, _mid, _high, _low``: median, maximum and minimum of the corrected values of each batch and feature.
+
+    Packed rows are shuffled once while the values of the largest batch are few; beyond that the long form is corrected.
+    """
+    packed = packed.select(batch, "features")
+    long = to_long(packed, [batch])
+    fitted = fit_batches(long, batch, method)
+    sizes = fitted[0] if "_rows" in fitted[0].columns else long.groupBy(batch, "f").agg(F.count(F.lit(1)).alias("_rows"))
+    rows, values = sizes.groupBy(batch).agg(F.max("_rows").alias("_r"), F.sum("_rows").alias("_v")).agg(F.max("_r"), F.max("_v")).first()
+    if (values or 0) <= most:
+        return packed_ends(correct_packed(packed, batch, method, reference, fitted, dealt=True), [batch])
+    return median_and_ends(correct_batches(long, batch, method, reference, fitted), [batch, "f"], "v", rows, most)
 
 
 def batch_summary(long: DataFrame, batch: str, method: str) -> DataFrame:

@@ -65,6 +65,24 @@ def median_and_count(rows: DataFrame, keys, value: str, out: str, count: str, la
     return _same(exact_percentiles(rows, keys, value, {out: 0.5}, most, largest), sizes, keys)
 
 
+def median_and_ends(rows: DataFrame, keys, value: str, largest: int, most: int = MOST) -> DataFrame:
+    """``keys, _mid, _high, _low``: median, maximum and minimum of the values that are not null; ``largest``: rows of the largest group."""
+    if largest > most:
+        return exact_percentiles(rows, keys, value, {"_mid": 0.5, "_high": 1.0, "_low": 0.0}, most, largest)
+    return rows.groupBy(*keys).agg(F.median(value).alias("_mid"), F.max(value).alias("_high"), F.min(value).alias("_low"))
+
+
+def packed_ends(packed: DataFrame, keys, features: str = "features") -> DataFrame:
+    """``keys, f, _mid, _high, _low`` of each feature of packed rows: a group's rows are gathered whole and each feature is sorted as one list, so there is no row a value. For small groups."""
+    held = packed.groupBy(*keys).agg(F.collect_list(features).alias("_m"), F.max(F.size(features)).alias("_k")).filter("_k > 0")
+    lists = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda f: F.transform("_m", lambda x: F.get(x, f)))
+    lists = held.select(*keys, F.posexplode(lists).alias("f", "_a")).withColumn("_a", F.sort_array(F.array_compact("_a")))
+    last = F.size("_a") - 1
+    low, high = F.get("_a", F.shiftright(last, 1)), F.get("_a", F.shiftright(last + 1, 1))
+    mid = F.when(low == high, low).otherwise(0.5 * low + 0.5 * high)
+    return lists.select(*keys, "f", mid.alias("_mid"), F.get("_a", last).alias("_high"), F.get("_a", F.lit(0)).alias("_low"))
+
+
 def _sorted_median(rows: DataFrame, keys, value: str, out: str, counts: dict[str, Column]) -> DataFrame:
     """``keys``, the median as ``out`` and counts of columns, by sorting each group in its task: one shuffle, none if ``rows`` lie together by some of the keys."""
     group = Window.partitionBy(*keys)

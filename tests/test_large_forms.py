@@ -135,6 +135,42 @@ def test_well_deviation_shuffles_packed_rows_once(spark):
     assert {(r.p, r.w): r.deviation for r in Q.well_deviation_packed(packed, "p", "w").collect()} == want and len(want) == 31
 
 
+def test_corrected_ends_shuffle_packed_rows_once(spark):
+    from platewise import catalog
+
+    text = plan(catalog.queries()["d13_correct_reference"](spark, "/root/testdata/sf0.001"))
+    assert "SortMergeJoin" not in text and text.count("Exchange hashpartitioning(plate") <= 2  # packed rows, and a row a batch
+    assert text.index("Generate posexplode") < text.index("Exchange hashpartitioning(plate")  # printed from the last step to the first
+    rng = np.random.default_rng(9)
+    rows = [(None if i % 11 == 0 else f"b{i % 3}", [float(v) if v > -1.5 else None for v in rng.normal(size=3)]) for i in range(121)]
+    rows += [("short", [1.0]), ("short", [4.0, 2.0]), ("gap", [None, 2.0, None]), ("none", None), ("none", []), (None, [7.0]), (None, None), ("b0", [float("nan"), 1.0, 2.0])]
+    packed = spark.createDataFrame(rows, "batch string, features array<double>")
+    found = lambda df: sorted((str(r.batch), r.f, repr(r._mid), repr(r._high), repr(r._low)) for r in df.collect())
+    for method, reference in (("center", None), ("zscore", None), ("robust", None), ("reference", "b1"), ("reference", "short"), ("reference", "gap"), ("reference", "absent")):
+        long = N.correct_batches(schema.to_long(packed, ["batch"]), "batch", method, reference)
+        want = found(long.groupBy("batch", "f").agg(F.median("v").alias("_mid"), F.max("v").alias("_high"), F.min("v").alias("_low")))
+        assert len(want) == {"short": 12, "absent": 0}.get(reference, 17)
+        for most in (10**6, 60, 20) if reference == "b1" else (10**6,):  # packed rows, long ones, and long ones by counted values
+            assert found(N.corrected_ends(packed, "batch", method, reference, most)) == want
+
+
+def test_overall_statistics_come_from_those_of_batches(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(k):
+        seen.add(1)
+        return None if k % 5 == 0 else float(k * k % 23)
+
+    long = spark.range(60).select((F.col("id") % 7).alias("b"), (F.col("id") % 2).cast("int").alias("f"), counted("id").alias("v"))
+    per, whole = N.fit_batches(long, "b", "zscore")
+    got = {r.f: (r.centre, r.scale) for r in whole.collect()}
+    assert seen.value == 60 and "Expand" not in plan(whole) and sum(r._rows for r in per.collect()) == 60
+    for f in (0, 1):
+        v = [k * k % 23 for k in range(f, 60, 2) if k % 5]
+        assert abs(got[f][0] - np.mean(v)) < 1e-9 and abs(got[f][1] - np.std(v)) < 1e-9
+
+
 def test_mean_distance_shuffles_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(L, "BLOCK", 8)
     x = np.random.default_rng(6).normal(size=(60, 4))
