@@ -6,6 +6,9 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.ml.clustering import BisectingKMeans, KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import PCA, StandardScaler
@@ -18,9 +21,13 @@ from platewise.functions.vectors import hash_uniform
 from platewise.operators.joins import overlap_counts
 from platewise.operators.linkage import cut_tree, linkage_tree
 from platewise.operators.greedy import distances
-from platewise.operators.selection import _blocks as blocked
 from platewise.operators.selection import distance
 
+#: Silhouettes: rows and values of a block at most, values that a task holds a side, rows that are compared at once, and pairs that are subtracted at once.
+BLOCK, VALUES, HELD, STRIPE, AGAIN = 2048, 1 << 20, 1 << 22, 256, 1 << 14
+#: Pairs whose squared distance is below this share of their squared lengths lose digits in a matrix product.
+NEAR = 1e-4
+
 
 def standardised(df: DataFrame, vector: str, out: str = "scaled") -> tuple[DataFrame, object]:
     """Vectors with mean 0 and population spread 1 (Spark's scaler uses the sample spread, so it is rescaled)."""
@@ -109,42 +116,175 @@ def silhouette(df: DataFrame, vector: str, cluster: str = "cluster", cosine: boo
     return ClusteringEvaluator(featuresCol="_v", predictionCol=cluster, distanceMeasure="cosine" if cosine else "squaredEuclidean").evaluate(rows)
 
 
+def _runs(codes: pa.Array, size: pa.Array, n: int):
+    """Where the clusters of a block's first ``n`` rows begin, their codes and sizes, and whether the block holds a cluster's every row."""
+    codes, size = codes.slice(0, n).to_numpy(), size.slice(0, n).to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], codes[1:] != codes[:-1]]))
+    return starts, codes[starts], size[starts], np.diff(np.append(starts, n)) == size[starts]
+
+
+def _left(x: np.ndarray):
+    """What ``_stripes`` takes of the rows ``x``: themselves, a place amid them, and from there a matrix and squared lengths."""
+    middle = np.median(x, axis=0)
+    z = x - middle
+    zz = np.square(z).sum(axis=1)
+    return x, middle, np.hstack([-2 * z, zz[:, None], np.ones((len(z), 1))]), zz
+
+
+def _stripes(left, y: np.ndarray):
+    """``at, distances`` of ``STRIPE`` rows to all of ``y``, as one matrix product. A pair that is near by its distance from the middle is subtracted, as the product loses its digits; so are all if values are not finite."""
+    x, middle, left, xx = left
+    z = y - middle
+    yy = np.square(z).sum(axis=1)
+    right = np.ascontiguousarray(np.hstack([z, np.ones((len(z), 1)), yy[:, None]]).T)
+    limit = NEAR * (xx.max() + yy.max())
+    held = np.empty((STRIPE, len(y)))  # new memory for each stripe would cost as much as the product
+    for at in range(0, len(x), STRIPE):
+        if not np.isfinite(limit):
+            yield at, distances(x[at : at + STRIPE], y)
+            continue
+        part = left[at : at + STRIPE]
+        d = np.matmul(part, right, out=held[: len(part)])
+        if d.min() < limit:
+            s, t = np.divmod(np.flatnonzero(d.reshape(-1) < limit), len(y))
+            near = d[s, t] < NEAR * (xx[at + s] + yy[t])
+            s, t = s[near], t[near]
+            for i in range(0, len(s), AGAIN):
+                u, v = s[i : i + AGAIN], t[i : i + AGAIN]
+                d[u, v] = np.square(x[at + u] - y[v]).sum(axis=1)
+        yield at, np.sqrt(d, out=d)
+
+
+def _run_sums(left, starts: np.ndarray, y: np.ndarray, others: np.ndarray, back: bool):
+    """Sums of distances of each row to each run of ``y``, and with ``back`` of each row of ``y`` to each run of rows."""
+    n = len(left[0])
+    rows, columns = np.empty((n, len(others))), np.zeros((len(starts), len(y)))
+    for at, d in _stripes(left, y):
+        rows[at : at + len(d)] = np.add.reduceat(d, others, axis=1) if len(others) > 1 else d.sum(axis=1, keepdims=True)
+        if back:
+            first, last = np.searchsorted(starts, [at, at + len(d) - 1], side="right")
+            ends = [0, *(starts[first:last] - at), len(d)]
+            for j in range(first - 1, last):
+                columns[j] += d[ends[j - first + 1] : ends[j - first + 2]].sum(axis=0)
+    return rows, columns.T
+
+
+class _Sums:
+    """What a task knows of a block's rows: the least mean distance to a cluster that one block holds, the total to the own one if the block holds it, and totals to clusters of many blocks."""
+
+    def __init__(self, n: int):
+        self.near, self.own, self.totals = np.full(n, np.nan), np.zeros(n), {}
+
+    def add(self, sums: np.ndarray, codes: np.ndarray, sizes: np.ndarray, whole: np.ndarray, mine=None) -> None:
+        """``mine``: each row's own run, if the block meets itself."""
+        for j in np.flatnonzero(~whole):
+            total = self.totals.setdefault(int(codes[j]), [int(sizes[j]), 0.0])
+            total[1] = total[1] + sums[:, j]
+        means = np.where(whole, sums, np.nan) / sizes
+        if mine is not None:
+            at = np.arange(len(sums))
+            self.own += np.where(whole[mine], sums[at, mine], 0.0)
+            means[at, mine] = np.nan
+        self.near = np.fmin(self.near, np.fmin.reduce(means, axis=1))
+
+    def batch(self, block: int) -> pa.RecordBatch:
+        others = [(code, size, total.tobytes(), None) for code, (size, total) in self.totals.items()]
+        codes, sizes, totals, near = zip((None, None, self.own.tobytes(), self.near.tobytes()), *others)
+        columns = [pa.array([block] * len(codes), pa.int64()), pa.array(codes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(totals, pa.binary()), pa.array(near, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["id", "other", "size", "total", "near"])
+
+
 def silhouettes(df: DataFrame, key: str, vector: str, cluster: str = "cluster") -> DataFrame:
-    """``key, cluster, silhouette`` of every row by plain Euclidean distances; 0 for a row alone in its cluster, null if there is one cluster.
+    """``key, cluster, silhouette`` of every row by plain Euclidean distances; 0 for a row alone in its cluster, null if there is one cluster or no vector.
 
-    Blocks of rows are written once, as many files as the cluster has cores, and every pair of files is one task of a Cartesian product, so no pair of blocks is shuffled or
-    written; a task hands on each row's sum for each cluster. The work is quadratic in the rows by definition, what is on disk is not.
+    Rows are packed in the order of clusters, ``BLOCK`` or so to a row, and written once. Each two blocks meet once, as matrices, in a task of a Cartesian product of files, so no
+    pair is shuffled or written: of each row a task hands on the least mean over clusters that lie in one block, and a sum for each of the others. A task holds at
+    most ``HELD`` values a side or so. The work is quadratic in the rows by definition, what is on disk is not.
     """
-    files = df.sparkSession.sparkContext.defaultParallelism
-    blocks = blocked(df.filter(F.col(cluster).isNotNull()), key, vector, [cluster]).repartition(files)
-    blocks = scratch.written(blocks.withColumn("_id", F.monotonically_increasing_id()), "blocks")
-    own = blocks.select("_id", "rows", F.col(cluster).alias("own"))
-    members = blocks.select(F.col(cluster).alias("other"), F.transform("rows", lambda r: r["x"]).alias("y"))
+    rows = df.select(F.col(key).alias("k"), F.col(cluster).alias("own"), F.col(vector).cast("array<double>").alias("x"))
+    sizes = rows.filter("own is not null").groupBy("own").agg(F.count(F.lit(1)).alias("size"), F.count("x").alias("known"), F.sum(F.greatest(F.size("x"), F.lit(64))).alias("values"))
+    sizes = scratch.written(sizes.withColumn("code", F.monotonically_increasing_id()), "sizes")
+    values, clusters = sizes.agg(F.sum("values"), F.count_if(F.col("known") > 0)).first()
+    files = max(df.sparkSession.sparkContext.defaultParallelism, -(-(values or 0) // HELD))
+    rows = rows.join(sizes.select("own", "size", "code"), "own", "left").select("k", "own", "size", "code", "x")
+    rows = rows.repartitionByRange("code", F.xxhash64("k")).sortWithinPartitions("code")
     kinds = [df.schema[c].dataType.simpleString() for c in (key, cluster)]
 
+    def pack(batches):
+        at = TaskContext.get().partitionId() << 33
+        for whole in batches:
+            widest = pc.max(whole.column(4).value_lengths()).as_py() or 1
+            step = max(1, min(BLOCK, VALUES // widest))
+            for i in range(0, whole.num_rows, step):
+                b = whole.slice(i, step)
+                known = np.asarray(pc.and_(b.column(3).is_valid(), b.column(4).is_valid()))
+                b = b.take(pa.array(np.argsort(~known, kind="stable")))
+                x = b.column(4).slice(0, known.sum())
+                if len(x.value_lengths().unique()) > 1:
+                    raise ValueError("vectors differ in length")
+                lists = [pa.ListArray.from_arrays(pa.array([0, b.num_rows], pa.int32()), b.column(c)) for c in range(4)]
+                values = x.flatten().to_numpy(zero_copy_only=False).astype(np.float64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([len(x)]), *lists, pa.array([values], pa.binary())], ["id", "n", "k", "own", "size", "code", "x"])
+                at += 1
+
+    blocks = rows.mapInArrow(pack, f"id long, n long, k array<{kinds[0]}>, own array<{kinds[1]}>, size array<long>, code array<long>, x binary")
+    blocks = scratch.written(blocks.repartition(files), "blocks")
+    one = blocks.filter("n > 0").select("id", "n", "code", "size", "x")
+    two = one.withColumnsRenamed({c: f"{c}2" for c in one.columns}).hint("shuffle_replicate_nl")
+    # of two blocks each comes first about as often, so that no task has all of its pairs
+    turn = (F.col("id") < F.col("id2")) == (F.pmod(F.col("id") + F.col("id2"), F.lit(2)) == 0)
+    pairs = one.join(two, (F.col("id") == F.col("id2")) | turn)
+
     def sums(batches):
-        at, keys, mine, x, totals = None, [], None, None, {}
-
-        def done():
-            for other, total in totals.items():
-                yield pd.DataFrame({"key": keys, "own": mine, "other": other, "total": total})
-
-        for pdf in batches:  # pairs of a block follow one another
-            for i, rows, own, other, y in zip(pdf["_id"], pdf["rows"], pdf["own"], pdf["other"], pdf["y"]):
-                if i != at:
-                    yield from done()
-                    at, keys, mine, x, totals = i, [r["k"] for r in rows], own, np.stack([r["x"] for r in rows]), {}
-                totals[other] = totals.get(other, 0.0) + distances(x, np.stack(y)).sum(axis=1)
-        yield from done()
-
-    per = own.crossJoin(members).mapInPandas(sums, f"key {kinds[0]}, own {kinds[1]}, other {kinds[1]}, total double")
-    sizes = df.groupBy(F.col(cluster).alias("other")).agg(F.count(F.lit(1)).alias("n"))
-    per = per.groupBy("key", "own", "other").agg(F.sum("total").alias("total")).join(sizes, "other")
-    same = F.col("own") == F.col("other")
-    mean = F.when(same, F.when(F.col("n") > 1, F.col("total") / (F.col("n") - 1))).otherwise(F.col("total") / F.col("n"))
-    ab = per.withColumn("mean", mean).groupBy("key", "own").agg(F.max(F.when(same, F.col("mean"))).alias("a"), F.min(F.when(~same, F.col("mean"))).alias("b"), F.max(F.when(same, F.col("n"))).alias("n"))
-    value = F.when(F.col("b").isNull(), None).when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return ab.select(F.col("key").alias(key), F.col("own").alias(cluster), value.alias("silhouette"))
+        at, mine, theirs = None, None, {}
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, m, other, n = (batch.column(c)[i].as_py() for c in (0, 1, 5, 6))
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer()).reshape(rows, -1) for c, rows in ((4, m), (9, n)))
+                codes, size, codes2, size2 = (batch.column(c)[i].values for c in (2, 3, 7, 8))
+                if block != at and mine is not None:  # pairs of a block follow one another
+                    yield mine.batch(at)
+                with np.errstate(all="ignore"):
+                    if block != at:
+                        at, mine, left, runs = block, _Sums(m), _left(x), _runs(codes, size, m)
+                    runs2 = runs if other == block else _runs(codes2, size2, n)
+                    to, back = _run_sums(left, runs[0], y, runs2[0], other != block)
+                    if other == block:
+                        mine.add(to, *runs[1:], np.repeat(np.arange(len(runs[0])), np.diff(np.append(runs[0], m))))
+                    else:
+                        mine.add(to, *runs2[1:])
+                        theirs.setdefault(other, _Sums(n)).add(back, *runs[1:])
+        if mine is not None:
+            yield mine.batch(at)
+        for other, found in theirs.items():
+            yield found.batch(other)
+
+    def finish(sums, block):
+        k, own, size, codes = (block[c].combine_chunks()[0].values for c in ("k", "own", "size", "code"))
+        n = block["n"][0].as_py()
+        found, codes = _Sums(n), codes.slice(0, n).to_numpy()
+        for other, count, total, near in zip(*(sums[c].to_pylist() for c in ("other", "size", "total", "near"))):
+            total = np.frombuffer(total)
+            if near is not None:
+                found.own += total
+                found.near = np.fmin(found.near, np.frombuffer(near))
+            else:
+                whole = found.totals.setdefault(other, [count, 0.0])
+                whole[1] = whole[1] + total
+        for other, (count, total) in found.totals.items():
+            mine = codes == other
+            found.own += np.where(mine, total, 0.0)
+            found.near = np.fmin(found.near, np.where(mine, np.nan, total / count))
+        count = size.fill_null(0).to_numpy()
+        value, known = np.zeros(len(k)), count == 1
+        with np.errstate(all="ignore"):
+            a = found.own / (count[:n] - 1)
+            value[:n] = np.where(known[:n], 0.0, (found.near - a) / np.maximum(a, found.near))
+        known[:n] |= clusters > 1
+        return pa.table([k, own, pa.array(value, mask=~known)], names=[key, cluster, "silhouette"])
+
+    parts = pairs.mapInArrow(sums, "id long, other long, size long, total binary, near binary")
+    return parts.groupBy("id").cogroup(blocks.drop("x").groupBy("id")).applyInArrow(finish, f"`{key}` {kinds[0]}, `{cluster}` {kinds[1]}, silhouette double")
 
 
 def choose_k(df: DataFrame, vector: str, ks, criterion: str = "calinski") -> int:

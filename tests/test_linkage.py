@@ -102,6 +102,64 @@ def test_silhouettes(spark, points):
     assert {r.silhouette for r in C.silhouettes(df.filter("c = 'a'"), "id", "x", "c").collect()} == {None}
 
 
+def test_silhouettes_of_odd_rows_are_those_of_sql(spark, tmp_path):
+    """Rows without a label or a vector, copies, rows of no distance at all, and near rows far from the origin."""
+    import duckdb
+
+    from platewise import catalog
+
+    rng = np.random.default_rng(5)
+    near = 1e5 + rng.normal(size=(40, 64)) * 1e-3
+    plain = [(i, v.tolist(), i % 3) for i, v in enumerate(rng.normal(size=(60, 64)))]
+    tables = {
+        "unlabelled": [*plain, (60, plain[0][1], None), (61, plain[1][1], 3)],
+        "no_vector": [*plain, (60, None, 0), (61, None, 3), (62, None, 4), (63, None, 4), (64, plain[0][1], 5), (65, None, 5)],
+        "copies": [(i, plain[i % 7][1], i % 4) for i in range(60)],
+        "same": [(i, [1.0] * 64, i % 2) for i in range(6)],
+        "near": [(i, v.tolist(), i % 2) for i, v in enumerate(near)],
+        "one_label": [(i, v, 7) for i, v, _ in plain],
+        "one_row": plain[:1],
+        "none": [],
+    }
+    for name, rows in tables.items():
+        spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").write.parquet(f"{tmp_path}/{name}/embeddings.parquet")
+        con = duckdb.connect()
+        con.sql(f"create view embeddings as select * from '{tmp_path}/{name}/embeddings.parquet/*.parquet'")
+        want = sorted(con.execute(catalog.oracle_sql()["i06_silhouettes"]).fetchall())
+        got = sorted(tuple(r) for r in catalog.queries()["i06_silhouettes"](spark, f"{tmp_path}/{name}").select("vec_id", "label", "silhouette").collect())
+        assert len(got) == len(rows), name
+        assert [tuple(map(repr, r)) for r in got] == [tuple(map(repr, r)) for r in want], name
+
+
+def test_silhouettes_compare_two_blocks_once(spark):
+    """Of 15,000 rows in 10 clusters and 667 of one or two rows; a block may hold many clusters, and a cluster many blocks."""
+    rng = np.random.default_rng(6)
+    x, c = rng.normal(size=(15_000, 4)), np.concatenate([rng.integers(0, 10, 14_000), 10 + np.arange(1_000) * 2 // 3])
+    x[14_990] = 1e9  # an outlier takes no digits of others
+    df = spark.createDataFrame([(i, v.tolist(), f"c{k}") for i, (v, k) in enumerate(zip(x, c))], "id long, x array<double>, c string")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = C.silhouettes(df, "id", "x", "c")
+        got = {r.id: r.silhouette for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+    def met(node):
+        if node.nodeName() == "CartesianProduct":
+            return node.metrics().apply("numOutputRows").value()
+        return sum(met(node.children().apply(i)) for i in range(node.children().size()))
+
+    pairs = met(out._jdf.queryExecution().executedPlan())
+    blocks = round(((8 * pairs + 1) ** 0.5 - 1) / 2)
+    assert pairs == blocks * (blocks + 1) // 2 and 8 <= blocks <= 16
+    assert len(got) == len(x)
+    n = np.bincount(c)
+    for i in [*range(0, 15_000, 750), *range(14_000, 15_000, 50), 14_990]:
+        total = np.bincount(c, np.sqrt(np.square(x - x[i]).sum(axis=1)))
+        a, b = total[c[i]] / max(1, n[c[i]] - 1), np.delete(total / n, c[i]).min()
+        assert got[i] == pytest.approx((b - a) / max(a, b) if n[c[i]] > 1 else 0.0, abs=1e-9)
+
+
 def test_kmeans_parallel_is_nearly_as_good_as_the_loop(spark, points):
     rng = np.random.default_rng(2)
     x = np.concatenate([rng.normal(rng.uniform(-20, 20, size=3), 1.0, size=(60, 3)) for _ in range(8)])
